@@ -1,0 +1,21 @@
+"""Name -> plan registry used by ``__spark_entry__`` and ``bench.py``.
+
+Every callable takes (spark, sf_dir) and reads the whole parquet tables under ``sf_dir``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from irforge.plans import retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "bm25_topk": retrieval.bm25_run,
+    "containment_qrels": retrieval.qrels,
+    "run_metrics": retrieval.run_metrics,
+    "run_metrics_summary": retrieval.run_metrics_summary,
+    "run_depth_report": retrieval.run_depth_report,
+    "run_pool": retrieval.run_pool,
+}
