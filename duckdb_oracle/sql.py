@@ -108,3 +108,93 @@ ORACLE["run_depth_report"] = q("corpus", "queries", "bm25", body="""SELECT
   min(n) AS min_results, max(n) AS max_results
 FROM (SELECT qid, count(*) AS n FROM run GROUP BY qid)""")
 ORACLE["run_pool"] = q("corpus", "queries", "bm25", body="""SELECT count(DISTINCT docid) AS n_distinct_docs, count(*) AS n_occurrences FROM run""")
+
+
+# --- text preparation ------------------------------------------------------------------------
+def rstrip(x: str) -> str:
+    return f"regexp_replace({x}, '{WS}+\\z', '', 'g')"
+
+
+def before(x: str, p: str) -> str:
+    # string_split(...)[1], not split_part: nested split_part calls plan exponentially in DuckDB
+    return f"string_split({x}, {p})[1]"
+
+
+STOP = ["In each of these examples", "In each example,", "Explanation:", "Example 1:", "Example 2:",
+        "In this example", "Note:", "In the above examples", "Note that in each example",
+        "In the first three examples", "In the first example", "Answer:",
+        "By analyzing the provided documents", "Note that the examples", "In both examples",
+        "In each case", "Note that the relevant queries", "In each of the examples"]
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def clean_q(x: str) -> str:
+    e = rstrip(f"replace({x}, chr(10), '')")
+    for p in STOP:
+        e = before(e, lit(p))
+    return py_strip(e)
+
+
+def clean_out(x: str, prompt: str) -> str:
+    e = py_strip(before(f"replace({x}, {prompt}, '')", lit("Example 5:")))
+    for p in ["In each of these examples, the AI model is trained on a large corpus of text data,", "Answer:"]:
+        e = py_strip(before(e, lit(p)))
+    e = py_strip(before(e, "chr(10)"))
+    e = py_strip(before(e, lit("?")))
+    return e
+
+
+CTE["dsdocs"] = """dsdocs AS (
+  SELECT CAST(doc_id AS VARCHAR) AS docid, text AS doctext,
+         CASE source WHEN 'src0' THEN 'signal1m' WHEN 'src1' THEN 'hotpotqa' WHEN 'src2' THEN 'quora'
+                     WHEN 'src3' THEN 'climate-fever' ELSE source END AS dataset
+  FROM documents)"""
+CTE["questions"] = """questions AS (
+  SELECT CAST(c.conv_id AS VARCHAR) AS docid, c.turn AS seq, c.text AS question, coalesce(d.text, '') AS doctext
+  FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE c.role = 'user')"""
+CTE["outputs"] = """outputs AS (
+  SELECT CAST(a.conv_id AS VARCHAR) AS docid, a.turn, coalesce(u.text, '') AS prompt,
+         coalesce(u.text, '') || chr(10) || a.text AS output
+  FROM conversations a LEFT JOIN conversations u
+    ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user'
+  WHERE a.role = 'assistant')"""
+
+ORACLE["merge_title_text"] = q("corpus", body=f"""SELECT docid,
+  CASE WHEN {py_strip('title')} <> '' THEN {py_strip(py_strip('title') + " || ' ' || " + py_strip('body'))}
+       ELSE {py_strip('body')} END AS doctext FROM corpus""")
+ORACLE["filter_len_sampling"] = q("dsdocs", body="""SELECT docid, dataset, CAST(length(doctext) AS BIGINT) AS n_chars FROM dsdocs
+WHERE length(doctext) >= CASE dataset WHEN 'signal1m' THEN 3 WHEN 'hotpotqa' THEN 150 WHEN 'quora' THEN 15
+                                      WHEN 'climate-fever' THEN 3 ELSE 300 END""")
+ORACLE["filter_len_kselect"] = q("dsdocs", body="""SELECT docid, dataset, CAST(length(doctext) AS BIGINT) AS n_chars FROM dsdocs
+WHERE NOT (dataset = 'signal1m' AND length(doctext) < 3) AND NOT (dataset = 'hotpotqa' AND length(doctext) < 150)
+  AND length(doctext) >= 300""")
+ORACLE["truncate_tokens"] = q("docs", body=f"""SELECT docid, t AS doctext, CAST(len({py_split('t')}) AS BIGINT) AS n_tokens
+FROM (SELECT docid, array_to_string({py_split('doctext')}[1:512], ' ') AS t FROM docs)""")
+ORACLE["text_prefix"] = q("docs", body="SELECT docid, substr(doctext, 1, 600) AS exemplar, substr(doctext, 1, 200) AS answer FROM docs")
+ORACLE["clean_questions"] = q("questions", body=f"SELECT docid, seq, {clean_q('question')} AS question FROM questions")
+ORACLE["kept_questions"] = q("questions", body=f"""SELECT docid, seq, question, CAST(length(doctext) AS BIGINT) AS doc_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY docid ORDER BY seq DESC) AS rn FROM (
+    SELECT docid, seq, {clean_q('question')} AS question, doctext FROM questions)
+  WHERE question <> '' AND NOT regexp_matches(question, '[^\\x00-\\x7F]'))
+WHERE rn = 1""")
+ORACLE["clean_llm_output"] = q("outputs", body=f"SELECT docid, turn, {clean_out('output', 'prompt')} AS question FROM outputs")
+ORACLE["extract_question"] = q("outputs", body=f"""SELECT docid, turn, CASE WHEN ends_with(x, '?') THEN x ELSE x || '?' END AS question
+FROM (SELECT docid, turn, {py_strip(before(py_strip("string_split(output, 'Query:')[-1]"), 'chr(10)'))} AS x FROM outputs)""")
+_PAD_P = "The study investigates the impact of a treatment on a population using a randomized design."
+_PAD_Q = "How does the treatment affect the outcome compared to control?"
+_INSTR = ("You are a search query generator for document retrieval. Given a passage P and three human-written examples <P,Q>, "
+          "write ONE specific, answerable, entity-rich query Q for the new passage. "
+          "Do not copy phrases. Prefer 'how/why/under what conditions/compare'. 10–20 words. Single sentence.")
+_SHOTS = " || chr(10) || chr(10) || ".join(
+    f"'Example {i}:' || chr(10) || 'Passage: ' || {lit(_PAD_P)} || chr(10) || 'Query: ' || {lit(_PAD_Q)}" for i in (1, 2, 3))
+ORACLE["render_fewshot_prompt"] = q("docs", body=f"""SELECT docid,
+  {lit(_INSTR)} || chr(10) || chr(10) || {_SHOTS} || chr(10) || chr(10) ||
+  'Now generate a query for the following passage:' || chr(10) || 'Passage: ' || doctext || chr(10) || 'Query:' AS prompt
+FROM docs""")
+ORACLE["render_template_prompt"] = q("docs", body=f"""SELECT docid,
+  {rstrip("'Example 1:' || chr(10) || 'Document: ' || array_to_string(" + py_split('doctext') + "[1:512], ' ') || chr(10) || 'Relevant Query: ' || chr(10)")} AS prompt
+FROM docs""")
+ORACLE["doc_text_join_fields"] = q("corpus", body="SELECT docid, title || '. ' || body AS multifield, title || ' ' || body AS lookup FROM corpus")

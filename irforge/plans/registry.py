@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irforge.plans import retrieval
+from irforge.plans import retrieval, textprep_plans as tpp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": retrieval.bm25_run,
@@ -18,4 +18,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_metrics_summary": retrieval.run_metrics_summary,
     "run_depth_report": retrieval.run_depth_report,
     "run_pool": retrieval.run_pool,
+    "merge_title_text": tpp.merge_title_text,
+    "filter_len_sampling": tpp.filter_len_sampling,
+    "filter_len_kselect": tpp.filter_len_kselect,
+    "truncate_tokens": tpp.truncate_tokens,
+    "text_prefix": tpp.text_prefix,
+    "clean_questions": tpp.clean_questions,
+    "kept_questions": tpp.kept_questions,
+    "clean_llm_output": tpp.clean_llm_output,
+    "extract_question": tpp.extract_question,
+    "render_fewshot_prompt": tpp.render_fewshot_prompt,
+    "render_template_prompt": tpp.render_template_prompt,
+    "doc_text_join_fields": tpp.doc_text_join_fields,
 }

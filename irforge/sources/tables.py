@@ -91,3 +91,33 @@ def generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     q = c.select(F.col("conv_id").cast("string").alias("docid"), F.col("turn").alias("seq"), F.col("text").alias("question"))
     return q.join(d, "docid", "left").select("docid", "seq", "question", F.coalesce("doctext", F.lit("")).alias("doctext"))
+
+
+# Hand-made dataset names (FIXTURES §3) so that the per-dataset length rules are exercised:
+# four sources take the special names of the reference's rule list, the rest keep their own.
+DATASET_OF_SOURCE = {"src0": "signal1m", "src1": "hotpotqa", "src2": "quora", "src3": "climate-fever"}
+
+
+def dataset_name(source_col: str = "source"):
+    expr = None
+    for s, n in DATASET_OF_SOURCE.items():
+        expr = F.when(F.col(source_col) == s, F.lit(n)) if expr is None else expr.when(F.col(source_col) == s, F.lit(n))
+    return expr.otherwise(F.col(source_col))
+
+
+def documents_with_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("docid"), F.col("text").alias("doctext"),
+                    dataset_name().alias("dataset"))
+
+
+def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(docid, turn, prompt, output): assistant turns stand in for generator output; the preceding
+    user turn is the prompt and the raw output echoes it, as decoder output does."""
+    c = table(spark, sf_dir, "conversations")
+    a = c.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("answer"))
+    u = c.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    j = a.join(u, ["conv_id", "turn"], "left")
+    return j.select(F.col("conv_id").cast("string").alias("docid"), "turn",
+                    F.coalesce("prompt", F.lit("")).alias("prompt"),
+                    F.concat(F.coalesce("prompt", F.lit("")), F.lit("\n"), F.col("answer")).alias("output"))
