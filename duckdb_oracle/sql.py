@@ -198,3 +198,85 @@ ORACLE["render_template_prompt"] = q("docs", body=f"""SELECT docid,
   {rstrip("'Example 1:' || chr(10) || 'Document: ' || array_to_string(" + py_split('doctext') + "[1:512], ' ') || chr(10) || 'Relevant Query: ' || chr(10)")} AS prompt
 FROM docs""")
 ORACLE["doc_text_join_fields"] = q("corpus", body="SELECT docid, title || '. ' || body AS multifield, title || ' ' || body AS lookup FROM corpus")
+
+
+# --- vectors ---------------------------------------------------------------------------------
+def l_norm(v: str) -> str:
+    return f"sqrt(list_sum(list_transform({v}, lambda y: y * y)))"
+
+
+def checksum(v: str) -> str:
+    return f"list_sum(list_transform({v}, lambda x, i: x * i))"
+
+
+CTE["unit"] = f"""emb AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS docid, CAST(embedding AS DOUBLE[]) AS raw, label AS cid FROM embeddings),
+embn AS (SELECT *, greatest({l_norm('raw')}, 1e-12) AS nrm FROM emb),
+unit AS (SELECT vec_id, docid, cid, raw, list_transform(raw, lambda x: x / nrm) AS vec FROM embn)"""
+CTE["means"] = f"""ue AS (SELECT cid, i, x, rx FROM (SELECT cid, unnest(vec) AS x, unnest(raw) AS rx, generate_subscripts(vec, 1) AS i FROM unit)),
+cm AS (SELECT cid, list(m ORDER BY i) AS center, list(rm ORDER BY i) AS rcenter
+       FROM (SELECT cid, i, avg(x) AS m, avg(rx) AS rm FROM ue GROUP BY cid, i) GROUP BY cid),
+ucm AS (SELECT cid, list_transform(center, lambda x: x / nrm) AS center, rcenter
+        FROM (SELECT cid, center, rcenter, greatest({l_norm('center')}, 1e-12) AS nrm FROM cm))"""
+CTE["qvec"] = f"""qraw AS (
+  SELECT a.docid, list_transform(generate_series(1, len(a.raw)), lambda i: a.raw[i] + b.raw[i]) AS s
+  FROM emb a JOIN emb b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM emb)),
+qv AS (SELECT docid, list_transform(s, lambda x: x / nrm) AS qvec FROM (SELECT docid, s, greatest({l_norm('s')}, 1e-12) AS nrm FROM qraw))"""
+
+ORACLE["unit_normalize"] = q("unit", body=f"""SELECT docid, round({l_norm('raw')}, 6) AS raw_norm, round(vec[1], 6) AS u1,
+  round({checksum('vec')}, 6) AS checksum FROM unit""")
+ORACLE["neighbor_counts"] = q("unit", body="""SELECT a.docid, count(b.docid) AS n_neighbors
+FROM unit a LEFT JOIN unit b ON a.docid <> b.docid AND list_dot_product(a.vec, b.vec) > 0.30 GROUP BY a.docid""")
+ORACLE["cluster_sizes"] = q("unit", body="""SELECT CAST(r.range AS INTEGER) AS cid, CAST(coalesce(s.size, 0) AS BIGINT) AS size
+FROM range(0, (SELECT max(cid) + 1 FROM unit)) r LEFT JOIN (SELECT cid, count(*) AS size FROM unit GROUP BY cid) s ON s.cid = r.range""")
+ORACLE["cluster_means"] = q("unit", "means", body=f"""SELECT cid, round(center[1], 6) AS c1, round({checksum('center')}, 6) AS checksum FROM ucm""")
+ORACLE["nearest_centroid"] = q("unit", "means", body="""SELECT docid, cid, dist FROM (
+  SELECT u.docid, c.cid, round(list_distance(u.raw, c.rcenter), 6) AS dist,
+         row_number() OVER (PARTITION BY u.docid ORDER BY round(list_distance(u.raw, c.rcenter), 6), CAST(c.cid AS VARCHAR)) AS rn
+  FROM unit u, ucm c) WHERE rn = 1""")
+ORACLE["medoid_per_cluster"] = q("unit", "means", body="""SELECT cid, docid, dist FROM (
+  SELECT c.cid, u.docid, round(list_distance(u.raw, c.rcenter), 6) AS dist,
+         row_number() OVER (PARTITION BY c.cid ORDER BY round(list_distance(u.raw, c.rcenter), 6), u.docid) AS rn
+  FROM unit u, ucm c) WHERE rn = 1""")
+ORACLE["nearest_cluster"] = q("unit", "means", body="""SELECT cid, near_cid, sim FROM (
+  SELECT a.cid, b.cid AS near_cid, round(list_dot_product(a.center, b.center), 6) AS sim,
+         row_number() OVER (PARTITION BY a.cid ORDER BY round(list_dot_product(a.center, b.center), 6) DESC, CAST(b.cid AS VARCHAR)) AS rn
+  FROM ucm a JOIN ucm b ON a.cid <> b.cid) WHERE rn = 1""")
+ORACLE["cosine_sse"] = q("unit", "means", body="""SELECT round(sum(pow(1.0 - list_cosine_similarity(u.raw, c.rcenter), 2)), 6) AS sse
+FROM unit u JOIN ucm c ON c.cid = u.cid""")
+ORACLE["dense_topk"] = q("unit", "qvec", body="""SELECT qid, docid, score, rank FROM (
+  SELECT q.docid AS qid, u.docid, round(list_dot_product(q.qvec, u.vec), 6) AS score,
+         CAST(row_number() OVER (PARTITION BY q.docid ORDER BY round(list_dot_product(q.qvec, u.vec), 6) DESC, u.docid) AS BIGINT) AS rank
+  FROM qv q, unit u) WHERE rank <= 100""")
+ORACLE["masked_mean_pool"] = q("unit", body=f""", tok AS (SELECT docid, vec_id, raw, unnest(range(0, 8)) AS pos FROM unit),
+kept AS (SELECT docid, pos, raw FROM tok WHERE (vec_id + pos) % 5 <> 0),
+cnt AS (SELECT docid, count(*) AS n_tokens FROM kept GROUP BY docid),
+el AS (SELECT docid, j, avg(raw[pos * 8 + j]) AS m FROM kept, (SELECT unnest(range(1, 9)) AS j) GROUP BY docid, j),
+pooled AS (SELECT docid, list(m ORDER BY j) AS pooled FROM el GROUP BY docid)
+SELECT p.docid, c.n_tokens, round(pooled[1], 6) AS p1, round({checksum('pooled')}, 6) AS checksum
+FROM pooled p JOIN cnt c ON c.docid = p.docid""")
+ORACLE["silhouette_by_label"] = q("unit", body=""", pd AS (SELECT a.docid, a.cid AS lcid, b.cid AS rcid, avg(list_distance(a.vec, b.vec)) AS mean
+  FROM unit a JOIN unit b ON a.docid <> b.docid GROUP BY a.docid, a.cid, b.cid),
+sz AS (SELECT cid, count(*) AS size FROM unit GROUP BY cid),
+ab AS (SELECT docid, lcid, max(CASE WHEN rcid = lcid THEN mean END) AS a, min(CASE WHEN rcid <> lcid THEN mean END) AS b FROM pd GROUP BY docid, lcid)
+SELECT round(avg(CASE WHEN sz.size <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM ab JOIN sz ON sz.cid = ab.lcid""".replace("pd AS", "", 0))
+ORACLE["knee_of_curve"] = q("unit", body=""", x AS (SELECT docid, raw, cid, k FROM unit, (SELECT unnest(range(1, 11)) AS k)),
+xg AS (SELECT docid, raw, k, cid % k AS g FROM x),
+el AS (SELECT k, g, i, avg(rx) AS m FROM (SELECT k, g, unnest(raw) AS rx, generate_subscripts(raw, 1) AS i FROM xg) GROUP BY k, g, i),
+cen AS (SELECT k, g, list(m ORDER BY i) AS center FROM el GROUP BY k, g),
+curve AS (SELECT xg.k, round(sum(pow(1.0 - list_cosine_similarity(xg.raw, cen.center), 2)), 9) AS sse
+          FROM xg JOIN cen ON cen.k = xg.k AND cen.g = xg.g GROUP BY xg.k),
+c0 AS (SELECT CAST(k AS DOUBLE) AS x, sse AS y, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM curve),
+c1 AS (SELECT *, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS xn,
+              (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS yn FROM c0),
+c2 AS (SELECT *, (max(yn) OVER () - yn) - xn AS d FROM c1),
+c3 AS (SELECT *, coalesce(lag(d) OVER (ORDER BY x), d) AS pd, coalesce(lead(d) OVER (ORDER BY x), d) AS nd,
+              lead(d) OVER (ORDER BY x) AS d_next FROM c2),
+c4 AS (SELECT *, d >= pd AND d >= nd AS is_max, d <= pd AND d <= nd AS is_min FROM c3),
+c5 AS (SELECT *, max(CASE WHEN is_max THEN i END) OVER w AS last_max, max(CASE WHEN is_min THEN i END) OVER w AS last_min,
+              last_value(CASE WHEN is_max THEN d - 0.01 / (n - 1) END IGNORE NULLS) OVER w AS thr_at_max,
+              last_value(CASE WHEN is_max THEN x END IGNORE NULLS) OVER w AS x_at_max
+       FROM c4 WINDOW w AS (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT CAST(min_by(x_at_max, i) AS DOUBLE) AS knee FROM c5
+WHERE last_max IS NOT NULL AND d_next IS NOT NULL
+  AND d_next < CASE WHEN last_min >= last_max THEN 0.0 ELSE thr_at_max END""")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irforge.plans import retrieval, textprep_plans as tpp
+from irforge.plans import retrieval, textprep_plans as tpp, vector_plans as vp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": retrieval.bm25_run,
@@ -30,4 +30,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "render_fewshot_prompt": tpp.render_fewshot_prompt,
     "render_template_prompt": tpp.render_template_prompt,
     "doc_text_join_fields": tpp.doc_text_join_fields,
+    "unit_normalize": vp.unit_normalize,
+    "neighbor_counts": vp.neighbor_counts,
+    "cluster_sizes": vp.cluster_sizes,
+    "cluster_means": vp.cluster_means,
+    "nearest_centroid": vp.nearest_centroid,
+    "medoid_per_cluster": vp.medoid_per_cluster,
+    "nearest_cluster": vp.nearest_cluster,
+    "cosine_sse": vp.cosine_sse,
+    "dense_topk": vp.dense_topk,
+    "masked_mean_pool": vp.masked_mean_pool,
+    "silhouette_by_label": vp.silhouette_by_label,
+    "knee_of_curve": vp.knee_of_curve,
+    "sse_curve_kmeans": vp.sse_curve_kmeans,
+    "auto_select_k": vp.auto_select_k,
+    "kmeans_assign": vp.kmeans_assign,
 }

@@ -121,3 +121,24 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.col("conv_id").cast("string").alias("docid"), "turn",
                     F.coalesce("prompt", F.lit("")).alias("prompt"),
                     F.concat(F.coalesce("prompt", F.lit("")), F.lit("\n"), F.col("answer")).alias("output"))
+
+
+def unit_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(docid, vec, label, vid) with vec L2-normalised."""
+    from irforge.functions.vectors import with_unit
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vid"), F.col("vec_id").cast("string").alias("docid"),
+                                                  F.col("embedding").cast("array<double>").alias("raw"),
+                                                  F.col("label").cast("int").alias("label"))
+    return with_unit(e, "raw", "vec").drop("raw")
+
+
+def shifted_unit_embeddings(spark: SparkSession, sf_dir: str, mult: int, add: int, name: str = "qvec") -> DataFrame:
+    """(docid, <name>): unit(emb[d] + emb[(d*mult + add) mod n]) — the question (7, 1) and answer
+    (11, 3) embeddings of FIXTURES §3.  Requires contiguous vec_id 0..n-1 (checked by the join)."""
+    from irforge.functions.vectors import add as vadd, with_unit
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = e.count()
+    a = e.withColumn("partner", F.pmod(F.col("vec_id") * mult + add, F.lit(n)))
+    b = e.select(F.col("vec_id").alias("partner"), F.col("v").alias("pv"))
+    j = a.join(b, "partner").select(F.col("vec_id").cast("string").alias("docid"), vadd("v", "pv").alias("s"))
+    return with_unit(j, "s", name).drop("s")
