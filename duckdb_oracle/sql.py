@@ -280,3 +280,84 @@ c5 AS (SELECT *, max(CASE WHEN is_max THEN i END) OVER w AS last_max, max(CASE W
 SELECT CAST(min_by(x_at_max, i) AS DOUBLE) AS knee FROM c5
 WHERE last_max IS NOT NULL AND d_next IS NOT NULL
   AND d_next < CASE WHEN last_min >= last_max THEN 0.0 ELSE thr_at_max END""")
+
+
+# --- features and experts --------------------------------------------------------------------
+def tfidf_ctes(src: str) -> str:
+    """CTE list computing ``tfidf(docid, term, tf, w)`` over the table ``src(docid, doctext)``."""
+    return f"""tt AS (
+  SELECT docid, list_concat(t, list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) AS terms
+  FROM (SELECT docid, {words('doctext')} AS t FROM {src})),
+tp AS (SELECT docid, term, count(*) AS tf FROM (SELECT docid, unnest(terms) AS term FROM tt) GROUP BY docid, term),
+ts AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tp GROUP BY term),
+vocab AS (SELECT * FROM ts ORDER BY cf DESC, term ASC LIMIT 120000),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM {src})) / (1.0 + df)) + 1.0 AS idf FROM vocab),
+wr AS (SELECT tp.docid, tp.term, tp.tf, tp.tf * idf.idf AS raw FROM tp JOIN idf ON idf.term = tp.term),
+tfidf AS (SELECT docid, term, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY docid)) AS w FROM wr)"""
+
+
+def density_ctes(src: str) -> str:
+    return f"""dens AS (
+  SELECT s.docid, coalesce(w.wsum, 0.0) / greatest(len({py_split('s.doctext')}), 1) AS density
+  FROM {src} s LEFT JOIN (SELECT docid, sum(w) AS wsum FROM tfidf GROUP BY docid) w ON w.docid = s.docid),
+ni_raw AS (
+  SELECT docid, 1.0 - len(list_distinct({py_split('lower(doctext)')})) / greatest(len({py_split('lower(doctext)')}), 1) AS ni_raw
+  FROM {src}),
+nis AS (SELECT docid, (ni_raw - (SELECT min(ni_raw) FROM ni_raw)) / greatest(1e-8, (SELECT max(ni_raw) - min(ni_raw) FROM ni_raw)) AS ni
+        FROM ni_raw)"""
+
+
+CTE["de"] = """de AS (SELECT d.docid, d.doctext, u.vec, u.cid FROM docs d JOIN unit u ON u.docid = d.docid)"""
+CTE["tfidf_docs"] = tfidf_ctes("docs")
+CTE["tfidf_de"] = tfidf_ctes("de")
+CTE["density_de"] = density_ctes("de")
+CTE["feat"] = """nbc AS (SELECT a.docid, count(b.docid) AS nb FROM de a LEFT JOIN de b
+        ON a.docid <> b.docid AND list_dot_product(a.vec, b.vec) > 0.30 GROUP BY a.docid),
+dm AS (SELECT cid, list(m ORDER BY i) AS center FROM (
+        SELECT cid, i, avg(x) AS m FROM (SELECT cid, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM de) GROUP BY cid, i)
+       GROUP BY cid),
+dist AS (SELECT de.docid, list_distance(de.vec, dm.center) AS dist FROM de JOIN dm ON dm.cid = de.cid),
+sz AS (SELECT cid, count(*) AS cluster_size FROM de GROUP BY cid),
+feat AS (SELECT de.docid, de.cid, coalesce(nbc.nb, 0) AS n_neighbors, dens.density, nis.ni, dist.dist, sz.cluster_size
+         FROM de JOIN dens ON dens.docid = de.docid JOIN nis ON nis.docid = de.docid JOIN dist ON dist.docid = de.docid
+         LEFT JOIN nbc ON nbc.docid = de.docid JOIN sz ON sz.cid = de.cid),
+st AS (SELECT least(min(density), 0.0) AS tfidf_min, greatest(max(density), 1.0) AS tfidf_max, avg(ni) AS ni_mean,
+              stddev_pop(ni) + 1e-8 AS ni_std, min(dist) AS dmin, max(dist) AS dmax, max(n_neighbors) AS max_neighbors FROM feat),
+ex AS (SELECT f.docid, f.cid,
+  f.n_neighbors / CAST(greatest(1, st.max_neighbors) AS DOUBLE) AS s1,
+  1.0 / (1.0 + exp(-((f.density * greatest(1e-8, st.tfidf_max) - st.tfidf_min) / greatest(1e-8, st.tfidf_max)))) AS s2,
+  CASE WHEN st.ni_std <= 1e-8 THEN 1.0 ELSE exp(-pow(f.ni - st.ni_mean, 2) / (2.0 * st.ni_std * st.ni_std)) END AS s3,
+  CASE WHEN f.cluster_size = 1 THEN 0.85
+       ELSE least(greatest((st.dmax - f.dist) / greatest(1e-8, st.dmax - st.dmin), 0.0), 1.0) END AS s4
+  FROM feat f, st),
+zs AS (SELECT docid, cid,
+  (s1 - avg(s1) OVER w) / (stddev_pop(s1) OVER w + 1e-8) * 1.3 AS z1,
+  (s2 - avg(s2) OVER w) / (stddev_pop(s2) OVER w + 1e-8) * 1.3 AS z2,
+  (s3 - avg(s3) OVER w) / (stddev_pop(s3) OVER w + 1e-8) * 1.3 AS z3,
+  (s4 - avg(s4) OVER w) / (stddev_pop(s4) OVER w + 1e-8) * 1.3 AS z4
+  FROM ex WINDOW w AS (PARTITION BY cid)),
+bl AS (SELECT docid, cid, 0.0 + z1 * 0.25 + z2 * 0.25 + z3 * 0.25 + z4 * 0.25 AS blended FROM zs)"""
+CTE["quota"] = """szq AS (SELECT cid, count(*) AS size FROM de GROUP BY cid),
+quota AS (SELECT cid, size, CAST(ceil(50.0 * size / (SELECT sum(size) FROM szq)) AS BIGINT) AS quota FROM szq)"""
+FEAT = ("docs", "unit", "de", "tfidf_de", "density_de", "feat")
+
+ORACLE["docs_with_embeddings"] = q("docs", "unit", "de", body="SELECT docid, CAST(length(doctext) AS BIGINT) AS n_chars, cid FROM de")
+ORACLE["tfidf_weights"] = q("docs", "tfidf_docs", body="SELECT docid, term, tf, round(w, 6) AS w FROM tfidf")
+ORACLE["top_terms"] = q("docs", "tfidf_docs", body="""SELECT docid, term, term_rank FROM (
+  SELECT docid, term, row_number() OVER (PARTITION BY docid ORDER BY w DESC, term ASC) AS term_rank FROM tfidf) WHERE term_rank <= 10""")
+ORACLE["tfidf_density"] = q("docs", "unit", "de", "tfidf_de", "density_de", body="SELECT docid, round(density, 6) AS density FROM dens")
+ORACLE["lexical_redundancy"] = q("docs", "unit", "de", "tfidf_de", "density_de", body="SELECT docid, round(ni, 6) AS ni FROM nis")
+ORACLE["corpus_stats"] = q(*FEAT, body="""SELECT round(tfidf_min, 6) AS tfidf_min, round(tfidf_max, 6) AS tfidf_max,
+  round(ni_mean, 6) AS ni_mean, round(ni_std, 6) AS ni_std, round(dmin, 6) AS dmin, round(dmax, 6) AS dmax,
+  CAST(max_neighbors AS BIGINT) AS max_neighbors FROM st""")
+ORACLE["expert_scores"] = q(*FEAT, body="""SELECT docid, cid, round(s1, 6) AS s1, round(s2, 6) AS s2, round(s3, 6) AS s3,
+  round(s4, 6) AS s4 FROM ex""")
+ORACLE["cluster_zscore"] = q(*FEAT, body="""SELECT docid, cid, round(z1, 6) AS z1, round(z2, 6) AS z2, round(z3, 6) AS z3,
+  round(z4, 6) AS z4 FROM zs""")
+ORACLE["blended_score"] = q(*FEAT, body="SELECT docid, cid, round(blended, 6) AS blended FROM bl")
+ORACLE["cluster_best_doc"] = q(*FEAT, body="""SELECT cid, docid, round(blended, 6) AS blended FROM (
+  SELECT cid, docid, blended, row_number() OVER (PARTITION BY cid ORDER BY round(blended, 9) DESC, docid) AS rn FROM bl) WHERE rn = 1""")
+ORACLE["cluster_quota"] = q("docs", "unit", "de", "quota", body="SELECT cid, CAST(size AS BIGINT) AS size, quota FROM quota")
+ORACLE["cluster_schedule"] = q("docs", "unit", "de", "quota", body="""SELECT step, cid, visit FROM (
+  SELECT cid, j AS visit, CAST(row_number() OVER (ORDER BY CAST(j AS DOUBLE) / quota, cid) AS BIGINT) AS step
+  FROM (SELECT cid, quota, unnest(range(0, quota)) AS j FROM quota WHERE quota > 0)) WHERE step <= 50""")

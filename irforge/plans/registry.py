@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irforge.plans import retrieval, textprep_plans as tpp, vector_plans as vp
+from irforge.plans import feature_plans as fp, retrieval, textprep_plans as tpp, vector_plans as vp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": retrieval.bm25_run,
@@ -45,4 +45,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sse_curve_kmeans": vp.sse_curve_kmeans,
     "auto_select_k": vp.auto_select_k,
     "kmeans_assign": vp.kmeans_assign,
+    "docs_with_embeddings": fp.docs_with_embeddings_q,
+    "tfidf_weights": fp.tfidf_weights,
+    "top_terms": fp.top_terms,
+    "tfidf_density": fp.tfidf_density,
+    "lexical_redundancy": fp.lexical_redundancy,
+    "corpus_stats": fp.corpus_stats,
+    "expert_scores": fp.expert_scores,
+    "cluster_zscore": fp.cluster_zscore,
+    "blended_score": fp.blended_score,
+    "cluster_best_doc": fp.cluster_best_doc,
+    "cluster_quota": fp.cluster_quota,
+    "cluster_schedule": fp.cluster_schedule,
 }
