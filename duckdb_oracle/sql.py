@@ -361,3 +361,67 @@ ORACLE["cluster_quota"] = q("docs", "unit", "de", "quota", body="SELECT cid, CAS
 ORACLE["cluster_schedule"] = q("docs", "unit", "de", "quota", body="""SELECT step, cid, visit FROM (
   SELECT cid, j AS visit, CAST(row_number() OVER (ORDER BY CAST(j AS DOUBLE) / quota, cid) AS BIGINT) AS step
   FROM (SELECT cid, quota, unnest(range(0, quota)) AS j FROM quota WHERE quota > 0)) WHERE step <= 50""")
+
+
+# --- training and test sets ------------------------------------------------------------------
+CTE["kq"] = f"""kq AS (SELECT docid AS qid, question AS qtext, doctext FROM (
+  SELECT docid, question, doctext, row_number() OVER (PARTITION BY docid ORDER BY seq DESC) AS rn FROM (
+    SELECT docid, seq, {clean_q('question')} AS question, doctext FROM questions)
+  WHERE question <> '' AND NOT regexp_matches(question, '[^\\x00-\\x7F]')) WHERE rn = 1)"""
+CTE["negs"] = """lk AS (SELECT docid, title || ' ' || body AS text FROM corpus),
+drun AS (SELECT * FROM (
+  SELECT kq.qid, u.docid, round(list_dot_product(qv.qvec, u.vec), 6) AS score,
+         row_number() OVER (PARTITION BY kq.qid ORDER BY round(list_dot_product(qv.qvec, u.vec), 6) DESC, u.docid) AS rank
+  FROM kq JOIN qv ON qv.docid = kq.qid, unit u) WHERE rank <= 100),
+negs AS (SELECT qid, docid, CAST(neg_no AS BIGINT) AS neg_no, text FROM (
+  SELECT r.qid, r.docid, lk.text, row_number() OVER (PARTITION BY r.qid ORDER BY r.pos) AS neg_no FROM (
+    SELECT qid, docid, rank - 1 AS pos, count(*) OVER (PARTITION BY qid) AS len FROM drun) r
+  LEFT JOIN lk ON lk.docid = r.docid
+  WHERE r.pos >= CASE WHEN len - 8 >= 0 THEN len - 8 ELSE greatest(0, 2 * len - 8) END AND lk.text IS NOT NULL)
+  WHERE neg_no <= 4),
+rtrain AS (
+  SELECT qid, CAST(0 AS BIGINT) AS neg_no, qtext AS query, doctext AS doc, CAST(1.0 AS DOUBLE) AS label
+  FROM kq WHERE qid IN (SELECT qid FROM negs)
+  UNION ALL
+  SELECT n.qid, n.neg_no, kq.qtext, n.text, CAST(0.0 AS DOUBLE) FROM negs n JOIN kq ON kq.qid = n.qid)"""
+CTE["testset"] = """tl AS (SELECT docid, title || '. ' || body AS text FROM corpus),
+pool AS (SELECT DISTINCT docid FROM run),
+looked AS (SELECT tl.docid, tl.text FROM pool JOIN tl ON tl.docid = pool.docid WHERE tl.text IS NOT NULL AND tl.text <> ''),
+ts AS (SELECT r.qid, q.query,
+         coalesce(list({'docid': r.docid, 'text': l.text} ORDER BY r.rank) FILTER (WHERE l.text IS NOT NULL), []) AS passages
+       FROM run r LEFT JOIN looked l ON l.docid = r.docid JOIN queries q ON q.qid = r.qid GROUP BY r.qid, q.query),
+flat AS (SELECT qid, query, p.docid AS docid, p.text AS text, pos FROM (
+  SELECT qid, query, unnest(passages) AS p, generate_subscripts(passages, 1) AS pos FROM ts))"""
+CTE["rerank"] = f"""ptf AS (SELECT qid, docid, term, count(*) AS tf FROM (SELECT qid, docid, unnest({words('text')}) AS term FROM flat) GROUP BY qid, docid, term),
+pn AS (SELECT qid, docid, sqrt(sum(tf * tf)) AS dn FROM ptf GROUP BY qid, docid),
+qtfs AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({words('query')}) AS term FROM (SELECT DISTINCT qid, query FROM flat)) GROUP BY qid, term),
+qn AS (SELECT qid, sqrt(sum(qtf * qtf)) AS qn FROM qtfs GROUP BY qid),
+dots AS (SELECT p.qid, p.docid, sum(p.tf * q.qtf) AS dot FROM ptf p JOIN qtfs q ON q.qid = p.qid AND q.term = p.term GROUP BY p.qid, p.docid),
+cosd AS (SELECT f.qid, f.docid, coalesce(d.dot / (pn.dn * qn.qn), 0.0) AS cos FROM flat f
+         LEFT JOIN dots d ON d.qid = f.qid AND d.docid = f.docid LEFT JOIN pn ON pn.qid = f.qid AND pn.docid = f.docid
+         LEFT JOIN qn ON qn.qid = f.qid),
+rs AS (SELECT qid, docid, a - (greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b)))) AS score
+       FROM (SELECT qid, docid, 10.0 * cos AS a, -10.0 * cos AS b FROM cosd)),
+rr AS (SELECT qid, docid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid ASC) - 1 AS BIGINT) AS rank FROM rs)"""
+TRAIN = ("docs", "unit", "qvec", "corpus", "questions", "kq", "negs")
+TEST = ("corpus", "queries", "bm25", "testset")
+
+ORACLE["tail_negatives"] = q(*TRAIN, body="SELECT qid, docid, neg_no FROM negs")
+ORACLE["rerank_train"] = q(*TRAIN, body="SELECT qid, neg_no, query, doc, label FROM rtrain")
+ORACLE["triples"] = q(*TRAIN, body="""SELECT n.qid, n.neg_no, kq.qtext AS query, kq.doctext AS positive, n.text AS negative
+FROM negs n JOIN kq ON kq.qid = n.qid""")
+ORACLE["reranker_inputs"] = q(*TRAIN, body="""SELECT qid, neg_no, 'Query: ' || query || ' Document: ' || doc || ' Relevant:' AS input,
+  CASE WHEN label = 1.0 THEN 'true' ELSE 'false' END AS target FROM rtrain""")
+ORACLE["rerank_testset"] = q(*TEST, body="""SELECT qid, query, CAST(len(passages) AS BIGINT) AS n_passages,
+  array_to_string(list_transform(passages, lambda p: p.docid), ',') AS docids,
+  CAST(coalesce(list_sum(list_transform(passages, lambda p: length(p.text))), 0) AS BIGINT) AS text_chars FROM ts""")
+ORACLE["explode_testdata"] = q(*TEST, body="""SELECT qid, query, docid AS docno, CAST(pos AS BIGINT) AS pos,
+  CAST(length(text) AS BIGINT) AS text_len FROM flat""")
+ORACLE["rerank_scores"] = q(*TEST, "rerank", body="SELECT qid, docid, round(score, 6) AS score, rank FROM rr")
+ORACLE["rerank_metrics"] = (q(*TEST, "rerank", "qrels", body="") + ",\n"
+    + CTE["metrics"].replace("FROM run) r", "FROM (SELECT qid, docid, round(score, 9) AS score FROM rr)) r")
+    + """\nSELECT qid, round(ndcg_10, 6) AS ndcg_10, round(recall_100, 6) AS recall_100, round(ap_100, 6) AS ap_100,
+  round(rr_10, 6) AS rr_10 FROM per_query""")
+ORACLE["predictions_map"] = q(*TEST, "rerank", body="""SELECT qid, n_scored, docid AS best_docid, score AS best_score FROM (
+  SELECT qid, docid, round(score, 6) AS score, count(*) OVER (PARTITION BY qid) AS n_scored,
+         row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, docid ASC) AS rn FROM rr) WHERE rn = 1""")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irforge.plans import feature_plans as fp, retrieval, textprep_plans as tpp, vector_plans as vp
+from irforge.plans import feature_plans as fp, retrieval, textprep_plans as tpp, training_plans as trp, vector_plans as vp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": retrieval.bm25_run,
@@ -57,4 +57,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_best_doc": fp.cluster_best_doc,
     "cluster_quota": fp.cluster_quota,
     "cluster_schedule": fp.cluster_schedule,
+    "tail_negatives": trp.tail_negatives,
+    "rerank_train": trp.rerank_train,
+    "triples": trp.triples,
+    "reranker_inputs": trp.reranker_inputs,
+    "rerank_testset": trp.rerank_testset,
+    "explode_testdata": trp.explode_testdata,
+    "rerank_scores": trp.rerank_scores,
+    "rerank_metrics": trp.rerank_metrics,
+    "predictions_map": trp.predictions_map,
 }
