@@ -79,7 +79,7 @@ def is_ascii(c) -> Column:
 def term_frequencies(tokens: Column) -> Column:
     """Sorted array<string> -> array<struct<term, tf>> without exploding or shuffling.
 
-    Reads run lengths of an already sorted token array (sort it with ``array_sort`` in an earlier
+    Reads run lengths of an already sorted token array (sort it with ``sort_array`` in an earlier
     projection), O(n) per row inside the JVM.  ``tokens`` must be a column reference, not an
     expression, so that it is not re-evaluated inside the lambdas.
     """

@@ -84,4 +84,4 @@ def pooled_docs(run: DataFrame, k: int = 100, id_col: str = "docid") -> DataFram
 def predictions_map(run: DataFrame, id_col: str = "docid") -> DataFrame:
     """Per query a map docid -> score (one row per query)."""
     return run.groupBy("qid").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(id_col, "score")))).alias("scores"))
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(id_col, "score")))).alias("scores"))

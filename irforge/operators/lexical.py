@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from irforge.functions.text import py_split, term_frequencies, word_tokens
 from irforge.operators.common import bounded_broadcast, topk_per_group
+from irforge.session import materialize
 
 # Fixed values of the reference's TF-IDF and first-stage search.
 TFIDF_MAX_FEATURES = 120000
@@ -28,7 +29,8 @@ def with_term_frequencies(df: DataFrame, text_col: str, out_col: str = "tfs", bi
         t = F.col("__toks")
         out = out.withColumn("__toks", F.concat(t, F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))),
                                                               lambda x, i: F.concat_ws(" ", x, F.element_at(t, i + 2)))))
-    out = out.withColumn("__sorted", F.array_sort(F.col("__toks"))).drop("__toks")
+    # sort_array: native comparator (array_sort would call an interpreted lambda per comparison)
+    out = out.withColumn("__sorted", F.sort_array(F.col("__toks"))).drop("__toks")
     if len_col:
         out = out.withColumn(len_col, F.size("__sorted").cast("long"))
     return out.withColumn(out_col, term_frequencies(F.col("__sorted"))).drop("__sorted")
@@ -78,21 +80,22 @@ def vocabulary(stats: DataFrame, max_features: int = TFIDF_MAX_FEATURES) -> Data
 
 def tfidf(docs: DataFrame, text_col: str = "doctext", id_col: str = "docid",
           max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
-    """A5: (docid, term, tf, w) with unigrams+bigrams, smooth idf ln((1+n)/(1+df))+1, L2 rows.
+    """A5: (docid, term, tf, idf, w) with unigrams+bigrams, smooth idf ln((1+n)/(1+df))+1, L2 rows.
 
-    The per-document arrays are hash-partitioned by docid once; the exploded rows inherit that
-    partitioning, so the per-document norm window needs no second shuffle.
+    The per-document term-count arrays are built in one tokenising pass, hash-partitioned by docid
+    and checkpointed (the index); corpus statistics and weights then read the index.  Exploded rows
+    inherit the docid partitioning, so the per-document norm window needs no second shuffle.
     """
-    base = with_term_frequencies(docs.select(id_col, text_col), text_col, bigrams=True)
-    n_docs = docs.count()
-    post = explode_tfs(base, [id_col])
-    vocab = vocabulary(term_stats(post, id_col), max_features)
+    base = materialize(with_term_frequencies(docs.select(id_col, text_col), text_col, bigrams=True)
+                       .select(id_col, "tfs").repartition(id_col))
+    n_docs = base.count()
+    stats = materialize(term_stats(explode_tfs(base, [id_col]), id_col))
+    vocab = vocabulary(stats, max_features)
     idf = vocab.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     # vocabulary size is bounded by max_features: a broadcast with a proven bound
-    weighted = (base.select(id_col, "tfs").repartition(id_col)
-                    .transform(lambda d: explode_tfs(d, [id_col]))
-                    .join(F.broadcast(idf), "term")
-                    .withColumn("raw", F.col("tf") * F.col("idf")))
+    weighted = (explode_tfs(base, [id_col])
+                .join(F.broadcast(idf), "term")
+                .withColumn("raw", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return weighted.withColumn("w", F.col("raw") / norm).select(id_col, "term", "tf", "idf", "w")
 
@@ -125,8 +128,19 @@ def top_terms(weights: DataFrame, n: int = 10, id_col: str = "docid", max_words:
     return w.withColumn("term_rank", F.row_number().over(win)).where(F.col("term_rank") <= n)
 
 
+def field_index(docs: DataFrame, fields: list[str], id_col: str = "docid") -> DataFrame:
+    """One tokenising pass over the documents: (docid, dl_<f>, tfs_<f>) for every field, checkpointed.
+
+    This is the inverted index of the collection in array form; postings are its exploded view.
+    """
+    out = docs.select(id_col, *fields)
+    for f in fields:
+        out = with_term_frequencies(out, f, out_col=f"tfs_{f}", len_col=f"dl_{f}").drop(f)
+    return materialize(out)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None = None, k: int = 100,
-         k1: float = BM25_K1, b: float = BM25_B, id_col: str = "docid") -> DataFrame:
+         k1: float = BM25_K1, b: float = BM25_B, id_col: str = "docid", index: DataFrame | None = None) -> DataFrame:
     """BM25 top-``k`` run (qid, docid, score, rank) summed over weighted fields.
 
     Per field: idf = ln(1 + (N - df + 0.5)/(df + 0.5)), term score = idf * tf / (tf + k1 (1 - b + b dl/avgdl)),
@@ -135,30 +149,32 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None =
     combined; the top-k is split by doc hash so one query matching most documents is not one task.
     """
     fields = fields or {"doctext": 1.0}
+    idx = index if index is not None else field_index(docs, list(fields), id_col)
     q = with_term_frequencies(queries.select("qid", "query"), "query", out_col="qtfs")
-    qterms = explode_tfs(q, ["qid"], "qtfs").withColumnRenamed("tf", "qtf")
+    qterms = materialize(explode_tfs(q, ["qid"], "qtfs").withColumnRenamed("tf", "qtf"))
     qterms_b = bounded_broadcast(qterms)
-    parts = []
-    for field, boost in fields.items():
-        post = postings(docs.select(id_col, F.col(field).alias("__f")), "__f", id_col).where(F.col("dl") > 0)
-        n_docs, avgdl = (docs.select(id_col, F.size(word_tokens(F.col(field))).alias("dl")).where(F.col("dl") > 0)
-                         .agg(F.count(F.lit(1)), F.avg("dl")).first())
-        if not n_docs:
-            continue
-        qt_terms = qterms.select("term").distinct()
-        dfs = (post.join(bounded_broadcast(qt_terms), "term").groupBy("term")
-                   .agg(F.count(F.lit(1)).alias("df")))
-        idf = dfs.select("term", F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        qidf = qterms_b.join(idf, "term")
-        contrib = (post.join(F.broadcast(qidf), "term")  # qidf has at most |qterms| rows, counted above
-                       .select("qid", id_col,
-                               (F.lit(boost) * F.col("qtf") * F.col("idf") * F.col("tf")
-                                / (F.col("tf") + F.lit(k1) * (1.0 - b + b * F.col("dl") / F.lit(avgdl)))).alias("s")))
-        parts.append(contrib)
-    if not parts:
+    qt_terms = bounded_broadcast(qterms.select("term").distinct())
+    stats = idx.agg(*[x for f in fields for x in (F.count(F.when(F.col(f"dl_{f}") > 0, 1)).alias(f"n_{f}"),
+                                                    F.avg(F.when(F.col(f"dl_{f}") > 0, F.col(f"dl_{f}"))).alias(f"avg_{f}"))]).first()
+    live = [(f, bst) for f, bst in fields.items() if stats[f"n_{f}"]]
+    if not live:
         return queries.sparkSession.createDataFrame([], f"qid string, {id_col} string, score double, rank bigint")
-    allc = parts[0]
-    for p in parts[1:]:
-        allc = allc.unionByName(p)
+    # postings of query terms only, all fields in one written table (read twice below: df and scores)
+    exploded = None
+    for f, _ in live:
+        e = (explode_tfs(idx.select(id_col, F.col(f"dl_{f}").alias("dl"), f"tfs_{f}"), [id_col, "dl"], f"tfs_{f}")
+             .withColumn("field", F.lit(f)))
+        exploded = e if exploded is None else exploded.unionByName(e)
+    matched = materialize(exploded.join(qt_terms, "term"))
+    dfs = matched.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    n_lit = F.create_map(*[x for f, _ in live for x in (F.lit(f), F.lit(float(stats[f"n_{f}"])))])
+    avg_lit = F.create_map(*[x for f, _ in live for x in (F.lit(f), F.lit(float(stats[f"avg_{f}"])))])
+    boost_lit = F.create_map(*[x for f, bst in live for x in (F.lit(f), F.lit(float(bst)))])
+    idf = dfs.select("field", "term", F.log(1.0 + (n_lit[F.col("field")] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    qidf = qterms_b.join(idf, "term")
+    allc = (matched.join(F.broadcast(qidf), ["field", "term"])  # qidf has at most |fields| * |qterms| rows
+                   .select("qid", id_col,
+                           (boost_lit[F.col("field")] * F.col("qtf") * F.col("idf") * F.col("tf")
+                            / (F.col("tf") + F.lit(k1) * (1.0 - b + b * F.col("dl") / avg_lit[F.col("field")]))).alias("s")))
     scores = allc.groupBy("qid", id_col).agg(F.round(F.sum("s"), 6).alias("score"))
     return topk_per_group(scores, ["qid"], [F.desc("score"), F.asc(id_col)], k, split_col=id_col)

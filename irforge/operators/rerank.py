@@ -70,7 +70,7 @@ def nested_testset(run: DataFrame, topics: DataFrame, texts: DataFrame, k: int =
     looked = texts.join(bounded_broadcast(pool), id_col).where(F.col("text").isNotNull() & (F.col("text") != ""))
     j = top.join(looked, id_col, "left")
     passages = (j.groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(),
+        F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(),
                                            F.struct(F.col("rank").alias("r"), F.col(id_col).alias("docid"), "text")))).alias("p"))
         .select("qid", F.transform("p", lambda s: F.struct(s["docid"].alias("docid"), s["text"].alias("text"))).alias("passages")))
     return (passages.join(topics, "qid")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,10 +55,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the configured shared folder.
+    """Cut lineage by writing ``df`` as a Parquet table under the shared checkpoint folder.
 
-    Used between stages of iterative plans (k-means rounds, selection rounds) so that a lost
-    executor recomputes from the checkpoint instead of from the scan.
+    Used for reused intermediate tables (term indexes, per-round state) so that a lost executor
+    re-reads the written table instead of recomputing from the scan; columnar Parquet keeps the
+    write cheap and the re-reads pruned.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/irforge-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

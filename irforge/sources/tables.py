@@ -19,12 +19,20 @@ from pyspark.sql import functions as F
 
 from irforge.functions.text import first_tokens, word_tokens
 from irforge.operators.common import bounded_broadcast
+from irforge.session import materialize
 
 QUERY_TOKENS = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet scan; when the files give fewer splits than the cluster has cores (one row group of a
+    small table), spread the rows round-robin so per-row work runs in parallel.  On large inputs
+    the scan already has many splits and no shuffle is added."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        df = df.repartition(target)
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +74,14 @@ def containment_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("item"))
 
-    doc_terms = (docs.select("docid", F.explode_outer(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
-                 .where(F.col("term").isNotNull()))
-    df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
     toks = items.withColumn("toks", word_tokens(F.col("item")))
     interior = toks.select("qid", "item", F.explode(F.slice(F.col("toks"), 2, F.greatest(F.size("toks") - 2, F.lit(0)))).alias("term"))
+    # one tokenising pass over the documents, kept only for terms that occur inside some item
+    item_terms = bounded_broadcast(interior.select("term").distinct())
+    doc_terms = materialize(
+        docs.select("docid", F.explode_outer(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
+            .where(F.col("term").isNotNull()).join(item_terms, "term"))
+    df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = (interior.join(df, "term")
               .groupBy("qid", "item").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
     # items are few (a query set); the count check decides broadcast vs shuffle join
