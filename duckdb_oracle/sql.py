@@ -425,3 +425,26 @@ ORACLE["rerank_metrics"] = (q(*TEST, "rerank", "qrels", body="") + ",\n"
 ORACLE["predictions_map"] = q(*TEST, "rerank", body="""SELECT qid, n_scored, docid AS best_docid, score AS best_score FROM (
   SELECT qid, docid, round(score, 6) AS score, count(*) OVER (PARTITION BY qid) AS n_scored,
          row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, docid ASC) AS rn FROM rr) WHERE rn = 1""")
+
+
+# --- sampling --------------------------------------------------------------------------------
+CTE["kept"] = f"""kept AS (SELECT e.docid, e.raw, e.cid FROM emb e WHERE e.docid IN (
+  SELECT docid FROM dsdocs WHERE length(doctext) >= CASE dataset WHEN 'signal1m' THEN 3 WHEN 'hotpotqa' THEN 150
+    WHEN 'quora' THEN 15 WHEN 'climate-fever' THEN 3 ELSE 300 END)),
+ksz AS (SELECT cid, count(*) AS size FROM kept GROUP BY cid),
+kcm AS (SELECT cid, list(m ORDER BY i) AS center FROM (
+  SELECT cid, i, avg(x) AS m FROM (SELECT cid, unnest(raw) AS x, generate_subscripts(raw, 1) AS i FROM kept) GROUP BY cid, i)
+  GROUP BY cid),
+kcos AS (SELECT k.docid, k.cid, list_dot_product(k.raw, c.center) / ({l_norm('k.raw')} * {l_norm('c.center')}) AS cos
+         FROM kept k JOIN kcm c ON c.cid = k.cid)"""
+SAMP = ("dsdocs", "unit", "kept")
+ORACLE["sample_size_per_cluster"] = q(*SAMP, body=""", kss AS (
+  SELECT cid, size, 1 + floor((50 - (SELECT count(*) FROM ksz)) * size / (SELECT sum(size) FROM ksz)) AS ss FROM ksz),
+kr AS (SELECT *, row_number() OVER (ORDER BY size DESC, cid DESC) AS r, (SELECT count(*) FROM ksz) AS k,
+              50 - (SELECT sum(ss) FROM kss) AS rem FROM kss)
+SELECT cid, CAST(size AS BIGINT) AS size,
+  CAST(least(greatest(ss + CASE WHEN 50 <> k AND ((rem > 0 AND r <= rem) OR (rem < 0 AND r <= k + rem)) THEN 1 ELSE 0 END, 0), size) AS BIGINT)
+    AS sample_size
+FROM kr""")
+ORACLE["cluster_softmax"] = q(*SAMP, body="""SELECT docid, cid, round(cos, 6) AS cos, round(e / sum(e) OVER (PARTITION BY cid), 6) AS p
+FROM (SELECT docid, cid, cos, exp(cos - max(cos) OVER (PARTITION BY cid)) AS e FROM kcos)""")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irforge.plans import feature_plans as fp, retrieval, textprep_plans as tpp, training_plans as trp, vector_plans as vp
+from irforge.plans import feature_plans as fp, retrieval, sampling_plans as sp, textprep_plans as tpp, training_plans as trp, vector_plans as vp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": retrieval.bm25_run,
@@ -66,4 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rerank_scores": trp.rerank_scores,
     "rerank_metrics": trp.rerank_metrics,
     "predictions_map": trp.predictions_map,
+    "sample_size_per_cluster": sp.sample_size_per_cluster,
+    "cluster_softmax": sp.cluster_softmax,
+    "weighted_sample_pool": sp.weighted_sample_pool,
+    "sample_documents": sp.sample_documents,
 }
