@@ -448,3 +448,127 @@ SELECT cid, CAST(size AS BIGINT) AS size,
 FROM kr""")
 ORACLE["cluster_softmax"] = q(*SAMP, body="""SELECT docid, cid, round(cos, 6) AS cos, round(e / sum(e) OVER (PARTITION BY cid), 6) AS p
 FROM (SELECT docid, cid, cos, exp(cos - max(cos) OVER (PARTITION BY cid)) AS e FROM kcos)""")
+
+
+# --- selection replay: steps, rewards, policy ------------------------------------------------
+CTE["steps"] = """sched AS (SELECT step, cid, visit FROM (
+  SELECT cid, j AS visit, CAST(row_number() OVER (ORDER BY CAST(j AS DOUBLE) / quota, cid) AS BIGINT) AS step
+  FROM (SELECT cid, quota, unnest(range(0, quota)) AS j FROM quota WHERE quota > 0)) WHERE step <= 50),
+best AS (SELECT cid, docid FROM (
+  SELECT cid, docid, row_number() OVER (PARTITION BY cid ORDER BY round(blended, 9) DESC, docid) AS rn FROM bl) WHERE rn = 1),
+steps AS (SELECT s.step, s.cid, b.docid, qv.qvec, list_transform(u.vec[1:4], lambda x: abs(x)) AS r, u.vec[5:8] AS s
+          FROM sched s JOIN best b ON b.cid = s.cid JOIN unit u ON u.docid = b.docid JOIN qv ON qv.docid = b.docid),
+log AS (SELECT *, list_sum(r) / 4.0 AS score FROM steps)"""
+REPLAY = FEAT + ("qvec", "quota", "steps")
+
+
+def _policy_sql(mode: str) -> str:
+    s = [f"x.s[{i}]" for i in range(1, 5)]
+    r = [f"x.r[{i}]" for i in range(1, 5)]
+    alpha = "(CASE WHEN CAST(x.step AS DOUBLE) / 50 <= 0.3 THEN 0.8 ELSE 0.0 END)"
+    smean, rmean = f"(({' + '.join(s)}) / 4.0)", f"(({' + '.join(r)}) / 4.0)"
+    g = [f"((1.0 - {alpha}) * ({s[i]} - {smean}) + {alpha} * ({r[i]} - {rmean}))" for i in range(4)]
+    if mode == "ema":
+        adv = "(x.score - x.b)"
+        newstate = "(1.0 - 0.05) * x.b + 0.05 * x.score AS b, x.c1, x.c2, x.c3, x.c4, x.c0"
+        logged = "(1.0 - 0.05) * x.b + 0.05 * x.score"
+    else:
+        v = f"(x.c1 * {s[0]} + x.c2 * {s[1]} + x.c3 * {s[2]} + x.c4 * {s[3]} + x.c0)"
+        adv = f"(x.score - {v})"
+        newstate = "x.b, " + ", ".join(f"x.c{i + 1} + 0.02 * {adv} * {s[i]} AS c{i + 1}" for i in range(4)) + f", x.c0 + 0.02 * {adv} AS c0"
+        logged = v
+    inner = f"""SELECT x.step, {newstate}, {adv} AS adv, {logged} AS base,
+        {', '.join(f'greatest(greatest(x.w{i + 1} + 0.3 * {adv} * {g[i]}, 0.0), 0.05) AS v{i + 1}' for i in range(4))}
+      FROM (SELECT l.step, l.s, l.r, l.score, p.w1, p.w2, p.w3, p.w4, p.b, p.c1, p.c2, p.c3, p.c4, p.c0
+            FROM pol p JOIN log l ON l.step = p.step + 1) x"""
+    vs = "(v1 + v2 + v3 + v4)"
+    l2 = f"SELECT *, {', '.join(f'CASE WHEN {vs} > 0 THEN v{i} / {vs} ELSE 0.25 END AS n{i}' for i in range(1, 5))} FROM ({inner})"
+    l3 = f"SELECT *, {', '.join(f'0.9 * n{i} + 0.025 AS e{i}' for i in range(1, 5))} FROM ({l2})"
+    es = "(e1 + e2 + e3 + e4)"
+    l4 = (f"SELECT step, {', '.join(f'CASE WHEN {es} > 0 THEN e{i} / {es} ELSE 0.25 END AS w{i}' for i in range(1, 5))}, "
+          f"b, c1, c2, c3, c4, c0, adv, base FROM ({l3})")
+    return f"""pol(step, w1, w2, w3, w4, b, c1, c2, c3, c4, c0, adv, base) AS (
+  SELECT CAST(0 AS BIGINT), 0.25::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE, 0.25::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE,
+         0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  {l4})"""
+
+
+def _recursive(*names: str, pol: str, body: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(CTE[n] for n in names) + ",\n" + pol + "\n" + body
+
+
+_POL_OUT = """SELECT step, round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3, round(w4, 6) AS w4,
+  round(adv, 6) AS advantage, round(base, 6) AS baseline FROM pol WHERE step > 0"""
+ORACLE["replay_steps"] = q(*REPLAY, body="SELECT step, cid, docid, round(score, 6) AS score FROM log")
+ORACLE["policy_replay_ema"] = _recursive(*REPLAY, pol=_policy_sql("ema"), body=_POL_OUT)
+ORACLE["policy_replay_critic"] = _recursive(*REPLAY, pol=_policy_sql("critic"), body=_POL_OUT)
+ORACLE["reward_curve"] = _recursive(*REPLAY, pol=_policy_sql("ema"), body="""SELECT CAST(floor((l.step - 1) / 10) AS BIGINT) AS bucket,
+  count(*) AS n_steps, round(avg(l.r[1]), 6) AS mean_r1, round(avg(l.r[2]), 6) AS mean_r2, round(avg(l.r[3]), 6) AS mean_r3,
+  round(avg(l.r[4]), 6) AS mean_r4, round(avg(l.score), 6) AS mean_score, round(avg(p.adv), 6) AS mean_advantage,
+  round(avg(p.base), 6) AS mean_baseline
+FROM log l JOIN pol p ON p.step = l.step GROUP BY 1""")
+ORACLE["rank_reward"] = q(*REPLAY, body=""", own AS (SELECT s.step, s.docid, s.qvec, list_dot_product(s.qvec, u.vec) AS own FROM steps s JOIN unit u ON u.docid = s.docid),
+cnt AS (SELECT o.step, count(c.docid) AS cnt FROM own o LEFT JOIN de c ON c.docid <> o.docid AND
+          (list_dot_product(o.qvec, c.vec) > o.own OR (list_dot_product(o.qvec, c.vec) = o.own AND c.docid < o.docid)) GROUP BY o.step),
+rk AS (SELECT o.step, o.docid, least(coalesce(cnt.cnt, 0) + 1, 101) AS rank FROM own o LEFT JOIN cnt ON cnt.step = o.step)
+SELECT step, docid, CAST(rank AS BIGINT) AS rank, round(exp(-(rank - 1) / 18.0), 6) AS r1 FROM rk""")
+ORACLE["discriminative_reward"] = q(*REPLAY, body=""", ncl AS (SELECT cid, near_cid FROM (
+  SELECT a.cid, b.cid AS near_cid, row_number() OVER (PARTITION BY a.cid ORDER BY round(list_dot_product(a.c, b.c), 6) DESC,
+         CAST(b.cid AS VARCHAR)) AS rn
+  FROM (SELECT cid, list_transform(center, lambda x: x / greatest(sqrt(list_sum(list_transform(center, lambda y: y * y))), 1e-12)) AS c FROM dm) a
+  JOIN (SELECT cid, list_transform(center, lambda x: x / greatest(sqrt(list_sum(list_transform(center, lambda y: y * y))), 1e-12)) AS c FROM dm) b
+    ON a.cid <> b.cid) WHERE rn = 1),
+sx AS (SELECT s.step, s.docid, s.cid, n.near_cid, s.qvec, list_dot_product(s.qvec, u.vec) AS cos_qp
+       FROM steps s JOIN ncl n ON n.cid = s.cid JOIN unit u ON u.docid = s.docid),
+same AS (SELECT sx.step, max(list_dot_product(sx.qvec, d.vec)) AS cos_same FROM sx JOIN de d ON d.cid = sx.cid AND d.docid <> sx.docid GROUP BY sx.step),
+nearm AS (SELECT sx.step, max(list_dot_product(sx.qvec, d.vec)) AS cos_near FROM sx JOIN de d ON d.cid = sx.near_cid AND d.docid <> sx.docid GROUP BY sx.step)
+SELECT sx.step, sx.docid, round(cos_qp, 6) AS cos_qp, round(coalesce(cos_same, cos_qp), 6) AS cos_same,
+  round(coalesce(cos_near, cos_qp), 6) AS cos_near,
+  round(cos_qp * (1 - coalesce(cos_same, cos_qp)) * (1 - coalesce(cos_near, cos_qp)), 6) AS r2
+FROM sx LEFT JOIN same ON same.step = sx.step LEFT JOIN nearm ON nearm.step = sx.step""")
+ORACLE["answer_reward"] = q(*REPLAY, body=f""", av AS (SELECT a.docid, list_transform(generate_series(1, len(a.raw)), lambda i: a.raw[i] + b.raw[i]) AS s
+  FROM emb a JOIN emb b ON b.vec_id = (a.vec_id * 11 + 3) % (SELECT count(*) FROM emb)),
+avn AS (SELECT docid, list_transform(s, lambda x: x / nrm) AS avec FROM (SELECT docid, s, greatest({l_norm('s')}, 1e-12) AS nrm FROM av))
+SELECT s.step, s.docid, round(list_dot_product(s.qvec, a.avec) * list_dot_product(u.vec, a.avec)
+  * (1.0 - abs(list_dot_product(s.qvec, u.vec) - 0.7)), 6) AS r3
+FROM steps s JOIN unit u ON u.docid = s.docid JOIN avn a ON a.docid = s.docid""")
+ORACLE["coverage_reward"] = q(*REPLAY, body=""", touched AS (SELECT DISTINCT step, doc FROM (
+  SELECT s.step, d.docid AS doc FROM steps s JOIN de d ON list_dot_product(s.qvec, d.vec) > 0.30
+  UNION ALL SELECT step, docid AS doc FROM steps)),
+t AS (SELECT tc.step, tc.doc, d.cid AS dcid, s.cid AS scid, s.docid AS sdoc
+      FROM touched tc JOIN de d ON d.docid = tc.doc JOIN steps s ON s.step = tc.step),
+fc AS (SELECT docid AS doc, min(step) AS chosen_at FROM steps GROUP BY docid),
+ra AS (SELECT doc, min(step) AS removed_at FROM t WHERE doc = sdoc OR dcid = scid GROUP BY doc),
+ps AS (SELECT t.step,
+         sum(CASE WHEN fc.chosen_at IS NULL OR fc.chosen_at >= t.step THEN 1 ELSE 0 END) AS global_new,
+         sum(CASE WHEN t.dcid = t.scid AND (ra.removed_at IS NULL OR ra.removed_at >= t.step) THEN 1 ELSE 0 END) AS add_c
+       FROM t LEFT JOIN fc ON fc.doc = t.doc LEFT JOIN ra ON ra.doc = t.doc GROUP BY t.step),
+cb AS (SELECT s.step, (SELECT count(*) FROM fc WHERE fc.chosen_at < s.step) AS n_covered FROM steps s),
+rb AS (SELECT s.step, (SELECT count(*) FROM ra JOIN de d ON d.docid = ra.doc WHERE d.cid = s.cid AND ra.removed_at < s.step) AS n_removed
+       FROM steps s),
+csz AS (SELECT cid, count(*) AS csize FROM de GROUP BY cid),
+nn AS (SELECT count(*) AS n FROM de)
+SELECT s.step, s.docid, CAST(coalesce(ps.global_new, 0) AS BIGINT) AS global_new, CAST(coalesce(ps.add_c, 0) AS BIGINT) AS add_c,
+  round((csz.csize / CAST(nn.n AS DOUBLE)) * coalesce(ps.add_c, 0) / greatest(csz.csize - rb.n_removed, 1)
+        + (1.0 - csz.csize / CAST(nn.n AS DOUBLE)) * coalesce(ps.global_new, 0) / greatest(nn.n - cb.n_covered, 1), 6) AS r4
+FROM steps s LEFT JOIN ps ON ps.step = s.step JOIN cb ON cb.step = s.step JOIN rb ON rb.step = s.step
+JOIN csz ON csz.cid = s.cid, nn""")
+ORACLE["dynamic_dup_threshold"] = q(*REPLAY, body=f""", cand AS (
+  SELECT s.step, CAST(c.cand AS INTEGER) AS cand, (s.step - 1) * 5 + c.cand AS seq, s.docid,
+         (CAST(s.docid AS BIGINT) * 7 + 1 + c.cand * 13) % (SELECT count(*) FROM emb) AS partner
+  FROM steps s, (SELECT unnest(range(0, 5)) AS cand) c),
+cv AS (SELECT c.step, c.cand, c.seq, list_transform(generate_series(1, len(a.raw)), lambda i: a.raw[i] + b.raw[i]) AS s
+       FROM cand c JOIN emb a ON a.docid = c.docid JOIN emb b ON b.vec_id = c.partner),
+cvn AS (SELECT step, cand, seq, list_transform(s, lambda x: x / nrm) AS qv FROM (SELECT *, greatest({l_norm('s')}, 1e-12) AS nrm FROM cv)),
+bm AS (SELECT a.step, a.cand, a.seq, round(max(list_dot_product(a.qv, b.qv)), 9) AS value
+       FROM cvn a JOIN cvn b ON b.cand = 0 AND b.step < a.step GROUP BY a.step, a.cand, a.seq),
+th AS (SELECT *, count(value) OVER w AS n_prev, quantile_cont(value, 0.75) OVER w AS qt
+       FROM bm WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT step, cand, round(value, 6) AS value, round(thr, 6) AS threshold, value >= thr AS is_dup FROM (
+  SELECT *, CASE WHEN n_prev >= 5 THEN least(greatest(qt, 0.88), 0.95) ELSE 0.90 END AS thr FROM th)""")
+ORACLE["run_stats"] = q(*REPLAY, body=""", kk AS (SELECT max(cid) + 1 AS k FROM de),
+cs AS (SELECT r.range AS cid, coalesce(n, 0) AS n FROM range(0, (SELECT k FROM kk)) r
+       LEFT JOIN (SELECT cid, count(*) AS n FROM de GROUP BY cid) c ON c.cid = r.range)
+SELECT CAST((SELECT k FROM kk) AS INTEGER) AS K, CAST(sum(n) AS BIGINT) AS num_docs, CAST(50 AS BIGINT) AS generated,
+  CAST((SELECT count(*) FROM log) AS BIGINT) AS produced, string_agg(CAST(n AS VARCHAR), ',' ORDER BY cid) AS cluster_sizes FROM cs""")

@@ -1,0 +1,133 @@
+"""Candidate-question rewards over a table of steps.
+
+A *steps* table has one row per generation step: (step, cid, docid, qvec) — the scheduled cluster,
+the chosen source document and the accepted question's unit embedding.  The corpus is
+(docid, vec, cid) with unit vectors.  Every reward is a join/aggregate over these tables; the only
+similarity work goes through the blocked kernels (no step-by-step jobs, no all-pairs rows).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from irforge.functions import fixed
+from irforge.functions.vectors import dot
+from irforge.operators import similarity as sim
+
+
+def rank_reward(steps: DataFrame, corpus: DataFrame, topk: int = 100, tau: float = fixed.R1_TAU) -> DataFrame:
+    """W4 + M8: rank of the source document among all documents for its question (ties: smaller
+    docid first), topk + 1 when outside the top-k; r1 = exp(-(rank - 1) / tau)."""
+    own = (steps.join(corpus.select("docid", F.col("vec").alias("pvec")), "docid")
+                .select("step", "docid", "qvec", dot("qvec", "pvec").alias("own")))
+    cnt = sim.rank_counts(own.withColumn("sid", F.col("step").cast("string")), corpus, left_id="sid", left_vec="qvec",
+                          right_vec="vec", left_cols={"lthr": "own", "lexcl": "docid"})
+    r = own.join(cnt.select(F.col("lid").cast("bigint").alias("step"), "cnt"), "step", "left")
+    rank = F.coalesce(F.col("cnt"), F.lit(0)) + 1
+    rank = F.when(rank <= topk, rank).otherwise(F.lit(topk + 1))
+    return r.select("step", "docid", rank.cast("bigint").alias("rank"), F.exp(-(rank - 1) / tau).alias("r1"))
+
+
+def discriminative_reward(steps: DataFrame, corpus: DataFrame, near: DataFrame) -> DataFrame:
+    """J11 + M9: hardest document of the own cluster (other than the source) and of the nearest
+    other cluster; an empty pool falls back to the source document; r2 = cos(q,p)(1-cos_same)(1-cos_near).
+
+    ``near``: (cid, near_cid) from J12.  The blocked kernel returns only the best match per
+    (step, allowed cluster), never the pairs.
+    """
+    st = (steps.join(near, "cid")
+               .join(corpus.select("docid", F.col("vec").alias("pvec")), "docid")
+               .withColumn("sid", F.col("step").cast("string"))
+               .withColumn("groups", F.array(F.col("cid"), F.col("near_cid"))))
+    best = sim.group_best(st, corpus, left_id="sid", left_vec="qvec", right_vec="vec",
+                          left_cols={"lgroups": "groups", "lexcl": "docid"}, right_cols={"rgroup": "cid"})
+    b = best.select(F.col("lid").cast("bigint").alias("step"), "rgroup", "score")
+    same = b.select("step", F.col("rgroup").alias("cid"), F.col("score").alias("cos_same"))
+    nearb = b.select("step", F.col("rgroup").alias("near_cid"), F.col("score").alias("cos_near"))
+    j = (st.select("step", "docid", "cid", "near_cid", dot("qvec", "pvec").alias("cos_qp"))
+           .join(same, ["step", "cid"], "left").join(nearb, ["step", "near_cid"], "left"))
+    cs = F.coalesce(F.col("cos_same"), F.col("cos_qp"))
+    cn = F.coalesce(F.col("cos_near"), F.col("cos_qp"))
+    return j.select("step", "docid", "cos_qp", cs.alias("cos_same"), cn.alias("cos_near"),
+                    (F.col("cos_qp") * (1.0 - cs) * (1.0 - cn)).alias("r2"))
+
+
+def answer_reward(steps: DataFrame, corpus: DataFrame, answers: DataFrame, k_target: float = fixed.K_TARGET) -> DataFrame:
+    """r3 = cos(q, A) cos(p, A) (1 - |cos(q, p) - k_target|) with A the answer-snippet embedding.
+    ``answers``: (docid, avec) unit vectors."""
+    j = (steps.join(corpus.select("docid", F.col("vec").alias("pvec")), "docid").join(answers, "docid"))
+    qp = dot("qvec", "pvec")
+    return j.select("step", "docid", (dot("qvec", "avec") * dot("pvec", "avec") * (1.0 - F.abs(qp - k_target))).alias("r3"))
+
+
+def coverage_reward(steps: DataFrame, corpus: DataFrame, threshold: float) -> DataFrame:
+    """W9 + M11 + U3-U5 over the whole ordered step table at once.
+
+    Neighbours of step t: documents with cos(q_t, d) > threshold.  ``covered`` gains only chosen
+    documents (first chosen step per document); a cluster's uncovered set loses the chosen document
+    and its same-cluster neighbours (first removal step per document).  For step t:
+    global_new = |({d_t} ∪ N_t) − covered_<t|, global_left = N − |covered_<t|,
+    add_c = |uncovered_c,<t ∩ ({d_t} ∪ N_t)|, c_left = max(1, |uncovered_c,<t|),
+    r4 = w_c · add_c / c_left + (1 − w_c) · global_new / max(1, global_left), w_c = |c| / N.
+    """
+    n = corpus.count()
+    sizes = corpus.groupBy("cid").agg(F.count(F.lit(1)).alias("csize"))
+    st = steps.withColumn("sid", F.col("step").cast("string"))
+    edges = sim.threshold_edges(st, corpus, threshold, left_id="sid", left_vec="qvec", right_vec="vec")
+    touched = (edges.select(F.col("lid").cast("bigint").alias("step"), F.col("rid").alias("doc"))
+                    .unionByName(steps.select("step", F.col("docid").alias("doc"))).distinct())
+    dcid = corpus.select(F.col("docid").alias("doc"), F.col("cid").alias("dcid"))
+    scid = steps.select("step", F.col("cid").alias("scid"), F.col("docid").alias("sdoc"))
+    t = touched.join(dcid, "doc").join(scid, "step")
+    first_chosen = steps.groupBy(F.col("docid").alias("doc")).agg(F.min("step").alias("chosen_at"))
+    removed_at = (t.where((F.col("doc") == F.col("sdoc")) | (F.col("dcid") == F.col("scid")))
+                   .groupBy("doc").agg(F.min("step").alias("removed_at")))
+    tt = t.join(first_chosen, "doc", "left").join(removed_at, "doc", "left")
+    per_step = tt.groupBy("step").agg(
+        F.sum(F.when(F.col("chosen_at").isNull() | (F.col("chosen_at") >= F.col("step")), 1).otherwise(0)).alias("global_new"),
+        F.sum(F.when((F.col("dcid") == F.col("scid")) & (F.col("removed_at").isNull() | (F.col("removed_at") >= F.col("step"))), 1)
+              .otherwise(0)).alias("add_c"))
+    # |covered_<t| and |removed from c before t| as running sums over event tables keyed by step
+    # (question-sized: one row per step plus one per first choice / removal), strict "< t" frames.
+    before = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    ev_c = (first_chosen.select(F.col("chosen_at").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("step"))
+            .unionByName(steps.select(F.col("step").alias("at"), F.lit(0).alias("n"), "step")))
+    covered_before = (ev_c.withColumn("n_covered", F.coalesce(F.sum("n").over(before), F.lit(0)))
+                          .where(F.col("step").isNotNull()).select("step", "n_covered"))
+    before_c = Window.partitionBy("ecid").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    ev_r = (removed_at.join(dcid, "doc").select(F.col("dcid").alias("ecid"), F.col("removed_at").alias("at"),
+                                               F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("step"))
+            .unionByName(steps.select(F.col("cid").alias("ecid"), F.col("step").alias("at"), F.lit(0).alias("n"), "step")))
+    removed_before = (ev_r.withColumn("n_removed", F.coalesce(F.sum("n").over(before_c), F.lit(0)))
+                          .where(F.col("step").isNotNull()).select("step", "n_removed"))
+    r = (steps.select("step", "docid", "cid").join(per_step, "step", "left").join(covered_before, "step")
+              .join(removed_before, "step").join(sizes, "cid"))
+    wc = F.col("csize") / F.lit(float(n))
+    c_left = F.greatest(F.col("csize") - F.col("n_removed"), F.lit(1))
+    g_left = F.greatest(F.lit(n) - F.col("n_covered"), F.lit(1))
+    r4 = wc * F.coalesce(F.col("add_c"), F.lit(0)) / c_left + (1.0 - wc) * F.coalesce(F.col("global_new"), F.lit(0)) / g_left
+    return r.select("step", "docid", F.coalesce("global_new", F.lit(0)).cast("bigint").alias("global_new"),
+                    F.coalesce("add_c", F.lit(0)).cast("bigint").alias("add_c"), r4.alias("r4"))
+
+
+def bank_max_similarity(cands: DataFrame) -> DataFrame:
+    """Max cosine of each candidate against every question accepted at an earlier step.
+    ``cands``: (cid_key, step, qvec, accepted) — the bank is the accepted rows."""
+    bank = cands.where(F.col("accepted")).select(F.col("cid_key").alias("bid"), "step", "qvec")
+    m = sim.masked_max(cands, bank, left_id="cid_key", right_id="bid", left_vec="qvec", right_vec="qvec",
+                       left_cols={"lorder": "step"}, right_cols={"rorder": "step"})
+    return m.select(F.col("lid").alias("cid_key"), F.col("score").alias("bank_max"))
+
+
+def dynamic_threshold(history: DataFrame, base: float = fixed.DEDUP_THRESHOLD, q: float = fixed.DEDUP_QUANTILE,
+                      lo: float = fixed.DEDUP_CLIP[0], hi: float = fixed.DEDUP_CLIP[1], min_hist: int = 5) -> DataFrame:
+    """Per decision (ordered by ``seq``) the threshold is ``base`` until more than 4 earlier
+    values exist, then the q-quantile (linear interpolation) of all earlier values clipped to
+    [lo, hi]; the current value joins the history after its threshold is fixed.
+    The frame is over the question-sized history table only."""
+    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    n_prev = F.count(F.col("value")).over(w)
+    quant = F.percentile(F.col("value"), F.lit(q)).over(w)
+    thr = F.when(n_prev >= min_hist, F.least(F.greatest(quant, F.lit(lo)), F.lit(hi))).otherwise(F.lit(base))
+    return history.withColumn("threshold", thr).withColumn("is_dup", F.col("value") >= F.col("threshold"))

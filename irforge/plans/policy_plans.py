@@ -1,0 +1,130 @@
+"""Offline replay of the question-selection loop over a deterministic step table
+(T6 + T5 + M8-M11 + W7 + J14 + M14-M16 + A19 + A20), and its driver-free pieces.
+
+Step table (FIXTURES §3): the cluster schedule of T6 over label quotas; at each step the best
+document of the cluster under the initial weights (T5); reward vector = |unit vector elements 1-4|,
+expert vector = elements 5-8, score = mean reward; the accepted question of a step is the question
+embedding of its document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from irforge.functions import fixed
+from irforge.operators import clusters as C
+from irforge.operators import experts as X
+from irforge.operators import policy as P
+from irforge.operators import rewards as RW
+from irforge.plans import feature_plans as fp
+from irforge.sources import tables as T
+
+R = 6
+TOTAL = fp.TARGET_QUESTIONS
+THRESHOLD = 0.30
+N_CANDS = fixed.N_CANDS
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp.docs_with_embeddings(spark, sf_dir).select("docid", "vec", "cid")
+
+
+def steps(spark: SparkSession, sf_dir: str, total: int = TOTAL) -> DataFrame:
+    sched = fp.cluster_schedule(spark, sf_dir, total)
+    b = fp._blended(spark, sf_dir).withColumn("blended", F.round("blended", 9))
+    best = X.best_per_cluster(b).select("cid", "docid")
+    u = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
+    q = T.shifted_unit_embeddings(spark, sf_dir, 7, 1)
+    s = sched.join(best, "cid").join(u, "docid").join(q, "docid")
+    return s.select("step", "cid", "docid", "qvec",
+                    F.transform(F.slice("vec", 1, 4), lambda x: F.abs(x)).alias("r"),
+                    F.slice("vec", 5, 4).alias("s"))
+
+
+def _log(spark, sf_dir):
+    st = steps(spark, sf_dir)
+    return st.withColumn("score", F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / 4.0)
+
+
+def replay_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _log(spark, sf_dir).select("step", "cid", "docid", F.round("score", R).alias("score"))
+
+
+def _policy(spark, sf_dir, advantage):
+    w = P.weight_fold(_log(spark, sf_dir), TOTAL, advantage=advantage)
+    return w.select("step", *[F.round(f"w{i}", R).alias(f"w{i}") for i in range(1, 5)],
+                    F.round("advantage", R).alias("advantage"), F.round("baseline", R).alias("baseline"))
+
+
+def policy_replay_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy(spark, sf_dir, "ema")
+
+
+def policy_replay_critic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _policy(spark, sf_dir, "critic")
+
+
+def reward_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    w = P.weight_fold(log, TOTAL, advantage="ema")
+    c = P.reward_curve(log.join(w.select("step", "advantage", "baseline"), "step"))
+    return c.select("bucket", "n_steps", *[F.round(x, R).alias(x) for x in c.columns if x.startswith("mean_")])
+
+
+def rank_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = RW.rank_reward(steps(spark, sf_dir), corpus(spark, sf_dir))
+    return r.select("step", "docid", "rank", F.round("r1", R).alias("r1"))
+
+
+def discriminative_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cor = corpus(spark, sf_dir)
+    near = C.nearest_cluster(C.cluster_means(cor)).select("cid", "near_cid")
+    r = RW.discriminative_reward(steps(spark, sf_dir), cor, near)
+    return r.select("step", "docid", *[F.round(c, R).alias(c) for c in ("cos_qp", "cos_same", "cos_near", "r2")])
+
+
+def answer_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = T.shifted_unit_embeddings(spark, sf_dir, 11, 3, name="avec")
+    r = RW.answer_reward(steps(spark, sf_dir), corpus(spark, sf_dir), answers)
+    return r.select("step", "docid", F.round("r3", R).alias("r3"))
+
+
+def coverage_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = RW.coverage_reward(steps(spark, sf_dir), corpus(spark, sf_dir), THRESHOLD)
+    return r.select("step", "docid", "global_new", "add_c", F.round("r4", R).alias("r4"))
+
+
+def candidates(spark: SparkSession, sf_dir: str, n_cands: int = N_CANDS) -> DataFrame:
+    """(cid_key, step, cand, seq, qvec, accepted): candidate c of a step's document d is
+    unit(emb[d] + emb[(7d + 1 + 13c) mod n]); candidate 0 is the accepted question."""
+    st = steps(spark, sf_dir).select("step", "docid")
+    e = T.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    n = e.count()
+    c = (st.select("step", "docid", F.explode(F.sequence(F.lit(0), F.lit(n_cands - 1))).alias("cand"))
+           .withColumn("partner", F.pmod(F.col("docid").cast("bigint") * 7 + 1 + F.col("cand") * 13, F.lit(n))))
+    from irforge.functions.vectors import add, with_unit
+    j = (c.join(e.select(F.col("vec_id").cast("string").alias("docid"), F.col("v").alias("dv")), "docid")
+          .join(e.select(F.col("vec_id").alias("partner"), F.col("v").alias("pv")), "partner"))
+    j = with_unit(j.withColumn("s", add("dv", "pv")), "s", "qvec")
+    return j.select(F.concat_ws(":", F.col("step").cast("string"), F.col("cand").cast("string")).alias("cid_key"),
+                    "step", "cand", ((F.col("step") - 1) * n_cands + F.col("cand")).alias("seq"), "qvec",
+                    (F.col("cand") == 0).alias("accepted"))
+
+
+def dynamic_dup_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W7 + J14 + M13 decision per candidate: max cosine to the accepted bank of earlier steps,
+    the dynamic threshold from all earlier values, and the duplicate flag."""
+    cands = candidates(spark, sf_dir)
+    bank = RW.bank_max_similarity(cands)
+    hist = cands.join(bank, "cid_key").select("step", "cand", "seq", F.col("bank_max").alias("value"))
+    d = RW.dynamic_threshold(hist.withColumn("value", F.round("value", 9)))
+    return d.select("step", "cand", F.round("value", R).alias("value"), F.round("threshold", R).alias("threshold"), "is_dup")
+
+
+def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cor = corpus(spark, sf_dir)
+    k = cor.agg(F.max("cid")).first()[0] + 1
+    s = P.run_stats(cor, k, TOTAL, replay_steps(spark, sf_dir))
+    return s.select("K", "num_docs", "generated", "produced",
+                    F.array_join(F.transform("cluster_sizes", lambda x: x.cast("string")), ",").alias("cluster_sizes"))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irforge.plans import feature_plans as fp, retrieval, sampling_plans as sp, textprep_plans as tpp, training_plans as trp, vector_plans as vp
+from irforge.plans import feature_plans as fp, policy_plans as pp, retrieval, sampling_plans as sp, textprep_plans as tpp, training_plans as trp, vector_plans as vp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": retrieval.bm25_run,
@@ -70,4 +70,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_softmax": sp.cluster_softmax,
     "weighted_sample_pool": sp.weighted_sample_pool,
     "sample_documents": sp.sample_documents,
+    "replay_steps": pp.replay_steps,
+    "policy_replay_ema": pp.policy_replay_ema,
+    "policy_replay_critic": pp.policy_replay_critic,
+    "reward_curve": pp.reward_curve,
+    "rank_reward": pp.rank_reward,
+    "discriminative_reward": pp.discriminative_reward,
+    "answer_reward": pp.answer_reward,
+    "coverage_reward": pp.coverage_reward,
+    "dynamic_dup_threshold": pp.dynamic_dup_threshold,
+    "run_stats": pp.run_stats,
 }
