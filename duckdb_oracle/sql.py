@@ -572,3 +572,6 @@ cs AS (SELECT r.range AS cid, coalesce(n, 0) AS n FROM range(0, (SELECT k FROM k
        LEFT JOIN (SELECT cid, count(*) AS n FROM de GROUP BY cid) c ON c.cid = r.range)
 SELECT CAST((SELECT k FROM kk) AS INTEGER) AS K, CAST(sum(n) AS BIGINT) AS num_docs, CAST(50 AS BIGINT) AS generated,
   CAST((SELECT count(*) FROM log) AS BIGINT) AS produced, string_agg(CAST(n AS VARCHAR), ',' ORDER BY cid) AS cluster_sizes FROM cs""")
+ORACLE["stream_progress"] = _recursive(*REPLAY, pol=_policy_sql("ema"), body="""SELECT l.cid, count(*) AS n_steps,
+  round(avg(l.score), 6) AS mean_score, round(avg(p.adv), 6) AS mean_advantage, max(l.step) AS last_step
+FROM log l JOIN pol p ON p.step = l.step GROUP BY l.cid""")

@@ -128,3 +128,34 @@ def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.run_stats(cor, k, TOTAL, replay_steps(spark, sf_dir))
     return s.select("K", "num_docs", "generated", "produced",
                     F.array_join(F.transform("cluster_sizes", lambda x: x.cast("string")), ",").alias("cluster_sizes"))
+
+
+def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 rows of the replay: step, weights, reward, cid, doc_idx, best_score, advantage, baseline."""
+    log = _log(spark, sf_dir)
+    w = P.weight_fold(log, TOTAL, advantage="ema")
+    return (log.join(w, "step")
+               .select("step", F.array("w1", "w2", "w3", "w4").alias("weights"), F.col("r").alias("reward"), "cid",
+                       F.col("docid").alias("doc_idx"), F.col("score").alias("best_score"), "advantage", "baseline"))
+
+
+def stream_progress(spark: SparkSession, sf_dir: str, rounds: int = 5) -> DataFrame:
+    """ST1: the replay's step log is appended in ``rounds`` files (as a running job would), then a
+    streaming aggregate processes the folder; its final state is returned as a DataFrame."""
+    import uuid
+
+    from irforge.session import ensure_checkpoint_dir, materialize
+    from irforge.sources.sinks import append_step_log
+    from irforge.streaming.progress import start_progress_stream
+
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/irforge-stream/{uuid.uuid4().hex}"
+    log = materialize(step_log(spark, sf_dir))
+    per = max(1, -(-TOTAL // rounds))
+    for i in range(rounds):
+        append_step_log(log.where((F.col("step") > i * per) & (F.col("step") <= (i + 1) * per)).coalesce(1), f"{base}/log")
+    name = "progress_" + uuid.uuid4().hex[:8]
+    q = start_progress_stream(spark, f"{base}/log", f"{base}/ckpt", name)
+    q.awaitTermination()
+    out = spark.table(name)
+    return out.select("cid", "n_steps", F.round("mean_score", R).alias("mean_score"),
+                      F.round("mean_advantage", R).alias("mean_advantage"), "last_step")

@@ -80,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_reward": pp.coverage_reward,
     "dynamic_dup_threshold": pp.dynamic_dup_threshold,
     "run_stats": pp.run_stats,
+    "stream_progress": pp.stream_progress,
 }
