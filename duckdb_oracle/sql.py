@@ -575,3 +575,34 @@ SELECT CAST((SELECT k FROM kk) AS INTEGER) AS K, CAST(sum(n) AS BIGINT) AS num_d
 ORACLE["stream_progress"] = _recursive(*REPLAY, pol=_policy_sql("ema"), body="""SELECT l.cid, count(*) AS n_steps,
   round(avg(l.score), 6) AS mean_score, round(avg(p.adv), 6) AS mean_advantage, max(l.step) AS last_step
 FROM log l JOIN pol p ON p.step = l.step GROUP BY l.cid""")
+
+
+# --- model-facing operators ------------------------------------------------------------------
+CTE["tk"] = """tk AS (SELECT docid, list(term ORDER BY term_rank) AS keys FROM (
+  SELECT docid, term, row_number() OVER (PARTITION BY docid ORDER BY w DESC, term ASC) AS term_rank FROM tfidf)
+  WHERE term_rank <= 10 GROUP BY docid)"""
+MODEL = ("docs", "unit", "de", "tfidf_de", "tk")
+ORACLE["answer_snippet"] = q(*MODEL, body=f""", sn AS (SELECT de.docid, de.doctext, {py_split('de.doctext')} AS toks, coalesce(tk.keys, []) AS keys
+  FROM de LEFT JOIN tk ON tk.docid = de.docid),
+ws AS (SELECT docid, unnest(generate_series(0, len(toks) - 70, 35)) AS s FROM sn WHERE len(toks) > 70),
+wsc AS (SELECT w.docid, w.s,
+          len(list_filter(x.keys, lambda k: strpos(lower(array_to_string(x.toks[w.s + 1:w.s + 70], ' ')), k) > 0)) AS score
+        FROM ws w JOIN sn x ON x.docid = w.docid),
+best AS (SELECT docid, s FROM (SELECT docid, s, row_number() OVER (PARTITION BY docid ORDER BY score DESC, s ASC) AS rn FROM wsc)
+         WHERE rn = 1)
+SELECT x.docid, CAST(CASE WHEN len(x.toks) > 70 THEN b.s ELSE -1 END AS BIGINT) AS start,
+  CASE WHEN len(x.toks) > 70 THEN array_to_string(x.toks[b.s + 1:b.s + 70], ' ') ELSE x.doctext END AS snippet
+FROM sn x LEFT JOIN best b ON b.docid = x.docid""")
+ORACLE["generate_candidates"] = q(*MODEL, body=""", c AS (SELECT docid, keys, CAST(unnest(range(0, 5)) AS INTEGER) AS cand FROM tk),
+p AS (SELECT docid, cand, keys[cand * 2 + 1:cand * 2 + 2] AS pr FROM c)
+SELECT docid, cand, CASE WHEN len(pr) >= 2 THEN 'How does ' || pr[1] || ' relate to ' || pr[2] || ' in this passage?'
+                         WHEN len(pr) = 1 THEN 'What is ' || pr[1] || ' in this passage?'
+                         ELSE 'How does the described effect occur and under what conditions?' END AS question FROM p""")
+ORACLE["late_interaction"] = q("unit", "qvec", body=""", run AS (SELECT qid, docid FROM (
+  SELECT q.docid AS qid, u.docid, row_number() OVER (PARTITION BY q.docid ORDER BY round(list_dot_product(q.qvec, u.vec), 6) DESC, u.docid) AS rk
+  FROM qv q, unit u) WHERE rk <= 10),
+qt AS (SELECT docid AS qid, p AS qpos, qvec[p * 8 + 1:p * 8 + 8] AS qv FROM qv, (SELECT unnest(range(0, 8)) AS p)),
+dt AS (SELECT docid, p AS dpos, raw[p * 8 + 1:p * 8 + 8] AS dv FROM unit, (SELECT unnest(range(0, 8)) AS p) WHERE (vec_id + p) % 5 <> 0),
+pq AS (SELECT r.qid, r.docid, qt.qpos, max(-list_sum(list_transform(generate_series(1, 8), lambda i: (qt.qv[i] - dt.dv[i]) * (qt.qv[i] - dt.dv[i])))) AS best
+       FROM run r JOIN qt ON qt.qid = r.qid JOIN dt ON dt.docid = r.docid GROUP BY r.qid, r.docid, qt.qpos)
+SELECT qid, docid, round(sum(best), 6) AS maxsim FROM pq GROUP BY qid, docid""")

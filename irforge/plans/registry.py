@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irforge.plans import feature_plans as fp, policy_plans as pp, retrieval, sampling_plans as sp, textprep_plans as tpp, training_plans as trp, vector_plans as vp
+from irforge.plans import feature_plans as fp, model_plans as mp, policy_plans as pp, retrieval, sampling_plans as sp, textprep_plans as tpp, training_plans as trp, vector_plans as vp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": retrieval.bm25_run,
@@ -81,4 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dynamic_dup_threshold": pp.dynamic_dup_threshold,
     "run_stats": pp.run_stats,
     "stream_progress": pp.stream_progress,
+    "answer_snippet": mp.answer_snippet,
+    "generate_candidates": mp.generate_candidates,
+    "embed_documents": mp.embed_documents,
+    "ivf_topk": mp.ivf_topk,
+    "late_interaction": mp.late_interaction,
 }
