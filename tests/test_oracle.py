@@ -1,0 +1,32 @@
+"""Spark queries against their DuckDB twins on the smallest scale (the full set runs at sf0.01
+through tools/oracle_check.py)."""
+
+import pytest
+
+from conftest import SF_SMALL
+
+FAST = ["bm25_topk", "containment_qrels", "run_metrics", "merge_title_text", "clean_questions", "kept_questions",
+        "extract_question", "neighbor_counts", "dense_topk", "nearest_centroid", "cluster_schedule", "tail_negatives",
+        "cluster_softmax", "late_interaction", "generate_candidates", "knee_of_curve", "sample_size_per_cluster"]
+
+
+@pytest.mark.parametrize("name", FAST)
+def test_against_duckdb(spark, name):
+    import __spark_entry__ as E
+    from oracle_check import compare, duck
+    line, ok = compare(spark, name, E.queries()[name], E.oracle_sql()[name], SF_SMALL, duck(SF_SMALL))
+    assert ok, line
+
+
+def test_entry_runs(spark):
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    assert df.count() >= 0 and "ndcg_10" in df.columns
+
+
+def test_every_query_has_an_oracle_or_is_rows_only():
+    import __spark_entry__ as E
+    rows_only = {"sse_curve_kmeans", "auto_select_k", "kmeans_assign", "weighted_sample_pool", "sample_documents",
+                 "embed_documents", "ivf_topk", "selection_rounds"}
+    missing = set(E.queries()) - set(E.oracle_sql()) - rows_only
+    assert not missing, missing
