@@ -606,3 +606,24 @@ dt AS (SELECT docid, p AS dpos, raw[p * 8 + 1:p * 8 + 8] AS dv FROM unit, (SELEC
 pq AS (SELECT r.qid, r.docid, qt.qpos, max(-list_sum(list_transform(generate_series(1, 8), lambda i: (qt.qv[i] - dt.dv[i]) * (qt.qv[i] - dt.dv[i])))) AS best
        FROM run r JOIN qt ON qt.qid = r.qid JOIN dt ON dt.docid = r.docid GROUP BY r.qid, r.docid, qt.qpos)
 SELECT qid, docid, round(sum(best), 6) AS maxsim FROM pq GROUP BY qid, docid""")
+
+
+# --- collection status, positional zip, K grid ------------------------------------------------
+ORACLE["dataset_counts"] = q("dsdocs", "questions", "qrels", body="""SELECT d.dataset, count(*) AS n_docs,
+  coalesce(max(qn.n), 0) AS n_questions, coalesce(max(jn.n), 0) AS n_judged_queries
+FROM dsdocs d
+LEFT JOIN (SELECT dd.dataset, count(*) AS n FROM questions q JOIN dsdocs dd ON dd.docid = q.docid GROUP BY dd.dataset) qn ON qn.dataset = d.dataset
+LEFT JOIN (SELECT dd.dataset, count(DISTINCT r.qid) AS n FROM qrels r JOIN dsdocs dd ON dd.docid = r.docid GROUP BY dd.dataset) jn ON jn.dataset = d.dataset
+GROUP BY d.dataset""")
+ORACLE["completeness_check"] = q("dsdocs", body="SELECT dataset, count(*) AS n_docs, count(*) > 100 AS complete FROM dsdocs GROUP BY dataset")
+ORACLE["artifact_coverage"] = q("dsdocs", body="""SELECT d.dataset, count(*) AS n_docs, count(e.vec_id) AS n_embedded,
+  count(*) > 0 AS has_documents, count(e.vec_id) > 0 AS has_embeddings
+FROM dsdocs d LEFT JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = d.docid GROUP BY d.dataset""")
+ORACLE["zip_positional"] = """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS docid, row_number() OVER (ORDER BY doc_id) - 1 AS seq
+  FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+e AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS seq FROM embeddings)
+SELECT CAST(d.seq AS BIGINT) AS seq, d.docid, e.vec_id FROM d JOIN e ON e.seq = d.seq"""
+ORACLE["candidate_k_grid"] = """WITH n AS (SELECT count(*) AS n FROM embeddings),
+g AS (SELECT DISTINCT unnest([greatest(8, CAST(floor(sqrt(n)) AS BIGINT)), greatest(8, n // 80), greatest(8, n // 60),
+                               greatest(8, n // 40), greatest(8, n // 20)]) AS k FROM n)
+SELECT CAST(k AS INTEGER) AS k FROM g WHERE k < least((SELECT n FROM n), 5000)"""

@@ -15,10 +15,16 @@ from irforge.functions import fixed
 N_EXPERTS = 4
 
 
-def _norm4(w: list[Column]) -> list[Column]:
-    s = w[0] + w[1] + w[2] + w[3]
-    # A zero vector (no floor) would divide by zero; fall back to uniform
-    return [F.when(s > 0, x / s).otherwise(F.lit(1.0 / N_EXPERTS)) for x in w]
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it in ``body`` (a one-element ``transform``), so repeated uses
+    do not copy the expression tree (Spark lambdas have no let)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _norm(w: Column) -> Column:
+    """Normalise a 4-array to sum 1; B14: a zero vector (no floor) falls back to uniform."""
+    return _let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x),
+                lambda s: F.transform(w, lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0 / N_EXPERTS))))
 
 
 def weight_fold(log: DataFrame, total: int, advantage: str = "ema", eta: float = fixed.ETA,
@@ -47,41 +53,37 @@ def weight_fold(log: DataFrame, total: int, advantage: str = "ema", eta: float =
     )
 
     def step(acc, x):
-        s = [x["s"][i] for i in range(N_EXPERTS)]
-        r = [x["r"][i] for i in range(N_EXPERTS)]
-        w = [acc["w"][i] for i in range(N_EXPERTS)]
-        score = x["score"]
+        s, r, score = x["s"], x["r"], x["score"]
         ratio = x["step"].cast("double") / float(total)
         alpha = F.when(F.lit(hard_match) & (ratio <= warmup), F.lit(lambda_hard)).otherwise(F.lit(0.0))
-        smean = (s[0] + s[1] + s[2] + s[3]) / 4.0
-        rmean = (r[0] + r[1] + r[2] + r[3]) / 4.0
-        grad = [(1.0 - alpha) * (s[i] - smean) + alpha * (r[i] - rmean) for i in range(N_EXPERTS)]
-        cw = [acc["cw"][i] for i in range(N_EXPERTS)]
-        cb = acc["cb"]
-        b = acc["b"]
+        mean4 = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / 4.0
+        grad = _let(F.struct(mean4(s).alias("sm"), mean4(r).alias("rm"), alpha.alias("al")), lambda m: F.zip_with(
+            s, r, lambda si, ri: (1.0 - m["al"]) * (si - m["sm"]) + m["al"] * (ri - m["rm"])))
+        cw, cb, b = acc["cw"], acc["cb"], acc["b"]
         if advantage == "critic":
-            v = cw[0] * s[0] + cw[1] * s[1] + cw[2] * s[2] + cw[3] * s[3] + cb
-            adv = score - v
-            new_cw = [cw[i] + critic_lr * adv * s[i] for i in range(N_EXPERTS)]
-            new_cb = cb + critic_lr * adv
-            new_b, logged = b, v
+            v = F.aggregate(F.zip_with(cw, s, lambda c_, s_: c_ * s_), F.lit(0.0), lambda a, y: a + y) + cb
+            state = _let(F.struct(v.alias("v"), (score - v).alias("adv")), lambda t: F.struct(
+                t["adv"].alias("adv"), b.alias("b"),
+                F.zip_with(cw, s, lambda c_, s_: c_ + critic_lr * t["adv"] * s_).alias("cw"),
+                (cb + critic_lr * t["adv"]).alias("cb"), t["v"].alias("logged")))
         elif advantage == "ema":
-            adv = score - b
-            new_b = (1.0 - beta) * b + beta * score
-            new_cw, new_cb, logged = cw, cb, new_b
+            nb = (1.0 - beta) * b + beta * score
+            state = F.struct((score - b).alias("adv"), nb.alias("b"), cw.alias("cw"), cb.alias("cb"), nb.alias("logged"))
         else:
-            adv = score
-            new_b, new_cw, new_cb, logged = b, cw, cb, b
-        nw = [F.greatest(w[i] + eta * adv * grad[i], F.lit(0.0)) for i in range(N_EXPERTS)]
-        if use_floor:
-            nw = [F.greatest(x_, F.lit(w_floor)) for x_ in nw]
-        nw = _norm4(nw)
-        if use_entropy:
-            nw = _norm4([(1.0 - entropy) * x_ + entropy / N_EXPERTS for x_ in nw])
-        warr = F.array(*nw)
-        entry = F.struct(x["step"].alias("step"), warr.alias("w"), adv.alias("adv"), logged.alias("base"))
-        return F.struct(warr.alias("w"), new_b.alias("b"), F.array(*new_cw).alias("cw"), new_cb.alias("cb"),
-                        F.concat(acc["out"], F.array(entry)).alias("out"))
+            state = F.struct(score.alias("adv"), b.alias("b"), cw.alias("cw"), cb.alias("cb"), b.alias("logged"))
+
+        def finish(st):
+            nw = F.zip_with(acc["w"], grad, lambda wi, gi: F.greatest(wi + eta * st["adv"] * gi, F.lit(0.0)))
+            if use_floor:
+                nw = F.transform(nw, lambda y: F.greatest(y, F.lit(w_floor)))
+            nw = _let(nw, _norm)
+            if use_entropy:
+                nw = _let(_let(nw, lambda u: F.transform(u, lambda y: (1.0 - entropy) * y + entropy / N_EXPERTS)), _norm)
+            return _let(nw, lambda wv: F.struct(
+                wv.alias("w"), st["b"].alias("b"), st["cw"].alias("cw"), st["cb"].alias("cb"),
+                F.concat(acc["out"], F.array(F.struct(x["step"].alias("step"), wv.alias("w"), st["adv"].alias("adv"),
+                                                      st["logged"].alias("base")))).alias("out")))
+        return _let(state, finish)
 
     folded = arr.select(F.aggregate("xs", init, step).alias("st"))
     out = folded.select(F.explode("st.out").alias("e"))

@@ -116,3 +116,46 @@ def mmr_select(pool: DataFrame, seeds: DataFrame, sizes: DataFrame, lam: float =
         return df[["cid", id_col, "mmr_score", "mmr_step"]]
 
     return g.groupBy("cid").applyInPandas(per_cluster, f"cid int, {id_col} string, mmr_score double, mmr_step long")
+
+
+def exemplar_sample(docs: DataFrame, weights: DataFrame, k: int = 3, seed: int = 0, id_col: str = "docid",
+                    text_col: str = "doctext", max_iter: int = 20) -> DataFrame:
+    """Q5: few-shot exemplars — k-means (k = min(3, N)) on the TF-IDF rows, one seeded-random member
+    per lexical cluster, its passage prefix (600 chars) and a template question from its 5 heaviest
+    terms of at most 3 words; padded to ``k`` rows with the fixed padding pair.  (i, passage, query)
+
+    The sparse TF-IDF rows are assembled by a small per-row helper (array -> SparseVector); the
+    clustering itself is MLlib's distributed k-means.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    from irforge.operators.lexical import top_terms
+    from irforge.operators.textprep import question_from_terms, text_prefix
+
+    spark = docs.sparkSession
+    vocab = weights.select("term").distinct()
+    from irforge.session import materialize
+    # written once: re-running zipWithIndex over an unordered distinct could renumber the terms
+    v_idx = materialize(vocab.rdd.zipWithIndex().map(lambda p: (p[0][0], int(p[1]))).toDF(["term", "idx"]))
+    dim = v_idx.count()
+    rows = (weights.join(v_idx, "term").groupBy(id_col)
+                   .agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("entries")))
+    to_vec = F.udf(lambda es: SparseVector(dim, [e["idx"] for e in es], [e["w"] for e in es]), VectorUDT())
+    feats = rows.select(id_col, to_vec("entries").alias("features"))
+    n = feats.count()
+    kk = min(k, max(1, n))
+    model = KMeans(k=kk, seed=seed, maxIter=max_iter).fit(feats)
+    assign = model.transform(feats).select(id_col, F.col("prediction").alias("lc"))
+    pick = assign.groupBy("lc").agg(F.min_by(id_col, F.xxhash64(F.lit(seed), F.col(id_col))).alias(id_col))
+    terms = (top_terms(weights, 5, id_col, max_words=3).groupBy(id_col)
+             .agg(F.transform(F.sort_array(F.collect_list(F.struct("term_rank", "term"))), lambda s: s["term"]).alias("terms")))
+    shots = (pick.join(docs.select(id_col, text_col), id_col).join(terms, id_col, "left")
+                 .select(F.col("lc").alias("i"), text_prefix(F.col(text_col), fixed.EXEMPLAR_CHARS).alias("passage"),
+                         question_from_terms(F.coalesce("terms", F.array().cast("array<string>"))).alias("query")))
+    have = shots.count()
+    if have < k:
+        pad = spark.createDataFrame([(kk + j, *fixed.PAD_EXEMPLAR) for j in range(k - have)], "i int, passage string, query string")
+        shots = shots.unionByName(pad)
+    w = Window.orderBy("i")
+    return shots.withColumn("i", F.row_number().over(w)).where(F.col("i") <= k)

@@ -59,3 +59,10 @@ def late_interaction(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame
     dtok = token_embeddings(spark, sf_dir).select("docid", "pos", F.col("tvec").alias("dv"), "mask")
     m = ann.maxsim(run, qtok, dtok)
     return m.select("qid", "docid", F.round("maxsim", R).alias("maxsim"))
+
+
+def exemplar_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 (rows-only): three exemplars from lexical clusters of the documents with embeddings."""
+    from irforge.operators.sampling import exemplar_sample as ex
+    de = fp.docs_with_embeddings(spark, sf_dir).select("docid", "doctext")
+    return ex(de, lex.tfidf(de))

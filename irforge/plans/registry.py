@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from irforge.plans import feature_plans as fp, model_plans as mp, policy_plans as pp, selection, retrieval, sampling_plans as sp, textprep_plans as tpp, training_plans as trp, vector_plans as vp
+from irforge.plans import feature_plans as fp, model_plans as mp, policy_plans as pp, selection, status_plans as stp, retrieval, sampling_plans as sp, textprep_plans as tpp, training_plans as trp, vector_plans as vp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": retrieval.bm25_run,
@@ -87,4 +87,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ivf_topk": mp.ivf_topk,
     "late_interaction": mp.late_interaction,
     "selection_rounds": selection.selection_rounds,
+    "dataset_counts": stp.dataset_counts,
+    "completeness_check": stp.completeness_check,
+    "artifact_coverage": stp.artifact_coverage,
+    "zip_positional": stp.zip_positional,
+    "candidate_k_grid": stp.candidate_k_grid,
+    "exemplar_sample": mp.exemplar_sample,
 }

@@ -27,6 +27,6 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_or_is_rows_only():
     import __spark_entry__ as E
     rows_only = {"sse_curve_kmeans", "auto_select_k", "kmeans_assign", "weighted_sample_pool", "sample_documents",
-                 "embed_documents", "ivf_topk", "selection_rounds"}
+                 "embed_documents", "ivf_topk", "selection_rounds", "exemplar_sample"}
     missing = set(E.queries()) - set(E.oracle_sql()) - rows_only
     assert not missing, missing
