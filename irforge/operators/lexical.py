@@ -18,6 +18,9 @@ from irforge.session import materialize
 TFIDF_MAX_FEATURES = 120000
 BM25_K1 = 0.9
 BM25_B = 0.4
+# Query-term sets up to this size filter the term arrays in-row (hash-set lookup); larger sets join.
+LITERAL_TERMS_MAX = 50_000
+BROADCAST_TERMS_MAX = 2_000_000
 
 
 def with_term_frequencies(df: DataFrame, text_col: str, out_col: str = "tfs", bigrams: bool = False,
@@ -149,11 +152,24 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None =
     combined; the top-k is split by doc hash so one query matching most documents is not one task.
     """
     fields = fields or {"doctext": 1.0}
-    idx = index if index is not None else field_index(docs, list(fields), id_col)
     q = with_term_frequencies(queries.select("qid", "query"), "query", out_col="qtfs")
     qterms = materialize(explode_tfs(q, ["qid"], "qtfs").withColumnRenamed("tf", "qtf"))
     qterms_b = bounded_broadcast(qterms)
-    qt_terms = bounded_broadcast(qterms.select("term").distinct())
+    distinct_terms = qterms.select("term").distinct()
+    n_terms = distinct_terms.count()
+    prefiltered = index is None and n_terms <= LITERAL_TERMS_MAX
+    if prefiltered:
+        # One tokenising pass that keeps only query terms in each row's term-count array (a hash-set
+        # lookup); the written index is then query-sized.  The term list is bounded by the count.
+        terms = [r[0] for r in distinct_terms.collect()]
+        out = docs.select(id_col, *fields)
+        for f in fields:
+            out = (with_term_frequencies(out, f, out_col=f"tfs_{f}", len_col=f"dl_{f}").drop(f)
+                   .withColumn(f"tfs_{f}", F.filter(f"tfs_{f}", lambda t: t["term"].isin(terms))))
+        idx = materialize(out)
+    else:
+        idx = index if index is not None else field_index(docs, list(fields), id_col)
+    qt_terms = F.broadcast(distinct_terms) if n_terms <= BROADCAST_TERMS_MAX else distinct_terms
     stats = idx.agg(*[x for f in fields for x in (F.count(F.when(F.col(f"dl_{f}") > 0, 1)).alias(f"n_{f}"),
                                                     F.avg(F.when(F.col(f"dl_{f}") > 0, F.col(f"dl_{f}"))).alias(f"avg_{f}"))]).first()
     live = [(f, bst) for f, bst in fields.items() if stats[f"n_{f}"]]
@@ -165,7 +181,7 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None =
         e = (explode_tfs(idx.select(id_col, F.col(f"dl_{f}").alias("dl"), f"tfs_{f}"), [id_col, "dl"], f"tfs_{f}")
              .withColumn("field", F.lit(f)))
         exploded = e if exploded is None else exploded.unionByName(e)
-    matched = materialize(exploded.join(qt_terms, "term"))
+    matched = exploded if prefiltered else materialize(exploded.join(qt_terms, "term"))
     dfs = matched.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     n_lit = F.create_map(*[x for f, _ in live for x in (F.lit(f), F.lit(float(stats[f"n_{f}"])))])
     avg_lit = F.create_map(*[x for f, _ in live for x in (F.lit(f), F.lit(float(stats[f"avg_{f}"])))])
