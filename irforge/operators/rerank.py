@@ -25,8 +25,10 @@ def tf_cosine_scores(pairs: DataFrame, id_col: str = "docid") -> DataFrame:
     ``pairs``: (qid, query, docid, text).  Term counts come from in-row sorting; the only shuffle is
     the (qid, term) join between passage terms and that query's terms.
     """
-    p = with_term_frequencies(pairs.select("qid", id_col, "text"), "text", out_col="tfs")
+    # each pooled passage is tokenised once, however many queries retrieved it
+    p = with_term_frequencies(pairs.select(id_col, "text").dropDuplicates([id_col]), "text", out_col="tfs")
     p = p.withColumn("dn", F.sqrt(F.aggregate("tfs", F.lit(0.0), lambda acc, x: acc + x["tf"] * x["tf"])))
+    p = pairs.select("qid", id_col).join(p.drop("text"), id_col)
     q = with_term_frequencies(pairs.select("qid", "query").distinct(), "query", out_col="tfs")
     q = q.withColumn("qn", F.sqrt(F.aggregate("tfs", F.lit(0.0), lambda acc, x: acc + x["tf"] * x["tf"])))
     pt = explode_tfs(p, ["qid", id_col, "dn"])

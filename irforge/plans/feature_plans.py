@@ -11,6 +11,7 @@ from irforge.operators import experts as X
 from irforge.operators import lexical as lex
 from irforge.operators import similarity as sim
 from irforge.operators.common import bounded_broadcast
+from irforge.session import materialize
 from irforge.sources import tables as T
 
 R = 6
@@ -31,17 +32,18 @@ def docs_with_embeddings_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str, threshold: float = NEIGHBOR_THRESHOLD) -> DataFrame:
     """One row per document: docid, cid, n_neighbors, density, ni, dist, cluster_size."""
-    de = docs_with_embeddings(spark, sf_dir)
+    # read by six branches below: written once instead of re-joining documents and vectors each time
+    de = materialize(docs_with_embeddings(spark, sf_dir))
     density = lex.tfidf_density(de.select("docid", "doctext"))
     ni = lex.lexical_redundancy(de.select("docid", "doctext")).select("docid", "ni")
     nb = sim.threshold_count(de, de, threshold, exclude_self=True).select(F.col("lid").alias("docid"), F.col("cnt").alias("nb"))
     centers = C.cluster_means(de.select("vec", "cid"), normalize=False)
     dist = de.join(bounded_broadcast(centers, 100_000), "cid").select("docid", l2(F.col("vec"), F.col("center")).alias("dist"))
     sizes = C.cluster_sizes(de.select("cid")).withColumnRenamed("size", "cluster_size")
-    return (de.select("docid", "cid").join(density, "docid").join(ni, "docid").join(dist, "docid")
-              .join(nb, "docid", "left").join(sizes, "cid")
-              .select("docid", "cid", F.coalesce("nb", F.lit(0)).cast("bigint").alias("n_neighbors"),
-                      "density", "ni", "dist", "cluster_size"))
+    return materialize(de.select("docid", "cid").join(density, "docid").join(ni, "docid").join(dist, "docid")
+                       .join(nb, "docid", "left").join(sizes, "cid")
+                       .select("docid", "cid", F.coalesce("nb", F.lit(0)).cast("bigint").alias("n_neighbors"),
+                               "density", "ni", "dist", "cluster_size"))
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from irforge.operators import experts as X
 from irforge.operators import policy as P
 from irforge.operators import rewards as RW
 from irforge.plans import feature_plans as fp
+from irforge.session import materialize
 from irforge.sources import tables as T
 
 R = 6
@@ -37,9 +38,10 @@ def steps(spark: SparkSession, sf_dir: str, total: int = TOTAL) -> DataFrame:
     u = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
     q = T.shifted_unit_embeddings(spark, sf_dir, 7, 1)
     s = sched.join(best, "cid").join(u, "docid").join(q, "docid")
-    return s.select("step", "cid", "docid", "qvec",
-                    F.transform(F.slice("vec", 1, 4), lambda x: F.abs(x)).alias("r"),
-                    F.slice("vec", 5, 4).alias("s"))
+    # question-sized and read by every reward below: written once
+    return materialize(s.select("step", "cid", "docid", "qvec",
+                                F.transform(F.slice("vec", 1, 4), lambda x: F.abs(x)).alias("r"),
+                                F.slice("vec", 5, 4).alias("s")))
 
 
 def _log(spark, sf_dir):

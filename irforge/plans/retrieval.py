@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from irforge.operators import evaluation as ev
 from irforge.operators.lexical import bm25
+from irforge.session import materialize
 from irforge.sources import tables as T
 
 ROUND = 6
@@ -18,7 +19,8 @@ BM25_DEPTH = 100
 def bm25_run(spark: SparkSession, sf_dir: str, k: int = BM25_DEPTH) -> DataFrame:
     """(qid, docid, score, rank) of benchmark-derived queries over the title/text corpus."""
     run = bm25(T.corpus(spark, sf_dir), T.queries(spark, sf_dir), fields=BM25_FIELDS, k=k)
-    return run.select("qid", "docid", "score", "rank")
+    # query-sized (queries x k); written once because pools, test sets and metrics read it repeatedly
+    return materialize(run.select("qid", "docid", "score", "rank"))
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:

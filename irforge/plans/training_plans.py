@@ -11,6 +11,7 @@ from irforge.operators import rerank as rr
 from irforge.operators import similarity as sim
 from irforge.operators import textprep as tp
 from irforge.plans.retrieval import bm25_run, qrels
+from irforge.session import materialize
 from irforge.sources import tables as T
 
 R = 6
@@ -35,7 +36,7 @@ def dense_run(spark: SparkSession, sf_dir: str, k: int = DENSE_DEPTH) -> DataFra
     qv = T.shifted_unit_embeddings(spark, sf_dir, 7, 1).withColumnRenamed("docid", "qid").join(qs, "qid", "left_semi")
     corpus = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
     t = sim.topk(qv, corpus, k, left_id="qid", left_vec="qvec", right_vec="vec")
-    return t.select(F.col("lid").alias("qid"), F.col("rid").alias("docid"), "score", "rank")
+    return materialize(t.select(F.col("lid").alias("qid"), F.col("rid").alias("docid"), "score", "rank"))
 
 
 def _negatives(spark, sf_dir):

@@ -77,10 +77,18 @@ def containment_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     toks = items.withColumn("toks", word_tokens(F.col("item")))
     interior = toks.select("qid", "item", F.explode(F.slice(F.col("toks"), 2, F.greatest(F.size("toks") - 2, F.lit(0)))).alias("term"))
     # one tokenising pass over the documents, kept only for terms that occur inside some item
-    item_terms = bounded_broadcast(interior.select("term").distinct())
-    doc_terms = materialize(
-        docs.select("docid", F.explode_outer(F.array_distinct(word_tokens(F.col("text")))).alias("term"))
-            .where(F.col("term").isNotNull()).join(item_terms, "term"))
+    item_terms = interior.select("term").distinct()
+    n_terms = item_terms.count()
+    toks_d = F.array_distinct(word_tokens(F.col("text")))
+    if n_terms <= 50_000:  # keep only item terms inside each row (hash-set lookup), bounded list
+        keep = [r[0] for r in item_terms.collect()]
+        doc_terms = materialize(
+            docs.select("docid", F.explode_outer(F.filter(toks_d, lambda t: t.isin(keep))).alias("term"))
+                .where(F.col("term").isNotNull()))
+    else:
+        doc_terms = materialize(
+            docs.select("docid", F.explode_outer(toks_d).alias("term"))
+                .where(F.col("term").isNotNull()).join(bounded_broadcast(item_terms), "term"))
     df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = (interior.join(df, "term")
               .groupBy("qid", "item").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
