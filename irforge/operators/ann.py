@@ -52,7 +52,7 @@ def ivf_topk(queries: DataFrame, docs: DataFrame, centers: DataFrame, assign: Da
 
     def score(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({"qid": [], "docid": [], "score": []})
+            return sim.empty_frame("qid string, docid string, score double")
         L = np.vstack([np.asarray(v, dtype=np.float64) for v in lp["lvec"]])
         R = np.vstack([np.asarray(v, dtype=np.float64) for v in rp["rvec"]])
         S = L @ R.T

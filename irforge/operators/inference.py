@@ -74,7 +74,10 @@ def generate(df: DataFrame, text_col: str, n: int, generator: Callable[[list[str
         for pdf in it:
             outs = generator(pdf[text_col].fillna("").tolist(), n) if len(pdf) else []
             rows = [(d, c, q) for d, qs in zip(pdf[id_col], outs) for c, q in enumerate(qs)]
-            yield pd.DataFrame(rows, columns=[id_col, "cand", "question"])
+            out = pd.DataFrame(rows, columns=[id_col, "cand", "question"])
+            yield out.astype({"cand": "int32"}) if len(out) else pd.DataFrame(
+                {id_col: pd.Series([], dtype="object"), "cand": pd.Series([], dtype="int32"),
+                 "question": pd.Series([], dtype="object")})
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} string, cand int, question string")
 
 

@@ -30,6 +30,26 @@ def n_blocks(n: int, block_rows: int = BLOCK_ROWS, min_blocks: int = MIN_BLOCKS)
     return max(1, min(n, max(min_blocks, math.ceil(n / block_rows))))
 
 
+def block_grid(nl: int, nr: int, block_rows: int = BLOCK_ROWS, min_blocks: int = MIN_BLOCKS) -> tuple[int, int]:
+    """Blocks per side: at most ``block_rows`` rows per block; when that gives fewer than
+    ``min_blocks``^2 block pairs, add blocks on the side whose split replicates the *smaller* side
+    (every left row is copied once per right block and vice versa), so a large corpus scanned
+    against a small query set is never replicated just to create parallelism."""
+    bl = max(1, min(nl, math.ceil(nl / block_rows)))
+    br = max(1, min(nr, math.ceil(nr / block_rows)))
+    want = min_blocks * min_blocks
+    while bl * br < want:
+        if nl <= nr and br < nr:
+            br += 1
+        elif bl < nl:
+            bl += 1
+        elif br < nr:
+            br += 1
+        else:
+            break
+    return bl, br
+
+
 def _mat(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
@@ -49,10 +69,19 @@ def _exact(L, R, i, j, metric):
     return (L[i] * R[j]).sum(1)
 
 
-def _kernel(mode: str, metric: str, k: int, threshold: float, exclude_self: bool, out_cols: list[str]):
+_PD_TYPES = {"string": "object", "double": "float64", "bigint": "int64", "int": "int32", "long": "int64"}
+
+
+def empty_frame(schema: str) -> pd.DataFrame:
+    """A typed empty result (an untyped empty frame fails Arrow conversion)."""
+    cols = [c.strip().split() for c in schema.split(",")]
+    return pd.DataFrame({n: pd.Series([], dtype=_PD_TYPES[t]) for n, t in cols})
+
+
+def _kernel(mode: str, metric: str, k: int, threshold: float, exclude_self: bool, out_cols: list[str], schema: str = ""):
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
-            return pd.DataFrame({c: [] for c in out_cols})
+            return empty_frame(schema)
         L, R = _mat(lp["lvec"]), _mat(rp["rvec"])
         S = _scores(L, R, metric)
         lid = lp["lid"].to_numpy()
@@ -116,7 +145,7 @@ def _kernel(mode: str, metric: str, k: int, threshold: float, exclude_self: bool
                     continue
                 jj = np.nonzero(cols)[0][V.argmax(1)]
                 rows.append(pd.DataFrame({"lid": lid[ok], "rgroup": g, "rid": rid[jj[ok]], "score": V.max(1)[ok]}))
-            return pd.concat(rows) if rows else pd.DataFrame({c: [] for c in out_cols})
+            return pd.concat(rows) if rows else empty_frame(schema)
         raise ValueError(mode)
     return fn
 
@@ -141,7 +170,7 @@ def block_join(left: DataFrame, right: DataFrame, mode: str, *, left_id: str = "
     inputs (lorder, lexcl, lthr, lgroups / rorder, rgroup) to column names."""
     left_cols, right_cols = left_cols or {}, right_cols or {}
     nl, nr = left.count(), right.count()
-    bl, br = n_blocks(nl, block_rows, min_blocks), n_blocks(nr, block_rows, min_blocks)
+    bl, br = block_grid(nl, nr, block_rows, min_blocks)
     L = left.select(F.col(left_id).cast("string").alias("lid"), F.col(left_vec).cast("array<double>").alias("lvec"),
                     *[F.col(c).alias(a) for a, c in left_cols.items()])
     R = right.select(F.col(right_id).cast("string").alias("rid"), F.col(right_vec).cast("array<double>").alias("rvec"),
@@ -152,7 +181,7 @@ def block_join(left: DataFrame, right: DataFrame, mode: str, *, left_id: str = "
           .withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bl - 1).cast("long")))))
     schema = _SCHEMAS[mode]
     out_cols = [c.split()[0] for c in schema.split(", ")]
-    fn = _kernel(mode, metric, k, threshold, exclude_self, out_cols)
+    fn = _kernel(mode, metric, k, threshold, exclude_self, out_cols, schema)
     return L.groupBy("lb", "rb").cogroup(R.groupBy("lb", "rb")).applyInPandas(fn, schema)
 
 

@@ -22,6 +22,7 @@ from irforge.operators.common import bounded_broadcast
 from irforge.session import materialize
 
 QUERY_TOKENS = 6
+MIN_ROWS_PER_SPLIT = 100  # never spread a small table thinner than this
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small table), spread the rows round-robin so per-row work runs in parallel.  On large inputs
     the scan already has many splits and no shuffle is added."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        df = df.repartition(target)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        # only small inputs get here; the row count comes from Parquet footers
+        target = min(cores, max(1, df.count() // MIN_ROWS_PER_SPLIT))
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
     return df
 
 
