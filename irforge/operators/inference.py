@@ -81,24 +81,21 @@ def generate(df: DataFrame, text_col: str, n: int, generator: Callable[[list[str
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} string, cand int, question string")
 
 
-def mmr_with(pool: DataFrame, seed_sim: Callable[[Column], Column], pair_sim: Callable[[Column, Column], Column],
-             lam: float, id_col: str = "docid") -> DataFrame:
-    """MMR where the caller supplies the similarities as Column expressions over (cid, docid,
-    vec) pools (``seed_sim(vec)`` and ``pair_sim(vec_a, vec_b)``).  Pairwise rows are built only
-    within a cluster's pool, which is bounded by 5 x sample size."""
+def mmr_with(pool: DataFrame, seeds: DataFrame, seed_sim: Callable[[np.ndarray, np.ndarray], np.ndarray],
+             pair_sim: Callable[[np.ndarray], np.ndarray], lam: float, id_col: str = "docid") -> DataFrame:
+    """MMR with caller-supplied similarity functions, evaluated per cluster on the pool matrix:
+    ``seed_sim(X, seed) -> (n,)`` and ``pair_sim(X) -> (n, n)``.  ``pool``: (cid, docid, vec);
+    ``seeds``: (cid, seed_vec).  One group is one cluster's pool (bounded by 5 x sample size); no
+    pair rows are materialised."""
     from irforge.operators.sampling import mmr_order
-    a = pool.select("cid", F.col(id_col).alias("a"), F.col("vec").alias("va"), seed_sim(F.col("vec")).alias("s1"))
-    b = pool.select("cid", F.col(id_col).alias("b"), F.col("vec").alias("vb"))
-    pairs = a.join(b, "cid").select("cid", "a", "b", "s1", pair_sim(F.col("va"), F.col("vb")).alias("s2"))
+    g = pool.join(seeds, "cid")
 
     def per_cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.array(sorted(set(pdf["a"])))
-        pos = {x: i for i, x in enumerate(ids)}
-        S = np.zeros((len(ids), len(ids)))
-        S[pdf["a"].map(pos).to_numpy(), pdf["b"].map(pos).to_numpy()] = pdf["s2"].to_numpy()
-        s1 = pdf.drop_duplicates("a").set_index("a").loc[ids, "s1"].to_numpy()
-        res = mmr_order(s1, S, ids, lam)
+        X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
+        seed = np.asarray(pdf["seed_vec"].iloc[0], dtype=np.float64)
+        res = mmr_order(np.asarray(seed_sim(X, seed), dtype=float), np.asarray(pair_sim(X), dtype=float),
+                        pdf[id_col].astype(str).to_numpy(), lam)
         out = pd.DataFrame(res, columns=[id_col, "mmr_score", "mmr_step"])
         out["cid"] = int(pdf["cid"].iloc[0])
         return out[["cid", id_col, "mmr_score", "mmr_step"]]
-    return pairs.groupBy("cid").applyInPandas(per_cluster, f"cid int, {id_col} string, mmr_score double, mmr_step long")
+    return g.groupBy("cid").applyInPandas(per_cluster, f"cid int, {id_col} string, mmr_score double, mmr_step long")

@@ -101,10 +101,15 @@ def containment_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = (docs.join(bounded_broadcast(candidates), "docid")
              .where(F.instr(F.col("text"), F.col("item")) > 0)
              .select("qid", "docid"))
+    out = keyed
     no_interior = toks.where(F.size("toks") < 3).select("qid", "item")
-    scanned = (docs.join(bounded_broadcast(no_interior, 10_000), F.instr(F.col("text"), F.col("item")) > 0)
-               .select("qid", "docid"))
-    return keyed.unionByName(scanned).distinct().withColumn("rel", F.lit(1).cast("int"))
+    if no_interior.count() > 0:
+        # items of one or two words have no token that must appear whole in a containing document;
+        # only these few are tested against every document (a broadcast of at most 10,000 items)
+        scanned = (docs.join(bounded_broadcast(no_interior, 10_000), F.instr(F.col("text"), F.col("item")) > 0)
+                   .select("qid", "docid"))
+        out = out.unionByName(scanned)
+    return out.distinct().withColumn("rel", F.lit(1).cast("int"))
 
 
 def generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

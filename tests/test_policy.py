@@ -93,3 +93,17 @@ def test_mmr_lambda_one_is_top_n_and_matches_brute_force():
     got = S.mmr_order(s1, s2, ids, lam)
     assert [g[0] for g in got] == [w[0] for w in want]
     assert np.allclose([g[1] for g in got], [w[1] for w in want])
+
+
+def test_mmr_with_callables_matches_builtin(spark):
+    from irforge.operators.inference import mmr_with
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(8, 4))
+    seed = rng.normal(size=4)
+    pool = spark.createDataFrame([(0, f"d{i}", [float(v) for v in x]) for i, x in enumerate(X)], "cid int, docid string, vec array<double>")
+    seeds = spark.createDataFrame([(0, [float(v) for v in seed])], "cid int, seed_vec array<double>")
+    cos = lambda A, s: A @ s / (np.linalg.norm(A, axis=1) * np.linalg.norm(s))
+    pair = lambda A: (A @ A.T) / np.outer(np.linalg.norm(A, axis=1), np.linalg.norm(A, axis=1))
+    got = [r["docid"] for r in mmr_with(pool, seeds, cos, pair, 0.5).orderBy("mmr_step").collect()]
+    want = [r[0] for r in S.mmr_order(cos(X, seed), pair(X), np.array([f"d{i}" for i in range(8)]), 0.5)]
+    assert got == want
