@@ -30,8 +30,9 @@ def with_term_frequencies(df: DataFrame, text_col: str, out_col: str = "tfs", bi
     if bigrams:
         # bigram i joins kept tokens i and i+1 (column reference, so the regex runs once per row)
         t = F.col("__toks")
-        out = out.withColumn("__toks", F.concat(t, F.transform(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))),
-                                                              lambda x, i: F.concat_ws(" ", x, F.element_at(t, i + 2)))))
+        m = F.greatest(F.size(t) - 1, F.lit(0))
+        out = out.withColumn("__toks", F.concat(t, F.zip_with(F.slice(t, 1, m), F.slice(t, 2, m),
+                                                              lambda a, b2: F.concat_ws(" ", a, b2))))
     # sort_array: native comparator (array_sort would call an interpreted lambda per comparison)
     out = out.withColumn("__sorted", F.sort_array(F.col("__toks"))).drop("__toks")
     if len_col:
@@ -85,12 +86,12 @@ def tfidf(docs: DataFrame, text_col: str = "doctext", id_col: str = "docid",
           max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
     """A5: (docid, term, tf, idf, w) with unigrams+bigrams, smooth idf ln((1+n)/(1+df))+1, L2 rows.
 
-    The per-document term-count arrays are built in one tokenising pass, hash-partitioned by docid
-    and checkpointed (the index); corpus statistics and weights then read the index.  Exploded rows
-    inherit the docid partitioning, so the per-document norm window needs no second shuffle.
+    The per-document term-count arrays are built in one tokenising pass and written (the index);
+    corpus statistics and weights then read the index.  The per-document L2 norm is one window
+    over the weighted postings (the only shuffle of postings besides the term statistics).
     """
     base = materialize(with_term_frequencies(docs.select(id_col, text_col), text_col, bigrams=True)
-                       .select(id_col, "tfs").repartition(id_col))
+                       .select(id_col, "tfs"))
     n_docs = base.count()
     stats = materialize(term_stats(explode_tfs(base, [id_col]), id_col))
     vocab = vocabulary(stats, max_features)
