@@ -24,7 +24,8 @@ def bm25_run(spark: SparkSession, sf_dir: str, k: int = BM25_DEPTH) -> DataFrame
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.containment_qrels(spark, sf_dir).select("qid", "docid", "rel")
+    # judgement-sized; read three times by the metrics (judged set, ideal DCG, run join)
+    return materialize(T.containment_qrels(spark, sf_dir).select("qid", "docid", "rel"))
 
 
 def run_metrics(spark: SparkSession, sf_dir: str, run: DataFrame | None = None) -> DataFrame:

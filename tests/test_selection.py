@@ -1,0 +1,15 @@
+"""Invariants of the round-based selection loop (M17) and the streaming progress (ST1)."""
+
+from conftest import SF_SMALL
+
+
+def test_selection_rounds_invariants(spark):
+    from irforge.plans.selection import selection_rounds
+    out = selection_rounds(spark, SF_SMALL, total=12, round_steps=4).collect()
+    assert sorted(r["step"] for r in out) == list(range(1, 13))
+    for r in out:
+        w = [r["w1"], r["w2"], r["w3"], r["w4"]]
+        assert abs(sum(w) - 1.0) < 1e-9
+        assert min(w) > 0.0
+        assert abs(r["best_score"] - (r["r1"] + r["r2"] + r["r3"] + r["r4"]) / 4.0) < 1e-9
+        assert 0.0 <= r["r1"] <= 1.0 and r["r4"] >= 0.0
