@@ -7,6 +7,8 @@ Whitespace and word classes are the same literal patterns as in ``irforge.functi
 
 from __future__ import annotations
 
+from irforge.functions import fixed
+
 WS = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}]"
 NON_WS_RUN = r"[^\x09-\x0d\x1c-\x1f\x85\p{Z}]+"
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -120,11 +122,7 @@ def before(x: str, p: str) -> str:
     return f"string_split({x}, {p})[1]"
 
 
-STOP = ["In each of these examples", "In each example,", "Explanation:", "Example 1:", "Example 2:",
-        "In this example", "Note:", "In the above examples", "Note that in each example",
-        "In the first three examples", "In the first example", "Answer:",
-        "By analyzing the provided documents", "Note that the examples", "In both examples",
-        "In each case", "Note that the relevant queries", "In each of the examples"]
+STOP = fixed.QUESTION_STOP_PHRASES
 
 
 def lit(s: str) -> str:
@@ -139,11 +137,9 @@ def clean_q(x: str) -> str:
 
 
 def clean_out(x: str, prompt: str) -> str:
-    e = py_strip(before(f"replace({x}, {prompt}, '')", lit("Example 5:")))
-    for p in ["In each of these examples, the AI model is trained on a large corpus of text data,", "Answer:"]:
-        e = py_strip(before(e, lit(p)))
-    e = py_strip(before(e, "chr(10)"))
-    e = py_strip(before(e, lit("?")))
+    e = py_strip(before(f"replace({x}, {prompt}, '')", lit(fixed.LLM_OUTPUT_CUTS[0])))
+    for p in fixed.LLM_OUTPUT_CUTS[1:]:
+        e = py_strip(before(e, "chr(10)" if p == "\n" else lit(p)))
     return e
 
 
@@ -183,11 +179,8 @@ WHERE rn = 1""")
 ORACLE["clean_llm_output"] = q("outputs", body=f"SELECT docid, turn, {clean_out('output', 'prompt')} AS question FROM outputs")
 ORACLE["extract_question"] = q("outputs", body=f"""SELECT docid, turn, CASE WHEN ends_with(x, '?') THEN x ELSE x || '?' END AS question
 FROM (SELECT docid, turn, {py_strip(before(py_strip("string_split(output, 'Query:')[-1]"), 'chr(10)'))} AS x FROM outputs)""")
-_PAD_P = "The study investigates the impact of a treatment on a population using a randomized design."
-_PAD_Q = "How does the treatment affect the outcome compared to control?"
-_INSTR = ("You are a search query generator for document retrieval. Given a passage P and three human-written examples <P,Q>, "
-          "write ONE specific, answerable, entity-rich query Q for the new passage. "
-          "Do not copy phrases. Prefer 'how/why/under what conditions/compare'. 10–20 words. Single sentence.")
+_PAD_P, _PAD_Q = fixed.PAD_EXEMPLAR
+_INSTR = fixed.FEWSHOT_INSTRUCTION.rstrip("\n")
 _SHOTS = " || chr(10) || chr(10) || ".join(
     f"'Example {i}:' || chr(10) || 'Passage: ' || {lit(_PAD_P)} || chr(10) || 'Query: ' || {lit(_PAD_Q)}" for i in (1, 2, 3))
 ORACLE["render_fewshot_prompt"] = q("docs", body=f"""SELECT docid,
