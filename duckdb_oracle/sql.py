@@ -620,3 +620,13 @@ ORACLE["candidate_k_grid"] = """WITH n AS (SELECT count(*) AS n FROM embeddings)
 g AS (SELECT DISTINCT unnest([greatest(8, CAST(floor(sqrt(n)) AS BIGINT)), greatest(8, n // 80), greatest(8, n // 60),
                                greatest(8, n // 40), greatest(8, n // 20)]) AS k FROM n)
 SELECT CAST(k AS INTEGER) AS k FROM g WHERE k < least((SELECT n FROM n), 5000)"""
+ORACLE["question_dup_edges"] = q(*REPLAY, body=f""", cand AS (
+  SELECT s.step, c.cand, (s.step - 1) * 5 + c.cand AS seq, s.docid,
+         (CAST(s.docid AS BIGINT) * 7 + 1 + c.cand * 13) % (SELECT count(*) FROM emb) AS partner
+  FROM steps s, (SELECT unnest(range(0, 5)) AS cand) c),
+cv AS (SELECT c.step, c.cand, c.seq, list_transform(generate_series(1, len(a.raw)), lambda i: a.raw[i] + b.raw[i]) AS s
+       FROM cand c JOIN emb a ON a.docid = c.docid JOIN emb b ON b.vec_id = c.partner),
+cvn AS (SELECT CAST(step AS VARCHAR) || ':' || CAST(cand AS VARCHAR) AS k, seq, list_transform(s, lambda x: x / nrm) AS qv
+        FROM (SELECT *, greatest({l_norm('s')}, 1e-12) AS nrm FROM cv))
+SELECT a.k AS later, b.k AS earlier, round(list_dot_product(a.qv, b.qv), 6) AS cos
+FROM cvn a JOIN cvn b ON b.seq < a.seq AND list_dot_product(a.qv, b.qv) >= 0.5""")

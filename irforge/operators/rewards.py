@@ -131,3 +131,40 @@ def dynamic_threshold(history: DataFrame, base: float = fixed.DEDUP_THRESHOLD, q
     quant = F.percentile(F.col("value"), F.lit(q)).over(w)
     thr = F.when(n_prev >= min_hist, F.least(F.greatest(quant, F.lit(lo)), F.lit(hi))).otherwise(F.lit(base))
     return history.withColumn("threshold", thr).withColumn("is_dup", F.col("value") >= F.col("threshold"))
+
+
+def semantic_dedup(cands: DataFrame, tau: float, key: str = "cid_key", order: str = "seq", vec: str = "qvec",
+                   max_rounds: int = 1000) -> DataFrame:
+    """M13 over a whole table: a question is a duplicate when an *accepted* earlier question has
+    cosine >= tau (greedy, first wins, in ``order``).
+
+    Edges (later -> earlier, cosine >= tau) come from the blocked kernel (output-sensitive).  The
+    greedy order is resolved by rounds: an undecided question is rejected as soon as one earlier
+    neighbour is accepted, and accepted once all earlier neighbours are rejected; questions without
+    earlier neighbours are accepted at once.  Each round is a join over the edge list, with the
+    state table written each round; the number of rounds is the longest chain of decisions.
+    Returns (key, accepted).
+    """
+    from irforge.session import materialize
+    edges = materialize(sim.block_join(cands, cands, "edges_ge", threshold=tau, left_id=key, right_id=key,
+                                       left_vec=vec, right_vec=vec, left_cols={"lorder": order},
+                                       right_cols={"rorder": order})
+                        .select(F.col("lid").alias("node"), F.col("rid").alias("prev")))
+    state = materialize(cands.select(F.col(key).cast("string").alias("node"))
+                        .join(edges.select("node").distinct().withColumn("has_prev", F.lit(True)), "node", "left")
+                        .select("node", F.when(F.col("has_prev").isNull(), F.lit(True)).alias("accepted")))
+    for _ in range(max_rounds):
+        undecided = state.where(F.col("accepted").isNull())
+        if undecided.limit(1).count() == 0:
+            break
+        prev_state = edges.join(state.select(F.col("node").alias("prev"), F.col("accepted").alias("p_acc")), "prev")
+        agg = prev_state.groupBy("node").agg(
+            F.max(F.when(F.col("p_acc") == True, 1).otherwise(0)).alias("any_acc"),  # noqa: E712
+            F.max(F.when(F.col("p_acc").isNull(), 1).otherwise(0)).alias("any_open"))
+        decided = (state.join(agg, "node", "left")
+                   .select("node", F.when(F.col("accepted").isNotNull(), F.col("accepted"))
+                                    .when(F.col("any_acc") == 1, F.lit(False))
+                                    .when(F.col("any_open") == 0, F.lit(True))
+                                    .otherwise(F.lit(None).cast("boolean")).alias("accepted")))
+        state = materialize(decided)
+    return state.select(F.col("node").alias(key), "accepted")

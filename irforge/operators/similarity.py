@@ -109,8 +109,9 @@ def _kernel(mode: str, metric: str, k: int, threshold: float, exclude_self: bool
                 keep = (V <= (kth + TIE_MARGIN)[:, None]) & ~bad
             i, j = np.nonzero(keep)
             return pd.DataFrame({"lid": lid[i], "rid": rid[j], "score": _exact(L, R, i, j, metric)})
-        if mode == "edges":
-            i, j = np.nonzero((S > threshold) & ~bad)
+        if mode in ("edges", "edges_ge"):
+            hit = (S >= threshold) if mode == "edges_ge" else (S > threshold)
+            i, j = np.nonzero(hit & ~bad)
             return pd.DataFrame({"lid": lid[i], "rid": rid[j], "score": S[i, j]})
         if mode == "count":
             cnt = ((S > threshold) & ~bad).sum(1)
@@ -153,6 +154,7 @@ def _kernel(mode: str, metric: str, k: int, threshold: float, exclude_self: bool
 _SCHEMAS = {
     "topk": "lid string, rid string, score double",
     "edges": "lid string, rid string, score double",
+    "edges_ge": "lid string, rid string, score double",
     "count": "lid string, cnt bigint",
     "rank": "lid string, cnt bigint",
     "max": "lid string, score double",

@@ -161,3 +161,20 @@ def stream_progress(spark: SparkSession, sf_dir: str, rounds: int = 5) -> DataFr
     out = spark.table(name)
     return out.select("cid", "n_steps", F.round("mean_score", R).alias("mean_score"),
                       F.round("mean_advantage", R).alias("mean_advantage"), "last_step")
+
+
+DEDUP_TEST_TAU = 0.5  # the reference's 0.90 finds no pairs among these derived embeddings
+
+
+def question_dup_edges(spark: SparkSession, sf_dir: str, tau: float = DEDUP_TEST_TAU) -> DataFrame:
+    """M13 edge list: (later, earlier, cos) for candidate pairs with cosine >= tau."""
+    from irforge.operators import similarity as sim
+    c = candidates(spark, sf_dir)
+    e = sim.block_join(c, c, "edges_ge", threshold=tau, left_id="cid_key", right_id="cid_key", left_vec="qvec",
+                       right_vec="qvec", left_cols={"lorder": "seq"}, right_cols={"rorder": "seq"})
+    return e.select(F.col("lid").alias("later"), F.col("rid").alias("earlier"), F.round("score", R).alias("cos"))
+
+
+def semantic_dedup(spark: SparkSession, sf_dir: str, tau: float = DEDUP_TEST_TAU) -> DataFrame:
+    """M13 (rows-only): greedy first-wins acceptance of every candidate question."""
+    return RW.semantic_dedup(candidates(spark, sf_dir), tau)

@@ -93,4 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "zip_positional": stp.zip_positional,
     "candidate_k_grid": stp.candidate_k_grid,
     "exemplar_sample": mp.exemplar_sample,
+    "question_dup_edges": pp.question_dup_edges,
+    "semantic_dedup": pp.semantic_dedup,
 }

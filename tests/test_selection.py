@@ -13,3 +13,24 @@ def test_selection_rounds_invariants(spark):
         assert min(w) > 0.0
         assert abs(r["best_score"] - (r["r1"] + r["r2"] + r["r3"] + r["r4"]) / 4.0) < 1e-9
         assert 0.0 <= r["r1"] <= 1.0 and r["r4"] >= 0.0
+
+
+def test_semantic_dedup_matches_sequential_greedy(spark):
+    import numpy as np
+
+    from irforge.operators.rewards import semantic_dedup
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(6, 5))
+    X = np.vstack([base[i % 6] + 0.3 * rng.normal(size=5) for i in range(30)])
+    X = X / np.linalg.norm(X, axis=1, keepdims=True)
+    rows = [(f"q{i}", i, [float(v) for v in X[i]]) for i in range(30)]
+    df = spark.createDataFrame(rows, "cid_key string, seq long, qvec array<double>")
+    tau = 0.8
+    got = {r["cid_key"]: r["accepted"] for r in semantic_dedup(df, tau).collect()}
+    bank, want = [], {}
+    for i in range(30):
+        dup = any(float(X[i] @ X[j]) >= tau for j in bank)
+        want[f"q{i}"] = not dup
+        if not dup:
+            bank.append(i)
+    assert got == want
