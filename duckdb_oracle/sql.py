@@ -630,3 +630,5 @@ cvn AS (SELECT CAST(step AS VARCHAR) || ':' || CAST(cand AS VARCHAR) AS k, seq,
         FROM (SELECT *, greatest({l_norm('s')}, 1e-12) AS nrm FROM cv))
 SELECT a.k AS later, b.k AS earlier, round(list_dot_product(a.qv, b.qv), 6) AS cos
 FROM cvn a JOIN cvn b ON b.seq < a.seq AND list_dot_product(a.qv, b.qv) >= 0.5""")
+ORACLE["sorted_selected"] = q(*REPLAY, body="""SELECT docid, CAST(row_number() OVER (ORDER BY CAST(docid AS BIGINT)) AS BIGINT) AS ord
+FROM (SELECT DISTINCT docid FROM log)""")

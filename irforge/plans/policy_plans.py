@@ -178,3 +178,11 @@ def question_dup_edges(spark: SparkSession, sf_dir: str, tau: float = DEDUP_TEST
 def semantic_dedup(spark: SparkSession, sf_dir: str, tau: float = DEDUP_TEST_TAU) -> DataFrame:
     """M13 (rows-only): greedy first-wins acceptance of every candidate question."""
     return RW.semantic_dedup(candidates(spark, sf_dir), tau)
+
+
+def sorted_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct documents chosen during the run, in document order (question-sized)."""
+    from pyspark.sql import Window
+    chosen = steps(spark, sf_dir).select("docid").distinct()
+    w = Window.orderBy(F.col("docid").cast("bigint"))
+    return chosen.select("docid", F.row_number().over(w).cast("bigint").alias("ord"))

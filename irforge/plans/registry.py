@@ -95,4 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "exemplar_sample": mp.exemplar_sample,
     "question_dup_edges": pp.question_dup_edges,
     "semantic_dedup": pp.semantic_dedup,
+    "sorted_selected": pp.sorted_selected,
 }
