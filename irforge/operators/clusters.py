@@ -134,7 +134,7 @@ def uniform_sample(df: DataFrame, n: int, seed: int, id_col: str = "docid") -> D
 
 
 def auto_select_k(df: DataFrame, seed: int = 42, sample_n: int = 5000, vec: str = "vec", id_col: str = "docid",
-                  n_init: int = 1, max_iter: int = 20):
+                  n_init: int = 10, max_iter: int = 300):
     """M2: fit each K of the grid on a seeded sample, keep the highest silhouette (first on ties).
     Returns (best_k, curve DataFrame(k, silhouette))."""
     n = df.count()
