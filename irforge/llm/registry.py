@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from irforge.llm.sharding import op3_sharding
+from irforge.llm import line_dedup, sharding
 
 LLM_QUERIES = {
-    "op3_sharding": op3_sharding,
+    "op3_sharding": sharding.op3_sharding,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
 }
 
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.SQL,
+}
