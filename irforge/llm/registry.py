@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from irforge.llm import line_dedup, sharding
+from irforge.llm import line_dedup, packing, sharding
 
 LLM_QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_packing": packing.op7_packing,
 }
 
 LLM_SQL: dict[str, str] = {
