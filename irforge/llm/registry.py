@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from irforge.llm import line_dedup, packing, sharding
+from irforge.llm import decontamination, line_dedup, packing, sharding
 
 LLM_QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_packing": packing.op7_packing,
 }
