@@ -55,3 +55,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: log2 of the bits of a broadcast bitmap (16 MB).
+BITMAP = 27
+
+
+class Bitmap:
+    """A fixed-size set of 64-bit hashes for use inside Python workers: no false negatives, some false
+    positives.  Its size does not depend on the data; a fuller map only lets more rows through."""
+
+    def __init__(self, df: DataFrame, col: str, bits: int = BITMAP):
+        slot = f"shiftrightunsigned({col}, {64 - bits})"
+        rows = df.selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, cast({slot} & 63 AS int)) AS b") \
+            .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        words = np.zeros(1 << (bits - 6), dtype=np.int64)
+        words[rows["w"].to_numpy()] = rows["b"].to_numpy()
+        self.bits, self.sent = bits, df.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        slot = h >> np.uint64(64 - self.bits)
+        return (self.sent.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)

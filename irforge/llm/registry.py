@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from irforge.llm import decontamination, line_dedup, packing, sharding
+from irforge.llm import decontamination, line_dedup, packing, sharding, substring_dedup
 
 LLM_QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_packing": packing.op7_packing,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
 LLM_SQL: dict[str, str] = {
