@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from irforge.llm import decontamination, line_dedup, packing, sharding, substring_dedup
+from irforge.llm import decontamination, line_dedup, packing, sharding, substring_dedup, url_filter
 
 LLM_QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_url_filters": url_filter.op6_url_filters,
     "op7_packing": packing.op7_packing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
 LLM_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.SQL,
+    "op6_url_filters": url_filter.SQL,
 }
