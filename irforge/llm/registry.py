@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from irforge.llm import decontamination, line_dedup, packing, sharding, substring_dedup, url_filter
+from irforge.llm import decontamination, line_dedup, packing, sharding, substring_dedup, toxicity, url_filter
 
 LLM_QUERIES = {
     "op3_sharding": sharding.op3_sharding,
@@ -11,6 +11,7 @@ LLM_QUERIES = {
     "op6_url_filters": url_filter.op6_url_filters,
     "op7_packing": packing.op7_packing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 LLM_SQL: dict[str, str] = {
