@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from irforge.llm import decontamination, line_dedup, packing, sharding, substring_dedup, toxicity, url_filter
+from irforge.llm import decontamination, language_id, line_dedup, packing, sharding, substring_dedup, toxicity, url_filter
 
 LLM_QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op3_sharding": sharding.op3_sharding,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_line_dedup": line_dedup.op5_line_dedup,
