@@ -6,8 +6,7 @@ sequence of its own, so no sequence crosses documents and none needs padding; pi
 form a bucket, from which batches of equal shape are drawn (``write_buckets``).
 
 Tokenizing needs no shuffle.  The tokenizer drops white space and never joins across it, so ids are
-remembered per white-space-separated chunk; unseen chunks are encoded together, parted by a special
-token, and the table is emptied at ``base.WORD_TABLE`` entries.
+remembered per white-space-separated chunk, in a table that is emptied at ``PARTS`` entries.
 
 Defined cases: null text is empty text, which gives one piece with the end id; a null id stays null;
 repeated rows are packed each; an empty table gives an empty result.
@@ -16,17 +15,22 @@ repeated rows are packed each; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irforge.llm.base import WORD_TABLE, documents
+from irforge.llm.base import documents
 
 MAX_LEN = 2048
 END_ID = 1
 #: Documents whose pieces leave a worker together.
-ROWS_OUT = 256
+ROWS_OUT = 2048
+#: Most entries of a worker's table.
+PARTS = 600_000
 
 
 def tokenizer_path() -> str:
@@ -36,47 +40,76 @@ def tokenizer_path() -> str:
 
 
 class ChunkTokenizer:
-    """ids of a text as little-endian uint32 bytes, equal to encoding the whole text at once."""
+    """The ids of many texts, equal to encoding each whole text at once.
 
-    SEP, SEP_ID = "<|endoftext|>", 49407
+    Most chunks between white space are letters and closing ASCII punctuation.  Either part is one
+    pre-token, whose last id alone is an end-of-word id; so many unseen parts are encoded in one
+    call, parted by spaces, and cut at those ids.  All other chunks are parts that are encoded alone.
+    """
+
+    LETTERS, SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "!-/:-@\\[-`{-~"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.table: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def learn(self, chunks: list[bytes]) -> None:
-        plain = []
-        for c in chunks:
-            if b"<|" in c and any(s in c.decode() for s in self.special):
-                self.table[c] = pa.array(self._ids(c.decode()), pa.uint32()).buffers()[1].to_pybytes()
-            else:
-                plain.append(c)
-        for i in range(0, len(plain), 4096):
-            part = plain[i:i + 4096]
-            ids, one, at = self._ids(self.SEP.join([c.decode() for c in part])), [], 0
-            for x in ids:
-                if x == self.SEP_ID:
-                    self.table[part[at]] = b"".join(one)
-                    one, at = [], at + 1
-                else:
-                    one.append(x.to_bytes(4, "little"))
-            self.table[part[at]] = b"".join(one)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.table) > WORD_TABLE:
-            self.table.clear()
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = set().union(*split).difference(self.table)
+        ends = [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.ends[ends] = True
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 2000):
+            some = parts[i:i + 2000]
+            ids = self._encode(" ".join(some))
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stop) != len(some):
+                raise ValueError("the tokenizer has no end-of-word ids")
+            raw = ids.tobytes()
+            self.parts.update(zip(some, [raw[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist())]))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and where each text's begin (with the end of the last)."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        begin = words.offsets.to_numpy().astype(np.int64)
+        coded = words.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+        begin = begin - begin[0]
+        chunk = coded.dictionary
+        plain = pc.match_substring_regex(chunk, f"^[{self.LETTERS}]*[{self.SIGNS}]*$")
+        letters = pc.if_else(plain, pc.utf8_lower(pc.replace_substring_regex(chunk, f"[{self.SIGNS}]+$", "")), chunk)
+        signs = pc.if_else(plain, pc.replace_substring_regex(chunk, f"^[{self.LETTERS}]+", ""), "")
+        both = pa.chunked_array([letters, signs]).combine_chunks().dictionary_encode()
+        part = both.dictionary.to_pylist()
+        if len(self.parts) > PARTS:
+            self.parts = {"": b""}
+        new = [x for x in part if x not in self.parts]
         if new:
-            self.learn(list(new))
-        get = self.table.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            one_by_one = set(letters.filter(pc.invert(plain)).to_pylist())
+            for x in one_by_one.intersection(new):
+                self.parts[x] = self._encode(x).tobytes()
+            self._learn([x for x in new if x not in one_by_one])
+        raw = [self.parts[x] for x in part]
+        size = np.array([len(r) for r in raw], dtype=np.int64) // 4
+        flat = np.frombuffer(b"".join(raw), dtype="<u4")
+        first = np.cumsum(size) - size
+        # the parts of every word in order: its letters, then its signs
+        halves = both.indices.to_numpy(zero_copy_only=False).reshape(2, -1)
+        index = halves[:, coded.indices.to_numpy(zero_copy_only=False)].T.ravel()
+        n = size[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        some = np.flatnonzero(n)
+        index, n, at = index[some], n[some], ends[:-1][some]
+        ids = flat[np.repeat(first[index] - at, n) + np.arange(ends[-1])]
+        return ids, ends[2 * begin]
+
+
+@lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> ChunkTokenizer:
+    """Kept by a Python worker from task to task."""
+    return ChunkTokenizer(path)
 
 
 def binary_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -95,14 +128,16 @@ def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_i
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(path)
+        tok = worker_tokenizer(path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(at, ROWS_OUT)
                 row, start, length, ids, total = [], [], [], [], []
-                for r, b in enumerate(tok([t or "" for t in part.column(1).to_pylist()])):
-                    b += end
+                flat, begin = tok(part.column(1))
+                raw, begin = flat.tobytes(), (begin * 4).tolist()
+                for r in range(part.num_rows):
+                    b = raw[begin[r]:begin[r + 1]] + end
                     place = 0
                     for n in binary_lengths(len(b) // 4, max_len):
                         row.append(r)
