@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from irforge.llm import decontamination, language_id, line_dedup, packing, sharding, substring_dedup, toxicity, url_filter
+from irforge.llm import decontamination, fingerprints, language_id, line_dedup, packing, sharding, substring_dedup, toxicity, url_filter
 
 LLM_QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -13,6 +13,7 @@ LLM_QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
 LLM_SQL: dict[str, str] = {
