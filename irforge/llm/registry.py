@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from irforge.llm import decontamination, fingerprints, language_id, line_dedup, packing, sharding, substring_dedup, toxicity, url_filter
+from irforge.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, packing, sharding, substring_dedup, toxicity, url_filter
 
 LLM_QUERIES = {
+    "op1_ngram_jaccard_join": jaccard_join.op1_ngram_jaccard_join,
     "op2_language_id": language_id.op2_language_id,
     "op3_sharding": sharding.op3_sharding,
     "op4_decontamination": decontamination.op4_decontamination,
@@ -17,6 +18,7 @@ LLM_QUERIES = {
 }
 
 LLM_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": jaccard_join.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op6_url_filters": url_filter.SQL,
 }
