@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: log2 of the bits of a broadcast bitmap (16 MB).
 BITMAP = 27
+#: log2 of the 64-bit words of a page, in which a bitmap comes to the driver.
+PAGE = 12
 
 
 class Bitmap:
@@ -67,11 +70,18 @@ class Bitmap:
 
     def __init__(self, df: DataFrame, col: str, bits: int = BITMAP):
         slot = f"shiftrightunsigned({col}, {64 - bits})"
-        rows = df.selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, cast({slot} & 63 AS int)) AS b") \
-            .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-        words = np.zeros(1 << (bits - 6), dtype=np.int64)
-        words[rows["w"].to_numpy()] = rows["b"].to_numpy()
-        self.bits, self.sent = bits, df.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+        words = df.selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, cast({slot} & 63 AS int)) AS b") \
+            .groupBy("w").agg(F.bit_or("b").alias("b")).withColumn("page", F.shiftright("w", PAGE))
+
+        def pack(rows: pd.DataFrame) -> pd.DataFrame:
+            page = np.zeros(1 << PAGE, dtype=np.int64)
+            page[rows["w"].to_numpy() & ((1 << PAGE) - 1)] = rows["b"].to_numpy()
+            return pd.DataFrame({"page": rows["page"][:1], "bits": [page.tobytes()]})
+
+        out = np.zeros(1 << (bits - 6), dtype=np.int64)
+        for page, raw in words.groupBy("page").applyInPandas(pack, "page long, bits binary").toLocalIterator():
+            out[page << PAGE:(page + 1) << PAGE] = np.frombuffer(raw, dtype=np.int64)
+        self.bits, self.sent = bits, df.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
     def has(self, h: np.ndarray) -> np.ndarray:
         slot = h >> np.uint64(64 - self.bits)
