@@ -221,22 +221,25 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
     return out
 
 
+def _clean(sent, max_edits: float):
+    """A column function text -> whether it leaks none of the broadcast items."""
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = Matcher(sent.value, max_edits)
+        for texts in batches:
+            ok = np.ones(len(texts), dtype=bool)
+            for at in range(0, len(texts), ROWS):
+                for g in m.search(texts.iloc[at:at + ROWS].tolist()):
+                    ok[at + g[0]] = False
+            yield pd.Series(ok)
+
+    return clean
+
+
 def drop_leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
     """``docs`` without the documents that leak an item."""
     for part in item_slices(items):
-        sent = docs.sparkSession.sparkContext.broadcast(part)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            m = Matcher(sent.value, max_edits)
-            for texts in batches:
-                ok = np.ones(len(texts), dtype=bool)
-                for at in range(0, len(texts), ROWS):
-                    for g in m.search(texts.iloc[at:at + ROWS].tolist()):
-                        ok[at + g[0]] = False
-                yield pd.Series(ok)
-
-        docs = docs.where(clean("text"))
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(part), max_edits)("text"))
     return docs
 
 
