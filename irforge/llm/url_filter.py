@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence.
 
 A url's host and path meet the rules by an equi-join on every suffix of the host; the longest rule
-that fits is the url's own.  Urls without a rule take the decision of their aliases: connected
+that fits is the url's own.  Link targets are judged like the pages' own urls.  Urls without a rule take the decision of their aliases: connected
 components run over redirect edges (a url to its usual redirect target: https, no www. or m. label,
 no fragment, no tracking parameters, no closing slash or .html; and meta refreshes) and canonical-link
 edges of the pages' html.  A component with an explicitly blocked alias is blocked for all aliases
@@ -63,17 +63,16 @@ def link_targets(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, url, host, path, rule, verdict) for every page; rules(rule_host, rule_path, rule_verdict)."""
     url = F.col("url")
-    urls = pages.select("url").where("url is not null").distinct().select("url", host_of(url).alias("host"), path_of(url).alias("path"))
+    links = link_targets(pages)
+    urls = pages.select("url").where("url is not null").union(links.select("target")).distinct().select("url", host_of(url).alias("host"), path_of(url).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = urls.where("host != ''").select("url", "path", F.explode(suffixes).alias("rule_host")).join(rules, "rule_host") \
         .where(F.col("path").startswith(F.col("rule_path"))).withColumn("rule", F.concat("rule_host", "rule_path"))
     own = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_verdict")).alias("best"))
     own = materialize(urls.join(own, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("own")))
-    links = link_targets(pages)
     edges = own.select(url.alias("a"), redirect_target(url).alias("b")) \
-        .unionByName(links.select(url.alias("a"), F.col("target").alias("b"))) \
-        .unionByName(links.select(F.col("target").alias("a"), redirect_target(F.col("target")).alias("b")))
+        .unionByName(links.select(url.alias("a"), F.col("target").alias("b")))
     member = own.join(connected_components(edges).withColumnRenamed("node", "url"), "url", "left") \
         .withColumn("component", F.coalesce("component", "url"))
     decided = member.where("own is not null").groupBy("component").agg(F.max(F.when(F.col("own") == "block", 1).otherwise(0)).alias("blocked"), F.max(F.when(F.col("own") == "allow", 1).otherwise(0)).alias("allowed"))
@@ -98,8 +97,6 @@ WITH RECURSIVE p AS (
 h AS (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
 rules(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-own AS (SELECT url, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
-        FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY url),
 found AS (SELECT url, host, regexp_extract(regexp_extract(html, '<link\s[^>]*rel\s*=\s*["'']?canonical["'']?[^>]*>', 0, 'i'), 'href\s*=\s*["'']?([^"''\s>]+)', 1, 'i') AS t FROM h
           UNION SELECT url, host, regexp_extract(html, '<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*url\s*=\s*["'']?([^"''\s>]+)', 1, 'i') FROM h),
 links AS (SELECT url, CASE WHEN strpos(t, '://') > 0 THEN t WHEN starts_with(t, '/') THEN 'https://' || host || t END AS t FROM found),
@@ -108,6 +105,9 @@ cut AS (SELECT u, substr(u, strpos(u, '://') + 3) AS r FROM src WHERE strpos(u,
 canon AS (SELECT u, 'https://' || regexp_replace(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(www|m)\.', '')
                  || regexp_replace(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '(/|\.html)$', '') AS base,
                  array_to_string(list_filter(string_split(regexp_extract(r, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: NOT regexp_matches(x, '^(utm_[^=]*|ref)(=|$)') AND x <> ''), '&') AS q FROM cut),
+split AS (SELECT u AS url, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+own AS (SELECT url, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS rv
+        FROM split JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY url),
 e AS (SELECT u AS a, base || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS b FROM canon UNION SELECT url, t FROM links WHERE url IS NOT NULL AND t IS NOT NULL),
 s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(node, root) AS (SELECT a, a FROM s UNION SELECT s.b, reach.root FROM reach JOIN s ON s.a = reach.node),
