@@ -77,7 +77,7 @@ def with_next(df: DataFrame, columns: list[str], tie: str = "text") -> DataFrame
     low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     buckets = max(1, min(MAX_BUCKETS, n // ROWS_PER_BUCKET))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    place = F.floor((F.lit(high or 0).cast("decimal(20,0)") - F.col("doc_id")) / width).cast("long")
+    place = F.expr(f"(cast('{high or 0}' AS decimal(38,0)) - doc_id) div cast('{width}' AS decimal(38,0))")
     df = df.withColumn("_b", F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64(tie), F.lit(buckets))).otherwise(place))
     tops = [tuple(r) for r in df.where("doc_id is not null").groupBy("_b").agg(F.max("doc_id")).orderBy("_b").collect()]  # MAX_BUCKETS rows at most
     bounds = [(b, top, tops[i - 1][0]) for i, (b, top) in enumerate(tops)]
