@@ -34,7 +34,7 @@ CTE = {
   FROM documents)""",
     "docs": """docs AS (SELECT CAST(doc_id AS VARCHAR) AS docid, text AS doctext FROM documents)""",
     "queries": f"""queries AS (
-  SELECT CAST(item_id AS VARCHAR) AS qid, array_to_string({py_split('text')}[1:6], ' ') AS query FROM benchmark)""",
+  SELECT CAST(item_id AS VARCHAR) AS qid, text AS query FROM benchmark)""",
     "qrels": """qrels AS (
   SELECT DISTINCT CAST(b.item_id AS VARCHAR) AS qid, CAST(d.doc_id AS VARCHAR) AS docid, 1 AS rel
   FROM benchmark b JOIN documents d ON strpos(d.text, b.text) > 0)""",
@@ -224,7 +224,7 @@ FROM range(0, (SELECT max(cid) + 1 FROM unit)) r LEFT JOIN (SELECT cid, count(*)
 ORACLE["cluster_means"] = q("unit", "means", body=f"""SELECT cid, round(center[1], 6) AS c1, round({checksum('center')}, 6) AS checksum FROM ucm""")
 ORACLE["nearest_centroid"] = q("unit", "means", body="""SELECT docid, cid, dist FROM (
   SELECT u.docid, c.cid, round(list_distance(u.raw, c.rcenter), 6) AS dist,
-         row_number() OVER (PARTITION BY u.docid ORDER BY round(list_distance(u.raw, c.rcenter), 6), CAST(c.cid AS VARCHAR)) AS rn
+         row_number() OVER (PARTITION BY u.docid ORDER BY round(list_distance(u.raw, c.rcenter), 6), c.cid) AS rn
   FROM unit u, ucm c) WHERE rn = 1""")
 ORACLE["medoid_per_cluster"] = q("unit", "means", body="""SELECT cid, docid, dist FROM (
   SELECT c.cid, u.docid, round(list_distance(u.raw, c.rcenter), 6) AS dist,
@@ -232,7 +232,7 @@ ORACLE["medoid_per_cluster"] = q("unit", "means", body="""SELECT cid, docid, dis
   FROM unit u, ucm c) WHERE rn = 1""")
 ORACLE["nearest_cluster"] = q("unit", "means", body="""SELECT cid, near_cid, sim FROM (
   SELECT a.cid, b.cid AS near_cid, round(list_dot_product(a.center, b.center), 6) AS sim,
-         row_number() OVER (PARTITION BY a.cid ORDER BY round(list_dot_product(a.center, b.center), 6) DESC, CAST(b.cid AS VARCHAR)) AS rn
+         row_number() OVER (PARTITION BY a.cid ORDER BY round(list_dot_product(a.center, b.center), 6) DESC, b.cid) AS rn
   FROM ucm a JOIN ucm b ON a.cid <> b.cid) WHERE rn = 1""")
 ORACLE["cosine_sse"] = q("unit", "means", body="""SELECT round(sum(pow(1.0 - list_cosine_similarity(u.raw, c.rcenter), 2)), 6) AS sse
 FROM unit u JOIN ucm c ON c.cid = u.cid""")
@@ -503,19 +503,19 @@ ORACLE["reward_curve"] = _recursive(*REPLAY, pol=_policy_sql("ema"), body="""SEL
 FROM log l JOIN pol p ON p.step = l.step GROUP BY 1""")
 ORACLE["rank_reward"] = q(*REPLAY, body=""", own AS (SELECT s.step, s.docid, s.qvec, list_dot_product(s.qvec, u.vec) AS own FROM steps s JOIN unit u ON u.docid = s.docid),
 cnt AS (SELECT o.step, count(c.docid) AS cnt FROM own o LEFT JOIN de c ON c.docid <> o.docid AND
-          (list_dot_product(o.qvec, c.vec) > o.own OR (list_dot_product(o.qvec, c.vec) = o.own AND c.docid < o.docid)) GROUP BY o.step),
+          (round(list_dot_product(o.qvec, c.vec), 6) > round(o.own, 6) OR (round(list_dot_product(o.qvec, c.vec), 6) = round(o.own, 6) AND c.docid < o.docid)) GROUP BY o.step),
 rk AS (SELECT o.step, o.docid, least(coalesce(cnt.cnt, 0) + 1, 101) AS rank FROM own o LEFT JOIN cnt ON cnt.step = o.step)
 SELECT step, docid, CAST(rank AS BIGINT) AS rank, round(exp(-(rank - 1) / 18.0), 6) AS r1 FROM rk""")
 ORACLE["discriminative_reward"] = q(*REPLAY, body=""", ncl AS (SELECT cid, near_cid FROM (
   SELECT a.cid, b.cid AS near_cid, row_number() OVER (PARTITION BY a.cid ORDER BY round(list_dot_product(a.c, b.c), 6) DESC,
-         CAST(b.cid AS VARCHAR)) AS rn
+         b.cid) AS rn
   FROM (SELECT cid, list_transform(center, lambda x: x / greatest(sqrt(list_sum(list_transform(center, lambda y: y * y))), 1e-12)) AS c FROM dm) a
   JOIN (SELECT cid, list_transform(center, lambda x: x / greatest(sqrt(list_sum(list_transform(center, lambda y: y * y))), 1e-12)) AS c FROM dm) b
     ON a.cid <> b.cid) WHERE rn = 1),
-sx AS (SELECT s.step, s.docid, s.cid, n.near_cid, s.qvec, list_dot_product(s.qvec, u.vec) AS cos_qp
-       FROM steps s JOIN ncl n ON n.cid = s.cid JOIN unit u ON u.docid = s.docid),
+sx AS (SELECT s.step, s.docid, s.cid, coalesce(n.near_cid, s.cid) AS near_cid, s.qvec, list_dot_product(s.qvec, u.vec) AS cos_qp
+       FROM steps s LEFT JOIN ncl n ON n.cid = s.cid JOIN unit u ON u.docid = s.docid),
 same AS (SELECT sx.step, max(list_dot_product(sx.qvec, d.vec)) AS cos_same FROM sx JOIN de d ON d.cid = sx.cid AND d.docid <> sx.docid GROUP BY sx.step),
-nearm AS (SELECT sx.step, max(list_dot_product(sx.qvec, d.vec)) AS cos_near FROM sx JOIN de d ON d.cid = sx.near_cid AND d.docid <> sx.docid GROUP BY sx.step)
+nearm AS (SELECT sx.step, max(list_dot_product(sx.qvec, d.vec)) AS cos_near FROM sx JOIN de d ON d.cid = sx.near_cid AND (d.docid <> sx.docid OR sx.near_cid = sx.cid) GROUP BY sx.step)
 SELECT sx.step, sx.docid, round(cos_qp, 6) AS cos_qp, round(coalesce(cos_same, cos_qp), 6) AS cos_same,
   round(coalesce(cos_near, cos_qp), 6) AS cos_near,
   round(cos_qp * (1 - coalesce(cos_same, cos_qp)) * (1 - coalesce(cos_near, cos_qp)), 6) AS r2

@@ -40,7 +40,7 @@ def cluster_means(assign: DataFrame, vec: str = "vec", cid: str = "cid", normali
 def nearest_centroid(docs: DataFrame, centers: DataFrame, vec: str = "vec", id_col: str = "docid",
                      cid: str = "cid") -> DataFrame:
     """(docid, cid, dist) nearest centre by Euclidean distance (ties by smaller cid)."""
-    t = sim.topk(docs, centers.select(F.col(cid).cast("string").alias("__c"), F.col("center")), 1, metric="l2",
+    t = sim.topk(docs, centers.select(F.format_string("%010d", F.col(cid)).alias("__c"), F.col("center")), 1, metric="l2",
                  left_id=id_col, right_id="__c", left_vec=vec, right_vec="center")
     return t.select(F.col("lid").alias(id_col), F.col("rid").cast("int").alias(cid), F.col("score").alias("dist"))
 
@@ -48,14 +48,14 @@ def nearest_centroid(docs: DataFrame, centers: DataFrame, vec: str = "vec", id_c
 def medoid_per_cluster(docs: DataFrame, centers: DataFrame, vec: str = "vec", id_col: str = "docid",
                        cid: str = "cid") -> DataFrame:
     """(cid, docid, dist) the corpus document nearest to each centre (any cluster)."""
-    t = sim.topk(centers.select(F.col(cid).cast("string").alias("__c"), "center"), docs, 1, metric="l2",
+    t = sim.topk(centers.select(F.format_string("%010d", F.col(cid)).alias("__c"), "center"), docs, 1, metric="l2",
                  left_id="__c", right_id=id_col, left_vec="center", right_vec=vec)
     return t.select(F.col("lid").cast("int").alias(cid), F.col("rid").alias(id_col), F.col("score").alias("dist"))
 
 
 def nearest_cluster(centers: DataFrame, cid: str = "cid") -> DataFrame:
     """(cid, near_cid, sim) the other cluster whose (unit) centre has the highest cosine."""
-    c = centers.select(F.col(cid).cast("string").alias("__c"), "center")
+    c = centers.select(F.format_string("%010d", F.col(cid)).alias("__c"), "center")
     t = sim.topk(c, c, 1, left_id="__c", right_id="__c", left_vec="center", right_vec="center", exclude_self=True)
     return t.select(F.col("lid").cast("int").alias(cid), F.col("rid").cast("int").alias("near_cid"), F.col("score").alias("sim"))
 
@@ -120,12 +120,10 @@ def silhouette(sample: DataFrame, vec: str = "vec", id_col: str = "docid", cid:
     return ab.agg(F.avg(s).alias("silhouette"))
 
 
-def candidate_k_grid(n: int, sample_n: int | None = None) -> list[int]:
-    """sorted distinct {sqrt N, N//80, N//60, N//40, N//20}, each >= 8, kept when k < N
-    (and k < sample size, since the fits run on the sample)."""
+def candidate_k_grid(n: int) -> list[int]:
+    """sorted distinct {sqrt N, N//80, N//60, N//40, N//20}, each >= 8, kept when k < N."""
     ks = sorted({max(8, int(math.sqrt(n))), max(8, n // 80), max(8, n // 60), max(8, n // 40), max(8, n // 20)})
-    lim = min(n, sample_n) if sample_n else n
-    return [k for k in ks if k < lim]
+    return [k for k in ks if k < n]
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int, id_col: str = "docid") -> DataFrame:
@@ -136,22 +134,20 @@ def uniform_sample(df: DataFrame, n: int, seed: int, id_col: str = "docid") -> D
 def auto_select_k(df: DataFrame, seed: int = 42, sample_n: int = 5000, vec: str = "vec", id_col: str = "docid",
                   n_init: int = 10, max_iter: int = 300):
     """M2: fit each K of the grid on a seeded sample, keep the highest silhouette (first on ties).
-    Returns (best_k, curve DataFrame(k, silhouette))."""
+
+    The sample has at least ``sample_n`` rows and four times the largest K, so no candidate is lost on
+    a large collection.  Returns (best_k, curve DataFrame(k, silhouette))."""
     n = df.count()
-    sample = uniform_sample(df, min(sample_n, n), seed, id_col).select(id_col, vec)
-    ks = candidate_k_grid(n, min(sample_n, n))
+    ks = candidate_k_grid(n)
+    sample = uniform_sample(df, min(max(sample_n, 4 * max(ks, default=0)), n), seed, id_col).select(id_col, vec)
     if not ks:
         raise ValueError("empty K grid: need more than 8 documents")
     rows = []
     for k in ks:
         model = kmeans_fit(sample, k, seed, max_iter=max_iter, vec=vec, n_init=n_init)
         a = kmeans_assign(sample, model, vec)
-        try:
-            sc = silhouette(a, vec, id_col).first()["silhouette"]
-            sc = -1.0 if sc is None else float(sc)
-        except Exception:
-            sc = -1.0
-        rows.append((k, sc))
+        sc = silhouette(a, vec, id_col).first()["silhouette"]
+        rows.append((k, -1.0 if sc is None else float(sc)))
     best = max(rows, key=lambda r: (r[1], -ks.index(r[0])))[0]
     return best, df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 

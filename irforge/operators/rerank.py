@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from irforge.operators import evaluation as ev
 from irforge.operators.common import bounded_broadcast
-from irforge.operators.lexical import explode_tfs, with_term_frequencies
+from irforge.operators.lexical import with_term_frequencies
 
 
 def two_logit_log_softmax(a: Column, b: Column) -> Column:
@@ -22,22 +22,19 @@ def two_logit_log_softmax(a: Column, b: Column) -> Column:
 def tf_cosine_scores(pairs: DataFrame, id_col: str = "docid") -> DataFrame:
     """Bundled lexical scorer: cosine of term-count vectors of query and passage text.
 
-    ``pairs``: (qid, query, docid, text).  Term counts come from in-row sorting; the only shuffle is
-    the (qid, term) join between passage terms and that query's terms.
+    ``pairs``: (qid, query, docid, text).  Every distinct passage and query is tokenised once; term
+    counts come back to the pairs by id, and the dot product is taken inside the row over the query's
+    terms, so no terms are exploded or shuffled.
     """
-    # each pooled passage is tokenised once, however many queries retrieved it
-    p = with_term_frequencies(pairs.select(id_col, "text").dropDuplicates([id_col]), "text", out_col="tfs")
-    p = p.withColumn("dn", F.sqrt(F.aggregate("tfs", F.lit(0.0), lambda acc, x: acc + x["tf"] * x["tf"])))
-    p = pairs.select("qid", id_col).join(p.drop("text"), id_col)
-    q = with_term_frequencies(pairs.select("qid", "query").distinct(), "query", out_col="tfs")
-    q = q.withColumn("qn", F.sqrt(F.aggregate("tfs", F.lit(0.0), lambda acc, x: acc + x["tf"] * x["tf"])))
-    pt = explode_tfs(p, ["qid", id_col, "dn"])
-    qt = explode_tfs(q, ["qid", "qn"]).withColumnRenamed("tf", "qtf")
-    dots = pt.join(qt, ["qid", "term"]).groupBy("qid", id_col).agg(
-        F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.first("dn").alias("dn"), F.first("qn").alias("qn"))
-    base = pairs.select("qid", id_col)
-    s = base.join(dots, ["qid", id_col], "left")
-    return s.select("qid", id_col, F.coalesce(F.try_divide(F.col("dot"), F.col("dn") * F.col("qn")), F.lit(0.0)).alias("cos"))
+    def counted(df: DataFrame, key: str, text: str, tfs: str, norm: str) -> DataFrame:
+        t = with_term_frequencies(df.select(key, text).dropDuplicates([key]), text, out_col=tfs).drop(text)
+        return t.withColumn(norm, F.sqrt(F.aggregate(tfs, F.lit(0.0), lambda acc, x: acc + x["tf"] * x["tf"])))
+
+    p = counted(pairs, id_col, "text", "tfs", "dn").withColumn("counts", F.map_from_entries("tfs")).drop("tfs")
+    q = counted(pairs, "qid", "query", "qtfs", "qn")
+    s = pairs.select("qid", id_col).join(q, "qid").join(p, id_col)
+    dot = F.aggregate("qtfs", F.lit(0.0), lambda acc, x: acc + x["tf"] * F.coalesce(F.try_element_at("counts", x["term"]), F.lit(0)))
+    return s.select("qid", id_col, F.coalesce(F.try_divide(dot, F.col("dn") * F.col("qn")), F.lit(0.0)).alias("cos"))
 
 
 def rerank(pairs: DataFrame, scorer: str | Callable = "tf_cosine", id_col: str = "docid") -> DataFrame:

@@ -33,10 +33,13 @@ def discriminative_reward(steps: DataFrame, corpus: DataFrame, near: DataFrame)
     """J11 + M9: hardest document of the own cluster (other than the source) and of the nearest
     other cluster; an empty pool falls back to the source document; r2 = cos(q,p)(1-cos_same)(1-cos_near).
 
+    A cluster without another one (a single cluster) is its own nearest cluster, and that pool holds
+    the source document too.
+
     ``near``: (cid, near_cid) from J12.  The blocked kernel returns only the best match per
     (step, allowed cluster), never the pairs.
     """
-    st = (steps.join(near, "cid")
+    st = (steps.join(near, "cid", "left").withColumn("near_cid", F.coalesce("near_cid", "cid"))
                .join(corpus.select("docid", F.col("vec").alias("pvec")), "docid")
                .withColumn("sid", F.col("step").cast("string"))
                .withColumn("groups", F.array(F.col("cid"), F.col("near_cid"))))
@@ -48,7 +51,7 @@ def discriminative_reward(steps: DataFrame, corpus: DataFrame, near: DataFrame)
     j = (st.select("step", "docid", "cid", "near_cid", dot("qvec", "pvec").alias("cos_qp"))
            .join(same, ["step", "cid"], "left").join(nearb, ["step", "near_cid"], "left"))
     cs = F.coalesce(F.col("cos_same"), F.col("cos_qp"))
-    cn = F.coalesce(F.col("cos_near"), F.col("cos_qp"))
+    cn = F.when(F.col("near_cid") == F.col("cid"), F.greatest("cos_near", "cos_qp")).otherwise(F.coalesce(F.col("cos_near"), F.col("cos_qp")))
     return j.select("step", "docid", "cos_qp", cs.alias("cos_same"), cn.alias("cos_near"),
                     (F.col("cos_qp") * (1.0 - cs) * (1.0 - cn)).alias("r2"))
 
@@ -133,8 +136,7 @@ def dynamic_threshold(history: DataFrame, base: float = fixed.DEDUP_THRESHOLD, q
     return history.withColumn("threshold", thr).withColumn("is_dup", F.col("value") >= F.col("threshold"))
 
 
-def semantic_dedup(cands: DataFrame, tau: float, key: str = "cid_key", order: str = "seq", vec: str = "qvec",
-                   max_rounds: int = 1000) -> DataFrame:
+def semantic_dedup(cands: DataFrame, tau: float, key: str = "cid_key", order: str = "seq", vec: str = "qvec") -> DataFrame:
     """M13 over a whole table: a question is a duplicate when an *accepted* earlier question has
     cosine >= tau (greedy, first wins, in ``order``).
 
@@ -142,7 +144,8 @@ def semantic_dedup(cands: DataFrame, tau: float, key: str = "cid_key", order: st
     greedy order is resolved by rounds: an undecided question is rejected as soon as one earlier
     neighbour is accepted, and accepted once all earlier neighbours are rejected; questions without
     earlier neighbours are accepted at once.  Each round is a join over the edge list, with the
-    state table written each round; the number of rounds is the longest chain of decisions.
+    state table written each round.  Rounds go on until none is undecided: the earliest undecided
+    question is decided in every round, so the loop ends, and no question stays without a decision.
     Returns (key, accepted).
     """
     from irforge.session import materialize
@@ -153,7 +156,7 @@ def semantic_dedup(cands: DataFrame, tau: float, key: str = "cid_key", order: st
     state = materialize(cands.select(F.col(key).cast("string").alias("node"))
                         .join(edges.select("node").distinct().withColumn("has_prev", F.lit(True)), "node", "left")
                         .select("node", F.when(F.col("has_prev").isNull(), F.lit(True)).alias("accepted")))
-    for _ in range(max_rounds):
+    while True:
         undecided = state.where(F.col("accepted").isNull())
         if undecided.limit(1).count() == 0:
             break

@@ -8,8 +8,11 @@ margin, a count above a threshold, edges above a threshold, a masked maximum, or
 inside allowed groups.  Nothing is collected to the driver; a block pair is at most
 ``block_rows`` x ``block_rows`` doubles; each left row is replicated once per right block.
 
-Scores are raw doubles; callers round to 6 decimals and re-rank with id tie-breaks in Spark, so
-the per-block candidate lists keep everything within 1e-6 of the k-th value.
+When one side is small (its vectors' bytes are checked), it is sent to all workers instead and the
+other side is scanned in place: a corpus is then neither shuffled nor replicated.
+
+Top-k scores are rounded to 6 decimals and cut by (score, id) inside the kernel, then merged by a
+two-phase top-k in Spark; rank counts compare scores rounded to 6 decimals.
 """
 
 from __future__ import annotations
@@ -18,12 +21,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from irforge.operators.common import topk_per_group
+
 BLOCK_ROWS = 2048
 MIN_BLOCKS = 4          # at least 4 x 4 block pairs, so small inputs still use several tasks
 TIE_MARGIN = 1e-6
+# A side whose vectors take no more than this (rows counted, times dimension) is sent to all workers.
+BROADCAST_BYTES = 32 << 20
 
 
 def n_blocks(n: int, block_rows: int = BLOCK_ROWS, min_blocks: int = MIN_BLOCKS) -> int:
@@ -98,17 +105,18 @@ def _kernel(mode: str, metric: str, k: int, threshold: float, exclude_self: bool
             G = np.vstack([np.asarray(g, dtype=np.int64) for g in lp["lgroups"].to_numpy()])
             bad |= ~(rg[None, :, None] == G[:, None, :]).any(2)
         if mode == "topk":
-            big = metric != "l2"
-            V = np.where(bad, -np.inf if big else np.inf, S)
-            kk = min(k, V.shape[1])
-            if big:
-                kth = -np.partition(-V, kk - 1, axis=1)[:, kk - 1]
-                keep = (V >= (kth - TIE_MARGIN)[:, None]) & ~bad
-            else:
-                kth = np.partition(V, kk - 1, axis=1)[:, kk - 1]
-                keep = (V <= (kth + TIE_MARGIN)[:, None]) & ~bad
-            i, j = np.nonzero(keep)
-            return pd.DataFrame({"lid": lid[i], "rid": rid[j], "score": _exact(L, R, i, j, metric)})
+            sign = -1.0 if metric != "l2" else 1.0
+            V = np.where(bad, np.inf, sign * S)
+            kth = np.partition(V, min(k, V.shape[1]) - 1, axis=1)[:, min(k, V.shape[1]) - 1]
+            i, j = np.nonzero((V <= (kth + TIE_MARGIN)[:, None]) & ~bad)
+            score = np.round(_exact(L, R, i, j, metric), 6)
+            # ties are cut here by id, so at most k rows of each left row leave the kernel
+            place = np.empty(len(rid), dtype=np.int64)
+            place[np.argsort(rid, kind="stable")] = np.arange(len(rid))
+            order = np.lexsort((place[j], sign * score, i))
+            i, j, score = i[order], j[order], score[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+            return pd.DataFrame({"lid": lid[i[first]], "rid": rid[j[first]], "score": score[first]})
         if mode in ("edges", "edges_ge"):
             hit = (S >= threshold) if mode == "edges_ge" else (S > threshold)
             i, j = np.nonzero(hit & ~bad)
@@ -117,8 +125,10 @@ def _kernel(mode: str, metric: str, k: int, threshold: float, exclude_self: bool
             cnt = ((S > threshold) & ~bad).sum(1)
             return pd.DataFrame({"lid": lid, "cnt": cnt.astype(np.int64)})
         if mode == "rank":  # how many right rows beat the left row's own score (ties by smaller id)
-            own = lp["lthr"].to_numpy()[:, None]
+            # own scores come from another routine: equal vectors are equal only after rounding
+            own = np.round(lp["lthr"].to_numpy().astype(np.float64), 6)[:, None]
             pos = lp["lexcl"].to_numpy()[:, None]
+            S = np.round(S, 6)
             better = (S > own) | ((S == own) & (rid[None, :] < pos))
             cnt = (better & ~bad).sum(1)
             return pd.DataFrame({"lid": lid, "cnt": cnt.astype(np.int64)})
@@ -163,6 +173,20 @@ _SCHEMAS = {
 }
 
 
+def _scan(small: DataFrame, large: DataFrame, fn, schema: str) -> DataFrame:
+    """Kernel results of every chunk of ``large`` against the whole of ``small``; only ``small`` moves."""
+    sent = small.sparkSession.sparkContext.broadcast(small.toPandas())
+
+    def scan(batches):
+        own = sent.value
+        for batch in batches:
+            for i in range(0, len(batch), BLOCK_ROWS):
+                for j in range(0, len(own), BLOCK_ROWS):
+                    yield fn(own.iloc[j:j + BLOCK_ROWS], batch.iloc[i:i + BLOCK_ROWS])
+
+    return large.mapInPandas(scan, schema)
+
+
 def block_join(left: DataFrame, right: DataFrame, mode: str, *, left_id: str = "docid", right_id: str = "docid",
                left_vec: str = "vec", right_vec: str = "vec", metric: str = "ip", k: int = 10,
                threshold: float = 0.0, exclude_self: bool = False, left_cols: dict[str, str] | None = None,
@@ -177,13 +201,17 @@ def block_join(left: DataFrame, right: DataFrame, mode: str, *, left_id: str = "
                     *[F.col(c).alias(a) for a, c in left_cols.items()])
     R = right.select(F.col(right_id).cast("string").alias("rid"), F.col(right_vec).cast("array<double>").alias("rvec"),
                      *[F.col(c).alias(a) for a, c in right_cols.items()])
+    schema = _SCHEMAS[mode]
+    fn = _kernel(mode, metric, k, threshold, exclude_self, [], schema)
+    if min(nl, nr) == 0:
+        return left.sparkSession.createDataFrame([], schema)
+    dim = (left if nl <= nr else right).select(F.size(left_vec if nl <= nr else right_vec)).first()[0]
+    if min(nl, nr) * max(1, dim) * 8 <= BROADCAST_BYTES:
+        return _scan(L, R, fn, schema) if nl <= nr else _scan(R, L, lambda r, l: fn(l, r), schema)
     L = (L.withColumn("lb", F.pmod(F.xxhash64("lid"), F.lit(bl)))
           .withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(br - 1).cast("long")))))
     R = (R.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(br)))
           .withColumn("lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bl - 1).cast("long")))))
-    schema = _SCHEMAS[mode]
-    out_cols = [c.split()[0] for c in schema.split(", ")]
-    fn = _kernel(mode, metric, k, threshold, exclude_self, out_cols, schema)
     return L.groupBy("lb", "rb").cogroup(R.groupBy("lb", "rb")).applyInPandas(fn, schema)
 
 
@@ -191,9 +219,7 @@ def topk(left: DataFrame, right: DataFrame, k: int, metric: str = "ip", **kw) ->
     """Exact top-k per left row: (lid, rid, score rounded to 6, rank), ties by rid ascending."""
     raw = block_join(left, right, "topk", metric=metric, k=k, **kw)
     order = F.desc("score") if metric != "l2" else F.asc("score")
-    w = Window.partitionBy("lid").orderBy(order, F.asc("rid"))
-    return (raw.withColumn("score", F.round("score", 6))
-               .withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k))
+    return topk_per_group(raw, ["lid"], [order, F.asc("rid")], k, split_col="rid")
 
 
 def threshold_count(left: DataFrame, right: DataFrame, threshold: float, **kw) -> DataFrame:

@@ -65,7 +65,7 @@ def zip_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dp.join(ep, "seq").select(F.col("seq").cast("bigint").alias("seq"), "docid", "vec_id")
 
 
-def candidate_k_grid(spark: SparkSession, sf_dir: str, sample_n: int = 5000) -> DataFrame:
+def candidate_k_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the K grid for the corpus size N of the embeddings table."""
     n = T.table(spark, sf_dir, "embeddings").count()
-    return spark.createDataFrame([(k,) for k in C.candidate_k_grid(n, min(sample_n, n))], "k int")
+    return spark.createDataFrame([(k,) for k in C.candidate_k_grid(n)], "k int")

@@ -35,8 +35,14 @@ def read_beir(spark: SparkSession, corpus_path: str, queries_path: str, qrels_pa
 
 
 def read_generated_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Generated-question JSONL (docid, doctext, question); docid repeats; file order kept as seq."""
-    return spark.read.schema(QUESTION_SCHEMA).json(path).withColumn("seq", F.monotonically_increasing_id())
+    """Generated-question JSONL (docid, doctext, question); docid repeats.
+
+    ``seq`` orders rows as (file path, place in the file): splits of a file are read in order within a
+    partition, so the row number of the scan orders the rows of one block, the block start the blocks
+    of one file, and the path the files.
+    """
+    raw = spark.read.schema(QUESTION_SCHEMA).json(path)
+    return raw.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
 def read_trec_run(spark: SparkSession, path: str) -> DataFrame:
@@ -53,9 +59,12 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_nested_testset(spark: SparkSession, path: str) -> DataFrame:
-    """S7 input: JSON array of {qid, qtext: {title}, passages: [[docid, text], ...]}."""
+    """S7 input: {qid, qtext: {title}, passages: [[docid, text], ...]}, one object per line in any number
+    of files, or one JSON array of such objects per file."""
     schema = "qid string, qtext struct<title:string>, passages array<array<string>>"
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    head = spark.read.text(path).where("trim(value) != ''").limit(1).collect()
+    array = bool(head) and head[0][0].lstrip().startswith("[")
+    raw = spark.read.schema(schema).option("multiLine", str(array).lower()).json(path)
     return raw.select("qid", "qtext", F.transform("passages", lambda p: F.struct(p[0].alias("docid"), p[1].alias("text"))).alias("passages"))
 
 
@@ -83,24 +92,23 @@ def raw_doc_fields(df: DataFrame, raw_col: str = "raw") -> DataFrame:
              .withColumn("text", F.coalesce(F.get_json_object(F.col(raw_col), "$.text"), F.lit("")))
 
 
-def read_prompt_template(path: str, key: str = "3-shot") -> str:
-    """A prompt template with {document} and {query} fields from a small YAML file
-    (``key:`` then ``template: |`` block); read on the driver, it is a single string literal."""
-    with open(path, encoding="utf-8") as fh:
-        lines = fh.read().splitlines()
-    out, inside, indent = [], False, None
-    for ln in lines:
-        if not inside:
-            if ln.strip().startswith("template:"):
-                inside = True
-            continue
-        if ln.strip() == "" and indent is not None:
-            out.append("")
-            continue
-        cur = len(ln) - len(ln.lstrip(" "))
-        if indent is None:
-            indent = cur
-        if cur < indent and ln.strip():
+def read_prompt_template(spark: SparkSession, path: str, key: str = "3-shot") -> str:
+    """The template under ``key`` of a small YAML file, either as ``key:`` with a nested
+    ``template: |`` block or as ``key: |`` itself.  Read through Spark, so any file system works."""
+    lines = spark.read.text(path, wholetext=True).first()["value"].splitlines()
+    indent = lambda ln: len(ln) - len(ln.lstrip(" "))
+    at = next((i for i, ln in enumerate(lines) if ln.strip().split(":")[0].strip("\"'") == key), None)
+    if at is None:
+        raise KeyError(f"no template {key!r} in {path}")
+    block = []
+    for ln in lines[at + 1:]:
+        if ln.strip() and indent(ln) <= indent(lines[at]):
             break
-        out.append(ln[indent:])
-    return "\n".join(out).rstrip("\n") + "\n"
+        block.append(ln)
+    inner = next((i for i, ln in enumerate(block) if ln.strip().startswith("template:")), None)
+    if inner is not None:
+        deep = indent(block[inner])
+        rest = block[inner + 1:]
+        block = rest[:next((i for i, ln in enumerate(rest) if ln.strip() and indent(ln) <= deep), len(rest))]
+    cut = min((indent(ln) for ln in block if ln.strip()), default=0)
+    return "\n".join(ln[cut:] for ln in block).rstrip("\n") + "\n"

@@ -42,7 +42,7 @@ def write_exemplars(df: DataFrame, path: str) -> None:
 
 def write_topics_tsv(df: DataFrame, path: str) -> None:
     """K8: 'qid \\t text' rows."""
-    df.select("qid", tsv_safe(F.col("query")).alias("query")).write.mode("overwrite").option("sep", "\t").csv(path)
+    _write_tsv(df.select(F.col("qid").cast("string"), tsv_safe(F.col("query"))), path)
 
 
 def write_trec_run(run: DataFrame, path: str, tag: str = "irforge") -> None:
@@ -58,16 +58,21 @@ def write_qrels(qrels: DataFrame, path: str) -> None:
 
 
 def write_nested_testset(nested: DataFrame, path: str) -> None:
-    """One JSON object per query: {qid, qtext: {title}, passages: [[docid, text], ...]}."""
+    """One JSON line per query: {qid, qtext: {title}, passages: [[docid, text], ...]}."""
     nested.select("qid", "qtext", F.transform("passages", lambda p: F.array(p["docid"], p["text"])).alias("passages")) \
-          .write.mode("overwrite").json(path)
+          .write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_rerank_train(rows: DataFrame, path: str) -> None:
-    """JSON arrays [query, doc, label], the positive first then its negatives."""
-    rows.orderBy("qid", "neg_no").select(
-        F.to_json(F.array(F.col("query"), F.col("doc"), F.col("label").cast("string"))).alias("value")
-    ).write.mode("overwrite").text(path)
+    """JSON lines [query, doc, label] with a numeric label, the positive first then its negatives.
+
+    Both texts go through ``to_json`` for escaping; the label is written as a bare number, since the
+    consumer compares it with 1.0.
+    """
+    texts = F.to_json(F.array(F.coalesce("query", F.lit("")), F.coalesce("doc", F.lit(""))))
+    label = F.format_string("%.1f", F.col("label").cast("double"))
+    rows.orderBy("qid", "neg_no").select(F.concat(texts.substr(F.lit(1), F.length(texts) - 1), F.lit(","), label, F.lit("]")).alias("value")) \
+        .write.mode("overwrite").text(path)
 
 
 def write_triples(tr: DataFrame, path: str) -> None:
@@ -89,4 +94,9 @@ def write_metrics_csv(per_dataset: DataFrame, path: str) -> None:
 
 def write_collection_tsv(df: DataFrame, path: str, id_col: str = "docid", text_col: str = "doctext") -> None:
     """K17: 'id \\t text' collection or query file for a late-interaction index."""
-    df.select(id_col, tsv_safe(F.col(text_col)).alias(text_col)).write.mode("overwrite").option("sep", "\t").csv(path)
+    _write_tsv(df.select(F.col(id_col).cast("string"), tsv_safe(F.col(text_col))), path)
+
+
+def _write_tsv(df: DataFrame, path: str) -> None:
+    """Raw tab-separated lines: the consumers split on tabs and know no quoting; null is an empty field."""
+    df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]).alias("value")).write.mode("overwrite").text(path)

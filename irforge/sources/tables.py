@@ -7,7 +7,7 @@ filters into the scan.  The mapping (SURVEY/FIXTURES §3):
 * corpus(docid, title, text)                        <- title = first line when the text has more
                                                        than one line, else ''; text = the rest
 * embeddings(docid STRING, vec ARRAY<DOUBLE>, label) <- embeddings(vec_id, embedding, label)
-* queries(qid, query)                               <- first 6 whitespace tokens of a benchmark item
+* queries(qid, query)                               <- whole text of a benchmark item
 * qrels(qid, docid, rel)                            <- documents that contain the whole item text
 * questions(docid, seq, question, doctext)          <- user turns of conversations
 """
@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irforge.functions.text import first_tokens, word_tokens
+from irforge.functions.text import word_tokens
 from irforge.operators.common import bounded_broadcast
 from irforge.session import materialize
 
-QUERY_TOKENS = 6
 MIN_ROWS_PER_SPLIT = 100  # never spread a small table thinner than this
 
 
@@ -61,9 +60,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("label").cast("int").alias("label"))
 
 
-def queries(spark: SparkSession, sf_dir: str, n_tokens: int = QUERY_TOKENS) -> DataFrame:
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").cast("string").alias("qid"), first_tokens(F.col("text"), n_tokens).alias("query"))
+    return b.select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("query"))
 
 
 def containment_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
