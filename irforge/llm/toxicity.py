@@ -5,7 +5,7 @@
   it.  Viterbi search finds the likeliest word under a character trigram model times the channel's
   costs.  The model counts every document of the input.
 * Scores: features are the restored text's words and their first four to six letters, at levels of
-  how often (1, 2, 4, 8 times) and how densely (0.25 to 4 in a hundred words) they occur.  Features
+  how often (1, 2, 4, 8 times) and how densely (0.25 to 4 in a hundred tokens) they occur.  Features
   that a likelihood-ratio test links to the label become the lexicon, and a logistic regression
   (MLlib) over them and the strongest one's log-odds gives the score.
 
@@ -28,20 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irforge.llm.base import WORD_TABLE, crc_mod, documents
 from irforge.session import materialize
 
-TRAIN_ROWS = 40_000
+TRAIN_ROWS = 24_000
 LEXICON = 8_000
 MIN_G = 8.0
 THRESHOLD = 0.7
-ROWS = 512
+ROWS = 2048
 LONGEST = 24
 
 # The letters that signs are used for.
@@ -51,12 +52,13 @@ LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 AS_IS, SIGN, RUN = math.log(0.95), math.log(0.2), math.log(0.1)
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SPELT = re.compile(r"(?<!\w)(?:[^\W_][ .\-_*]){2,}[^\W_](?!\w)")
+_SPELT = re.compile(r"(?:[^\W_][.\-_*]+){2,}[^\W_]")
+_GAP = re.compile(r"[.\-_*]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_RUN_RE2 = "|".join(c * 3 for c in map(chr, range(97, 123))) + "|" + "|".join(c * 3 for c in map(chr, range(0xDF, 0x180)) if c.isalpha())
 _RUNS = re.compile(r"(.)\1*", re.S)
 COUNT_LEVELS = (1, 2, 4, 8)
 RATE_LEVELS = (0.25, 0.5, 1, 2, 4)
-SLOTS = 1 << 18
 #: A document's largest bound is a feature too, so that one strong word counts as much as several.
 STEPS = {f"=most{x}": x for x in (1, 2, 3, 4, 5, 6)}
 _EDGE = ".,;:?'\"-*#%&~`)]}>_"
@@ -124,7 +126,7 @@ def decode(token: str, logp: np.ndarray) -> str:
 
 
 class Decoder:
-    """Words of a text with its disguised words restored; decoded tokens are remembered."""
+    """The words behind a token, disguised ones restored."""
 
     def __init__(self, logp: np.ndarray):
         self.logp, self.known = logp, {}
@@ -136,26 +138,50 @@ class Decoder:
             self.known[token] = decode(token, self.logp)
         return self.known[token]
 
-    def words(self, text: str | None) -> list[str]:
-        low = (text or "").lower()
-        words = _WORD.findall(low)
-        more = []
-        for m in _SPELT.findall(low):
-            m = re.sub(r"[ .\-_*]", "", m)
-            if len(m) <= LONGEST and not m.isdigit():
-                more.append(self._restored(m))
-        for t in low.split():
-            if t.isalpha():
-                continue
-            t = t.strip(_EDGE)
-            if t.isalpha() or len(t) > LONGEST or not any(map(str.isalpha, t)):
-                continue
-            core = t.rstrip("!$")
-            if not core.isalpha() and all(c in LOOKS_LIKE or c.isalpha() for c in t):
-                more += {self._restored(t), self._restored(core)}
-        if _RUN.search(low):
-            more += [self._restored(w) for w in words if len(w) <= LONGEST and _RUN.search(w)]
-        return words + more
+    def words(self, token: str) -> list[str]:
+        """token: lower case, without white space."""
+        if not token.isalpha():
+            token = token.strip(_EDGE)
+        if token.isalpha():
+            return [token, self._restored(token)] if len(token) <= LONGEST and _RUN.search(token) else [token]
+        out = _WORD.findall(token)
+        if out and len(token) <= LONGEST:
+            core = token.rstrip("!$")
+            if core.isalpha():
+                pass
+            elif _SPELT.fullmatch(token):
+                out.append(self._restored(_GAP.sub("", token)))
+            elif all(c in LOOKS_LIKE or c.isalpha() for c in token):
+                out += {self._restored(token), self._restored(core)}
+        return out
+
+    def joined(self, letters: list[str]) -> list[str]:
+        """The word spelt by three or more single letters or signs in a row, if it is one."""
+        word = "".join(letters)
+        if 3 <= len(word) <= LONGEST and not word.isdigit() and all(c in LOOKS_LIKE or c.isalpha() for c in word):
+            return [self._restored(word)]
+        return []
+
+
+class Tokens:
+    """The lower-case tokens of many texts, each distinct one once."""
+
+    def __init__(self, texts: list[str | None]):
+        words = pc.ascii_split_whitespace(pa.array([t.lower() if t else "" for t in texts], pa.string()))
+        coded = words.values.dictionary_encode()
+        self.distinct, self.at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        self.begin = words.offsets.to_numpy()
+        size = pc.utf8_length(self.distinct).to_numpy(zero_copy_only=False)[self.at]
+        self.n = np.diff(np.concatenate([[0], np.cumsum(size > 0)])[self.begin])
+        single = np.flatnonzero(size == 1)
+        row = np.searchsorted(self.begin, single, "right") - 1
+        new = np.flatnonzero((np.diff(single, prepend=-9) != 1) | (np.diff(row, prepend=-9) != 0))
+        end = np.append(new[1:], len(single))
+        #: (row, places) of three or more single letters in a row.
+        self.spelt = [(int(row[a]), single[a:b]) for a, b in zip(new, end) if b - a >= 3]
+
+    def letters(self, places: np.ndarray) -> list[str]:
+        return self.distinct.take(pa.array(self.at[places])).to_pylist()
 
 
 def names(word: str) -> list[str]:
@@ -163,14 +189,35 @@ def names(word: str) -> list[str]:
     return [word[:LONGEST]] + [word[:n] + "~" for n in (4, 5, 6) if len(word) > n]
 
 
-def levels(counts: dict[str, int], n_words: int) -> list[str]:
-    out = []
+def levels(counts: dict[str, int], n: int) -> list[str]:
+    """The features with the levels their counts reach in a text of n tokens."""
+    marks, out = {}, []
     for f, c in counts.items():
-        out += [f"{f}#{x}" for x in COUNT_LEVELS if c >= x]
-        out += [f"{f}%{x}" for x in RATE_LEVELS if 100 * c >= x * n_words]
+        m = marks.get(c)
+        if m is None:
+            m = marks[c] = [f"#{x}" for x in COUNT_LEVELS if c >= x] + [f"%{x}" for x in RATE_LEVELS if 100 * c >= x * n]
+        out += [f + x for x in m]
     return out
 
 
+def all_levels(tokens: Tokens, decoder: Decoder) -> Iterator[list[str]]:
+    """All features' levels of each text."""
+    of = [decoder.words(t) for t in tokens.distinct.to_pylist()]
+    extra = defaultdict(list)
+    for r, places in tokens.spelt:
+        extra[r] += decoder.joined(tokens.letters(places))
+    for r, (a, b) in enumerate(zip(tokens.begin[:-1], tokens.begin[1:])):
+        counts: dict[str, int] = {}
+        for i, c in Counter(tokens.at[a:b].tolist()).items():
+            for w in of[i]:
+                for f in names(w):
+                    counts[f] = counts.get(f, 0) + c
+        for w in extra[r]:
+            for f in names(w):
+                counts[f] = counts.get(f, 0) + 1
+        yield levels(counts, int(tokens.n[r]))
+
+
 class ToxicityModel:
     """Bounds (least log-odds) of the lexicon's feature levels; weights of these and of the steps of the
     largest bound; the base weight, None if nothing was learned."""
@@ -179,26 +226,51 @@ class ToxicityModel:
         self.logp, self.bounds, self.weights, self.base = logp, bounds, weights, base
         self.wanted = {re.split("[#%]", f)[0] for f in bounds}
         self.of: dict[str, list[str]] = {}
-
-    def found(self, text: str | None, decoder: Decoder) -> list[str]:
-        """The levels of the lexicon's features in the text."""
-        words, counts = decoder.words(text), {}
-        for w in words:
-            f = self.of.get(w)
+        self.heads = pa.array(sorted({f.rstrip("~")[:4] for f in self.wanted}), pa.string())
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"of": {}}
+
+    def _wanted_of(self, words: list[str]) -> list[str]:
+        return [f for w in words for f in names(w) if f in self.wanted]
+
+    def found(self, texts: list[str | None], decoder: Decoder) -> list[list[str]]:
+        """The levels of the lexicon's features in each text, and the steps."""
+        tokens, of = Tokens(texts), self.of
+        if len(of) > WORD_TABLE:
+            of.clear()
+        # only tokens that begin like a feature, or that the decoder may change, need a look
+        core = pc.utf8_trim(tokens.distinct, _EDGE)
+        look = pc.or_(pc.is_in(pc.utf8_slice_codeunits(core, 0, 4), value_set=self.heads), pc.or_(pc.invert(pc.utf8_is_alpha(core)), pc.match_substring_regex(core, _RUN_RE2)))
+        features: dict[int, list[str]] = {}
+        for i in np.flatnonzero(look.to_numpy(zero_copy_only=False)).tolist():
+            t = tokens.distinct[i].as_py()
+            f = of.get(t)
             if f is None:
-                if len(self.of) > WORD_TABLE:
-                    self.of.clear()
-                f = self.of[w] = [x for x in names(w) if x in self.wanted]
-            for x in f:
-                counts[x] = counts.get(x, 0) + 1
-        out = [x for x in levels(counts, len(words)) if x in self.bounds]
-        most = max((self.bounds[x] for x in out), default=0)
-        return out + [x for x in STEPS if most >= STEPS[x]]
-
-    def score(self, text: str | None, decoder: Decoder) -> float:
+                f = of[t] = self._wanted_of(decoder.words(t))
+            if f:
+                features[i] = f
+        some = np.zeros(len(tokens.distinct), dtype=bool)
+        some[list(features)] = True
+        hits = np.flatnonzero(some[tokens.at])
+        counts: list[dict[str, int]] = [{} for _ in texts]
+        for r, i in zip((np.searchsorted(tokens.begin, hits, "right") - 1).tolist(), tokens.at[hits].tolist()):
+            for x in features[i]:
+                counts[r][x] = counts[r].get(x, 0) + 1
+        for r, places in tokens.spelt:
+            for x in self._wanted_of(decoder.joined(tokens.letters(places))):
+                counts[r][x] = counts[r].get(x, 0) + 1
+        out = []
+        for c, n in zip(counts, tokens.n.tolist()):
+            own = [x for x in levels(c, n) if x in self.bounds]
+            most = max((self.bounds[x] for x in own), default=0)
+            out.append(own + [x for x in STEPS if most >= STEPS[x]])
+        return out
+
+    def scores(self, texts: list[str | None], decoder: Decoder) -> list[float]:
         if self.base is None:
-            return 0.0
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.base + sum(self.weights[f] for f in self.found(text, decoder))))))
+            return [0.0] * len(texts)
+        return [1 / (1 + math.exp(-max(-500.0, min(500.0, self.base + sum(self.weights[f] for f in own))))) for own in self.found(texts, decoder)]
 
 
 def _group(text: str) -> int:
@@ -223,14 +295,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec, n = Decoder(logp), defaultdict(lambda: [0, 0])
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words, own = dec.words(t), {}
-                for w, c in Counter(words).items():
-                    for f in names(w):
-                        own[f] = own.get(f, 0) + c
-                for f in levels(own, len(words)):
-                    n[f][y > 0] += 1
-                n[""][y > 0] += 1
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                for own, y in zip(all_levels(Tokens(part.column(0).to_pylist()), dec), part.column(1).to_pylist()):
+                    for f in own:
+                        n[f][y > 0] += 1
+                    n[""][y > 0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([v[0] for v in n.values()], pa.int64()), pa.array([v[1] for v in n.values()], pa.int64())], names=["f", "clean", "toxic"])
 
     counts = materialize(one.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("f = '' or toxic >= 3"))
@@ -244,13 +314,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = Decoder(logp)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([lexicon.found(t, dec) for t in b.column(0).to_pylist()], pa.list_(pa.string())), pa.array([float(y > 0) for y in b.column(1).to_pylist()])], names=["f", "label"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(lexicon.found(part.column(0).to_pylist(), dec), pa.list_(pa.string())), pa.array([float(y > 0) for y in part.column(1).to_pylist()])], names=["f", "label"])
 
-    slots = HashingTF(numFeatures=SLOTS, binary=True, inputCol="f", outputCol="features")
+    vocabulary = [*bounds, *STEPS]
+    slots = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="f", outputCol="features")
     data = materialize(slots.transform(one.mapInArrow(rows, "f array<string>, label double")).select("features", "label"))
     fitted = LogisticRegression(maxIter=100, regParam=1e-4, elasticNetParam=0.0, standardization=False).fit(data)
     weights = fitted.coefficients.toArray()
-    return ToxicityModel(logp, bounds, {f: float(weights[slots.indexOf(f)]) for f in [*bounds, *STEPS]}, float(fitted.intercept))
+    return ToxicityModel(logp, bounds, dict(zip(vocabulary, weights.tolist())), float(fitted.intercept))
 
 
 def least_log_odds(a: int, n: int, b: int, m: int) -> float:
@@ -276,7 +349,7 @@ def scorer(docs: DataFrame, model: ToxicityModel):
         m = sent.value
         dec = Decoder(m.logp)
         for texts in batches:
-            yield pd.Series([m.score(t, dec) for t in texts], dtype=float)
+            yield pd.Series([x for at in range(0, len(texts), ROWS) for x in m.scores(texts.iloc[at:at + ROWS].tolist(), dec)], dtype=float)
 
     return lambda text: score(text)
 
