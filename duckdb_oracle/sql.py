@@ -560,6 +560,23 @@ th AS (SELECT *, count(value) OVER w AS n_prev, quantile_cont(value, 0.75) OVER
        FROM bm WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT step, cand, round(value, 6) AS value, round(thr, 6) AS threshold, value >= thr AS is_dup FROM (
   SELECT *, CASE WHEN n_prev >= 5 THEN least(greatest(qt, 0.88), 0.95) ELSE 0.90 END AS thr FROM th)""")
+ORACLE["best_candidate"] = q(*REPLAY, body=f""", cand AS (
+  SELECT s.step, CAST(c.cand AS INTEGER) AS cand, (s.step - 1) * 5 + c.cand AS seq, s.docid,
+         (CAST(s.docid AS BIGINT) * 7 + 1 + c.cand * 13) % (SELECT count(*) FROM emb) AS partner
+  FROM steps s, (SELECT unnest(range(0, 5)) AS cand) c),
+cv AS (SELECT c.step, c.cand, c.seq, list_transform(generate_series(1, len(a.raw)), lambda i: a.raw[i] + b.raw[i]) AS s
+       FROM cand c JOIN emb a ON a.docid = c.docid JOIN emb b ON b.vec_id = c.partner),
+cvn AS (SELECT step, cand, seq, list_transform(s, lambda x: x / nrm) AS qv FROM (SELECT *, greatest({l_norm('s')}, 1e-12) AS nrm FROM cv)),
+bm AS (SELECT a.step, a.cand, a.seq, round(max(list_dot_product(a.qv, b.qv)), 9) AS value
+       FROM cvn a JOIN cvn b ON b.cand = 0 AND b.step < a.step GROUP BY a.step, a.cand, a.seq),
+th AS (SELECT *, count(value) OVER w AS n_prev, quantile_cont(value, 0.75) OVER w AS qt
+       FROM bm WINDOW w AS (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+dup AS (SELECT step, cand, value >= (CASE WHEN n_prev >= 5 THEN least(greatest(qt, 0.88), 0.95) ELSE 0.90 END) AS is_dup FROM th),
+sc AS (SELECT c.step, c.cand, c.cand = 4 AS reserve, coalesce(d.is_dup, false) AS is_dup,
+         (round(abs(c.qv[1]), 9) + round(abs(c.qv[2]), 9) + round(abs(c.qv[3]), 9) + round(abs(c.qv[4]), 9)) / 4.0 AS score
+       FROM cvn c LEFT JOIN dup d ON d.step = c.step AND d.cand = c.cand)
+SELECT step, cand, reserve, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY step ORDER BY CASE WHEN reserve THEN 1 WHEN is_dup THEN 2 ELSE 0 END, score DESC, cand) AS rn FROM sc) WHERE rn = 1""")
 ORACLE["run_stats"] = q(*REPLAY, body=""", kk AS (SELECT max(cid) + 1 AS k FROM de),
 cs AS (SELECT r.range AS cid, coalesce(n, 0) AS n FROM range(0, (SELECT k FROM kk)) r
        LEFT JOIN (SELECT cid, count(*) AS n FROM de GROUP BY cid) c ON c.cid = r.range)

@@ -40,8 +40,6 @@ QUESTION_TWO_TERMS = "How does {t0} relate to {t1} in this passage?"
 QUESTION_ONE_TERM = "What is {t0} in this passage?"
 QUESTION_NO_TERM = "How does the described effect occur and under what conditions?"
 # Pairwise reranker input.
-RERANK_PROMPT = "Query: {q} Document: {d} Relevant:"
-RERANK_PROMPT_TEST = "Query: {q} Document: {d}"
 RERANK_SUFFIX = "Relevant:"
 RERANK_TRUE, RERANK_FALSE = "true", "false"
 

@@ -31,24 +31,25 @@ def weight_fold(log: DataFrame, total: int, advantage: str = "ema", eta: float =
                 hard_match: bool = True, lambda_hard: float = fixed.LAMBDA_HARD,
                 warmup: float = fixed.HARD_WARMUP_RATIO, use_floor: bool = True, w_floor: float = fixed.W_FLOOR,
                 use_entropy: bool = True, entropy: float = fixed.ENTROPY, beta: float = fixed.BASELINE_BETA,
-                critic_lr: float = fixed.CRITIC_LR, init_w: list[float] = fixed.INIT_WEIGHTS) -> DataFrame:
+                critic_lr: float = fixed.CRITIC_LR, start: dict | None = None, keep_state: bool = False) -> DataFrame:
     """Replay the weight updates over ``log``: (step 1.., s array<double>[4], r array<double>[4], score).
 
     advantage: "ema" (score - previous EMA baseline, then b <- (1-beta) b + beta score),
     "critic" (score - (c.s + c0), then c += lr adv s, c0 += lr adv) or "raw" (the score).
     grad = (1 - a)(s - mean s) + a (r - mean r) with a = lambda_hard during the warm-up share of
     steps; w <- max(0, w + eta adv grad), floor, renormalise, mix with uniform, renormalise.
-    Returns one row per step: step, w1..w4 (after the update), advantage, baseline.
+    Returns one row per step: step, w1..w4 (after the update), advantage, baseline; with ``keep_state``
+    also the state after the whole log, from which a later call continues (``start``).
     """
+    start = start or start_state()
     rows = log.select(F.struct(F.col("step").cast("long").alias("step"), F.col("s"), F.col("r"),
                                F.col("score").cast("double").alias("score")).alias("x"))
     arr = rows.agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    zero = F.lit(0.0)
     init = F.struct(
-        F.array(*[F.lit(float(v)) for v in init_w]).alias("w"),
-        zero.alias("b"),
-        F.array(*[zero] * N_EXPERTS).alias("cw"),
-        zero.alias("cb"),
+        F.array(*[F.lit(float(v)) for v in start["w"]]).alias("w"),
+        F.lit(float(start["b"])).alias("b"),
+        F.array(*[F.lit(float(v)) for v in start["cw"]]).alias("cw"),
+        F.lit(float(start["cb"])).alias("cb"),
         F.array().cast("array<struct<step:long,w:array<double>,adv:double,base:double>>").alias("out"),
     )
 
@@ -86,9 +87,14 @@ def weight_fold(log: DataFrame, total: int, advantage: str = "ema", eta: float =
         return _let(state, finish)
 
     folded = arr.select(F.aggregate("xs", init, step).alias("st"))
-    out = folded.select(F.explode("st.out").alias("e"))
+    out = folded.select(F.explode("st.out").alias("e"), F.struct("st.b", "st.cw", "st.cb").alias("state"))
     return out.select(F.col("e.step").alias("step"), *[F.col("e.w")[i].alias(f"w{i + 1}") for i in range(N_EXPERTS)],
-                      F.col("e.adv").alias("advantage"), F.col("e.base").alias("baseline"))
+                      F.col("e.adv").alias("advantage"), F.col("e.base").alias("baseline"), *(["state"] if keep_state else []))
+
+
+def start_state(weights: list[float] = fixed.INIT_WEIGHTS) -> dict:
+    """Weights, baseline and critic before the first step."""
+    return {"w": list(weights), "b": 0.0, "cw": [0.0] * N_EXPERTS, "cb": 0.0}
 
 
 def reward_curve(log: DataFrame, bucket: int = 10) -> DataFrame:

@@ -87,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ivf_topk": mp.ivf_topk,
     "late_interaction": mp.late_interaction,
     "selection_rounds": selection.selection_rounds,
+    "best_candidate": selection.best_candidate,
     "dataset_counts": stp.dataset_counts,
     "completeness_check": stp.completeness_check,
     "artifact_coverage": stp.artifact_coverage,

@@ -1,48 +1,45 @@
-"""Weight policy fold against an independent NumPy loop, knee finder, sampling sizes."""
+"""Weight policy fold against steps worked out by hand, knee finder, sampling sizes."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from irforge.functions import fixed
 from irforge.operators import clusters as C
 from irforge.operators import policy as P
 from irforge.operators import sampling as S
 
 
-def _numpy_loop(rows, total, advantage):
-    w = np.array(fixed.INIT_WEIGHTS, dtype=float)
-    b, cw, cb, out = 0.0, np.zeros(4), 0.0, []
-    for step, s, r, score in rows:
-        s, r = np.array(s), np.array(r)
-        alpha = fixed.LAMBDA_HARD if step / total <= fixed.HARD_WARMUP_RATIO else 0.0
-        grad = (1 - alpha) * (s - s.mean()) + alpha * (r - r.mean())
-        if advantage == "critic":
-            v = float(cw @ s + cb)
-            adv = score - v
-            cw = cw + fixed.CRITIC_LR * adv * s
-            cb = cb + fixed.CRITIC_LR * adv
-            logged = v
-        else:
-            adv = score - b
-            b = (1 - fixed.BASELINE_BETA) * b + fixed.BASELINE_BETA * score
-            logged = b
-        w = np.clip(w + fixed.ETA * adv * grad, 0.0, None)
-        w = np.maximum(w, fixed.W_FLOOR)
-        w = w / w.sum()
-        w = (1 - fixed.ENTROPY) * w + fixed.ENTROPY / 4
-        w = w / w.sum()
-        out.append((step, *w, adv, logged))
-    return out
-
-
-def test_weight_fold_matches_numpy(spark):
-    rng = np.random.default_rng(3)
-    rows = [(i + 1, rng.normal(size=4).tolist(), rng.random(4).tolist(), float(rng.random())) for i in range(20)]
-    df = spark.createDataFrame(rows, "step long, s array<double>, r array<double>, score double")
-    for mode in ("ema", "critic"):
-        got = sorted(tuple(r) for r in P.weight_fold(df, 20, advantage=mode).collect())
-        want = _numpy_loop(rows, 20, mode)
-        assert np.allclose(np.array(got, dtype=float), np.array(want, dtype=float), atol=1e-12)
+def steps_frame(spark):
+    """Two steps of ten; the first three tenths are the warm-up."""
+    rows = [(1, [1.0, 0.0, -1.0, 0.0], [0.8, 0.4, 0.4, 0.0], 0.5), (4, [0.0, 2.0, 0.0, -2.0], [0.1, 0.1, 0.1, 0.1], 0.3)]
+    return spark.createDataFrame(rows, "step long, s array<double>, r array<double>, score double")
+
+
+def test_moving_average_steps_by_hand(spark):
+    a, b = sorted(P.weight_fold(steps_frame(spark), 10).collect(), key=lambda r: r["step"])
+    # step 1: advantage 0.5 - 0; gradient 0.2 (1, 0, -1, 0) + 0.8 (0.4, 0, 0, -0.4) = (0.52, 0, -0.2, -0.32);
+    # weights 0.25 + 0.3 * 0.5 * gradient = (0.328, 0.25, 0.22, 0.202), sum 1; then 0.9 w + 0.025
+    assert np.allclose([a.w1, a.w2, a.w3, a.w4], [0.3202, 0.25, 0.223, 0.2068], atol=1e-12)
+    assert np.allclose([a.advantage, a.baseline], [0.5, 0.025], atol=1e-12)
+    # step 4: after the warm-up the gradient is (0, 2, 0, -2); advantage 0.3 - 0.025 = 0.275, moves 0.165;
+    # (0.3202, 0.415, 0.223, 0.0418), floor 0.05 for the last, sum 1.0082, then 0.9 w / 1.0082 + 0.025
+    assert np.allclose([b.w1, b.w2, b.w3, b.w4], [0.9 * x / 1.0082 + 0.025 for x in (0.3202, 0.415, 0.223, 0.05)], atol=1e-12)
+    assert np.allclose([b.advantage, b.baseline], [0.275, 0.95 * 0.025 + 0.05 * 0.3], atol=1e-12)
+
+
+def test_critic_steps_by_hand(spark):
+    a, b = sorted(P.weight_fold(steps_frame(spark), 10, advantage="critic").collect(), key=lambda r: r["step"])
+    # the critic starts at 0: advantage 0.5, logged value 0; it becomes 0.01 (1, 0, -1, 0) + 0.01
+    assert np.allclose([a.w1, a.advantage, a.baseline], [0.3202, 0.5, 0.0], atol=1e-12)
+    # step 4: value 0.01 * 0 + 0.01
+    assert np.allclose([b.advantage, b.baseline], [0.29, 0.01], atol=1e-12)
+
+
+def test_fold_continues_from_its_state(spark):
+    log = steps_frame(spark)
+    whole = {r.step: r for r in P.weight_fold(log, 10, advantage="critic").collect()}
+    first = P.weight_fold(log.where("step = 1"), 10, advantage="critic", keep_state=True).first()
+    state = {"w": [first.w1, first.w2, first.w3, first.w4], **first.state.asDict()}
+    again = P.weight_fold(log.where("step = 4"), 10, advantage="critic", start=state).first()
+    assert np.allclose([again.w1, again.w2, again.w3, again.w4, again.advantage], [whole[4].w1, whole[4].w2, whole[4].w3, whole[4].w4, whole[4].advantage], atol=1e-12)
 
 
 def test_zero_weights_fall_back_to_uniform(spark):

@@ -3,16 +3,30 @@
 from conftest import SF_SMALL
 
 
-def test_selection_rounds_invariants(spark):
+def test_selection_run_on_tables(spark):
     from irforge.plans.selection import selection_rounds
-    out = selection_rounds(spark, SF_SMALL, total=12, round_steps=4).collect()
-    assert sorted(r["step"] for r in out) == list(range(1, 13))
+    out = sorted(selection_rounds(spark, SF_SMALL, total=4).collect(), key=lambda r: r["step"])
+    assert [r["step"] for r in out] == [1, 2, 3, 4]
     for r in out:
         w = [r["w1"], r["w2"], r["w3"], r["w4"]]
-        assert abs(sum(w) - 1.0) < 1e-9
-        assert min(w) > 0.0
+        assert abs(sum(w) - 1.0) < 1e-9 and min(w) > 0.0
         assert abs(r["best_score"] - (r["r1"] + r["r2"] + r["r3"] + r["r4"]) / 4.0) < 1e-9
-        assert 0.0 <= r["r1"] <= 1.0 and r["r4"] >= 0.0
+        assert 0.0 <= r["r1"] <= 1.0 and r["r4"] >= 0.0 and 0 <= r["cand"] <= 5
+    # moving average of the score, 5 % each
+    base = 0.0
+    for r in out:
+        assert abs(r["advantage"] - (r["best_score"] - base)) < 1e-9
+        base += 0.05 * (r["best_score"] - base)
+        assert abs(r["baseline"] - base) < 1e-9
+
+
+def test_best_candidate_rules(spark):
+    from irforge.operators.selection import best_candidate
+    rows = [(1, 0, False, True, [0.9, 0.9]), (1, 1, False, False, [0.2, 0.4]), (1, 2, False, None, [0.3, 0.3]), (1, 3, True, None, [1.0, 1.0]),
+            (2, 0, False, True, [0.9, 0.9]), (2, 1, True, None, [0.0, 0.1])]
+    got = best_candidate(spark.createDataFrame(rows, "step long, cand int, reserve boolean, is_dup boolean, r array<double>")).collect()
+    # step 1: duplicates and the reserve give way, the first of equal means wins; step 2: only the reserve is left
+    assert sorted((r.step, r.cand, round(r.score, 9)) for r in got) == [(1, 1, 0.3), (2, 1, 0.05)]
 
 
 def test_semantic_dedup_matches_sequential_greedy(spark):
