@@ -27,8 +27,8 @@ def norm(a) -> Column:
 
 
 def cosine(a, b) -> Column:
-    """a.b / (|a| |b|)."""
-    return dot(a, b) / (norm(a) * norm(b))
+    """a.b / (|a| |b|); 0 if either is a zero vector (or empty)."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
 
 
 def sq_l2(a, b) -> Column:

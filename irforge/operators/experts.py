@@ -55,14 +55,12 @@ def expert_scores(features: DataFrame, sqrt_neighbor: bool = False,
 def cluster_zscore(scores: DataFrame, z_temp: float = fixed.Z_TEMP, cols: list[str] = EXPERTS) -> DataFrame:
     """Per cluster (S - mean) / (population std + 1e-8) * z_temp for each expert.
 
-    The window partitions by cluster; one cluster holding a third of the corpus is one sorted-free
-    partition aggregate (no ordering), which Spark streams without sorting by value.
+    Means and deviations are one combined aggregation per cluster, joined back; a cluster that holds
+    a third of the collection is a hot join key only, never a window in one task.
     """
-    w = Window.partitionBy("cid")
-    out = scores
-    for c in cols:
-        out = out.withColumn(f"z{c[1:]}", (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-8) * z_temp)
-    return out
+    stats = scores.groupBy("cid").agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    out = scores.join(stats, "cid")
+    return out.select(*scores.columns, *[((F.col(c) - F.col(f"mean_{c}")) / (F.col(f"std_{c}") + 1e-8) * z_temp).alias(f"z{c[1:]}") for c in cols])
 
 
 def blended_score(z: DataFrame, weights: list[float] = fixed.INIT_WEIGHTS, prefix: str = "z") -> DataFrame:

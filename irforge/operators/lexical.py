@@ -1,8 +1,7 @@
 """Lexical statistics and retrieval: postings, TF-IDF (A5-A7, T1, T7) and BM25.
 
 Term frequencies are computed inside each document row (sort + run lengths), so building postings
-needs no shuffle; corpus statistics are partial aggregations; query-side tables are broadcast only
-after a count check.
+needs no shuffle; corpus statistics are partial aggregations.
 """
 
 from __future__ import annotations
@@ -11,16 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from irforge.functions.text import py_split, term_frequencies, word_tokens
-from irforge.operators.common import bounded_broadcast, topk_per_group
+from irforge.operators.common import topk_per_group
 from irforge.session import materialize
 
 # Fixed values of the reference's TF-IDF and first-stage search.
 TFIDF_MAX_FEATURES = 120000
 BM25_K1 = 0.9
 BM25_B = 0.4
-# Query-term sets up to this size filter the term arrays in-row (hash-set lookup); larger sets join.
-LITERAL_TERMS_MAX = 50_000
-BROADCAST_TERMS_MAX = 2_000_000
 
 
 def with_term_frequencies(df: DataFrame, text_col: str, out_col: str = "tfs", bigrams: bool = False,
@@ -149,28 +145,16 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None =
 
     Per field: idf = ln(1 + (N - df + 0.5)/(df + 0.5)), term score = idf * tf / (tf + k1 (1 - b + b dl/avgdl)),
     N and avgdl over documents with a non-empty field; repeated query terms count repeatedly.
-    Only postings of query terms survive the broadcast join; (qid, docid) sums are map-side
-    combined; the top-k is split by doc hash so one query matching most documents is not one task.
+    Only postings of query terms survive the semi-join, and Spark broadcasts the query side of both
+    joins when its statistics show it is small, on any input size by the same plan; (qid, docid) sums
+    combine before the shuffle; the top-k is split by doc hash so one query matching most documents
+    is not one task.
     """
     fields = fields or {"doctext": 1.0}
     q = with_term_frequencies(queries.select("qid", "query"), "query", out_col="qtfs")
     qterms = materialize(explode_tfs(q, ["qid"], "qtfs").withColumnRenamed("tf", "qtf"))
-    qterms_b = bounded_broadcast(qterms)
     distinct_terms = qterms.select("term").distinct()
-    n_terms = distinct_terms.count()
-    prefiltered = index is None and n_terms <= LITERAL_TERMS_MAX
-    if prefiltered:
-        # One tokenising pass that keeps only query terms in each row's term-count array (a hash-set
-        # lookup); the written index is then query-sized.  The term list is bounded by the count.
-        terms = [r[0] for r in distinct_terms.collect()]
-        out = docs.select(id_col, *fields)
-        for f in fields:
-            out = (with_term_frequencies(out, f, out_col=f"tfs_{f}", len_col=f"dl_{f}").drop(f)
-                   .withColumn(f"tfs_{f}", F.filter(f"tfs_{f}", lambda t: t["term"].isin(terms))))
-        idx = materialize(out)
-    else:
-        idx = index if index is not None else field_index(docs, list(fields), id_col)
-    qt_terms = F.broadcast(distinct_terms) if n_terms <= BROADCAST_TERMS_MAX else distinct_terms
+    idx = index if index is not None else field_index(docs, list(fields), id_col)
     stats = idx.agg(*[x for f in fields for x in (F.count(F.when(F.col(f"dl_{f}") > 0, 1)).alias(f"n_{f}"),
                                                     F.avg(F.when(F.col(f"dl_{f}") > 0, F.col(f"dl_{f}"))).alias(f"avg_{f}"))]).first()
     live = [(f, bst) for f, bst in fields.items() if stats[f"n_{f}"]]
@@ -182,14 +166,14 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None =
         e = (explode_tfs(idx.select(id_col, F.col(f"dl_{f}").alias("dl"), f"tfs_{f}"), [id_col, "dl"], f"tfs_{f}")
              .withColumn("field", F.lit(f)))
         exploded = e if exploded is None else exploded.unionByName(e)
-    matched = exploded if prefiltered else materialize(exploded.join(qt_terms, "term"))
+    matched = materialize(exploded.join(distinct_terms, "term", "left_semi"))
     dfs = matched.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     n_lit = F.create_map(*[x for f, _ in live for x in (F.lit(f), F.lit(float(stats[f"n_{f}"])))])
     avg_lit = F.create_map(*[x for f, _ in live for x in (F.lit(f), F.lit(float(stats[f"avg_{f}"])))])
     boost_lit = F.create_map(*[x for f, bst in live for x in (F.lit(f), F.lit(float(bst)))])
     idf = dfs.select("field", "term", F.log(1.0 + (n_lit[F.col("field")] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    qidf = qterms_b.join(idf, "term")
-    allc = (matched.join(F.broadcast(qidf), ["field", "term"])  # qidf has at most |fields| * |qterms| rows
+    qidf = materialize(qterms.join(idf, "term"))
+    allc = (matched.join(qidf, ["field", "term"])
                    .select("qid", id_col,
                            (boost_lit[F.col("field")] * F.col("qtf") * F.col("idf") * F.col("tf")
                             / (F.col("tf") + F.lit(k1) * (1.0 - b + b * F.col("dl") / avg_lit[F.col("field")]))).alias("s")))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from irforge.functions import fixed
 
+# Buckets in which the first phase of a per-cluster top-n runs.
+SPLIT = 16
+
 
 def sample_sizes(sizes: DataFrame, n_train: int, compat_topup: bool = False) -> DataFrame:
     """Q1 + W5: 1 + floor((n_train - n_clusters) * size / N) per cluster, then +1 for the
@@ -41,17 +44,12 @@ def sample_sizes(sizes: DataFrame, n_train: int, compat_topup: bool = False) ->
 
 
 def cluster_softmax(scored: DataFrame, score: str = "cos", temperature: float = fixed.SOFTMAX_TEMPERATURE) -> DataFrame:
-    """exp(x/T) / Σ exp(x/T) within each cluster (max-shifted for stability)."""
-    w = Window.partitionBy("cid")
+    """exp(x/T) / Σ exp(x/T) within each cluster (max-shifted for stability); the maximum and the
+    sum are aggregations per cluster, joined back."""
     z = F.col(score) / temperature
-    e = F.exp(z - F.max(z).over(w))
-    return scored.withColumn("p", e / F.sum(e).over(w))
-
-
-def _uniform(seed: int, id_col: str):
-    """u in (0, 1) from a seeded 64-bit hash of the id: layout independent."""
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)).cast("double")
-    return (h + 0.5) / float(1 << 52)
+    shifted = scored.join(scored.groupBy("cid").agg(F.max(z).alias("__top")), "cid").withColumn("__e", F.exp(z - F.col("__top")))
+    total = shifted.groupBy("cid").agg(F.sum("__e").alias("__sum"))
+    return shifted.join(total, "cid").select(*scored.columns, (F.col("__e") / F.col("__sum")).alias("p"))
 
 
 def weighted_sample(probs: DataFrame, sizes: DataFrame, seeds: list[int] = fixed.SAMPLING_SEEDS,
@@ -59,16 +57,19 @@ def weighted_sample(probs: DataFrame, sizes: DataFrame, seeds: list[int] = fixed
     """Q3 + U1: per cluster and seed, ``sample_size`` documents without replacement with
     probability weights p (Efraimidis-Spirakis keys ln(u)/p, largest first); the pool is the
     distinct union over seeds.  Same distribution as sequential weighted draws, different draws.
-    The per-seed top-n is a partitioned window limited by sample size (WindowGroupLimit)."""
-    pools = None
-    for seed in seeds:
-        key = F.log(_uniform(seed, id_col)) / F.col("p")
-        w = Window.partitionBy("cid").orderBy(F.desc("__key"), F.asc(id_col))
-        s = (probs.join(F.broadcast(sizes.select("cid", "sample_size")), "cid")
-                  .withColumn("__key", key).withColumn("__r", F.row_number().over(w))
-                  .where(F.col("__r") <= F.col("sample_size")).select("cid", id_col))
-        pools = s if pools is None else pools.unionByName(s)
-    return pools.distinct()
+
+    All seeds are drawn in one pass.  The top-n has two phases, first within (cluster, seed, id
+    hash bucket), then over the buckets' survivors, so a large cluster is not sorted in one task.
+    """
+    h = F.pmod(F.xxhash64("__seed", F.col(id_col)), F.lit(1 << 52)).cast("double")
+    drawn = (probs.join(sizes.select("cid", "sample_size"), "cid")
+                  .select("cid", id_col, "p", "sample_size", F.explode(F.array(*map(F.lit, seeds))).alias("__seed"))
+                  .withColumn("__key", F.log((h + 0.5) / float(1 << 52)) / F.col("p"))
+                  .withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SPLIT))))
+    order = [F.desc("__key"), F.asc(id_col)]
+    for group in (["cid", "__seed", "__bucket"], ["cid", "__seed"]):
+        drawn = drawn.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__r") <= F.col("sample_size"))
+    return drawn.select("cid", id_col).distinct()
 
 
 def mmr_order(sim_seed: np.ndarray, sim_pair: np.ndarray, ids: np.ndarray, lam: float) -> list[tuple[str, float, int]]:
@@ -105,8 +106,8 @@ def mmr_select(pool: DataFrame, seeds: DataFrame, sizes: DataFrame, lam: float =
     def per_cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
         s = np.asarray(pdf["seed_vec"].iloc[0], dtype=np.float64)
-        nx = np.linalg.norm(X, axis=1)
-        sim_seed = X @ s / (nx * np.linalg.norm(s))
+        nx = np.maximum(np.linalg.norm(X, axis=1), 1e-12)  # a zero vector has similarity 0 to all
+        sim_seed = X @ s / (nx * max(np.linalg.norm(s), 1e-12))
         sim_pair = (X @ X.T) / np.outer(nx, nx)
         res = mmr_order(sim_seed, sim_pair, pdf[id_col].astype(str).to_numpy(), lam)
         df = pd.DataFrame(res, columns=[id_col, "mmr_score", "mmr_step"])

@@ -130,7 +130,7 @@ def knee_of_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sse_curve_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3 on the unit embeddings (rows-only: k-means labels are not reproducible across engines)."""
     e = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
-    return C.sse_curve(e, fixed.SSE_K_LIST, seed=560, max_iter=20)
+    return C.sse_curve(e, fixed.SSE_K_LIST, seed=560, max_iter=fixed.KMEANS_ITERATIONS)
 
 
 def auto_select_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,13 +138,13 @@ def auto_select_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
     # the reference's 10 restarts x 300 iterations per K are library defaults; the registered
     # rows-only check uses one restart and 20 iterations to stay short
-    best, curve = C.auto_select_k(e, seed=42, n_init=1, max_iter=20)
+    best, curve = C.auto_select_k(e, seed=42)
     return curve.withColumn("is_best", F.col("k") == best)
 
 
 def kmeans_assign(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """M1 (rows-only): k-means on unit vectors, nearest-centre assignment and distance."""
     e = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
-    model = C.kmeans_fit(e, k, seed=42, max_iter=20)
+    model = C.kmeans_fit(e, k, seed=42, max_iter=300, n_init=10)
     centers = C.model_centers(spark, model)
     return C.nearest_centroid(e, centers)

@@ -25,13 +25,14 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = None, app: str = "irforge", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, app: str = "irforge", shuffle_partitions: int | None = None,
                   driver_memory: str = "16g", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:  # else the cluster's own setting holds
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():

@@ -14,13 +14,12 @@ filters into the scan.  The mapping (SURVEY/FIXTURES §3):
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irforge.functions.text import word_tokens
-from irforge.operators.common import bounded_broadcast
-from irforge.session import materialize
 
+ITEM_CHARS = 1 << 20  # characters of benchmark items in one automaton
 MIN_ROWS_PER_SPLIT = 100  # never spread a small table thinner than this
 
 
@@ -68,49 +67,38 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containment_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qrels(qid, docid, rel=1) for every document whose text contains the whole benchmark item.
 
-    A substring test is a theta join; to keep it an equi-join we use that any token strictly inside
-    the item (not its first or last word run, which may continue a longer word in the document) must
-    occur as a whole token of a containing document.  Each item is joined on its rarest interior
-    token only, then verified with ``instr``.  Items with no interior token are few and are tested
-    against every document through a broadcast of those items only.
+    Every document is scanned once in place by an automaton of the items (Aho-Corasick), so nothing
+    is joined or shuffled but the hits.  Items go to the workers in slices of at most ITEM_CHARS
+    characters; a larger set takes one scan for each slice.  An empty item is contained in nothing.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("docid"), "text")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("item"))
-
-    toks = items.withColumn("toks", word_tokens(F.col("item")))
-    interior = toks.select("qid", "item", F.explode(F.slice(F.col("toks"), 2, F.greatest(F.size("toks") - 2, F.lit(0)))).alias("term"))
-    # one tokenising pass over the documents, kept only for terms that occur inside some item
-    item_terms = interior.select("term").distinct()
-    n_terms = item_terms.count()
-    toks_d = F.array_distinct(word_tokens(F.col("text")))
-    if n_terms <= 50_000:  # keep only item terms inside each row (hash-set lookup), bounded list
-        keep = [r[0] for r in item_terms.collect()]
-        doc_terms = materialize(
-            docs.select("docid", F.explode_outer(F.filter(toks_d, lambda t: t.isin(keep))).alias("term"))
-                .where(F.col("term").isNotNull()))
-    else:
-        doc_terms = materialize(
-            docs.select("docid", F.explode_outer(toks_d).alias("term"))
-                .where(F.col("term").isNotNull()).join(bounded_broadcast(item_terms), "term"))
-    df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = (interior.join(df, "term")
-              .groupBy("qid", "item").agg(F.min_by("term", F.struct("df", "term")).alias("term")))
-    # items are few (a query set); the count check decides broadcast vs shuffle join
-    candidates = (bounded_broadcast(rarest).join(doc_terms, "term").select("qid", "docid", "item"))
-    keyed = (docs.join(bounded_broadcast(candidates), "docid")
-             .where(F.instr(F.col("text"), F.col("item")) > 0)
-             .select("qid", "docid"))
-    out = keyed
-    no_interior = toks.where(F.size("toks") < 3).select("qid", "item")
-    if no_interior.count() > 0:
-        # items of one or two words have no token that must appear whole in a containing document;
-        # only these few are tested against every document (a broadcast of at most 10,000 items)
-        scanned = (docs.join(bounded_broadcast(no_interior, 10_000), F.instr(F.col("text"), F.col("item")) > 0)
-                   .select("qid", "docid"))
-        out = out.unionByName(scanned)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("item")).where("item != ''")
+    slices = max(1, -(-(items.agg(F.sum(F.length("item"))).first()[0] or 0) // ITEM_CHARS))
+    out = None
+    for k in range(slices):
+        part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("qid", "item"), F.lit(slices)) == k).collect()]
+        one = docs.mapInPandas(_scanner(spark.sparkContext.broadcast(part)), "qid string, docid string")
+        out = one if out is None else out.unionByName(one)
     return out.distinct().withColumn("rel", F.lit(1).cast("int"))
 
 
+def _scanner(items):
+    def scan(batches):
+        import ahocorasick
+
+        automaton, ids = ahocorasick.Automaton(), {}
+        for qid, item in items.value:
+            ids.setdefault(item, []).append(qid)
+        for item, own in ids.items():
+            automaton.add_word(item, own)
+        automaton.make_automaton()
+        for batch in batches:
+            hits = [(q, d) for d, t in zip(batch["docid"], batch["text"]) if t and ids for _, own in automaton.iter(t) for q in own]
+            yield pd.DataFrame(sorted(set(hits)), columns=["qid", "docid"], dtype=object)
+
+    return scan
+
+
 def generated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """questions(docid, seq, question, doctext): user turns stand in for generated questions."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
