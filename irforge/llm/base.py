@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound a Python worker's memory by smaller Arrow batches (the session's limit, if it is lower, holds)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def fitted(df: DataFrame, rows: int, per: int = 100_000) -> DataFrame:
+    """``df`` in no more partitions than one for every ``per`` of its ``rows`` (counted, not guessed)."""
+    return df.coalesce(max(1, -(-rows // per)))
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id written as text, modulo ``m`` (null id: null)."""
     return (F.crc32(F.col(col).cast("string").cast("binary")) % m).cast("int")
@@ -58,6 +75,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+_BYTES[[ord(c) for c in BLANKS]] = 0
+_PLACE = 0xD6E8FEB86659FD93
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, words of each text): words are runs of bytes without ASCII white
+    space, A-Z read as a-z.  A hash is the sum of a random factor for each byte times one for its
+    place, so all words of a batch are hashed together."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
+    begin = offsets - offsets[0]
+    if not len(data):
+        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    value = _BYTES[data]
+    inside = value > 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = begin[:-1][begin[:-1] < len(data)]
+    first[edge] = inside[edge]
+    at = np.flatnonzero(first)
+    if not len(at):
+        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    size = np.diff(np.append(at, len(data)))
+    value = value[at[0]:]
+    value *= np.cumprod(np.full(int(size.max()), _PLACE, dtype=np.uint64))[np.arange(len(value)) - np.repeat(at - at[0], size)]
+    words = mix(np.add.reduceat(value, at - at[0]))
+    return words, np.diff(np.searchsorted(at, begin))
+
+
 #: log2 of the bits of a broadcast bitmap (16 MB).
 BITMAP = 27
 #: log2 of the 64-bit words of a page, in which a bitmap comes to the driver.
