@@ -23,14 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irforge.llm.base import documents
+from irforge.llm.base import documents, small_batches
 
 MAX_LEN = 2048
 END_ID = 1
 #: Documents whose pieces leave a worker together.
-ROWS_OUT = 2048
+ROWS_OUT = 1024
 #: Most entries of a worker's table.
-PARTS = 600_000
+PARTS = 300_000
 
 
 def tokenizer_path() -> str:
@@ -108,7 +108,7 @@ class ChunkTokenizer:
 
 @lru_cache(maxsize=1)
 def worker_tokenizer(path: str) -> ChunkTokenizer:
-    """Kept by a Python worker from task to task."""
+    """The tokenizer is kept by a Python worker from task to task; its table is emptied after each."""
     return ChunkTokenizer(path)
 
 
@@ -126,6 +126,7 @@ def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_i
         raise ValueError("max_len must be a power of two")
     path = path or tokenizer_path()
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(path)
@@ -150,6 +151,8 @@ def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_i
                     [part.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(ids, pa.binary()), pa.array(total, pa.int64())],
                     names=["doc_id", "start", "length", "ids", "doc_tokens"])
+        tok.parts = {"": b""}
+        pa.default_memory_pool().release_unused()
 
     pieces = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long")
     return pieces.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

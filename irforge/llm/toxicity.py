@@ -35,14 +35,16 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irforge.llm.base import WORD_TABLE, crc_mod, documents
+from irforge.llm.base import WORD_TABLE, crc_mod, documents, small_batches
 from irforge.session import materialize
 
 TRAIN_ROWS = 24_000
 LEXICON = 8_000
 MIN_G = 8.0
 THRESHOLD = 0.7
-ROWS = 2048
+ROWS = 1024
+#: Training rows that one task counts at a time; its table of features is in memory.
+TASK_ROWS = 500
 LONGEST = 24
 
 # The letters that signs are used for.
@@ -281,6 +283,7 @@ def _group(text: str) -> int:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Learn from ``docs`` (all of them for the character model) and labels(doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     logp = char_model(docs)
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("d"), F.col("toxic").cast("int").alias("y")) \
         .orderBy(F.xxhash64("d"), "d", "y").limit(train_rows)
@@ -290,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     def group(text: pd.Series) -> pd.Series:
         return text.map(lambda t: _group(t or ""))
 
-    one = materialize(train.groupBy(group("text").alias("g"), "y").agg(F.min("text").alias("text")).select("text", "y"))
+    one = materialize(train.groupBy(group("text").alias("g"), "y").agg(F.min("text").alias("text")).select("text", "y").repartition(max(1, train_rows // TASK_ROWS)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec, n = Decoder(logp), defaultdict(lambda: [0, 0])
@@ -342,6 +345,7 @@ def likelihood_ratio(a: Column, n: int, b: Column, m: int) -> Column:
 
 def scorer(docs: DataFrame, model: ToxicityModel):
     """A column function text -> score."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -350,6 +354,7 @@ def scorer(docs: DataFrame, model: ToxicityModel):
         dec = Decoder(m.logp)
         for texts in batches:
             yield pd.Series([x for at in range(0, len(texts), ROWS) for x in m.scores(texts.iloc[at:at + ROWS].tolist(), dec)], dtype=float)
+            pa.default_memory_pool().release_unused()
 
     return lambda text: score(text)
 
