@@ -17,7 +17,8 @@ rows each get their own slot; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,28 +43,28 @@ def record_bytes(text: Column) -> Column:
 def shuffle_shards(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` (its columns, at least doc_id and text) plus shard int, bucket int and slot long.
 
-    Input columns called shard, bucket, slot or place give way to the new ones.
+    Input columns called shard, bucket, start or slot give way to the new ones.
     """
-    docs = docs.drop("shard", "bucket", "place", "slot")
+    docs = docs.drop("shard", "bucket", "start", "slot")
     total = docs.agg(F.sum(record_bytes(F.col("text")))).first()[0] or 0
     per_shard = max(1, -(-total // (n_shards * bucket_bytes)))
     key = docs.withColumn("shard", shard_of(F.col("doc_id"), n_shards, seed)) \
               .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.lit(per_shard)).cast("int"))
-    schema = T.StructType([*key.schema.fields, T.StructField("place", T.LongType())])
-
-    def fisher_yates(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="last").reset_index(drop=True)
-        rng = np.random.Generator(np.random.PCG64([seed, int(rows["shard"][0]), int(rows["bucket"][0])]))
-        order = np.arange(len(rows))
-        rng.shuffle(order)  # Fisher-Yates
-        return rows.iloc[order].assign(place=np.arange(len(rows)))
-
-    placed = key.groupBy("shard", "bucket").applyInPandas(fisher_yates, schema)
     # one row per bucket, from the id and text hashes alone
     sizes = key.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    return placed.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("place")).drop("start", "place")
+    schema = T.StructType([*key.schema.fields, T.StructField("slot", T.LongType())])
+
+    def fisher_yates(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]).to_numpy().copy()
+        rng = np.random.Generator(np.random.PCG64([seed, rows["shard"][0].as_py(), rows["bucket"][0].as_py()]))
+        rng.shuffle(order)  # Fisher-Yates
+        out = rows.take(pa.array(order))
+        slot = pc.add(out["start"], pa.array(np.arange(len(order)), pa.int64()))
+        return out.drop_columns(["start"]).append_column("slot", slot)
+
+    return key.join(starts, ["shard", "bucket"]).select(*key.columns, "start").groupBy("shard", "bucket").applyInArrow(fisher_yates, schema)
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

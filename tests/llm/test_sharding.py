@@ -6,7 +6,7 @@ from tests.llm.rows import docs_frame, edge_docs, sf_docs
 
 
 def test_rows_slots_and_laws(spark, tmp_path):
-    rows = edge_docs() + [(100 + i, t) for i, t in sf_docs(150)]
+    rows = edge_docs() + [(2**62 + 1, None), (-(2**62) - 1, "far")] + [(100 + i, t) for i, t in sf_docs(150)]
     docs_frame(spark, rows, shard=9, slot="x", bucket=1).write.parquet(str(tmp_path / "documents.parquet"))
     out = sh.op3_sharding(spark, str(tmp_path)).collect()
     size = lambda t: len((t or "").encode()) + 8
