@@ -79,7 +79,7 @@ class LineRuns:
         self.levels = [runs]
         if runs:
             self._merge(0)
-        return self.settled.distinct()
+        return self._run(self.settled.distinct())
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:

@@ -112,7 +112,8 @@ def mark_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     found = materialize(keyed.mapInArrow(hits, f"doc_id {id_type}, text_hash long, h long, first long, last long"))
     place = F.struct("doc_id", "text_hash", "first")
-    firsts = found.groupBy("h").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    # written, so that the join below is between two plain shuffles, which the skew join can split
+    firsts = materialize(found.groupBy("h").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n"))
     others = found.join(firsts, "h").where(~place.eqNullSafe(F.col("kept")))
     return others.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
 
