@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: up to a full stop, question or exclamation mark before white space, or
-a line end; after ``MAX_WORDS`` words in any case, so that text without punctuation has sentences
-too.  A span is a run of consecutive sentences with at least ``MIN_WORDS`` words that is shortest
+a line end.  Sentences are cut further where the hash of two neighbouring words is a local minimum
+(and after ``MAX_WORDS`` words in any case), so that a passage is cut alike wherever it stands, also
+if it begins in mid-sentence or has no punctuation.  A span is a run of consecutive sentences with at least ``MIN_WORDS`` words that is shortest
 from its first or to its last sentence, so every run of that many words has all its sentences
 covered.  Spans are hashed over the words' lower-case form.
 
@@ -30,36 +31,85 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irforge.llm.base import Bitmap, documents, mix
+from irforge.llm.base import Bitmap, WordHash, documents, mix
 from irforge.session import materialize
 
 MIN_WORDS = 24
 MAX_WORDS = 16
+#: Places on either side among which a cut has the least hash: cuts are 2 * NEAR + 1 words apart on average.
+NEAR = 3
 ROWS = 512
 _SENTENCE = re.compile(r".*?(?:[.!?]+(?=\s|\Z)\s*|\n\s*|\Z)", re.S)
 _WORD = re.compile(r"\S+\s*")
 _BASE = 0x9E3779B97F4A7C15
+_hash = WordHash()
+
+
+def cut_places(words: list[str], sizes: list[int], max_words: int = MAX_WORDS) -> np.ndarray:
+    """Places in ``words`` (lower case, sentences of ``sizes`` words) before which a sentence is cut.
+
+    A place is cut if the hash of its word and the word before is the least among the ``NEAR`` places on
+    either side, or if a run of one word begins or ends there, so equal passages are cut alike whatever
+    precedes them; longer gaps are cut every ``max_words`` words."""
+    size = np.array(sizes)
+    end = np.cumsum(size)
+    n = int(end[-1])
+    own = _hash([w.encode("utf-8", "surrogatepass") for w in words])
+    pair = mix(own + np.concatenate([[np.uint64(0)], own[:-1]]) * np.uint64(_BASE))
+    place = np.arange(n) - np.repeat(end - size, size)
+    least = (place > NEAR) & (place < np.repeat(size, size) - NEAR)
+    for d in range(1, NEAR + 1):
+        # of equal neighbours none is least: a run of one word has no place of its own
+        least[d:] &= pair[d:] < pair[:-d] if d == 1 else pair[d:] <= pair[:-d]
+        least[:-d] &= pair[:-d] <= pair[d:]
+    # a run of one word is cut where it begins and ends
+    same = np.append((own[1:] == own[:-1]) & (place[1:] > 0), False)  # with the next one
+    run = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(NEAR, dtype=bool), same, np.zeros(NEAR - 1, dtype=bool)]), NEAR).all(axis=1)
+    ahead, behind = run[NEAR:], run[:n]  # the next NEAR words are the same; the NEAR words before the last one were it
+    changed = np.concatenate([[False], ~same[:-1]])
+    cuts = np.union1d(np.flatnonzero(least | changed & (ahead | np.concatenate([[False], behind[:-1]]))), end - size)
+    gap = np.diff(cuts, append=n)
+    more = [np.arange(c + max_words, c + g, max_words) for c, g in zip(cuts[gap > max_words], gap[gap > max_words])]
+    return np.sort(np.concatenate([cuts, *more]))
+
+
+def pieces(texts: list[str | None], max_words: int = MAX_WORDS) -> list[list[str]]:
+    """The consecutive pieces that make up each text."""
+    out, long, words, sizes = [], [], [], []
+    for t in texts:
+        own = [s for s in _SENTENCE.findall(t or "") if s]
+        for k, s in enumerate(own):
+            if len(s) > 4 * NEAR and len(w := s.lower().split()) > 2 * NEAR + 1:
+                long.append((own, k))
+                words += w
+                sizes.append(len(w))
+        out.append(own)
+    if long:
+        cuts = cut_places(words, sizes, max_words)
+        end = np.cumsum(sizes)
+        upto = np.searchsorted(cuts, end).tolist()
+        cuts, at = cuts.tolist(), 0
+        for (own, k), e, n, u in zip(long, end.tolist(), sizes, upto):
+            if u - at > 1:
+                w = _WORD.findall(own[k])
+                w[0] = own[k][:len(own[k]) - sum(map(len, w))] + w[0]
+                here = [c - e + n for c in cuts[at:u]] + [n]
+                own[k] = ["".join(w[i:j]) for i, j in zip(here, here[1:])]
+            at = u
+        out = [[x for s in own for x in ([s] if isinstance(s, str) else s)] for own in out]
+    return out
 
 
 def sentences(text: str | None, max_words: int = MAX_WORDS) -> list[str]:
     """Consecutive pieces that make up the text."""
-    out = []
-    for s in _SENTENCE.findall(text or ""):
-        if not s:
-            continue
-        if len(s) > 2 * max_words and len(words := _WORD.findall(s)) > max_words:
-            words[0] = s[:len(s) - sum(map(len, words))] + words[0]
-            out += ["".join(words[i:i + max_words]) for i in range(0, len(words), max_words)]
-        else:
-            out.append(s)
-    return out
+    return pieces([text], max_words)[0]
 
 
 def spans(texts: list[str | None], min_words: int = MIN_WORDS, max_words: int = MAX_WORDS):
     """(row, hash, first sentence, last sentence) as arrays, over all texts at once."""
     row, count, unit = [], [], []
-    for r, t in enumerate(texts):
-        for s in sentences(t, max_words):
+    for r, own in enumerate(pieces(texts, max_words)):
+        for s in own:
             w = s.lower().split()
             row.append(r)
             count.append(len(w))

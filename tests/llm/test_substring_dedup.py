@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from irforge.llm import substring_dedup as sd
@@ -68,3 +70,22 @@ def test_edge_rows(spark):
 
 def test_empty_table(spark):
     assert sd.drop_repeats(docs_frame(spark, [])).count() == 0
+
+
+def test_passages_without_punctuation_at_random_offsets(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passages = [[word() for _ in range(55)] for _ in range(40)] + [["no"] * 30 + [word()] * 25, ["ab", "cd", "ef"] * 19]
+
+    def planted(p):
+        before, after = ([word() for _ in range(rng.randrange(1, 60))] for _ in range(2))
+        return " ".join(before + p + after)
+
+    rows = [(2 * k + d, planted(p)) for k, p in enumerate(passages) for d in range(2)]
+    got = {r.doc_id: r for r in sd.drop_repeats(docs_frame(spark, rows)).collect()}
+    for i, t in rows:
+        gone = len(t.split()) - len(got[i].text.split())
+        if i % 2:
+            assert 24 <= gone <= len(passages[i // 2]), (i, t)
+        elif i // 2 < len(passages) - 1:  # the last passage repeats itself
+            assert got[i].text == t
