@@ -2,7 +2,7 @@
 
 * Decoder: a token of letters and look-alike signs, with letters repeated, or spelt out with gaps is a
   lattice: every sign may stand for the letters it looks like, a run of one letter for one or two of
-  it.  Viterbi search finds the likeliest word under a character trigram model times the channel's
+  it, and among spaced letters a word may end after each.  Viterbi search finds the likeliest word under a character trigram model times the channel's
   costs.  The model counts every document of the input.
 * Scores: features are the restored text's words and their first four to six letters, at levels of
   how often (1, 2, 4, 8 times) and how densely (0.25 to 4 in a hundred tokens) they occur.  Features
@@ -45,6 +45,7 @@ THRESHOLD = 0.7
 ROWS = 1024
 #: Training rows that one task counts at a time; its table of features is in memory.
 TASK_ROWS = 500
+#: Characters of a feature, and of a token that the decoder remembers.
 LONGEST = 24
 
 # The letters that signs are used for.
@@ -59,10 +60,12 @@ _GAP = re.compile(r"[.\-_*]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _RUN_RE2 = "|".join(c * 3 for c in map(chr, range(97, 123))) + "|" + "|".join(c * 3 for c in map(chr, range(0xDF, 0x180)) if c.isalpha())
 _RUNS = re.compile(r"(.)\1*", re.S)
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 COUNT_LEVELS = (1, 2, 4, 8)
 RATE_LEVELS = (0.25, 0.5, 1, 2, 4)
 #: A document's largest bound is a feature too, so that one strong word counts as much as several.
 STEPS = {f"=most{x}": x for x in (1, 2, 3, 4, 5, 6)}
+_OPEN, _CLOSE = "([{<", ")]}>"
 _EDGE = ".,;:?'\"-*#%&~`)]}>_"
 
 # Classes of the character model: 0 end of a word, 1-26 a-z, 27 any other letter.
@@ -100,20 +103,26 @@ def char_model(docs: DataFrame) -> np.ndarray:
     return np.log(n / n.sum(axis=2, keepdims=True))
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of one sign, the strings it may stand for and their costs."""
+def lattice(token: str, spaced: bool = False) -> list[list[tuple[str, float]]]:
+    """For each run of one sign, the strings it may stand for and their costs; ``spaced``: a word may end
+    after or within it."""
     out = []
     for m in _RUNS.finditer(token):
         c, n = m.group(1), len(m.group(0))
         letters = [(x, SIGN) for x in LOOKS_LIKE[c]] if c in LOOKS_LIKE else [(c, AS_IS)]
-        out.append([(x * k, cost * min(n, k) + (0 if k == n else RUN)) for x, cost in letters for k in {min(n, 2), 1}])
+        options = [(x * k, cost * min(n, k) + (0 if k == n else RUN)) for x, cost in letters for k in {min(n, 2), 1}]
+        if spaced:
+            options += [(s + " ", cost) for s, cost in options]
+            if n > 1:
+                options += [(x + " " + x, cost * 2 + (0 if n == 2 else RUN)) for x, cost in letters]
+        out.append(options)
     return out
 
 
-def decode(token: str, logp: np.ndarray) -> str:
-    """The likeliest word behind a token (Viterbi over the last two classes)."""
-    paths = {(0, 0): (0.0, "")}
-    for options in [*lattice(token), [("", 0.0)]]:
+def decode(token: str, logp: np.ndarray, spaced: bool = False) -> str:
+    """The likeliest word (``spaced``: words) behind a token (Viterbi over the last two classes)."""
+    paths: dict[tuple, tuple] = {(0, 0): (0.0, None)}
+    for options in [*lattice(token, spaced), [("", 0.0)]]:
         new: dict[tuple, tuple] = {}
         for (a, b), (score, word) in paths.items():
             for s, cost in options:
@@ -122,9 +131,18 @@ def decode(token: str, logp: np.ndarray) -> str:
                     p += logp[x, y, z]
                     x, y = y, z
                 if (x, y) not in new or p > new[x, y][0]:
-                    new[x, y] = (p, word + s)
+                    new[x, y] = (p, (word, s))  # linked, so that a long token costs no more per sign
         paths = new
-    return max(paths.values())[1]
+    best = max(p for p, _ in paths.values())
+    return max(_spelling(word) for p, word in paths.values() if p == best)
+
+
+def _spelling(word: tuple | None) -> str:
+    out = []
+    while word is not None:
+        word, s = word
+        out.append(s)
+    return "".join(reversed(out))
 
 
 class Decoder:
@@ -133,35 +151,46 @@ class Decoder:
     def __init__(self, logp: np.ndarray):
         self.logp, self.known = logp, {}
 
-    def _restored(self, token: str) -> str:
-        if token not in self.known:
+    def _restored(self, token: str, spaced: bool = False) -> str:
+        token = _LONG_RUN.sub(r"\1\1\1", token)  # longer runs have the same lattice
+        if len(token) > LONGEST:
+            return decode(token, self.logp, spaced)
+        if (token, spaced) not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            self.known[token] = decode(token, self.logp)
-        return self.known[token]
+            self.known[token, spaced] = decode(token, self.logp, spaced)
+        return self.known[token, spaced]
 
     def words(self, token: str) -> list[str]:
         """token: lower case, without white space."""
-        if not token.isalpha():
-            token = token.strip(_EDGE)
         if token.isalpha():
-            return [token, self._restored(token)] if len(token) <= LONGEST and _RUN.search(token) else [token]
+            return [token, self._restored(token)] if _RUN.search(token) else [token]
+        whole, token = token, token.strip(_EDGE)
+        if token.isalpha():
+            return [token, self._restored(token)] if _RUN.search(token) else [token]
         out = _WORD.findall(token)
-        if out and len(token) <= LONGEST:
-            core = token.rstrip("!$")
-            if core.isalpha():
-                pass
-            elif _SPELT.fullmatch(token):
-                out.append(self._restored(_GAP.sub("", token)))
-            elif all(c in LOOKS_LIKE or c.isalpha() for c in token):
-                out += {self._restored(token), self._restored(core)}
+        if out:
+            bare = token.lstrip(_OPEN)
+            if bare != token and any(c in _CLOSE for c in whole[whole.rindex(token) + len(token):]):
+                token = bare  # a closed bracket is no letter
+            restored = set()
+            for core in {token, bare, token.rstrip("!$"), bare.rstrip("!$").rstrip(_EDGE)}:
+                if core.isalpha():
+                    if _RUN.search(core):
+                        restored.add(self._restored(core))
+                elif _SPELT.fullmatch(core):
+                    restored.add(self._restored(_GAP.sub("", core)))
+                elif core and not token.rstrip("!$").isalpha() and all(c in LOOKS_LIKE or c.isalpha() for c in core):
+                    restored.add(self._restored(core))
+            out += sorted(restored)
         return out
 
     def joined(self, letters: list[str]) -> list[str]:
-        """The word spelt by three or more single letters or signs in a row, if it is one."""
+        """The word or words spelt by three or more single letters or signs in a row, if it is one."""
         word = "".join(letters)
-        if 3 <= len(word) <= LONGEST and not word.isdigit() and all(c in LOOKS_LIKE or c.isalpha() for c in word):
-            return [self._restored(word)]
+        if 3 <= len(word) and not word.isdigit() and all(c in LOOKS_LIKE or c.isalpha() for c in word):
+            one = self._restored(word)
+            return [one, *(w for w in self._restored(word, True).split() if w != one)]
         return []
 
 

@@ -99,3 +99,13 @@ def test_edge_rows_and_missing_labels(spark, tmp_path):
     docs_frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none" / "labels.parquet"))
     assert tx.op9_toxicity(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_disguises_of_any_length_in_brackets_and_spaced_words():
+    d = tx.Decoder(logp())
+    for t, w in (("idi" + "o" * 40 + "t", "idiot"), ("i--d--i--o--t", "idiot"), ("s---e---n---t---e---n---c---e", "sentence"), ("idiooooot!", "idiot"), ("looooser!!", "loser"),
+                 ("(idiooooot)", "idiot"), ("(1d10t)", "idiot"), ("[l0ser!]", "loser"), ("(i.d.i.o.t)", "idiot"), ("l-0-s-e-r!", "loser")):
+        assert w in d.words(t), (t, d.words(t))
+    assert d.words("(idiot)") == ["idiot"] and not any(w.startswith("c") for w in d.words("(idiooooot)"))
+    assert {"an", "idiot"} <= set(d.joined(list("anidiot"))) and "sentences" in d.joined(list("wordsmakesentencesthatpeopleread"))
+    assert "".join(d.joined(list("ab1" * 20000))[:1]).isalpha()
