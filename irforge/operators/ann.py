@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from irforge.functions import fixed
 from irforge.functions.vectors import sq_l2
 from irforge.operators import clusters as C
 from irforge.operators import similarity as sim
@@ -27,7 +28,7 @@ SUB_BLOCK_ROWS = 4096
 
 
 def ivf_index(docs: DataFrame, n_cells: int, sample_fraction: float = 0.3, seed: int = 42, vec: str = "vec",
-              max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+              max_iter: int = fixed.KMEANS_ITERATIONS) -> tuple[DataFrame, DataFrame]:
     """Train coarse centroids on a sample and assign every document: (centers, assignment)."""
     sample = docs.sample(fraction=sample_fraction, seed=seed)
     model = C.kmeans_fit(sample, n_cells, seed, max_iter=max_iter, vec=vec)

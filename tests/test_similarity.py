@@ -37,3 +37,15 @@ def test_layout_independence(spark):
     a = sorted(tuple(r) for r in sim.topk(d, d, 3, min_blocks=1).collect())
     b = sorted(tuple(r) for r in sim.topk(d.repartition(7), d.repartition(3), 3, min_blocks=5).collect())
     assert a == b
+
+
+def test_ivf_topk_recall(spark):
+    from irforge.plans import model_plans
+    from irforge.sources import tables as T
+    from tests.conftest import SF_CHECK
+    corpus = T.unit_embeddings(spark, SF_CHECK).select("docid", "vec")
+    queries = T.shifted_unit_embeddings(spark, SF_CHECK, 7, 1).where("cast(docid as long) % 50 = 0")
+    exact = {(r.lid, r.rid) for r in sim.topk(queries, corpus, 10, left_vec="qvec", right_vec="vec").collect()}
+    found = lambda **a: {(r.qid, r.docid) for r in model_plans.ivf_topk(spark, SF_CHECK, **a).where("cast(qid as long) % 50 = 0").collect()}
+    assert len(found() & exact) >= 0.9 * len(exact) > 0
+    assert found(nprobe=16) == exact
