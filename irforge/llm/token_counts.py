@@ -4,10 +4,10 @@ A byte-level BPE merges within pre-tokens only, so a text has as many tokens as
 
 1. Vocabulary: every text is cut into pre-tokens; distinct ones with their frequency go through one aggregation, and
    the pieces of each are counted once.  Ids exist for the moment of that count only.
-2. Documents: each text's pre-token frequencies meet the counts.  The pre-tokens that are found at least
-   total / FREQUENT times are at most FREQUENT, and as digests of 16 bytes they are broadcast; their part of the sum needs no shuffle.
-   All others are exploded and joined by digest; none of them can be a hot key, as each has fewer
-   than total / FREQUENT occurrences.
+2. Documents: each text's pre-token frequencies meet the counts.  The most frequent pre-tokens, at most
+   ``FREQUENT``, are broadcast as digests of 16 bytes; their part of the sum needs no shuffle.
+   All others are exploded and joined by digest.  None of them can be a hot key: over ``FREQUENT`` others are about as frequent or
+   more so, which leaves each at most 1.1 / FREQUENT of all occurrences.
 
 A special token's string in a text is one pre-token, as the library treats it by default.
 
@@ -33,8 +33,10 @@ from irforge.llm.base import documents, small_batches
 from irforge.session import materialize
 
 LIMIT = 1024
-#: Most pre-tokens of the broadcast table (20 bytes each).
-FREQUENT = 1 << 17
+#: Most pre-tokens of the broadcast table (24 bytes each).
+FREQUENT = 1 << 19
+#: Frequencies are told apart by bins, so many to each doubling.
+BINS = 8
 #: Bytes of the texts that are cut together.
 BYTES = 1 << 21
 
@@ -177,9 +179,14 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
 
 
 def frequent_counts(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted digests, their pieces, least frequency) of the at most ``most`` pre-tokens found total / most times or more."""
-    total = vocab.agg(F.sum("f")).first()[0] or 0
-    least = max(1, -(-int(total) // most))
+    """(sorted digests, their pieces, least frequency) of the at most ``most`` pre-tokens that are found most often."""
+    bins = vocab.groupBy(F.floor(F.log2("f") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("least")).collect()
+    room, least = most, 1 << 62
+    for r in sorted(bins, key=lambda r: -r.bin):
+        room -= r.n
+        if room < 0:
+            break
+        least = r.least
     rows = vocab.where(F.col("f") >= least).select("h", "n").toArrow()
     h = np.array(rows["h"].to_pylist(), dtype="S16")
     order = np.argsort(h, kind="stable")
@@ -206,12 +213,12 @@ def partial_counts(docs: DataFrame, path: str, known: np.ndarray, pieces: np.nda
                 pair, f = np.unique(row[other] * max(len(words), 1) + index[other], return_counts=True)
                 width = np.bincount(pair // max(len(words), 1), minlength=part.num_rows)
                 h = pa.array([digest[i].ljust(16, b"\0") for i in (pair % max(len(words), 1)).tolist()], pa.binary())
-                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.StructArray.from_arrays([h, pa.array(f, pa.int64())], ["h", "f"]))
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.StructArray.from_arrays([h, pa.array(f, pa.int32())], ["h", "f"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), rest], names=["doc_id", "n_bytes", "n", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")) \
-        .mapInArrow(count, f"doc_id {kind}, n_bytes long, n long, rest array<struct<h: binary, f: long>>")
+        .mapInArrow(count, f"doc_id {kind}, n_bytes long, n long, rest array<struct<h: binary, f: int>>")
     out = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
     sent.destroy()
     return out

@@ -45,9 +45,11 @@ def test_counts_equal_whole_text_encoding(spark, cutter):
 def test_the_broadcast_part_is_bounded(spark):
     docs = docs_frame(spark, [(i, " ".join(f"w{j}" for j in range(i))) for i in range(60)])
     vocab = tc.vocabulary(docs, tc.tokenizer_path())
-    known, pieces, least = tc.frequent_counts(vocab, 20)
-    total = vocab.agg({"f": "sum"}).first()[0]
-    assert 0 < len(known) <= 20 and least * 20 >= total and (known[:-1] < known[1:]).all() and (pieces > 0).all()
+    f = sorted((r.f for r in vocab.collect()), reverse=True)
+    for most in (20, 30, 1000):
+        known, pieces, least = tc.frequent_counts(vocab, most)
+        assert 0 < len(known) == sum(x >= least for x in f) <= most and (known[:-1] < known[1:]).all() and (pieces > 0).all()
+        assert all(x * most <= 1.1 * sum(f) for x in f if x < least)
 
 
 def test_empty_table(spark):
