@@ -75,22 +75,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
-_BYTES[[ord(c) for c in BLANKS]] = 0
+#: A random odd factor for every byte, 0 for ASCII white space.
+BYTE_FACTORS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_FACTORS[65:91] = BYTE_FACTORS[97:123]  # A-Z as a-z
+BYTE_FACTORS[[ord(c) for c in BLANKS]] = 0
 _PLACE = 0xD6E8FEB86659FD93
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, words of each text): words are runs of bytes without ASCII white
-    space, A-Z read as a-z.  A hash is the sum of a random factor for each byte times one for its
+def word_hashes(texts: pa.Array, factors: np.ndarray = BYTE_FACTORS) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, words of each text): words are runs of bytes whose factor is not 0; by default, bytes
+    other than ASCII white space, A-Z read as a-z.  A hash is the sum of a random factor for each byte times one for its
     place, so all words of a batch are hashed together."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
     begin = offsets - offsets[0]
     if not len(data):
         return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    value = _BYTES[data]
+    value = factors[data]
     inside = value > 0
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -131,6 +132,10 @@ class Bitmap:
             out[page << PAGE:(page + 1) << PAGE] = np.frombuffer(raw, dtype=np.int64)
         self.bits, self.sent = bits, df.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
+    def destroy(self) -> None:
+        """Free every copy, once the tables that were made with it are written."""
+        self.sent.destroy()
+
     def has(self, h: np.ndarray) -> np.ndarray:
         slot = h >> np.uint64(64 - self.bits)
         return (self.sent.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)

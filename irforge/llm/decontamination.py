@@ -32,11 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from irforge.llm.base import WordHash, documents, mix
+from irforge.llm.base import BYTE_FACTORS, documents, mix, word_hashes
 
 MAX_EDITS = 0.2
 SAMPLED = 2
@@ -47,12 +48,16 @@ SEED = 7
 ROWS = 256
 BITS = 22
 
-_TABLE = bytes(32 if chr(i).isascii() and not chr(i).isalnum() and i >= 32 else i for i in range(128)) + bytes(range(128, 256))
+#: ASCII signs other than letters and digits part words, as white space does.
+_FACTORS = np.where([chr(i).isascii() and not chr(i).isalnum() and i >= 32 for i in range(256)], np.uint64(0), BYTE_FACTORS)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words of each text), in lower case."""
+    if not texts:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    return word_hashes(pc.utf8_lower(pc.fill_null(pa.array(texts, pa.string()), "")), _FACTORS)
 
 
 def edits_to_start(item: list, words: list, limit: int) -> int:
@@ -73,8 +78,9 @@ class Matcher:
     """The items' signatures and run index, and the search of texts against them."""
 
     def __init__(self, items: list[tuple[object, str | None]], max_edits: float = MAX_EDITS, seed: int = SEED):
-        self.hash, self.rng, self.max_edits = WordHash(seed), np.random.default_rng(seed), max_edits
-        words = [(i, self.hash(w)) for i, t in items if (w := words_of(t))]
+        self.rng, self.max_edits = np.random.default_rng(seed), max_edits
+        w, size = hashed_words([t for _, t in items])
+        words = [(i, own) for (i, _), own in zip(items, np.split(w, np.cumsum(size)[:-1])) if len(own)]
         self.ids, self.items = [i for i, _ in words], [w for _, w in words]
         self.limit = [int(max_edits * len(w)) for w in self.items]
         self.plans = {n: self._plan(n) for n in {len(w) for w in self.items}}
@@ -140,12 +146,10 @@ class Matcher:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item, first word of the window, edits): the best window of every leaked item."""
-        split = [words_of(t) for t in texts]
-        size = np.array([len(s) for s in split], dtype=np.int64)
-        if not self.items or not size.sum():
+        w, size = hashed_words(texts)
+        if not self.items or not len(w):
             return []
         ends = np.cumsum(size)
-        w = self.hash([x for s in split for x in s])
         windows: dict[int, set] = defaultdict(set)  # by length: (first word, row)
         near: dict[tuple, set] = defaultdict(set)  # (row, item): the item's words where shared runs begin, implied first words
         for g, (seen, key, rows) in self.runs.items():

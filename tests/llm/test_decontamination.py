@@ -50,7 +50,7 @@ def test_recall_of_edited_passages():
     for r, t in enumerate(texts):
         for k in range(len(items)):
             item = m.items[k].tolist()
-            e = least_edits(item, m.hash(dc.words_of(t)).tolist(), m.limit[k])
+            e = least_edits(item, dc.hashed_words([t])[0].tolist(), m.limit[k])
             if e <= m.limit[k]:
                 want.append((r, k))
             assert (r, k) not in got or e <= got[r, k] <= m.limit[k]
