@@ -85,17 +85,17 @@ class LineRuns:
 def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """``docs`` with text rebuilt without frequent lines, plus n_lines and n_dropped (long).
 
-    Input columns called n_lines, n_dropped, text_hash, text_lines or dropped give way.
+    Input columns called n_lines, n_dropped, text_hash, text_lines, dropped, _line_doc or _line_text give way.
     """
-    docs = docs.drop("n_lines", "n_dropped", "text_hash", "dropped", "text_lines")
+    docs = docs.drop("n_lines", "n_dropped", "text_hash", "dropped", "text_lines", "_line_doc", "_line_text")
     hashes = materialize(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches))))
     runs = LineRuns(min_docs)
     for b in range(batches):
         runs.add(hashes.where(F.col("batch") == b))
     hits = hashes.select("doc_id", "text_hash", F.posexplode("hs").alias("pos", "h")).where("h is not null").join(runs.frequent(), "h")
-    dropped = hits.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_set("pos").alias("dropped"))
+    dropped = hits.groupBy(F.col("doc_id").alias("_line_doc"), F.col("text_hash").alias("_line_text")).agg(F.collect_set("pos").alias("dropped"))
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    both = keyed.join(dropped, keyed.doc_id.eqNullSafe(dropped.d) & (keyed.text_hash == dropped.t), "left")
+    both = keyed.join(dropped, keyed.doc_id.eqNullSafe(dropped._line_doc) & (keyed.text_hash == dropped._line_text), "left")
     both = both.withColumn("text_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("text_lines") - 1), "dropped")
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("text_lines", i)), "\n"))

@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irforge.llm.base import Bitmap, WordHash, documents, mix
+from irforge.llm.base import Bitmap, documents, mix, word_hashes
 from irforge.session import materialize
 
 MIN_WORDS = 24
@@ -42,19 +42,23 @@ ROWS = 512
 _SENTENCE = re.compile(r".*?(?:[.!?]+(?=\s|\Z)\s*|\n\s*|\Z)", re.S)
 _WORD = re.compile(r"\S+\s*")
 _BASE = 0x9E3779B97F4A7C15
-_hash = WordHash()
+#: White space beyond that of ``word_hashes``.
+_SPACE = "[\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-def cut_places(words: list[str], sizes: list[int], max_words: int = MAX_WORDS) -> np.ndarray:
-    """Places in ``words`` (lower case, sentences of ``sizes`` words) before which a sentence is cut.
+def words_of(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in lower case, words of each sentence)."""
+    return word_hashes(pc.replace_substring_regex(pc.utf8_lower(pa.array(sentences, pa.string())), _SPACE, " "))
+
+
+def cut_places(own: np.ndarray, size: np.ndarray, max_words: int = MAX_WORDS) -> np.ndarray:
+    """Places in the words of hashes ``own`` (sentences of ``size`` words) before which a sentence is cut.
 
     A place is cut if the hash of its word and the word before is the least among the ``NEAR`` places on
     either side, or if a run of one word begins or ends there, so equal passages are cut alike whatever
     precedes them; longer gaps are cut every ``max_words`` words."""
-    size = np.array(sizes)
     end = np.cumsum(size)
     n = int(end[-1])
-    own = _hash([w.encode("utf-8", "surrogatepass") for w in words])
     pair = mix(own + np.concatenate([[np.uint64(0)], own[:-1]]) * np.uint64(_BASE))
     place = np.arange(n) - np.repeat(end - size, size)
     least = (place > NEAR) & (place < np.repeat(size, size) - NEAR)
@@ -75,21 +79,21 @@ def cut_places(words: list[str], sizes: list[int], max_words: int = MAX_WORDS) -
 
 def pieces(texts: list[str | None], max_words: int = MAX_WORDS) -> list[list[str]]:
     """The consecutive pieces that make up each text."""
-    out, long, words, sizes = [], [], [], []
+    out, long = [], []
     for t in texts:
         own = [s for s in _SENTENCE.findall(t or "") if s]
-        for k, s in enumerate(own):
-            if len(s) > 4 * NEAR and len(w := s.lower().split()) > 2 * NEAR + 1:
-                long.append((own, k))
-                words += w
-                sizes.append(len(w))
+        long += [(own, k) for k, s in enumerate(own) if len(s) > 4 * NEAR]
         out.append(own)
+    if long:
+        words, sizes = words_of([own[k] for own, k in long])
+        some = sizes > 2 * NEAR + 1
+        long, words, sizes = [x for x, b in zip(long, some.tolist()) if b], words[np.repeat(some, sizes)], sizes[some]
     if long:
         cuts = cut_places(words, sizes, max_words)
         end = np.cumsum(sizes)
         upto = np.searchsorted(cuts, end).tolist()
         cuts, at = cuts.tolist(), 0
-        for (own, k), e, n, u in zip(long, end.tolist(), sizes, upto):
+        for (own, k), e, n, u in zip(long, end.tolist(), sizes.tolist(), upto):
             if u - at > 1:
                 w = _WORD.findall(own[k])
                 w[0] = own[k][:len(own[k]) - sum(map(len, w))] + w[0]
@@ -105,22 +109,28 @@ def sentences(text: str | None, max_words: int = MAX_WORDS) -> list[str]:
     return pieces([text], max_words)[0]
 
 
+def sentence_hashes(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the words in lower case, number of words) of each sentence."""
+    w, count = words_of(sentences)
+    end = np.cumsum(count)
+    place = np.arange(len(w)) - np.repeat(end - count, count)
+    powers = np.cumprod(np.full(int(count.max(initial=0)) + 1, _BASE, dtype=np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(w * powers[place])])
+    return mix(sums[end] - sums[end - count] + count.astype(np.uint64)), count
+
+
 def spans(texts: list[str | None], min_words: int = MIN_WORDS, max_words: int = MAX_WORDS):
     """(row, hash, first sentence, last sentence) as arrays, over all texts at once."""
-    row, count, unit = [], [], []
-    for r, own in enumerate(pieces(texts, max_words)):
-        for s in own:
-            w = s.lower().split()
-            row.append(r)
-            count.append(len(w))
-            unit.append(xxhash.xxh3_64_intdigest(" ".join(w)))
-    if not row:
+    own = pieces(texts, max_words)
+    row = np.repeat(np.arange(len(own)), [len(s) for s in own])
+    if not len(row):
         return tuple(np.empty(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int64))
-    row, total = np.array(row), np.concatenate([[0], np.cumsum(count)])
+    unit, count = sentence_hashes([s for part in own for s in part])
+    total = np.concatenate([[0], np.cumsum(count)])
     start = np.searchsorted(row, row, "left")
     n = len(row)
     powers = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(np.array(unit, dtype=np.uint64)) * powers)])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(unit * powers)])
     back = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
     here = np.arange(n)
     to = np.searchsorted(total, total[:-1] + min_words, "left") - 1  # shortest from here
@@ -171,12 +181,12 @@ def mark_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the covered sentences cut from text, plus n_removed (sentences).
 
-    Input columns called text_hash, covered, cut or n_removed give way.
+    Input columns called text_hash, covered, cut, n_removed, _span_doc or _span_text give way.
     """
-    docs = docs.drop("text_hash", "covered", "cut", "n_removed")
-    marks = mark_repeats(docs, min_words).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    docs = docs.drop("text_hash", "covered", "cut", "n_removed", "_span_doc", "_span_text")
+    marks = mark_repeats(docs, min_words).withColumnsRenamed({"doc_id": "_span_doc", "text_hash": "_span_text"})
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    both = keyed.join(marks, keyed.doc_id.eqNullSafe(marks.d) & (keyed.text_hash == marks.t), "left")
+    both = keyed.join(marks, keyed.doc_id.eqNullSafe(marks._span_doc) & (keyed.text_hash == marks._span_text), "left")
 
     @F.pandas_udf("text string, n_removed long")
     def cut(text: pd.Series, covered: pd.Series) -> pd.DataFrame:

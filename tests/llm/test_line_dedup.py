@@ -30,8 +30,8 @@ def test_against_brute_force(spark):
     line = " Share THIS post\t"
     rows = edge_docs() + [(100 + i, f"{line}\n\nown {i}\nÉtait là\n{'é' if i % 2 else 'É'}") for i in range(24)] \
         + [(200, "share this post"), (201, "\n\n"), (None, "share this post\nx"), (202, "own 3\nSHARE this post\n" * 300)] + [(300 + i, t) for i, t in sf_docs(120)]
-    out = ld.drop_frequent_lines(docs_frame(spark, rows, n_lines="clash", dropped=1, batch=2))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "batch", "n_lines", "n_dropped"]
+    out = ld.drop_frequent_lines(docs_frame(spark, rows, n_lines="clash", dropped=1, batch=2, d=3, t="x", h=4))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "batch", "d", "t", "h", "n_lines", "n_dropped"]
     got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()]
     assert sorted(got, key=order) == sorted(brute(rows), key=order)
     assert sum(g[3] for g in got) > 48

@@ -43,7 +43,7 @@ def test_sentences_make_up_the_text():
 
 def test_against_brute_force(spark):
     rows = sf_docs(200)
-    got = {r.doc_id: (r.text, r.n_removed) for r in sd.drop_repeats(docs_frame(spark, rows)).select("doc_id", "text", "n_removed").collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in sd.drop_repeats(docs_frame(spark, rows, d=1, t="x", h=2, cut=3)).select("doc_id", "text", "n_removed").collect()}
     want = brute(rows)
     # the same hash kept in two documents at the same place of id order is the only freedom; there is none here
     assert got == {i: want[i, t] for i, t in rows}
