@@ -1,11 +1,18 @@
 """Lexical statistics and retrieval: postings, TF-IDF (A5-A7, T1, T7) and BM25.
 
 Term frequencies are computed inside each document row (sort + run lengths), so building postings
-needs no shuffle; corpus statistics are partial aggregations.
+needs no shuffle; corpus statistics are partial aggregations.  BM25 scores blocks of documents where they
+lie, with per-term maxima that let queries pass blocks by.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,43 +146,152 @@ def field_index(docs: DataFrame, fields: list[str], id_col: str = "docid") -> Da
     return materialize(out)
 
 
+#: Documents that are scored together, and query terms of a broadcast slice of the query set.
+BLOCK_DOCS = 4096
+QUERY_TERMS = 500_000
+
+
+@dataclass
+class QuerySlice:
+    """Part of the query set: its distinct terms and the postings (query, term, repeats) over them."""
+    qids: list[str]
+    terms: pa.Array
+    query: np.ndarray
+    term: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> QuerySlice:
+        qid, term = rows["qid"].combine_chunks().dictionary_encode(), rows["term"].combine_chunks().dictionary_encode()
+        order = np.argsort(qid.indices.to_numpy(), kind="stable")
+        return cls(qid.dictionary.to_pylist(), term.dictionary, qid.indices.to_numpy()[order], term.indices.to_numpy()[order],
+                   rows["qtf"].to_numpy()[order].astype(np.float64))
+
+
+def _term_hits(tfs: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term number, tf) of the terms in question, from a column of term-frequency arrays."""
+    values = tfs.flatten()
+    number = pc.index_in(values.field(0), value_set=terms)
+    hit = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(len(tfs)), pc.fill_null(pc.list_value_length(tfs), 0).to_numpy(zero_copy_only=False))
+    at = pa.array(hit)
+    return row[hit], number.take(at).to_numpy(), values.field(1).take(at).to_numpy().astype(np.float64)
+
+
+def document_frequencies(index: DataFrame, fields: list[str], sent) -> dict[str, np.ndarray]:
+    """How many documents hold each term of the broadcast slice, by field; a task hands on one row for each term it met."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = sent.value.terms
+        total = np.zeros((len(fields), len(terms)), dtype=np.int64)
+        for b in batches:
+            for f in range(len(fields)):
+                total[f] += np.bincount(_term_hits(b.column(f), terms)[1], minlength=len(terms))
+        f, t = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(t), pa.array(total[f, t])], names=["f", "t", "df"])
+
+    out = {f: np.zeros(len(sent.value.terms)) for f in fields}
+    rows = index.select(*[f"tfs_{f}" for f in fields]).mapInArrow(count, "f long, t long, df long").groupBy("f", "t").agg(F.sum("df").alias("df"))
+    for r in rows.toLocalIterator():
+        out[fields[r.f]][r.t] = r.df
+    return out
+
+
+class TopScores:
+    """The k best documents of every query so far, by rounded score and then id."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.best: list[list[tuple[float, str, float]]] = [[] for _ in range(n_queries)]
+        self.least = np.full(n_queries, -np.inf)
+
+    def add(self, q: int, score: np.ndarray, rows: np.ndarray, ids: pa.Array) -> None:
+        rounded = np.round(score, 6)
+        if len(rows) > self.k:
+            keep = rounded >= np.partition(rounded, -self.k)[-self.k]
+            rows, score, rounded = rows[keep], score[keep], rounded[keep]
+        keep = rounded >= self.least[q]
+        new = zip((-rounded[keep]).tolist(), ids.take(pa.array(rows[keep])).to_pylist(), score[keep].tolist())
+        self.best[q] = sorted([*self.best[q], *new])[:self.k]
+        if len(self.best[q]) == self.k:
+            self.least[q] = -self.best[q][-1][0]
+
+
+def block_scores(index: DataFrame, sent, weights: list[tuple[str, np.ndarray, float]], k: int, k1: float, b: float, id_col: str) -> DataFrame:
+    """(qid, id, score): the k best documents of each query in each partition, with block maxima.
+
+    A block of documents is scored in place.  The greatest contribution of each term in the block bounds
+    what a query can reach there; queries that cannot reach their k-th best score so far pass the block by.
+    """
+    fields = [f for f, _, _ in weights]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qs = sent.value
+        n_queries, n_terms = len(qs.qids), len(qs.terms)
+        bounds = np.searchsorted(qs.query, np.arange(n_queries + 1))
+        top = TopScores(n_queries, k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(at, BLOCK_DOCS)
+                row, term, value, most = [], [], [], np.zeros(n_terms)
+                for i, (_, idf, avg) in enumerate(weights):
+                    r, t, tf = _term_hits(part.column(1 + 2 * i), qs.terms)
+                    dl = part.column(2 + 2 * i).to_numpy(zero_copy_only=False).astype(np.float64)
+                    v = idf[t] * tf / (tf + k1 * (1.0 - b + b * dl[r] / avg))
+                    highest = np.zeros(n_terms)
+                    np.maximum.at(highest, t, v)
+                    most += highest
+                    row.append(r)
+                    term.append(t)
+                    value.append(v)
+                term = np.concatenate(term)
+                order = np.argsort(term, kind="stable")
+                row, value = np.concatenate(row)[order], np.concatenate(value)[order]
+                begin = np.searchsorted(term[order], np.arange(n_terms + 1))
+                reach = np.bincount(qs.query, weights=most[qs.term] * qs.times, minlength=n_queries)
+                # scores are compared after rounding, so the bound gets a margin of as much
+                for q in np.flatnonzero((reach > 0) & (reach >= top.least - 1e-5)).tolist():
+                    own = [(t, w) for t, w in zip(qs.term[bounds[q]:bounds[q + 1]].tolist(), qs.times[bounds[q]:bounds[q + 1]].tolist()) if begin[t] < begin[t + 1]]
+                    rows = np.concatenate([row[begin[t]:begin[t + 1]] for t, _ in own])
+                    points = np.concatenate([value[begin[t]:begin[t + 1]] * w for t, w in own])
+                    found, place = np.unique(rows, return_inverse=True)
+                    top.add(q, np.bincount(place, weights=points), found, part.column(0))
+        out = [(qs.qids[q], d, s) for q, best in enumerate(top.best) for _, d, s in best]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))], names=["qid", id_col, "score"])
+
+    columns = [c for f in fields for c in (f"tfs_{f}", f"dl_{f}")]
+    return index.select(F.col(id_col).cast("string").alias(id_col), *columns).mapInArrow(score, f"qid string, {id_col} string, score double")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float] | None = None, k: int = 100,
          k1: float = BM25_K1, b: float = BM25_B, id_col: str = "docid", index: DataFrame | None = None) -> DataFrame:
     """BM25 top-``k`` run (qid, docid, score, rank) summed over weighted fields.
 
     Per field: idf = ln(1 + (N - df + 0.5)/(df + 0.5)), term score = idf * tf / (tf + k1 (1 - b + b dl/avgdl)),
-    N and avgdl over documents with a non-empty field; repeated query terms count repeatedly.
-    Only postings of query terms survive the semi-join, and Spark broadcasts the query side of both
-    joins when its statistics show it is small, on any input size by the same plan; (qid, docid) sums
-    combine before the shuffle; the top-k is split by doc hash so one query matching most documents
-    is not one task.
+    N and avgdl over documents with a non-empty field; repeated query terms count repeatedly.  Ids are unique and not null.
+
+    The query set goes out in slices of at most ``QUERY_TERMS`` terms (one pass over the index each); documents
+    are scored where they lie, and only the k best of each query and partition are shuffled.
     """
     fields = fields or {"doctext": 1.0}
+    spark = queries.sparkSession
     q = with_term_frequencies(queries.select("qid", "query"), "query", out_col="qtfs")
     qterms = materialize(explode_tfs(q, ["qid"], "qtfs").withColumnRenamed("tf", "qtf"))
-    distinct_terms = qterms.select("term").distinct()
     idx = index if index is not None else field_index(docs, list(fields), id_col)
     stats = idx.agg(*[x for f in fields for x in (F.count(F.when(F.col(f"dl_{f}") > 0, 1)).alias(f"n_{f}"),
                                                     F.avg(F.when(F.col(f"dl_{f}") > 0, F.col(f"dl_{f}"))).alias(f"avg_{f}"))]).first()
-    live = [(f, bst) for f, bst in fields.items() if stats[f"n_{f}"]]
-    if not live:
-        return queries.sparkSession.createDataFrame([], f"qid string, {id_col} string, score double, rank bigint")
-    # postings of query terms only, all fields in one written table (read twice below: df and scores)
-    exploded = None
-    for f, _ in live:
-        e = (explode_tfs(idx.select(id_col, F.col(f"dl_{f}").alias("dl"), f"tfs_{f}"), [id_col, "dl"], f"tfs_{f}")
-             .withColumn("field", F.lit(f)))
-        exploded = e if exploded is None else exploded.unionByName(e)
-    matched = materialize(exploded.join(distinct_terms, "term", "left_semi"))
-    dfs = matched.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    n_lit = F.create_map(*[x for f, _ in live for x in (F.lit(f), F.lit(float(stats[f"n_{f}"])))])
-    avg_lit = F.create_map(*[x for f, _ in live for x in (F.lit(f), F.lit(float(stats[f"avg_{f}"])))])
-    boost_lit = F.create_map(*[x for f, bst in live for x in (F.lit(f), F.lit(float(bst)))])
-    idf = dfs.select("field", "term", F.log(1.0 + (n_lit[F.col("field")] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    qidf = materialize(qterms.join(idf, "term"))
-    allc = (matched.join(qidf, ["field", "term"])
-                   .select("qid", id_col,
-                           (boost_lit[F.col("field")] * F.col("qtf") * F.col("idf") * F.col("tf")
-                            / (F.col("tf") + F.lit(k1) * (1.0 - b + b * F.col("dl") / avg_lit[F.col("field")]))).alias("s")))
-    scores = allc.groupBy("qid", id_col).agg(F.round(F.sum("s"), 6).alias("score"))
-    return topk_per_group(scores, ["qid"], [F.desc("score"), F.asc(id_col)], k, split_col=id_col)
+    live = [f for f in fields if stats[f"n_{f}"]]
+    n_terms = qterms.count()
+    run = spark.createDataFrame([], f"qid string, {id_col} string, score double")
+    if not live or not n_terms:
+        return run.withColumn("rank", F.lit(None).cast("bigint"))
+    slices = -(-n_terms // QUERY_TERMS)
+    for i in range(slices):
+        part = QuerySlice.of(qterms.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i).select(F.col("qid").cast("string"), "term", "qtf").toArrow())
+        if not part.qids:
+            continue
+        sent = spark.sparkContext.broadcast(part)
+        df = document_frequencies(idx, live, sent)
+        weights = [(f, fields[f] * np.log(1.0 + (stats[f"n_{f}"] - df[f] + 0.5) / (df[f] + 0.5)), float(stats[f"avg_{f}"])) for f in live]
+        run = run.unionByName(materialize(block_scores(idx, sent, weights, k, k1, b, id_col)))
+        sent.destroy()
+    return topk_per_group(run.withColumn("score", F.round("score", 6)), ["qid"], [F.desc("score"), F.asc(id_col)], k, split_col=id_col)
