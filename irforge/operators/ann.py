@@ -1,10 +1,10 @@
 """Approximate and late-interaction retrieval.
 
-J16 (inverted-file top-k): coarse centroids from MLlib k-means on a sample, every document
-assigned to its nearest cell, every query to its ``nprobe`` nearest cells; scoring happens only
-inside probed cells, through a cogroup keyed by (cell, sub-block).  A hot cell is split into
-sub-blocks of bounded size (sub-block count from the cell-size table), so no task holds a whole
-large cell.  With nprobe = number of cells it equals the exact top-k (J10).
+J16 (inverted-file top-k): about sqrt(N) cells, trained at two levels on a sample, and the documents written
+as a table partitioned by cell, so a search reads the probed cells only.  The index grows with the
+collection: cells, sample and broadcast centres with its square root, and a search with the share of cells that it
+probes.  ``calibrate`` measures how many cells a recall takes on the data at hand, since that depends on how
+much structure the vectors have.  With all cells probed the result is the exact top-k (J10).
 
 M19 (MaxSim): for each (query, document) pair of a candidate run, the sum over query tokens of the
 best document-token similarity (negative squared L2, as the reference's l2 setting).
@@ -12,63 +12,211 @@ best document-token similarity (negative squared L2, as the reference's l2 setti
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from irforge.functions import fixed
 from irforge.functions.vectors import sq_l2
-from irforge.operators import clusters as C
 from irforge.operators import similarity as sim
-from irforge.operators.common import bounded_broadcast
-
-SUB_BLOCK_ROWS = 4096
-
-
-def ivf_index(docs: DataFrame, n_cells: int, sample_fraction: float = 0.3, seed: int = 42, vec: str = "vec",
-              max_iter: int = fixed.KMEANS_ITERATIONS) -> tuple[DataFrame, DataFrame]:
-    """Train coarse centroids on a sample and assign every document: (centers, assignment)."""
-    sample = docs.sample(fraction=sample_fraction, seed=seed)
-    model = C.kmeans_fit(sample, n_cells, seed, max_iter=max_iter, vec=vec)
-    centers = C.model_centers(docs.sparkSession, model)
-    assign = C.nearest_centroid(docs.select("docid", vec), centers, vec=vec).select("docid", F.col("cid").alias("cell"))
-    return centers, assign
-
-
-def ivf_topk(queries: DataFrame, docs: DataFrame, centers: DataFrame, assign: DataFrame, k: int, nprobe: int,
-             qvec: str = "qvec", vec: str = "vec", sub_rows: int = SUB_BLOCK_ROWS) -> DataFrame:
-    """(qid, docid, score, rank): inner-product top-k over the documents of each query's probed cells."""
-    probes = sim.topk(queries, centers.select(F.col("cid").cast("string").alias("cell"), "center"), nprobe,
-                      metric="l2", left_id="qid", right_id="cell", left_vec=qvec, right_vec="center")
-    probes = probes.select(F.col("lid").alias("qid"), F.col("rid").cast("int").alias("cell"))
-    cell_sizes = assign.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    subs = cell_sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / sub_rows)).cast("int").alias("n_sub"))
-    subs_b = bounded_broadcast(subs, 1_000_000)
-    d = (docs.select("docid", F.col(vec).alias("rvec")).join(assign, "docid").join(subs_b, "cell")
-             .withColumn("sub", F.pmod(F.xxhash64("docid"), F.col("n_sub")).cast("int")))
-    q = (probes.join(queries.select("qid", F.col(qvec).alias("lvec")), "qid").join(subs_b, "cell")
-               .withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1))))
-
-    def score(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return sim.empty_frame("qid string, docid string, score double")
-        L = np.vstack([np.asarray(v, dtype=np.float64) for v in lp["lvec"]])
-        R = np.vstack([np.asarray(v, dtype=np.float64) for v in rp["rvec"]])
-        S = L @ R.T
-        kk = min(k, S.shape[1])
-        kth = -np.partition(-S, kk - 1, axis=1)[:, kk - 1]
-        i, j = np.nonzero(S >= (kth - sim.TIE_MARGIN)[:, None])
-        return pd.DataFrame({"qid": lp["qid"].to_numpy()[i], "docid": rp["docid"].to_numpy()[j],
-                             "score": (L[i] * R[j]).sum(1)})
-
-    raw = (q.select("cell", "sub", "qid", "lvec").groupBy("cell", "sub")
-             .cogroup(d.select("cell", "sub", "docid", "rvec").groupBy("cell", "sub"))
-             .applyInPandas(score, "qid string, docid string, score double"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("docid"))
-    return (raw.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w).cast("bigint"))
-               .where(F.col("rank") <= k))
+from irforge.operators.common import topk_per_group
+from irforge.session import ensure_checkpoint_dir, materialize
+
+#: Sampled vectors for each cell to be trained.
+SAMPLE_PER_CELL = 64
+#: Top-level groups whose cells are looked at when a document is assigned.
+NEAR_GROUPS = 4
+ITERATIONS = 20
+#: Bytes of query vectors in a broadcast slice of the query set.
+QUERY_BYTES = 32 << 20
+#: Queries whose exact neighbours calibrate the number of probed cells.
+CALIBRATION_QUERIES = 64
+
+
+def lloyd(x: np.ndarray, k: int, seed: int, iterations: int = ITERATIONS) -> np.ndarray:
+    """At most k centres of a sample that fits a task; an empty cell keeps its centre."""
+    distinct = np.unique(x, axis=0)
+    centers = distinct[np.random.default_rng(seed).permutation(len(distinct))[:k]].copy()
+    for _ in range(iterations):
+        own = nearest(x, centers)
+        n = np.bincount(own, minlength=len(centers))
+        order = np.argsort(own, kind="stable")
+        used = np.flatnonzero(n)
+        moved = centers.copy()
+        moved[used] = np.add.reduceat(x[order], (np.cumsum(n) - n)[used], axis=0) / n[used, None]
+        if np.array_equal(moved, centers):
+            break
+        centers = moved
+    return centers
+
+
+def distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances less each row's own constant."""
+    return (centers * centers).sum(axis=1) - 2 * (x @ centers.T)
+
+
+def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return distances(x, centers).argmin(axis=1)
+
+
+@dataclass
+class Cells:
+    """Two levels of centres: groups, and the cells of each (numbered through, group after group)."""
+    groups: np.ndarray
+    centers: np.ndarray
+    group_of: np.ndarray
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """The nearest cell among those of the nearest groups."""
+        near = min(NEAR_GROUPS, len(self.groups))
+        groups = np.argpartition(distances(x, self.groups), near - 1, axis=1)[:, :near]
+        best, out = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+        for g in np.unique(groups).tolist():
+            rows = np.flatnonzero((groups == g).any(axis=1))
+            cells = np.flatnonzero(self.group_of == g)
+            d = distances(x[rows], self.centers[cells])
+            at = d.argmin(axis=1)
+            low = d[np.arange(len(rows)), at]
+            better = low < best[rows]
+            best[rows[better]], out[rows[better]] = low[better], cells[at[better]]
+        return out
+
+    def ranked(self, x: np.ndarray) -> np.ndarray:
+        """All cells of each row, nearest first."""
+        return np.argsort(distances(x, self.centers), axis=1, kind="stable")
+
+
+@dataclass
+class IvfIndex:
+    cells: Cells
+    path: str
+    spark: object
+
+    def table(self, probed: list[int] | None = None) -> DataFrame:
+        """(docid, vec, cell); only the folders of the probed cells are read."""
+        t = self.spark.read.schema("docid string, vec array<double>, cell int").parquet(self.path)
+        return t if probed is None or len(probed) == len(self.cells.centers) else t.where(F.col("cell").isin(probed))
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64)
+
+
+def train_cells(docs: DataFrame, n_cells: int, seed: int = 42, vec: str = "vec") -> Cells:
+    """Groups from a part of the sample, then the cells of each group in a task of its own.
+
+    The sample has ``SAMPLE_PER_CELL`` vectors for each cell (all, if there are fewer), the part for the groups as many for each group.
+    """
+    n_groups = max(1, round(n_cells ** 0.5))
+    rank = F.xxhash64(F.lit(seed), "docid")
+    rows = docs.count()
+    share = min(1.0, 1.1 * SAMPLE_PER_CELL * n_cells / max(rows, 1))
+    # a share of the hash range is a sample that needs no sort and comes out alike at any layout
+    sample = materialize(docs.where(F.pmod(rank, F.lit(1 << 30)) < int(share * (1 << 30))).select("docid", F.col(vec).alias("vec")))
+    few = sample.orderBy(rank, "docid").limit(SAMPLE_PER_CELL * n_groups).select("vec").toPandas()
+    if few.empty:
+        return Cells(np.zeros((1, 1)), np.zeros((1, 1)), np.zeros(1, dtype=np.int64))
+    groups = lloyd(_stack(few["vec"]), n_groups, seed)
+    sent = docs.sparkSession.sparkContext.broadcast(groups)
+    per_cell = max(1.0, sample.count() / n_cells)
+
+    def to_group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"g": nearest(_stack(b["vec"]), sent.value), "vec": b["vec"]}) if len(b) else pd.DataFrame({"g": [], "vec": []})
+
+    def cells_of(rows: pd.DataFrame) -> pd.DataFrame:
+        x = _stack(rows["vec"])
+        return pd.DataFrame({"g": int(rows["g"].iloc[0]), "center": lloyd(x, max(1, round(len(x) / per_cell)), seed).tolist()})
+
+    found = sample.select("vec").mapInPandas(to_group, "g long, vec array<double>").groupBy("g").applyInPandas(cells_of, "g long, center array<double>").toPandas().sort_values("g", kind="stable")
+    sent.destroy()
+    return Cells(groups, _stack(found["center"]), found["g"].to_numpy(dtype=np.int64))
+
+
+def ivf_index(docs: DataFrame, n_cells: int | None = None, seed: int = 42, vec: str = "vec") -> IvfIndex:
+    """Cells of docs(docid, vec), sqrt(N) unless given, and the documents written by cell under the checkpoint folder."""
+    spark = docs.sparkSession
+    cells = train_cells(docs, n_cells or max(1, round(docs.count() ** 0.5)), seed, vec)
+    sent = spark.sparkContext.broadcast(cells)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(cell=sent.value.assign(_stack(b["vec"])))
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/irforge-tables/ivf-{uuid.uuid4().hex}"
+    rows = docs.select(F.col("docid").cast("string").alias("docid"), F.col(vec).cast("array<double>").alias("vec")).mapInPandas(assign, "docid string, vec array<double>, cell int")
+    # one writer for a cell, and several for a large one
+    rows.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+    sent.destroy()
+    return IvfIndex(cells, path, spark)
+
+
+def calibrate(queries: DataFrame, docs: DataFrame, index: IvfIndex, k: int, recall: float = 0.9, qvec: str = "qvec", vec: str = "vec") -> int:
+    """The fewest probed cells with which ``CALIBRATION_QUERIES`` hash-chosen queries find ``recall`` of their exact top k."""
+    some = materialize(queries.orderBy(F.xxhash64(F.lit(1), "qid"), "qid").limit(CALIBRATION_QUERIES).select("qid", F.col(qvec).alias("qvec")))
+    exact = sim.topk(some, docs, k, left_id="qid", right_id="docid", left_vec="qvec", right_vec=vec).select(F.col("lid").alias("qid"), F.col("rid").alias("docid"))
+    homes = materialize(exact).join(index.table().select("docid", "cell"), "docid").select("qid", "cell").toPandas()
+    own = some.toPandas()
+    if homes.empty:
+        return len(index.cells.centers)
+    ranked = index.cells.ranked(_stack(own["qvec"]))
+    place = np.argsort(ranked, axis=1)
+    at = {q: i for i, q in enumerate(own["qid"].astype(str))}
+    needed = np.sort(place[[at[q] for q in homes["qid"].astype(str)], homes["cell"].to_numpy()])
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1
+
+
+def ivf_topk(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, qvec: str = "qvec") -> DataFrame:
+    """(qid, docid, score, rank): inner-product top-k over the documents of each query's ``nprobe`` nearest cells.
+
+    The query set goes out in slices of at most ``QUERY_BYTES``; documents are scored where they lie, and
+    the k best of each query and partition are shuffled.  Equal scores (to 6 decimals) go by docid.
+    """
+    spark = queries.sparkSession
+    nprobe = min(nprobe, len(index.cells.centers))
+    q = materialize(queries.select(F.col("qid").cast("string").alias("qid"), F.col(qvec).cast("array<double>").alias("qvec")))
+    slices = max(1, -(-q.count() * index.cells.centers.shape[1] * 8 // QUERY_BYTES))
+    out = None
+    for i in range(slices):
+        own = q.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i).toPandas()
+        x = _stack(own["qvec"]) if len(own) else np.zeros((0, index.cells.centers.shape[1]))
+        probes = np.concatenate([index.cells.ranked(x[j:j + 1024])[:, :nprobe] for j in range(0, len(x), 1024)] or [np.zeros((0, nprobe), dtype=np.int64)])
+        one = _score(index, own["qid"].to_numpy(), x, probes, k)
+        out = one if out is None else out.unionByName(one)
+    return topk_per_group(out, ["qid"], [F.desc("score"), F.asc("docid")], k, split_col="docid")
+
+
+def _score(index: IvfIndex, qids: np.ndarray, x: np.ndarray, probes: np.ndarray, k: int) -> DataFrame:
+    order = np.argsort(probes.ravel(), kind="stable")
+    cell, query = probes.ravel()[order], (order // max(probes.shape[1], 1))
+    sent = index.spark.sparkContext.broadcast((qids, x, cell, query))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, x, cell, query = sent.value
+        best: dict[int, list[tuple[float, str]]] = {}
+        for b in batches:
+            for c, rows in b.groupby("cell", sort=False):
+                asking = query[np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
+                if not len(asking):
+                    continue
+                ids = rows["docid"].to_numpy()
+                points = np.round(x[asking] @ _stack(rows["vec"]).T, 6)
+                for q, own in zip(asking.tolist(), points):
+                    if len(own) > k:
+                        keep = own >= np.partition(own, -k)[-k]
+                        new = zip((-own[keep]).tolist(), ids[keep].tolist())
+                    else:
+                        new = zip((-own).tolist(), ids.tolist())
+                    best[q] = sorted([*best.get(q, []), *new])[:k]
+        out = [(qids[q], d, -s) for q, top in best.items() for s, d in top]
+        yield pd.DataFrame(out, columns=["qid", "docid", "score"])
+
+    return materialize(index.table(np.unique(cell).tolist()).mapInPandas(score, "qid string, docid string, score double"))
 
 
 def maxsim(pairs: DataFrame, qtok: DataFrame, dtok: DataFrame, id_col: str = "docid") -> DataFrame:

@@ -13,6 +13,7 @@ from irforge.operators import lexical as lex
 from irforge.operators import similarity as sim
 from irforge.operators.snippets import answer_snippets
 from irforge.plans import feature_plans as fp
+from irforge.session import materialize
 from irforge.plans.vector_plans import token_embeddings
 from irforge.sources import tables as T
 
@@ -41,13 +42,13 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("docid", F.round(norm(F.col("vec")), R).alias("norm"), F.size("vec").alias("dim"))
 
 
-def ivf_topk(spark: SparkSession, sf_dir: str, n_cells: int = 16, nprobe: int = 10, k: int = 10) -> DataFrame:
-    """J16 (rows-only): approximate top-k of the question embeddings over the unit corpus; nprobe is
-    chosen for a recall of at least 0.9 against the exact top-k."""
+def ivf_topk(spark: SparkSession, sf_dir: str, k: int = 100, recall: float = 0.92) -> DataFrame:
+    """J16 (rows-only): approximate top-k of the question embeddings over the unit corpus, at the reference's
+    search depth; as many cells are probed as the recall takes on these vectors (a little above 0.9, the mark to hold)."""
     docs = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
-    q = T.shifted_unit_embeddings(spark, sf_dir, 7, 1).withColumnRenamed("docid", "qid")
-    centers, assign = ann.ivf_index(docs, n_cells)
-    return ann.ivf_topk(q, docs, centers, assign, k, nprobe).select("qid", "docid", "score", "rank")
+    q = materialize(T.shifted_unit_embeddings(spark, sf_dir, 7, 1).withColumnRenamed("docid", "qid"))
+    index = ann.ivf_index(docs)
+    return ann.ivf_topk(q, index, k, ann.calibrate(q, docs, index, k, recall)).select("qid", "docid", "score", "rank")
 
 
 def late_interaction(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
