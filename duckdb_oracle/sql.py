@@ -331,7 +331,7 @@ zs AS (SELECT docid, cid,
   FROM ex WINDOW w AS (PARTITION BY cid)),
 bl AS (SELECT docid, cid, 0.0 + z1 * 0.25 + z2 * 0.25 + z3 * 0.25 + z4 * 0.25 AS blended FROM zs)"""
 CTE["quota"] = """szq AS (SELECT cid, count(*) AS size FROM de GROUP BY cid),
-quota AS (SELECT cid, size, CAST(ceil(50.0 * size / (SELECT sum(size) FROM szq)) AS BIGINT) AS quota FROM szq)"""
+quota AS (SELECT cid, size, CAST(ceil(1000.0 * size / (SELECT sum(size) FROM szq)) AS BIGINT) AS quota FROM szq)"""
 FEAT = ("docs", "unit", "de", "tfidf_de", "density_de", "feat")
 
 ORACLE["docs_with_embeddings"] = q("docs", "unit", "de", body="SELECT docid, CAST(length(doctext) AS BIGINT) AS n_chars, cid FROM de")
@@ -353,7 +353,7 @@ ORACLE["cluster_best_doc"] = q(*FEAT, body="""SELECT cid, docid, round(blended,
 ORACLE["cluster_quota"] = q("docs", "unit", "de", "quota", body="SELECT cid, CAST(size AS BIGINT) AS size, quota FROM quota")
 ORACLE["cluster_schedule"] = q("docs", "unit", "de", "quota", body="""SELECT step, cid, visit FROM (
   SELECT cid, j AS visit, CAST(row_number() OVER (ORDER BY CAST(j AS DOUBLE) / quota, cid) AS BIGINT) AS step
-  FROM (SELECT cid, quota, unnest(range(0, quota)) AS j FROM quota WHERE quota > 0)) WHERE step <= 50""")
+  FROM (SELECT cid, quota, unnest(range(0, quota)) AS j FROM quota WHERE quota > 0)) WHERE step <= 1000""")
 
 
 # --- training and test sets ------------------------------------------------------------------
@@ -432,11 +432,11 @@ kcos AS (SELECT k.docid, k.cid, list_dot_product(k.raw, c.center) / ({l_norm('k.
          FROM kept k JOIN kcm c ON c.cid = k.cid)"""
 SAMP = ("dsdocs", "unit", "kept")
 ORACLE["sample_size_per_cluster"] = q(*SAMP, body=""", kss AS (
-  SELECT cid, size, 1 + floor((50 - (SELECT count(*) FROM ksz)) * size / (SELECT sum(size) FROM ksz)) AS ss FROM ksz),
+  SELECT cid, size, 1 + floor((1000 - (SELECT count(*) FROM ksz)) * size / (SELECT sum(size) FROM ksz)) AS ss FROM ksz),
 kr AS (SELECT *, row_number() OVER (ORDER BY size DESC, cid DESC) AS r, (SELECT count(*) FROM ksz) AS k,
-              50 - (SELECT sum(ss) FROM kss) AS rem FROM kss)
+              1000 - (SELECT sum(ss) FROM kss) AS rem FROM kss)
 SELECT cid, CAST(size AS BIGINT) AS size,
-  CAST(least(greatest(ss + CASE WHEN 50 <> k AND ((rem > 0 AND r <= rem) OR (rem < 0 AND r <= k + rem)) THEN 1 ELSE 0 END, 0), size) AS BIGINT)
+  CAST(least(greatest(ss + CASE WHEN 1000 <> k AND ((rem > 0 AND r <= rem) OR (rem < 0 AND r <= k + rem)) THEN 1 ELSE 0 END, 0), size) AS BIGINT)
     AS sample_size
 FROM kr""")
 ORACLE["cluster_softmax"] = q(*SAMP, body="""SELECT docid, cid, round(cos, 6) AS cos, round(e / sum(e) OVER (PARTITION BY cid), 6) AS p
@@ -446,7 +446,7 @@ FROM (SELECT docid, cid, cos, exp(cos - max(cos) OVER (PARTITION BY cid)) AS e F
 # --- selection replay: steps, rewards, policy ------------------------------------------------
 CTE["steps"] = """sched AS (SELECT step, cid, visit FROM (
   SELECT cid, j AS visit, CAST(row_number() OVER (ORDER BY CAST(j AS DOUBLE) / quota, cid) AS BIGINT) AS step
-  FROM (SELECT cid, quota, unnest(range(0, quota)) AS j FROM quota WHERE quota > 0)) WHERE step <= 50),
+  FROM (SELECT cid, quota, unnest(range(0, quota)) AS j FROM quota WHERE quota > 0)) WHERE step <= 1000),
 best AS (SELECT cid, docid FROM (
   SELECT cid, docid, row_number() OVER (PARTITION BY cid ORDER BY round(blended, 9) DESC, docid) AS rn FROM bl) WHERE rn = 1),
 steps AS (SELECT s.step, s.cid, b.docid, qv.qvec, list_transform(u.vec[1:4], lambda x: abs(x)) AS r, u.vec[5:8] AS s
@@ -458,7 +458,7 @@ REPLAY = FEAT + ("qvec", "quota", "steps")
 def _policy_sql(mode: str) -> str:
     s = [f"x.s[{i}]" for i in range(1, 5)]
     r = [f"x.r[{i}]" for i in range(1, 5)]
-    alpha = "(CASE WHEN CAST(x.step AS DOUBLE) / 50 <= 0.3 THEN 0.8 ELSE 0.0 END)"
+    alpha = "(CASE WHEN CAST(x.step AS DOUBLE) / 1000 <= 0.3 THEN 0.8 ELSE 0.0 END)"
     smean, rmean = f"(({' + '.join(s)}) / 4.0)", f"(({' + '.join(r)}) / 4.0)"
     g = [f"((1.0 - {alpha}) * ({s[i]} - {smean}) + {alpha} * ({r[i]} - {rmean}))" for i in range(4)]
     if mode == "ema":
@@ -580,7 +580,7 @@ SELECT step, cand, reserve, round(score, 6) AS score FROM (
 ORACLE["run_stats"] = q(*REPLAY, body=""", kk AS (SELECT max(cid) + 1 AS k FROM de),
 cs AS (SELECT r.range AS cid, coalesce(n, 0) AS n FROM range(0, (SELECT k FROM kk)) r
        LEFT JOIN (SELECT cid, count(*) AS n FROM de GROUP BY cid) c ON c.cid = r.range)
-SELECT CAST((SELECT k FROM kk) AS INTEGER) AS K, CAST(sum(n) AS BIGINT) AS num_docs, CAST(50 AS BIGINT) AS generated,
+SELECT CAST((SELECT k FROM kk) AS INTEGER) AS K, CAST(sum(n) AS BIGINT) AS num_docs, CAST(1000 AS BIGINT) AS generated,
   CAST((SELECT count(*) FROM log) AS BIGINT) AS produced, string_agg(CAST(n AS VARCHAR), ',' ORDER BY cid) AS cluster_sizes FROM cs""")
 ORACLE["stream_progress"] = _recursive(*REPLAY, pol=_policy_sql("ema"), body="""SELECT l.cid, count(*) AS n_steps,
   round(avg(l.score), 6) AS mean_score, round(avg(p.adv), 6) AS mean_advantage, max(l.step) AS last_step

@@ -1,13 +1,16 @@
 """Expert-weight policy: advantage rules and the weight update (M14, M15, M16, W8), A19, A20.
 
 The update is sequential in the step order, but its state is four weights plus a baseline or a
-linear critic.  It runs as one ``aggregate`` fold over the step log sorted by step inside the JVM;
-the log has one row per generated question (the run's target count), not per document.
+linear critic.  The step log streams through it in order; the log has one row per generated question
+(the run's target count), not per document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from irforge.functions import fixed
@@ -15,16 +18,10 @@ from irforge.functions import fixed
 N_EXPERTS = 4
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once and use it in ``body`` (a one-element ``transform``), so repeated uses
-    do not copy the expression tree (Spark lambdas have no let)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _norm(w: Column) -> Column:
-    """Normalise a 4-array to sum 1; B14: a zero vector (no floor) falls back to uniform."""
-    return _let(F.aggregate(w, F.lit(0.0), lambda a, x: a + x),
-                lambda s: F.transform(w, lambda x: F.when(s > 0, x / s).otherwise(F.lit(1.0 / N_EXPERTS))))
+def _normed(w: list[float]) -> list[float]:
+    """Weights of sum 1; a zero vector (no floor) falls back to uniform."""
+    total = sum(w)
+    return [x / total for x in w] if total > 0 else [1.0 / N_EXPERTS] * N_EXPERTS
 
 
 def weight_fold(log: DataFrame, total: int, advantage: str = "ema", eta: float = fixed.ETA,
@@ -39,57 +36,40 @@ def weight_fold(log: DataFrame, total: int, advantage: str = "ema", eta: float =
     grad = (1 - a)(s - mean s) + a (r - mean r) with a = lambda_hard during the warm-up share of
     steps; w <- max(0, w + eta adv grad), floor, renormalise, mix with uniform, renormalise.
     Returns one row per step: step, w1..w4 (after the update), advantage, baseline; with ``keep_state``
-    also the state after the whole log, from which a later call continues (``start``).
+    also the state after the step, from which a later call continues (``start``).
+
+    A step needs the weights of the step before, so the log, one row per generated question, is read once in
+    its order; the state is nine numbers and the work linear in the log.
     """
-    start = start or start_state()
-    rows = log.select(F.struct(F.col("step").cast("long").alias("step"), F.col("s"), F.col("r"),
-                               F.col("score").cast("double").alias("score")).alias("x"))
-    arr = rows.agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    init = F.struct(
-        F.array(*[F.lit(float(v)) for v in start["w"]]).alias("w"),
-        F.lit(float(start["b"])).alias("b"),
-        F.array(*[F.lit(float(v)) for v in start["cw"]]).alias("cw"),
-        F.lit(float(start["cb"])).alias("cb"),
-        F.array().cast("array<struct<step:long,w:array<double>,adv:double,base:double>>").alias("out"),
-    )
-
-    def step(acc, x):
-        s, r, score = x["s"], x["r"], x["score"]
-        ratio = x["step"].cast("double") / float(total)
-        alpha = F.when(F.lit(hard_match) & (ratio <= warmup), F.lit(lambda_hard)).otherwise(F.lit(0.0))
-        mean4 = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y) / 4.0
-        grad = _let(F.struct(mean4(s).alias("sm"), mean4(r).alias("rm"), alpha.alias("al")), lambda m: F.zip_with(
-            s, r, lambda si, ri: (1.0 - m["al"]) * (si - m["sm"]) + m["al"] * (ri - m["rm"])))
-        cw, cb, b = acc["cw"], acc["cb"], acc["b"]
-        if advantage == "critic":
-            v = F.aggregate(F.zip_with(cw, s, lambda c_, s_: c_ * s_), F.lit(0.0), lambda a, y: a + y) + cb
-            state = _let(F.struct(v.alias("v"), (score - v).alias("adv")), lambda t: F.struct(
-                t["adv"].alias("adv"), b.alias("b"),
-                F.zip_with(cw, s, lambda c_, s_: c_ + critic_lr * t["adv"] * s_).alias("cw"),
-                (cb + critic_lr * t["adv"]).alias("cb"), t["v"].alias("logged")))
-        elif advantage == "ema":
-            nb = (1.0 - beta) * b + beta * score
-            state = F.struct((score - b).alias("adv"), nb.alias("b"), cw.alias("cw"), cb.alias("cb"), nb.alias("logged"))
-        else:
-            state = F.struct(score.alias("adv"), b.alias("b"), cw.alias("cw"), cb.alias("cb"), b.alias("logged"))
-
-        def finish(st):
-            nw = F.zip_with(acc["w"], grad, lambda wi, gi: F.greatest(wi + eta * st["adv"] * gi, F.lit(0.0)))
-            if use_floor:
-                nw = F.transform(nw, lambda y: F.greatest(y, F.lit(w_floor)))
-            nw = _let(nw, _norm)
-            if use_entropy:
-                nw = _let(_let(nw, lambda u: F.transform(u, lambda y: (1.0 - entropy) * y + entropy / N_EXPERTS)), _norm)
-            return _let(nw, lambda wv: F.struct(
-                wv.alias("w"), st["b"].alias("b"), st["cw"].alias("cw"), st["cb"].alias("cb"),
-                F.concat(acc["out"], F.array(F.struct(x["step"].alias("step"), wv.alias("w"), st["adv"].alias("adv"),
-                                                      st["logged"].alias("base")))).alias("out")))
-        return _let(state, finish)
-
-    folded = arr.select(F.aggregate("xs", init, step).alias("st"))
-    out = folded.select(F.explode("st.out").alias("e"), F.struct("st.b", "st.cw", "st.cb").alias("state"))
-    return out.select(F.col("e.step").alias("step"), *[F.col("e.w")[i].alias(f"w{i + 1}") for i in range(N_EXPERTS)],
-                      F.col("e.adv").alias("advantage"), F.col("e.base").alias("baseline"), *(["state"] if keep_state else []))
+    first = start or start_state()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, b, cw, cb = list(first["w"]), first["b"], list(first["cw"]), first["cb"]
+        for rows in batches:
+            out = []
+            for at, s, r, score in zip(rows["step"].tolist(), rows["s"].tolist(), rows["r"].tolist(), rows["score"].tolist()):
+                s, r = [float(x) for x in s], [float(x) for x in r]
+                if advantage == "critic":
+                    logged = sum(c * x for c, x in zip(cw, s)) + cb
+                    adv = score - logged
+                    cw, cb = [c + critic_lr * adv * x for c, x in zip(cw, s)], cb + critic_lr * adv
+                elif advantage == "ema":
+                    adv = score - b
+                    b = logged = (1.0 - beta) * b + beta * score
+                else:
+                    adv, logged = score, b
+                alpha = lambda_hard if hard_match and at / total <= warmup else 0.0
+                s_mean, r_mean = sum(s) / N_EXPERTS, sum(r) / N_EXPERTS
+                w = [max(x + eta * adv * ((1.0 - alpha) * (y - s_mean) + alpha * (z - r_mean)), 0.0) for x, y, z in zip(w, s, r)]
+                w = _normed([max(x, w_floor) for x in w] if use_floor else w)
+                if use_entropy:
+                    w = _normed([(1.0 - entropy) * x + entropy / N_EXPERTS for x in w])
+                out.append((at, *w, adv, logged, b, cw, cb))
+            yield pd.DataFrame(out, columns=["step", "w1", "w2", "w3", "w4", "advantage", "baseline", "b", "cw", "cb"])
+
+    rows = log.select(F.col("step").cast("long").alias("step"), "s", "r", F.col("score").cast("double").alias("score")).repartition(1).sortWithinPartitions("step", "s", "r", "score")
+    out = rows.mapInPandas(fold, "step long, w1 double, w2 double, w3 double, w4 double, advantage double, baseline double, b double, cw array<double>, cb double")
+    return out.select("step", "w1", "w2", "w3", "w4", "advantage", "baseline", *([F.struct("b", "cw", "cb").alias("state")] if keep_state else []))
 
 
 def start_state(weights: list[float] = fixed.INIT_WEIGHTS) -> dict:

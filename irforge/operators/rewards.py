@@ -8,8 +8,14 @@ similarity work goes through the blocked kernels (no step-by-step jobs, no all-p
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from irforge.functions import fixed
 from irforge.functions.vectors import dot
@@ -123,17 +129,56 @@ def bank_max_similarity(cands: DataFrame) -> DataFrame:
     return m.select(F.col("lid").alias("cid_key"), F.col("score").alias("bank_max"))
 
 
+class RunningQuantile:
+    """The q-quantile (linear interpolation) of the values so far: a heap of those up to its place, a heap of the rest."""
+
+    def __init__(self, q: float):
+        self.q, self.low, self.high = q, [], []
+
+    def __len__(self) -> int:
+        return len(self.low) + len(self.high)
+
+    def add(self, value: float) -> None:
+        if self.low and value > -self.low[0]:
+            heapq.heappush(self.high, value)
+        else:
+            heapq.heappush(self.low, -value)
+        size = math.floor(self.q * (len(self) - 1)) + 1
+        while len(self.low) > size:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+        while len(self.low) < size:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def value(self) -> float:
+        place = self.q * (len(self) - 1)
+        beyond = place - math.floor(place)
+        return -self.low[0] if beyond == 0 else (1.0 - beyond) * -self.low[0] + beyond * self.high[0]
+
+
 def dynamic_threshold(history: DataFrame, base: float = fixed.DEDUP_THRESHOLD, q: float = fixed.DEDUP_QUANTILE,
                       lo: float = fixed.DEDUP_CLIP[0], hi: float = fixed.DEDUP_CLIP[1], min_hist: int = 5) -> DataFrame:
     """Per decision (ordered by ``seq``) the threshold is ``base`` until more than 4 earlier
     values exist, then the q-quantile (linear interpolation) of all earlier values clipped to
-    [lo, hi]; the current value joins the history after its threshold is fixed.
-    The frame is over the question-sized history table only."""
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    n_prev = F.count(F.col("value")).over(w)
-    quant = F.percentile(F.col("value"), F.lit(q)).over(w)
-    thr = F.when(n_prev >= min_hist, F.least(F.greatest(quant, F.lit(lo)), F.lit(hi))).otherwise(F.lit(base))
-    return history.withColumn("threshold", thr).withColumn("is_dup", F.col("value") >= F.col("threshold"))
+    [lo, hi]; the current value joins the history after its threshold is fixed; null values don't join.
+
+    Each threshold depends on all decisions before it, so the question-sized log is read once in its order, with two
+    heaps as the state: n log n for n decisions.
+    """
+    place = history.columns.index("value")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = RunningQuantile(q)
+        for b in batches:
+            out = []
+            for v in b.column(place).to_pylist():
+                out.append(min(max(seen.value(), lo), hi) if len(seen) >= min_hist else base)
+                if v is not None:
+                    seen.add(v)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "threshold"])
+
+    schema = StructType([*history.schema.fields, StructField("threshold", DoubleType())])
+    ordered = history.repartition(1).sortWithinPartitions("seq")
+    return ordered.mapInArrow(scan, schema).withColumn("is_dup", F.col("value") >= F.col("threshold"))
 
 
 def semantic_dedup(cands: DataFrame, tau: float, key: str = "cid_key", order: str = "seq", vec: str = "qvec") -> DataFrame:

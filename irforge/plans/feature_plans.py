@@ -16,7 +16,8 @@ from irforge.sources import tables as T
 
 R = 6
 NEIGHBOR_THRESHOLD = 0.30
-TARGET_QUESTIONS = 50
+#: Questions of a run, as the reference sets them.
+TARGET_QUESTIONS = 1000
 
 
 def docs_with_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from irforge.operators import sampling as S
 from irforge.operators import textprep as tp
 from irforge.sources import tables as T
 
-N_TRAIN = 50
+#: Documents sampled for a collection, as the reference sets them.
+N_TRAIN = 1000
 R = 6
 
 

@@ -83,3 +83,22 @@ def test_corpus_vectors_are_not_shuffled_for_a_small_query_side(spark):
     q = spark.createDataFrame([("q", unit([1, 2]))], "qid string, vec array<double>")
     plan = sim.block_join(q, c, "topk", k=3, left_id="qid", left_vec="vec")._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "Exchange" not in plan
+
+
+def test_running_quantile_equals_numpy_and_is_linear_logarithmic():
+    import random
+    import time
+    from irforge.operators.rewards import RunningQuantile
+    rng = random.Random(3)
+    for q in (0.0, 0.5, 0.9, 1.0):
+        seen, values = RunningQuantile(q), []
+        for _ in range(300):
+            v = rng.choice([rng.random(), 0.25, -1.0])
+            seen.add(v)
+            values.append(v)
+            assert abs(seen.value() - np.quantile(values, q)) < 1e-12
+    seen, began = RunningQuantile(0.9), time.process_time()
+    for _ in range(100_000):
+        seen.add(rng.random())
+        seen.value()
+    assert time.process_time() - began < 10
