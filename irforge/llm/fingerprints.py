@@ -2,15 +2,16 @@
 
 A text's k-mers are runs of ``K`` tokens (white-space words, cut after ``TOKEN`` characters).  The n-th
 copy of a k-mer is a k-mer of its own (occurrence numbers).  Each of ``SIZE`` hash orders picks the
-``TAKEN`` smallest numbered k-mers, puts them back into text order and hashes the tuple: two texts
+``TAKEN`` smallest of all numbered k-mers, puts them back into text order and hashes the tuple: two texts
 agree at a place only if they share these k-mers in the same order, which follows edit distance and
-not just content.  To bound the work for long texts, the orders choose among the ``SAMPLE`` smallest
-numbered k-mers of one base hash, taken from the ``SAMPLE`` smallest distinct k-mers; the sample is a
-function of the text, so equal texts have equal fingerprints and shared content is sampled alike.
+not just content.  ``SIZE / 2`` hash functions give the orders, each read from both of its ends.  Nothing
+is sampled or cut: every numbered k-mer takes part in every order.
+
+Ranks and k-mers are sorted as longs, the place in the low 31 bits and 33 bits of the hash above them.
 
 ``with_next`` brings every document's successor in descending id order next to it without a global
-sort: ids are cut into buckets of equal width, the largest id's row of a bucket is copied to the end
-of the bucket before it, and a window looks one row ahead.
+sort: ids are cut into buckets at their approximate quantiles, the largest id's row of a bucket is copied
+to the end of the bucket before it, and a window looks one row ahead.
 
 Defined cases: null text is empty; a text without tokens has one k-mer, the text itself; rows that
 share an id are ordered by text; a row with a null id has no place in the order, its next document
@@ -26,11 +27,21 @@ from irforge.llm.base import documents
 
 K = 2
 TOKEN = 16
-SAMPLE = 64
 SIZE = 16
 TAKEN = 2
 ROWS_PER_BUCKET = 1000
 MAX_BUCKETS = 1 << 16
+#: Low bits of a sorted long: the place of its k-mer.
+PLACE = (1 << 31) - 1
+
+
+def _sorted(values: str, of) -> Column:
+    """The longs ``of(x)`` for the column's elements in ascending order, each with its place in the low bits."""
+    return F.sort_array(F.transform(values, lambda x, i: of(x).bitwiseAND(F.lit(~PLACE)).bitwiseOR(i.cast("long"))))
+
+
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PLACE)).cast("int")
 
 
 def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -41,26 +52,27 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
     runs = F.expr("slice(_t, 1, size(_t) - 1)")
     runs = F.zip_with(runs, F.expr("slice(_t, 2, size(_t) - 1)"), lambda a, b: F.xxhash64(a, b))
     df = df.select(*keep, F.when(F.size("_t") >= K, runs).when(F.size("_t") == 1, F.col("_t")).otherwise(F.array(F.xxhash64(text))).alias("_h"))
-    df = df.select(*keep, "_h", F.slice(F.sort_array(F.array_distinct("_h")), 1, SAMPLE).alias("_d"))
-    places = F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.get("_h", i) <= F.element_at("_d", -1))
-    df = df.select(*keep, "_d", F.sort_array(F.transform(places, lambda i: F.struct(F.get("_h", i).alias("h"), i.alias("i")))).alias("_s"))
-    # occurrence numbers: equal hashes are neighbours, and their places are in text order
-    df = df.select(*keep, "_d", "_s", F.transform("_s", lambda x: x["h"]).alias("_sh"))
-    df = df.select(*keep, "_s", F.transform("_d", lambda h: F.array_position("_sh", h)).alias("_b"))
-    after = F.concat(F.slice("_b", 2, SAMPLE), F.array(F.size("_s").cast("long") + 1))
-    number = F.flatten(F.zip_with("_b", after, lambda a, b: F.sequence(F.lit(0).cast("long"), b - a - 1)))
-    df = df.select(*keep, F.zip_with("_s", number, lambda x, n: F.struct(F.xxhash64(x["h"], n).alias("e"), x["i"].alias("i"))).alias("_e"))
-    sample = F.slice(F.sort_array("_e"), 1, SAMPLE)
-    in_text = F.sort_array(F.transform(sample, lambda x: F.struct(x["i"], x["e"].alias("e"))))
-    df = df.select(*keep, F.transform(in_text, lambda x: x["e"]).alias("_v"))
-
-    def tuple_hash(order: Column) -> Column:
-        # the low bits of a rank carry the place in the sample, which is in text order
-        ranks = F.transform("_v", lambda v, i: F.xxhash64(v, order).bitwiseAND(F.lit(-SAMPLE)).bitwiseOR(i.cast("long")))
-        least = F.transform(F.slice(F.sort_array(ranks), 1, TAKEN), lambda r: r.bitwiseAND(F.lit(SAMPLE - 1)).cast("int"))
-        return F.xxhash64(F.transform(F.sort_array(least), lambda i: F.get("_v", i))).bitwiseAND(F.lit(0xFFFFFFFF))
-
-    return df.select(*keep, F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), tuple_hash).alias(out))
+    # occurrence numbers: equal k-mers are neighbours in _p, and their places are in text order
+    df = df.select(*keep, "_h", _sorted("_h", lambda h: h).alias("_p"))
+    high = lambda i: F.shiftright(F.get("_p", i), 31)
+    first = F.filter(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: (i == 0) | (high(i) != high(i - 1)))
+    df = df.select(*keep, "_h", "_p", first.alias("_b"))
+    after = F.concat(F.expr("slice(_b, 2, size(_b))"), F.array(F.size("_p")))
+    df = df.select(*keep, "_h", "_p", F.flatten(F.zip_with("_b", after, lambda a, b: F.sequence(F.lit(0), b - a - 1))).alias("_n"))
+    df = df.select(*keep, "_p", F.zip_with("_p", "_n", lambda p, n: F.xxhash64(F.get("_h", _place(p)), n)).alias("_e"))
+
+    def tuple_hash(ranks: Column) -> Column:
+        least = F.transform(ranks, _place)
+        in_text = F.sort_array(F.transform(least, lambda i: F.struct(_place(F.get("_p", i)).alias("i"), F.get("_e", i).alias("e"))))
+        return F.xxhash64(F.transform(in_text, lambda x: x["e"])).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    done: list[str] = []
+    for order in range(SIZE // 2):  # one order's ranks at a time
+        df = df.select(*keep, "_p", "_e", *done, _sorted("_e", lambda e, order=order: F.xxhash64(e, F.lit(order))).alias("_r"))
+        ends = [F.slice("_r", 1, TAKEN), F.slice("_r", F.greatest(F.size("_r") - (TAKEN - 1), F.lit(1)), TAKEN)]
+        df = df.select(*keep, "_p", "_e", *done, *[tuple_hash(e).alias(f"_o{2 * order + k}") for k, e in enumerate(ends)])
+        done += [f"_o{2 * order}", f"_o{2 * order + 1}"]
+    return df.select(*keep, F.array(*done).alias(out))
 
 
 def fingerprint(signature: str) -> Column:
@@ -72,13 +84,29 @@ def likeness(a: str, b: str) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.lit(float(SIZE))
 
 
+def _constants(values: list, type_: str) -> Column:
+    """A constant array, sent to the JVM as one string."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{type_}>")
+
+
+def _bucket(col: str, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are above the value, counted in two steps: every ``step``-th one, then those in between."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    step = max(1, int(len(bounds) ** 0.5))
+    some = F.size(F.filter(_constants(bounds[::step], "bigint"), lambda b: b <= F.col(col)))
+    rest = F.size(F.filter(F.slice(_constants(bounds, "bigint"), F.greatest(some - 1, F.lit(0)) * step + 1, step), lambda b: b <= F.col(col)))
+    return (F.lit(len(bounds)) - (F.greatest(some - 1, F.lit(0)) * step + rest)).cast("long")
+
+
 def with_next(df: DataFrame, columns: list[str], tie: str = "text") -> DataFrame:
     """``df`` plus next_<c> for each of ``columns``: the value in the next row in descending doc_id."""
-    low, high, n = df.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    buckets = max(1, min(MAX_BUCKETS, n // ROWS_PER_BUCKET))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    place = F.expr(f"(cast('{high or 0}' AS decimal(38,0)) - doc_id) div cast('{width}' AS decimal(38,0))")
-    df = df.withColumn("_b", F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64(tie), F.lit(buckets))).otherwise(place))
+    buckets = max(1, min(MAX_BUCKETS, df.agg(F.count("doc_id")).first()[0] // ROWS_PER_BUCKET))
+    bounds = []
+    if buckets > 1:
+        shares = _constants([i / buckets for i in range(1, buckets)], "double")
+        bounds = df.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * buckets)).alias("x")).first()["x"]
+    df = df.withColumn("_b", F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64(tie), F.lit(buckets))).otherwise(_bucket("doc_id", sorted(set(bounds)))))
     tops = [tuple(r) for r in df.where("doc_id is not null").groupBy("_b").agg(F.max("doc_id")).orderBy("_b").collect()]  # MAX_BUCKETS rows at most
     bounds = [(b, top, tops[i - 1][0]) for i, (b, top) in enumerate(tops)]
     bound = df.sparkSession.createDataFrame(bounds, "_b long, _top long, _before long")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import struct
 
@@ -28,18 +29,18 @@ def brute(text):
     """The signature by the definition, with plain loops."""
     t = [h64(x) for x in re.findall(rf"[^\x20\x09-\x0D]{{1,{fp.TOKEN}}}", text)]
     kmers = [h64(a, b) for a, b in zip(t, t[1:])] if len(t) >= 2 else t if t else [h64(text)]
-    least = set(sorted(set(kmers))[:fp.SAMPLE])
     seen, numbered = {}, []
     for i, k in enumerate(kmers):
-        if k in least:
-            numbered.append((h64(k, seen.get(k, 0)), i))
-            seen[k] = seen.get(k, 0) + 1
-    sample = [e for e, _ in sorted(sorted(numbered)[:fp.SAMPLE], key=lambda x: x[1])]
+        numbered.append((h64(k, struct.pack("<i", seen.get(k, 0))), i))
+        seen[k] = seen.get(k, 0) + 1
+    # k-mers in order of 33 bits of hash and place; the place in this order breaks ties between ranks
+    line = [numbered[i] for _, i in sorted((k >> 31, i) for i, k in enumerate(kmers))]
     out = []
-    for order in range(fp.SIZE):
-        ranks = sorted((h64(e, struct.pack("<i", order)) & ~(fp.SAMPLE - 1) | i) for i, e in enumerate(sample))
-        places = sorted(r & (fp.SAMPLE - 1) for r in ranks[:fp.TAKEN])
-        out.append(h64(*[sample[p] for p in places]) & 0xFFFFFFFF)
+    for order in range(fp.SIZE // 2):
+        ranks = sorted((h64(e, struct.pack("<i", order)) >> 31, j) for j, (e, _) in enumerate(line))
+        for end in (ranks[:fp.TAKEN], ranks[-fp.TAKEN:]):
+            taken = sorted((line[j][1], line[j][0]) for _, j in end)
+            out.append(h64(*[e for _, e in taken]) & 0xFFFFFFFF)
     return out
 
 
@@ -61,6 +62,48 @@ def test_order_and_repetition_count(spark):
     assert like(0, 1) == 1 and like(0, 3) > 0.5 and like(0, 2) < like(0, 3) and like(0, 4) < 1
 
 
+def test_likeness_follows_full_order_minhash(spark):
+    """Texts that share a run of one word and 150 other words in other surroundings: likeness is near that of 100 plain orders."""
+    rng = random.Random(3)
+    pairs = []
+    for i in range(16):  # a run word for each pair, so that the pairs' errors are independent
+        own = [rng.sample([f"v{i}" for i in range(5000)], 150) for _ in range(2)]
+        run = [f"same{i}"] * rng.randrange(300, 900)
+        pairs.append([" ".join(run + x) for x in own])
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    sig = {r.doc_id: r.sig for r in fp.with_signature(docs_frame(spark, rows).select("doc_id", "text"), "text", "sig").collect()}
+    error = []
+    for i, p in enumerate(pairs):
+        sets = []
+        for t in p:
+            w, seen, out = t.split(), {}, []
+            for k in zip(w, w[1:]):
+                out.append((k, seen.get(k, 0)))
+                seen[k] = seen.get(k, 0) + 1
+            sets.append(out)
+        full = 0
+        for order in range(100):
+            ends = []
+            for out in sets:
+                least = sorted(range(len(out)), key=lambda j: xxhash.xxh64_intdigest(repr(out[j]), order))[:fp.TAKEN]
+                ends.append([out[j] for j in sorted(least)])
+            full += ends[0] == ends[1]
+        like = sum(x == y for x, y in zip(sig[2 * i], sig[2 * i + 1])) / fp.SIZE
+        assert like > 0, i
+        error.append(like - full / 100)
+    assert abs(sum(error) / len(error)) < 0.08 and max(map(abs, error)) < 0.45
+
+
+def test_buckets_follow_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 50)
+    ids = list(range(2000)) + [2**62]
+    bounds = list(range(50, 2000, 50))
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", fp._bucket("doc_id", bounds).alias("b")).collect()
+    assert {r.doc_id: r.b for r in got} == {i: sum(b > i for b in bounds) for i in ids}
+    out = fp.with_next(spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string"), ["text"])
+    assert {r.doc_id: r.next_text for r in out.collect()} == {i: str(ids[k - 1]) for k, i in enumerate(ids)}
+
+
 def expect(rows):
     """doc_id -> list of (n_chars, sha256 of the edited text, next text)."""
     rows = [(i, t or "") for i, t in rows]
