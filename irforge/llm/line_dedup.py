@@ -5,7 +5,8 @@ Documents arrive in batches.  A batch's hashes are merge-anti-joined with the ru
 (those already known to be in ``min_docs`` documents need no further counting), and the rest becomes
 the batch's own run on level 0.  When a level holds ``FANOUT`` runs they are merged into one run of
 the next level; lines that reach ``min_docs`` there move to a settled run.  After the last batch all
-levels are merged once.
+levels are merged once.  There is a batch for every ``BATCH_LINES`` lines, and never fewer than
+``BATCHES`` (twice the fan-out, so that later batches meet settled lines and a second level is built at any size).
 
 Dropping needs no line text in a shuffle: line hashes meet the settled hashes, the hit positions
 return to their document, and the kept lines are joined again from the document's own text.
@@ -26,8 +27,9 @@ from irforge.session import materialize
 
 MIN_DOCS = 10
 MIN_CHARS = 1
-BATCHES = 4
-FANOUT = 4
+FANOUT = 2
+BATCHES = 2 * FANOUT
+BATCH_LINES = 500_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -82,17 +84,27 @@ class LineRuns:
         return self._run(self.settled.distinct())
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
+def frequent_lines(hashes: DataFrame, min_docs: int = MIN_DOCS, batches: int | None = None) -> DataFrame:
+    """(h): hashes of the lines found in at least ``min_docs`` of the written ``hashes``, batch after batch."""
+    if batches is None:
+        lines = hashes.agg(F.sum(F.size("hs"))).first()[0] or 0
+        batches = max(BATCHES, -(-lines // BATCH_LINES))
+    runs = LineRuns(min_docs)
+    batch = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches))
+    for b in range(batches):
+        runs.add(hashes.where(batch == b))
+    return runs.frequent()
+
+
+def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int | None = None) -> DataFrame:
     """``docs`` with text rebuilt without frequent lines, plus n_lines and n_dropped (long).
 
     Input columns called n_lines, n_dropped, text_hash, text_lines, dropped, _line_doc or _line_text give way.
     """
     docs = docs.drop("n_lines", "n_dropped", "text_hash", "dropped", "text_lines", "_line_doc", "_line_text")
-    hashes = materialize(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches))))
-    runs = LineRuns(min_docs)
-    for b in range(batches):
-        runs.add(hashes.where(F.col("batch") == b))
-    hits = hashes.select("doc_id", "text_hash", F.posexplode("hs").alias("pos", "h")).where("h is not null").join(runs.frequent(), "h")
+    hashes = materialize(line_hashes(docs, min_chars))
+    frequent = frequent_lines(hashes, min_docs, batches)
+    hits = hashes.select("doc_id", "text_hash", F.posexplode("hs").alias("pos", "h")).where("h is not null").join(frequent, "h")
     dropped = hits.groupBy(F.col("doc_id").alias("_line_doc"), F.col("text_hash").alias("_line_text")).agg(F.collect_set("pos").alias("dropped"))
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     both = keyed.join(dropped, keyed.doc_id.eqNullSafe(dropped._line_doc) & (keyed.text_hash == dropped._line_text), "left")

@@ -50,6 +50,26 @@ def test_runs_are_merged_over_batches(spark):
     assert got == {r.h for r in keys.collect()}
 
 
+def test_production_settings_join_settled_lines_and_build_levels(spark, monkeypatch):
+    """With the query's own fan-out and batch count, batches meet settled lines and a second level is compacted."""
+    rows = [(i, f"line {i % 7}\nline {i % 3}\nonly {i}\nall") for i in range(400)]
+    seen = []
+    add = ld.LineRuns.add
+
+    def watched(self, hashes):
+        seen.append((self.settled is not None, None))
+        add(self, hashes)
+        seen[-1] = (seen[-1][0], len(self.levels))
+
+    monkeypatch.setattr(ld.LineRuns, "add", watched)
+    out = ld.drop_frequent_lines(docs_frame(spark, rows))
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(i, t) for i, t, _, _ in brute(rows)}
+    assert len(seen) == ld.BATCHES and [s for s, _ in seen] == [False, False, True, True] and seen[-1][1] == 3
+    monkeypatch.setattr(ld, "BATCH_LINES", 200)
+    seen.clear()
+    assert ld.drop_frequent_lines(docs_frame(spark, rows)).count() == 400 and len(seen) == 8
+
+
 def test_digest_of_kept_text(spark, tmp_path):
     docs_frame(spark, [(1, None), (2, ""), (3, "a\nb")]).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.op5_line_dedup(spark, str(tmp_path)).collect()}
