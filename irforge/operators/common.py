@@ -39,3 +39,21 @@ def topk_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k:
                 .drop("__bucket", "__r1"))
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w).cast("bigint")).where(F.col(rank_col) <= k)
+
+
+def with_position(df: DataFrame, *order: str, out: str = "seq") -> DataFrame:
+    """``df`` plus its 0-based position (long) in ascending ``order``, nulls first; rows that tie get distinct
+    positions in an order of their own.
+
+    Two passes: the rows are sorted by ranges and written with their place in their partition, then every partition's
+    offset (one row for each partition) is added.  No task sees more than its range.
+    """
+    from irforge.session import materialize
+    sorted_rows = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = sorted_rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (sorted_rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .select(*df.columns, (F.col("_offset") + place).alias(out)))

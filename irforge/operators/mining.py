@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from irforge.functions import fixed
@@ -10,14 +10,15 @@ from irforge.operators import textprep as tp
 
 
 def tail_negatives(run: DataFrame, texts: DataFrame, n: int = fixed.NUM_POS_TO_NEG, compat: bool = True,
-                   drop_empty: bool = False, id_col: str = "docid") -> DataFrame:
+                   drop_empty: bool = False, id_col: str = "docid", missing: Observation | None = None) -> DataFrame:
     """Negatives from the tail of each ranking: (qid, docid, neg_no, text).
 
     compat=True reproduces Python slicing ``docids[len - 2n:]``: for rankings shorter than 2n the
     start index is negative, so with n < len < 2n only the last 2n - len documents survive and with
     len <= n all do.  compat=False takes the last min(2n, len) and never the positive itself.
     Documents without text are skipped (empty text counts as present unless ``drop_empty``), then
-    the first n survivors are kept.  Windows are per query (ranking-sized partitions).
+    the first n survivors are kept.  Windows are per query (ranking-sized partitions).  An observation
+    ``missing`` gets ``n_missing``, the tail rows without text, and ``n_tail`` from the first action, with no second pass.
     """
     w = Window.partitionBy("qid")
     r = run.withColumn("__len", F.count(F.lit(1)).over(w)).withColumn(
@@ -30,7 +31,10 @@ def tail_negatives(run: DataFrame, texts: DataFrame, n: int = fixed.NUM_POS_TO_N
         r = r.where(F.col(id_col) != F.col("qid"))
     tail = r.where(F.col("__pos") >= start)
     j = tail.join(texts, id_col, "left")
-    j = j.where(tp.present_text(F.col("text"), allow_empty=not drop_empty))
+    present = tp.present_text(F.col("text"), allow_empty=not drop_empty)
+    if missing is not None:
+        j = j.observe(missing, F.count(F.when(present, None).otherwise(F.lit(1))).alias("n_missing"), F.count(F.lit(1)).alias("n_tail"))
+    j = j.where(present)
     wn = Window.partitionBy("qid").orderBy("__pos")
     return (j.withColumn("neg_no", F.row_number().over(wn).cast("bigint")).where(F.col("neg_no") <= n)
              .select("qid", id_col, "neg_no", "text"))

@@ -185,34 +185,51 @@ def semantic_dedup(cands: DataFrame, tau: float, key: str = "cid_key", order: st
     """M13 over a whole table: a question is a duplicate when an *accepted* earlier question has
     cosine >= tau (greedy, first wins, in ``order``).
 
-    Edges (later -> earlier, cosine >= tau) come from the blocked kernel (output-sensitive).  The
-    greedy order is resolved by rounds: an undecided question is rejected as soon as one earlier
-    neighbour is accepted, and accepted once all earlier neighbours are rejected; questions without
-    earlier neighbours are accepted at once.  Each round is a join over the edge list, with the
-    state table written each round.  Rounds go on until none is undecided: the earliest undecided
-    question is decided in every round, so the loop ends, and no question stays without a decision.
-    Returns (key, accepted).
+    Edges (later -> earlier, cosine >= tau) come from the blocked kernel (output-sensitive); ``greedy_first_wins``
+    resolves them.  Returns (key, accepted).
     """
     from irforge.session import materialize
     edges = materialize(sim.block_join(cands, cands, "edges_ge", threshold=tau, left_id=key, right_id=key,
                                        left_vec=vec, right_vec=vec, left_cols={"lorder": order},
                                        right_cols={"rorder": order})
                         .select(F.col("lid").alias("node"), F.col("rid").alias("prev")))
-    state = materialize(cands.select(F.col(key).cast("string").alias("node"))
-                        .join(edges.select("node").distinct().withColumn("has_prev", F.lit(True)), "node", "left")
-                        .select("node", F.when(F.col("has_prev").isNull(), F.lit(True)).alias("accepted")))
-    while True:
-        undecided = state.where(F.col("accepted").isNull())
-        if undecided.limit(1).count() == 0:
-            break
-        prev_state = edges.join(state.select(F.col("node").alias("prev"), F.col("accepted").alias("p_acc")), "prev")
-        agg = prev_state.groupBy("node").agg(
-            F.max(F.when(F.col("p_acc") == True, 1).otherwise(0)).alias("any_acc"),  # noqa: E712
-            F.max(F.when(F.col("p_acc").isNull(), 1).otherwise(0)).alias("any_open"))
-        decided = (state.join(agg, "node", "left")
-                   .select("node", F.when(F.col("accepted").isNotNull(), F.col("accepted"))
-                                    .when(F.col("any_acc") == 1, F.lit(False))
-                                    .when(F.col("any_open") == 0, F.lit(True))
-                                    .otherwise(F.lit(None).cast("boolean")).alias("accepted")))
-        state = materialize(decided)
-    return state.select(F.col("node").alias(key), "accepted")
+    out, _ = greedy_first_wins(cands.select(F.col(key).cast("string").alias("node")), edges)
+    return out.select(F.col("node").alias(key), "accepted")
+
+
+def greedy_first_wins(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """(node, accepted) and the number of rounds: a node of ``nodes`` (node) is accepted when no accepted node is
+    among its earlier neighbours, edges(node, prev) without cycles.
+
+    A round rejects the nodes with an accepted earlier neighbour and accepts those whose earlier neighbours are all
+    rejected.  A node with one undecided earlier neighbour left is that neighbour's opposite, now and later: it points
+    there with a parity, and pointers of pointers are doubled each round, so a chain of n nodes takes about log2 n
+    rounds.  The earliest undecided node is decided in every round, so the loop ends and decides all.
+    Each round is two joins on written tables; edges of decided nodes are left out.
+    """
+    from irforge.session import materialize
+    first = edges.select("node").distinct().withColumn("later", F.lit(True))
+    state = materialize(nodes.join(first, "node", "left").select(
+        "node", F.when(F.col("later").isNull(), F.lit(True)).alias("accepted"),
+        F.lit(None).cast("string").alias("target"), F.lit(False).alias("flip")))
+    rounds = 0
+    while state.where("accepted IS NULL").limit(1).count():
+        rounds += 1
+        undecided = state.where("accepted IS NULL").select("node")
+        prev = state.select(F.col("node").alias("prev"), F.col("accepted").alias("prev_accepted"))
+        is_open = F.col("prev_accepted").isNull()
+        seen = edges.join(undecided, "node", "left_semi").join(prev, "prev").groupBy("node").agg(
+            F.max(F.coalesce("prev_accepted", F.lit(False))).alias("any_accepted"),
+            F.min(F.when(is_open, F.col("prev"))).alias("open1"), F.max(F.when(is_open, F.col("prev"))).alias("open2"))
+        ahead = state.select(F.col("node").alias("target"), F.col("accepted").alias("ahead"), F.col("target").alias("next"), F.col("flip").alias("next_flip"))
+        both = state.join(seen, "node", "left").join(ahead, "target", "left")
+        accepted = (F.when(F.col("accepted").isNotNull(), F.col("accepted"))
+                    .when(F.col("any_accepted"), F.lit(False))
+                    .when(F.col("open1").isNull(), F.lit(True))
+                    .when(F.col("ahead").isNotNull(), F.col("ahead") != F.col("flip")))
+        single = F.when(F.col("open1") == F.col("open2"), F.col("open1"))
+        target = F.when(F.col("target").isNull(), single).otherwise(F.coalesce("next", "target"))
+        flip = (F.when(F.col("target").isNull(), single.isNotNull())
+                .when(F.col("next").isNotNull(), F.col("flip") != F.col("next_flip")).otherwise(F.col("flip")))
+        state = materialize(both.select("node", accepted.alias("accepted"), target.alias("target"), flip.alias("flip")))
+    return state.select("node", "accepted"), rounds

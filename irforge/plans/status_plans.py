@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from irforge.operators import clusters as C
+from irforge.operators.common import with_position
 from irforge.sources import tables as T
 
 COMPLETE_MIN_DOCS = 100  # fixed value: a dataset counts as complete above this many documents
@@ -44,13 +45,6 @@ def artifact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.coalesce("n_embedded", F.lit(0)) > 0).alias("has_embeddings"))
 
 
-def _with_position(df: DataFrame, order_col: str) -> DataFrame:
-    """Position in ``order_col`` order via a distributed sort + zipWithIndex (no single-task window)."""
-    s = df.orderBy(order_col)
-    rdd = s.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return rdd.toDF(list(s.columns) + ["seq"])
-
-
 def zip_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attach the i-th vector to the i-th document (documents that have embeddings, in id order);
     the row counts must match."""
@@ -60,8 +54,8 @@ def zip_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     nd, ne = d.count(), e.count()
     if nd != ne:
         raise ValueError(f"Embeddings count mismatch: {ne} vectors for {nd} documents")
-    dp = _with_position(d, "ord").select("seq", "docid")
-    ep = _with_position(e, "vec_id").select("seq", "vec_id")
+    dp = with_position(d, "ord").select("seq", "docid")
+    ep = with_position(e, "vec_id").select("seq", "vec_id")
     return dp.join(ep, "seq").select(F.col("seq").cast("bigint").alias("seq"), "docid", "vec_id")
 
 
