@@ -11,6 +11,8 @@ inside allowed groups.  Nothing is collected to the driver; a block pair is at m
 When one side is small (its vectors' bytes are checked), it is sent to all workers instead and the
 other side is scanned in place: a corpus is then neither shuffled nor replicated.
 
+Counts and edges over a threshold compare only groups of vectors that pivot bounds (``pivots.py``) let meet.
+
 Top-k scores are rounded to 6 decimals and cut by (score, id) inside the kernel, then merged by a
 two-phase top-k in Spark; rank counts compare scores rounded to 6 decimals.
 """
@@ -24,7 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from irforge.operators import pivots as pv
 from irforge.operators.common import topk_per_group
+from irforge.session import materialize
 
 BLOCK_ROWS = 2048
 MIN_BLOCKS = 4          # at least 4 x 4 block pairs, so small inputs still use several tasks
@@ -187,6 +191,53 @@ def _scan(small: DataFrame, large: DataFrame, fn, schema: str) -> DataFrame:
     return large.mapInPandas(scan, schema)
 
 
+#: Modes whose results are pairs over a threshold.
+PIVOTED = ("count", "edges", "edges_ge")
+
+
+def _pivoted(left: DataFrame, right: DataFrame, nl: int, nr: int, dim: int, fn, schema: str, threshold: float, block_rows: int) -> DataFrame:
+    """Kernel results of the groups that may meet."""
+    spark = left.sparkSession
+    small, small_id, small_vec = (left, "lid", "lvec") if nl <= nr else (right, "rid", "rvec")
+    if min(nl, nr) * max(1, dim) * 8 <= BROADCAST_BYTES:
+        pivots = pv.choose(small, math.isqrt(min(nl, nr)), small_id, small_vec)
+        own = pv.placed(small, pivots, small_vec).toPandas().sort_values("_g", kind="stable", ignore_index=True)
+        sent = spark.sparkContext.broadcast((pivots, own, pv.ranges_of(own["_g"].to_numpy(), own["_angle"].to_numpy(), own["_norm"].to_numpy())))
+        large_vec = "rvec" if nl <= nr else "lvec"
+
+        def scan(batches):
+            p, rows, groups = sent.value
+            group_of = np.searchsorted(groups["g"].to_numpy(), rows["_g"].to_numpy())
+            rows = rows.drop(columns=["_g", "_angle", "_norm"])
+            for batch in batches:
+                if batch.empty:
+                    continue
+                g, angle, norm = p.place(_mat(batch[large_vec]))
+                here = pv.ranges_of(g, angle, norm)
+                meets = p.may_meet(here, groups, threshold)
+                # groups that meet the same others are compared at once
+                same, label = np.unique(meets, axis=0, return_inverse=True)
+                label = label.reshape(-1)[np.searchsorted(here["g"].to_numpy(), g)]
+                for c in range(len(same)):
+                    near, mine = rows[same[c][group_of]], batch[label == c]
+                    for i in range(0, len(mine), block_rows):
+                        for j in range(0, len(near), block_rows):
+                            a, b = near.iloc[j:j + block_rows], mine.iloc[i:i + block_rows]
+                            yield fn(a, b) if nl <= nr else fn(b, a)
+
+        return (right if nl <= nr else left).mapInPandas(scan, schema)
+    pivots = pv.choose(small, min(nl, nr) // block_rows, small_id, small_vec)
+    left, right = materialize(pv.placed(left, pivots, "lvec")), materialize(pv.placed(right, pivots, "rvec"))
+    pairs = materialize(pv.group_pairs(spark, pivots, pv.ranges(left), pv.ranges(right), threshold, block_rows))
+    blocks = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    block = lambda row, parts: F.pmod(F.xxhash64(row), F.col(parts))
+    unplaced = lambda df: [c for c in df.columns if c not in ("_g", "_angle", "_norm")]
+    lefts = left.join(pairs, F.col("_g") == F.col("g1")).select(*unplaced(left), "g1", block("lid", "parts1").alias("lb"), "g2", blocks("parts2").alias("rb"))
+    pairs = pairs.toDF("h1", "parts1", "h2", "parts2")
+    rights = right.join(pairs, F.col("_g") == F.col("h2")).select(*unplaced(right), "h1", blocks("parts1").alias("lb"), "h2", block("rid", "parts2").alias("rb"))
+    return lefts.groupBy("g1", "lb", "g2", "rb").cogroup(rights.groupBy("h1", "lb", "h2", "rb")).applyInPandas(fn, schema)
+
+
 def block_join(left: DataFrame, right: DataFrame, mode: str, *, left_id: str = "docid", right_id: str = "docid",
                left_vec: str = "vec", right_vec: str = "vec", metric: str = "ip", k: int = 10,
                threshold: float = 0.0, exclude_self: bool = False, left_cols: dict[str, str] | None = None,
@@ -206,6 +257,8 @@ def block_join(left: DataFrame, right: DataFrame, mode: str, *, left_id: str = "
     if min(nl, nr) == 0:
         return left.sparkSession.createDataFrame([], schema)
     dim = (left if nl <= nr else right).select(F.size(left_vec if nl <= nr else right_vec)).first()[0]
+    if mode in PIVOTED and metric == "ip":
+        return _pivoted(L, R, nl, nr, dim, fn, schema, threshold, block_rows)
     if min(nl, nr) * max(1, dim) * 8 <= BROADCAST_BYTES:
         return _scan(L, R, fn, schema) if nl <= nr else _scan(R, L, lambda r, l: fn(l, r), schema)
     L = (L.withColumn("lb", F.pmod(F.xxhash64("lid"), F.lit(bl)))
