@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from irforge.functions.vectors import cosine, with_unit
+from irforge.operators import joint_kmeans as joint
 from irforge.operators import similarity as sim
 from irforge.operators.common import bounded_broadcast
+from irforge.session import materialize
+from irforge.sources.sinks import append_step_log
 
 
 def cluster_sizes(assign: DataFrame, k: int | None = None, cid: str = "cid") -> DataFrame:
@@ -136,34 +139,42 @@ def auto_select_k(df: DataFrame, seed: int = 42, sample_n: int = 5000, vec: str
     """M2: fit each K of the grid on a seeded sample, keep the highest silhouette (first on ties).
 
     The sample has at least ``sample_n`` rows and four times the largest K, so no candidate is lost on
-    a large collection.  Returns (best_k, curve DataFrame(k, silhouette))."""
+    a large collection.  All K and all starts are fitted in the same passes (``joint_kmeans``).
+    Returns (best_k, curve DataFrame(k, silhouette))."""
     n = df.count()
     ks = candidate_k_grid(n)
-    sample = uniform_sample(df, min(max(sample_n, 4 * max(ks, default=0)), n), seed, id_col).select(id_col, vec)
     if not ks:
         raise ValueError("empty K grid: need more than 8 documents")
+    sample = materialize(uniform_sample(df, min(max(sample_n, 4 * max(ks)), n), seed, id_col).select(id_col, vec))
+    models = joint.fit(sample, [(k, i) for k in ks for i in range(n_init)], seed, max_iter=max_iter, vec=vec, id_col=id_col, spread=True)
     rows = []
     for k in ks:
-        model = kmeans_fit(sample, k, seed, max_iter=max_iter, vec=vec, n_init=n_init)
-        a = kmeans_assign(sample, model, vec)
-        sc = silhouette(a, vec, id_col).first()["silhouette"]
+        model = min((m for m in models if m.k == k), key=lambda m: (m.cost, m.start))
+        assigned = materialize(sample.withColumn("cid", joint.cell_of(sample, model, vec)))
+        sc = silhouette(assigned, vec, id_col).first()["silhouette"]
         rows.append((k, -1.0 if sc is None else float(sc)))
     best = max(rows, key=lambda r: (r[1], -ks.index(r[0])))[0]
     return best, df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
-def sse_curve(df: DataFrame, k_list: list[int], seed: int, max_iter: int = 100, vec: str = "vec") -> DataFrame:
-    """M3: (k, sse) cosine SSE for each K < N (skipped otherwise)."""
+def sse_curve(df: DataFrame, k_list: list[int], seed: int, max_iter: int = 100, vec: str = "vec",
+              id_col: str = "docid", path: str | None = None) -> DataFrame:
+    """M3: (k, sse) cosine SSE for each K < N (skipped otherwise), all K fitted in the same passes.
+
+    With ``path``, a K's row is appended there as soon as its model is done (K15), so a partial run leaves its part of
+    the curve."""
+    spark = df.sparkSession
     n = df.count()
     rows = []
-    for k in k_list:
-        if k >= n:
-            continue
-        model = kmeans_fit(df, k, seed, max_iter=max_iter, vec=vec)
-        a = kmeans_assign(df, model, vec)
-        c = model_centers(df.sparkSession, model)
-        rows.append((k, float(cosine_sse(a, c, vec).first()["sse"])))
-    return df.sparkSession.createDataFrame(rows, "k int, sse double")
+
+    def done(models: list[joint.Fitted]) -> None:
+        new = [(m.k, sse) for m, sse in zip(models, joint.cosine_sse(df, models, vec))]
+        rows.extend(new)
+        if path:
+            append_step_log(spark.createDataFrame(new, "k int, sse double").coalesce(1), path)
+
+    joint.fit(df, [(k, 0) for k in k_list if k < n], seed, max_iter=max_iter, vec=vec, id_col=id_col, on_done=done)
+    return spark.createDataFrame(sorted(rows), "k int, sse double")
 
 
 def knee_point(curve: DataFrame, x: str = "k", y: str = "sse", S: float = 0.01,

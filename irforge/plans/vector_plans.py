@@ -9,6 +9,8 @@ from irforge.functions import fixed
 from irforge.functions.vectors import norm
 from irforge.operators import clusters as C
 from irforge.operators import similarity as sim
+from irforge.operators import textprep as tp
+from irforge.session import materialize
 from irforge.sources import tables as T
 
 # Test threshold for the neighbourhood (the reference's 0.58 finds almost no pairs in this data).
@@ -128,16 +130,16 @@ def knee_of_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sse_curve_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3 on the unit embeddings (rows-only: k-means labels are not reproducible across engines)."""
-    e = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
+    """M3 on the raw vectors of the documents that the K-selection length rule keeps (rows-only: k-means is not
+    reproducible across engines)."""
+    kept = tp.filter_len_kselect(T.documents_with_dataset(spark, sf_dir), F.col("dataset")).select("docid")
+    e = materialize(T.embeddings(spark, sf_dir).select("docid", "vec").join(kept, "docid", "left_semi"))
     return C.sse_curve(e, fixed.SSE_K_LIST, seed=560, max_iter=fixed.KMEANS_ITERATIONS)
 
 
 def auto_select_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2 (rows-only): the silhouette of every K of the grid; best K first."""
     e = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
-    # the reference's 10 restarts x 300 iterations per K are library defaults; the registered
-    # rows-only check uses one restart and 20 iterations to stay short
     best, curve = C.auto_select_k(e, seed=42)
     return curve.withColumn("is_best", F.col("k") == best)
 
