@@ -20,8 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from irforge.functions.vectors import sq_l2
 from irforge.operators import similarity as sim
 from irforge.operators.common import topk_per_group
 from irforge.session import ensure_checkpoint_dir, materialize
@@ -219,13 +219,29 @@ def _score(index: IvfIndex, qids: np.ndarray, x: np.ndarray, probes: np.ndarray,
     return materialize(index.table(np.unique(cell).tolist()).mapInPandas(score, "qid string, docid string, score double"))
 
 
+def packed_tokens(tokens: DataFrame, id_col: str, vec: str, out: str) -> DataFrame:
+    """(id, out): the token vectors of an id in one array, vector after vector; bounded by the token limit of a text."""
+    return tokens.where(F.col(vec).isNotNull()).groupBy(id_col).agg(F.flatten(F.collect_list(F.col(vec).cast("array<double>"))).alias(out), F.count(F.lit(1)).alias(f"{out}_n"))
+
+
+@F.pandas_udf(DoubleType())
+def _token_score(q: pd.Series, qn: pd.Series, d: pd.Series, dn: pd.Series) -> pd.Series:
+    out = []
+    for x, n, y, m in zip(q, qn, d, dn):
+        x, y = np.asarray(x).reshape(n, -1), np.asarray(y).reshape(m, -1)
+        far = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
+        out.append(-float(np.maximum(far.min(axis=1), 0.0).sum()))
+    return pd.Series(out, dtype="float64")
+
+
 def maxsim(pairs: DataFrame, qtok: DataFrame, dtok: DataFrame, id_col: str = "docid") -> DataFrame:
     """(qid, docid, maxsim) = Σ_q-token max_d-token (−|q − d|²) over masked-in tokens.
 
-    ``pairs``: (qid, docid); ``qtok``: (qid, qpos, qv); ``dtok``: (docid, dpos, dv, mask).  Rows are
-    pairs x query tokens x document tokens, bounded by the candidate run and the token limits.
+    ``pairs``: (qid, docid); ``qtok``: (qid, qpos, qv); ``dtok``: (docid, dpos, dv, mask).  Tokens are packed into one
+    matrix for each text, and a pair is one row with two matrices and one product.  A pair without tokens on a side
+    has no row.
     """
-    d = dtok.where(F.col("mask") == 1)
-    j = pairs.join(qtok, "qid").join(d, id_col)
-    per_qtok = j.groupBy("qid", id_col, "qpos").agg(F.max(-sq_l2(F.col("qv"), F.col("dv"))).alias("best"))
-    return per_qtok.groupBy("qid", id_col).agg(F.sum("best").alias("maxsim"))
+    q = packed_tokens(qtok, "qid", "qv", "_q")
+    d = packed_tokens(dtok.where(F.col("mask") == 1), id_col, "dv", "_d")
+    scored = pairs.join(q, "qid").join(d, id_col)
+    return scored.select("qid", id_col, _token_score("_q", "_q_n", "_d", "_d_n").alias("maxsim"))

@@ -56,9 +56,13 @@ class Pivots:
 
 
 def choose(df: DataFrame, n: int, id_col: str, vec: str) -> Pivots:
-    """At most ``n`` (and ``MAX_PIVOTS``) pivots from ``df``; zero and non-finite vectors are none."""
+    """At most ``n`` (and ``MAX_PIVOTS``) pivots from ``df``."""
     rows = df.orderBy(F.xxhash64(F.lit(SEED), id_col), id_col).select(vec).limit(max(1, min(n, MAX_PIVOTS))).collect()
-    x = np.array([r[0] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    return from_rows(np.array([r[0] for r in rows], dtype=np.float64).reshape(len(rows), -1))
+
+
+def from_rows(x: np.ndarray) -> Pivots:
+    """Pivots in the directions of the rows; zero and non-finite rows give none."""
     norm = np.linalg.norm(x, axis=1)
     good = np.isfinite(norm) & (norm > 0)
     if not good.any():

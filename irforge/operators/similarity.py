@@ -193,31 +193,40 @@ def _scan(small: DataFrame, large: DataFrame, fn, schema: str) -> DataFrame:
 
 #: Modes whose results are pairs over a threshold.
 PIVOTED = ("count", "edges", "edges_ge")
+#: A batch is compared group by group if this part of its pairs, or less, is left by the bounds.
+SPARSE = 0.5
 
 
 def _pivoted(left: DataFrame, right: DataFrame, nl: int, nr: int, dim: int, fn, schema: str, threshold: float, block_rows: int) -> DataFrame:
     """Kernel results of the groups that may meet."""
     spark = left.sparkSession
     small, small_id, small_vec = (left, "lid", "lvec") if nl <= nr else (right, "rid", "rvec")
+    # pivots change the work only, so those of a collected side come from its rows as they are
     if min(nl, nr) * max(1, dim) * 8 <= BROADCAST_BYTES:
-        pivots = pv.choose(small, math.isqrt(min(nl, nr)), small_id, small_vec)
-        own = pv.placed(small, pivots, small_vec).toPandas().sort_values("_g", kind="stable", ignore_index=True)
-        sent = spark.sparkContext.broadcast((pivots, own, pv.ranges_of(own["_g"].to_numpy(), own["_angle"].to_numpy(), own["_norm"].to_numpy())))
+        own = small.toPandas()
+        x = _mat(own[small_vec])
+        pivots = pv.from_rows(x[np.random.default_rng(pv.SEED).permutation(len(x))[:min(math.isqrt(len(x)), pv.MAX_PIVOTS)]])
+        g, angle, norm = pivots.place(x)
+        order = np.argsort(g, kind="stable")
+        own = own.iloc[order].reset_index(drop=True)
+        sent = spark.sparkContext.broadcast((pivots, own, np.sort(g), pv.ranges_of(g, angle, norm)))
         large_vec = "rvec" if nl <= nr else "lvec"
 
         def scan(batches):
-            p, rows, groups = sent.value
-            group_of = np.searchsorted(groups["g"].to_numpy(), rows["_g"].to_numpy())
-            rows = rows.drop(columns=["_g", "_angle", "_norm"])
+            p, rows, sorted_g, groups = sent.value
+            group_of = np.searchsorted(groups["g"].to_numpy(), sorted_g)
             for batch in batches:
                 if batch.empty:
                     continue
                 g, angle, norm = p.place(_mat(batch[large_vec]))
                 here = pv.ranges_of(g, angle, norm)
                 meets = p.may_meet(here, groups, threshold)
+                at = np.searchsorted(here["g"].to_numpy(), g)
+                if np.bincount(at) @ meets @ np.bincount(group_of) > SPARSE * len(batch) * len(rows):
+                    meets[:] = True  # too little to skip to be worth many small products
                 # groups that meet the same others are compared at once
                 same, label = np.unique(meets, axis=0, return_inverse=True)
-                label = label.reshape(-1)[np.searchsorted(here["g"].to_numpy(), g)]
+                label = label.reshape(-1)[at]
                 for c in range(len(same)):
                     near, mine = rows[same[c][group_of]], batch[label == c]
                     for i in range(0, len(mine), block_rows):

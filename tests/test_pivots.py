@@ -27,6 +27,7 @@ def _frame(spark, x):
 def test_counts_and_edges_equal_brute_force(spark, monkeypatch, scan, threshold):
     x = _grouped(n_groups=8, each=10)
     d = _frame(spark, x)
+    monkeypatch.setattr(sim, "SPARSE", 1.0)   # group by group whatever it saves
     if not scan:
         monkeypatch.setattr(sim, "BROADCAST_BYTES", 0)
     above = x @ x.T > threshold
