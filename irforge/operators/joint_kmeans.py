@@ -1,7 +1,7 @@
 """Lloyd's k-means for many models at once (M2, M3): every K of a grid and every start in the same passes.
 
-An iteration is one job whatever the number of models: a task adds up its rows' vectors by (model, cell) of the nearest
-centre, the partial sums meet in one aggregation on that key, and at most the sum of all K rows come back as the next
+An iteration is one job whatever the number of models (one for each ``CENTER_BYTES`` of centres): a task adds up its rows' vectors by (model, cell) of the nearest
+centre, the partial sums of a key meet in one task, and at most the sum of all K rows come back as the next
 centres.  A model leaves the passes once none of its centres moves by more than ``tol``.  Ties go to the lower cell; an empty
 cell keeps its centre.  A model starts from rows of one pool, which is read once and holds ``POOL`` x (largest K) x (starts)
 rows at most, the first in the order of a seeded hash: start i takes the first K rows of its i-th stretch (``spread`` off,
@@ -15,15 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distances held at once by a task: rows of a step times centres.
-CELLS = 4 << 20
+CELLS = 1 << 20
+#: Bytes of centres that are sent out, and come back, at once; more models take several passes an iteration.
+CENTER_BYTES = 128 << 20
 #: Rows of the pool for each centre of a start.
 POOL = 4
+#: Rows of the pool that a draw looks at together.
+DRAW_ROWS = 512
 
 
 @dataclass
@@ -43,45 +47,76 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Cell and squared distance of each row."""
     cell, dist = np.empty(len(x), dtype=np.int64), np.empty(len(x))
     own, step = (centers * centers).sum(axis=1), max(1, CELLS // len(centers))
+    twice = -2.0 * centers.T
     for at in range(0, len(x), step):
-        d = own - 2.0 * (x[at:at + step] @ centers.T)
-        cell[at:at + step] = d.argmin(axis=1)
-        dist[at:at + step] = d.min(axis=1)
+        d = x[at:at + step] @ twice
+        d += own
+        best = d.argmin(axis=1)
+        cell[at:at + step] = best
+        dist[at:at + step] = d[np.arange(len(d)), best]
     return cell, np.maximum(dist + (x * x).sum(axis=1), 0.0)
 
 
-def drawn(pool: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k rows: the first at random, each further one in proportion to the squared distance to the nearest before."""
+def drawn(pool: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
+    """Numbers of k rows: the first at random, each further one in proportion to the squared distance to the nearest before."""
     chosen = [int(rng.integers(len(pool)))]
-    least = np.full(len(pool), np.inf)
+    least, room = np.full(len(pool), np.inf), np.empty((DRAW_ROWS, pool.shape[1]))
     while len(chosen) < k:
-        least = np.minimum(least, ((pool - pool[chosen[-1]]) ** 2).sum(axis=1))
-        total = least.sum()
-        chosen.append(int(rng.choice(len(pool), p=least / total)) if total > 0 else int(rng.integers(len(pool))))
-    return pool[chosen]
+        last = pool[chosen[-1]]
+        for at in range(0, len(pool), DRAW_ROWS):
+            part = least[at:at + DRAW_ROWS]
+            d = np.subtract(pool[at:at + DRAW_ROWS], last, out=room[:len(part)])
+            np.minimum(part, np.einsum("ij,ij->i", d, d), out=part)
+        up_to = np.cumsum(least)
+        if up_to[-1] > 0:
+            chosen.append(min(int(np.searchsorted(up_to, rng.random() * up_to[-1], side="right")), len(pool) - 1))
+        else:
+            chosen.append(int(rng.integers(len(pool))))
+    return chosen
+
+
+def _drawn_starts(spark: SparkSession, pool: np.ndarray, specs: list[tuple[int, int]], seed: int) -> list[Fitted]:
+    """A task for each model, the longest first; the pool goes to all of them and only row numbers come back."""
+    longest = sorted(range(len(specs)), key=lambda m: -specs[m][0])
+    sent = spark.sparkContext.broadcast((pool, specs, longest))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows, wanted, order = sent.value
+            for m in (order[at] for at in batch["id"].tolist()):
+                k, i = wanted[m]
+                yield pd.DataFrame({"model": [m], "chosen": [drawn(rows, k, np.random.default_rng([seed, i, k]))]})
+
+    chosen = {r["model"]: r["chosen"] for r in spark.range(0, len(specs), 1, len(specs)).mapInPandas(draw, "model long, chosen array<long>").collect()}
+    sent.destroy()
+    return [Fitted(k, i, pool[chosen[m]]) for m, (k, i) in enumerate(specs)]
 
 
 def starts(df: DataFrame, specs: list[tuple[int, int]], seed: int, vec: str, id_col: str, spread: bool = False) -> list[Fitted]:
     most, n_starts = max(k for k, _ in specs), 1 + max(i for _, i in specs)
-    rows = df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).select(vec).limit(POOL * most * n_starts).collect()
-    pool = np.array([r[0] for r in rows], dtype=np.float64)
+    rows = df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).select(F.col(vec).cast("array<double>").alias(vec)).limit(POOL * most * n_starts).toPandas()
+    pool = _rows(rows[vec])
     if spread:
-        return [Fitted(k, i, drawn(pool, k, np.random.default_rng([seed, i, k]))) for k, i in specs]
+        return _drawn_starts(df.sparkSession, pool, specs, seed)
     return [Fitted(k, i, np.take(pool, np.arange(i * most, i * most + min(k, len(pool))), axis=0, mode="wrap")) for k, i in specs]
 
 
-def _sums(df: DataFrame, models: list[Fitted], vec: str) -> DataFrame:
-    """(model, cell, n, total, cost) over all rows."""
+def _sums(df: DataFrame, models: list[Fitted], vec: str) -> pa.Table:
+    """(model, cell, n, total, cost) over all rows; at most one row a centre."""
     sent = df.sparkSession.sparkContext.broadcast([m.centers for m in models])
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(model: np.ndarray, cell: np.ndarray, n: np.ndarray, total: np.ndarray, cost: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * total.shape[1]), pa.array(total.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(cell), pa.array(n), lists, pa.array(cost)], names=["model", "cell", "n", "total", "cost"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers = sent.value
         total = [np.zeros_like(c) for c in centers]
         n, cost = [np.zeros(len(c), dtype=np.int64) for c in centers], [np.zeros(len(c)) for c in centers]
         for batch in batches:
-            if batch.empty:
+            if batch.num_rows == 0:
                 continue
-            x = _rows(batch[vec])
+            x = _rows(batch.column(0).to_pandas())
             for m, c in enumerate(centers):
                 cell, dist = nearest(x, c)
                 order = np.argsort(cell, kind="stable")
@@ -92,11 +127,36 @@ def _sums(df: DataFrame, models: list[Fitted], vec: str) -> DataFrame:
         for m in range(len(centers)):
             used = np.flatnonzero(n[m])
             if len(used):
-                yield pd.DataFrame({"model": m, "cell": used, "n": n[m][used], "total": list(total[m][used]), "cost": cost[m][used]})
-
-    part = df.select(vec).mapInPandas(add, "model int, cell long, n long, total array<double>, cost double")
-    return part.groupBy("model", "cell").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("total")).alias("t"), F.sum("cost").alias("cost")) \
-        .select("model", "cell", "n", vector_to_array("t").alias("total"), "cost")
+                yield listed(np.full(len(used), m), used, n[m][used], total[m][used], cost[m][used])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        model, cell, n, cost = (rows[c].to_numpy() for c in ("model", "cell", "n", "cost"))
+        order = np.lexsort((cell, model))
+        first = np.flatnonzero(np.r_[True, (np.diff(model[order]) != 0) | (np.diff(cell[order]) != 0)])
+        total = pc.list_flatten(rows["total"]).to_numpy().reshape(len(n), -1)[order]
+        yield listed(model[order][first], cell[order][first], np.add.reduceat(n[order], first), np.add.reduceat(total, first, axis=0), np.add.reduceat(cost[order], first))
+
+    schema = "model int, cell long, n long, total array<double>, cost double"
+    part = df.select(vec).mapInArrow(add, schema).repartition(df.sparkSession.sparkContext.defaultParallelism, "model", "cell")
+    out = part.mapInArrow(meet, schema).toArrow()
+    sent.destroy()
+    return out
+
+
+def _passes(models: list[Fitted]) -> Iterator[list[Fitted]]:
+    """The models in runs of at most ``CENTER_BYTES`` of centres, one at least."""
+    run, size = [], 0
+    for m in models:
+        if run and size + m.centers.nbytes > CENTER_BYTES:
+            yield run
+            run, size = [], 0
+        run, size = [*run, m], size + m.centers.nbytes
+    if run:
+        yield run
 
 
 def fit(df: DataFrame, specs: list[tuple[int, int]], seed: int, max_iter: int = 100, tol: float = 1e-4, vec: str = "vec",
@@ -107,14 +167,17 @@ def fit(df: DataFrame, specs: list[tuple[int, int]], seed: int, max_iter: int =
     models = starts(df, specs, seed, vec, id_col, spread)
     active = models
     for i in range(max_iter):
-        moved, cost = np.zeros(len(active)), np.zeros(len(active))
-        new = [m.centers.copy() for m in active]
-        for r in _sums(df, active, vec).toLocalIterator():
-            new[r["model"]][r["cell"]] = np.array(r["total"]) / r["n"]
-            cost[r["model"]] += r["cost"]
-        for j, m in enumerate(active):
-            moved[j] = np.sqrt(((new[j] - m.centers) ** 2).sum(axis=1)).max()
-            m.centers, m.cost, m.iterations = new[j], float(cost[j]), i + 1
+        moved = []
+        for run in _passes(active):
+            rows = _sums(df, run, vec).combine_chunks()
+            model, cell, n, cost = (rows[c].to_numpy() for c in ("model", "cell", "n", "cost"))
+            total = pc.list_flatten(rows["total"]).to_numpy().reshape(len(n), run[0].centers.shape[1])
+            for j, m in enumerate(run):
+                own = model == j
+                new = m.centers.copy()
+                new[cell[own]] = total[own] / n[own][:, None]
+                moved.append(np.sqrt(((new - m.centers) ** 2).sum(axis=1)).max())
+                m.centers, m.cost, m.iterations = new, float(cost[own].sum()), i + 1
         finished = [m for m, d in zip(active, moved) if d <= tol or i + 1 == max_iter]
         active = [m for m in active if not any(m is f for f in finished)]
         if finished and on_done:
