@@ -6,7 +6,9 @@ sequence of its own, so no sequence crosses documents and none needs padding; pi
 form a bucket, from which batches of equal shape are drawn (``write_buckets``).
 
 Tokenizing needs no shuffle.  The tokenizer drops white space and never joins across it, so ids are
-remembered per white-space-separated chunk, in a table that is emptied at ``PARTS`` entries.
+remembered per white-space-separated chunk, in flat arrays that are emptied at ``TABLE`` bytes.  Texts are
+encoded about 2 MB at a time, so a worker's memory follows neither its task's rows nor their length, and
+what earlier work or the last texts left free in a worker goes back to the system (``release_memory``).
 
 Defined cases: null text is empty text, which gives one piece with the end id; a null id stays null;
 repeated rows are packed each; an empty table gives an empty result.
@@ -23,14 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from irforge.llm.base import documents, small_batches
+from irforge.llm.base import documents, release_memory, small_batches
+from irforge.llm.token_counts import slices
 
 MAX_LEN = 2048
 END_ID = 1
-#: Documents whose pieces leave a worker together.
-ROWS_OUT = 1024
-#: Most entries of a worker's table.
-PARTS = 300_000
+#: Bytes after which a worker's table is emptied.
+TABLE = 16 << 20
 
 
 def tokenizer_path() -> str:
@@ -56,20 +57,44 @@ class ChunkTokenizer:
         ends = [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.ends[ends] = True
-        self.parts: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table: known parts, their ids one after the other, and where each part's begin (with the end of the last)."""
+        self.known, self.ids, self.begin = pa.array([""]), np.empty(0, dtype="<u4"), np.zeros(2, dtype=np.int64)
+
+    def table_bytes(self) -> int:
+        return self.known.nbytes + self.ids.nbytes + self.begin.nbytes
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 2000):
-            some = parts[i:i + 2000]
-            ids = self._encode(" ".join(some))
-            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+    def _learn(self, parts: pa.Array, alone: pa.Array) -> None:
+        """Put unseen parts into the table, those of ``alone`` encoded one by one."""
+        apart = pc.is_in(parts, value_set=alone)
+        plain, single = parts.filter(pc.invert(apart)), parts.filter(apart)
+        ids, size = [self.ids], [np.diff(self.begin)]
+        for i in range(0, len(plain), 2000):
+            some = plain.slice(i, 2000).to_pylist()
+            ids.append(self._encode(" ".join(some)))
+            stop = np.flatnonzero(self.ends[ids[-1]]) + 1
             if len(stop) != len(some):
                 raise ValueError("the tokenizer has no end-of-word ids")
-            raw = ids.tobytes()
-            self.parts.update(zip(some, [raw[a:b] for a, b in zip([0, *stop.tolist()], stop.tolist())]))
+            size.append(np.diff(stop, prepend=0))
+        own = [self._encode(x) for x in single.to_pylist()]
+        size.append(np.array([len(x) for x in own], dtype=np.int64))
+        self.known = pa.concat_arrays([self.known, plain, single])
+        self.ids = np.concatenate(ids + own)
+        self.begin = np.concatenate([[0], np.cumsum(np.concatenate(size))])
+
+    def _places(self, parts: pa.Array, alone: pa.Array) -> np.ndarray:
+        """Where each part is in the table, in which all are afterwards."""
+        if self.table_bytes() > TABLE:
+            self.forget()
+        new = parts.filter(pc.invert(pc.is_in(parts, value_set=self.known)))
+        if len(new):
+            self._learn(new, alone)
+        return pc.index_in(parts, value_set=self.known).to_numpy()
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's begin (with the end of the last)."""
@@ -82,19 +107,8 @@ class ChunkTokenizer:
         letters = pc.if_else(plain, pc.utf8_lower(pc.replace_substring_regex(chunk, f"[{self.SIGNS}]+$", "")), chunk)
         signs = pc.if_else(plain, pc.replace_substring_regex(chunk, f"^[{self.LETTERS}]+", ""), "")
         both = pa.chunked_array([letters, signs]).combine_chunks().dictionary_encode()
-        part = both.dictionary.to_pylist()
-        if len(self.parts) > PARTS:
-            self.parts = {"": b""}
-        new = [x for x in part if x not in self.parts]
-        if new:
-            one_by_one = set(letters.filter(pc.invert(plain)).to_pylist())
-            for x in one_by_one.intersection(new):
-                self.parts[x] = self._encode(x).tobytes()
-            self._learn([x for x in new if x not in one_by_one])
-        raw = [self.parts[x] for x in part]
-        size = np.array([len(r) for r in raw], dtype=np.int64) // 4
-        flat = np.frombuffer(b"".join(raw), dtype="<u4")
-        first = np.cumsum(size) - size
+        place = self._places(both.dictionary, letters.filter(pc.invert(plain)))
+        first, size = self.begin[place], np.diff(self.begin)[place]
         # the parts of every word in order: its letters, then its signs
         halves = both.indices.to_numpy(zero_copy_only=False).reshape(2, -1)
         index = halves[:, coded.indices.to_numpy(zero_copy_only=False)].T.ravel()
@@ -102,8 +116,10 @@ class ChunkTokenizer:
         ends = np.concatenate([[0], np.cumsum(n)])
         some = np.flatnonzero(n)
         index, n, at = index[some], n[some], ends[:-1][some]
-        ids = flat[np.repeat(first[index] - at, n) + np.arange(ends[-1])]
-        return ids, ends[2 * begin]
+        # places fit in 32 bits: a text's bytes do, and the table is smaller
+        place = np.repeat((first[index] - at).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.ids[place], ends[2 * begin]
 
 
 @lru_cache(maxsize=1)
@@ -129,11 +145,11 @@ def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_i
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         tok = worker_tokenizer(path)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
+            for part in slices(batch, 1):
                 row, start, length, ids, total = [], [], [], [], []
                 flat, begin = tok(part.column(1))
                 raw, begin = flat.tobytes(), (begin * 4).tolist()
@@ -151,8 +167,9 @@ def pack(docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN, end_i
                     [part.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(ids, pa.binary()), pa.array(total, pa.int64())],
                     names=["doc_id", "start", "length", "ids", "doc_tokens"])
-        tok.parts = {"": b""}
-        pa.default_memory_pool().release_unused()
+                release_memory()
+        tok.forget()
+        release_memory()
 
     pieces = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long")
     return pieces.withColumns({"bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

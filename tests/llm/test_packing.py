@@ -1,4 +1,7 @@
+import ctypes
 import random
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from irforge.llm import packing as pk
+from irforge.llm.base import release_memory
 from tests.llm.rows import docs_frame, edge_docs, sf_docs
 
 
@@ -31,6 +35,46 @@ def test_ids_equal_whole_text_encoding(tok):
         assert ids[a:b].tolist() == tok.tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_table_is_small(tok):
+    texts = pa.array([" ".join(np.base_repr(7**9 + 31 * i, 26).translate(str.maketrans("0123456789", "qrstuvwxyz")).lower() for i in range(k, k + 500)) for k in range(0, 60_000, 500)])
+    tok(pa.array(["warm up"]))
+    tok.forget()
+    tracemalloc.start()
+    try:
+        before = pa.total_allocated_bytes() + tracemalloc.get_traced_memory()[0]
+        for at in range(0, len(texts), 20):
+            tok(texts.slice(at, 20))
+        held = pa.total_allocated_bytes() + tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert len(tok.known) == 60_001 and held < 60_000 * 60
+    tok.forget()
+
+
+def test_emptied_table_gives_the_same_ids(tok, monkeypatch):
+    monkeypatch.setattr(pk, "TABLE", 1000)
+    tok.forget()
+    texts = [t or "" for _, t in sf_docs(40)]
+    for at in range(0, 40, 4):
+        ids, begin = tok(pa.array(texts[at:at + 4]))
+        for t, a, b in zip(texts[at:at + 4], begin[:-1], begin[1:]):
+            assert ids[a:b].tolist() == tok.tok.encode(t, add_special_tokens=False).ids
+    tok.forget()
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="the C library can't give memory back")
+def test_free_memory_goes_back():
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) >> 10
+
+    many = [bytes(600) for _ in range(100_000)]
+    full = resident()
+    last = many.pop()
+    del many
+    release_memory()
+    assert len(last) == 600 and full - resident() > 40
+
+
 def test_pieces_make_up_the_documents(spark, tok, tmp_path):
     rows = edge_docs() + [(100 + i, t) for i, t in sf_docs(100)]
     out = pk.pack(docs_frame(spark, rows, length=1, ids="x", bucket=3)).toPandas()
