@@ -18,11 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from irforge.operators import similarity as sim
+from irforge.operators import topk as tk
 from irforge.operators.common import topk_per_group
 from irforge.session import ensure_checkpoint_dir, materialize
 
@@ -98,7 +100,7 @@ class IvfIndex:
 
     def table(self, probed: list[int] | None = None) -> DataFrame:
         """(docid, vec, cell); only the folders of the probed cells are read."""
-        t = self.spark.read.schema("docid string, vec array<double>, cell int").parquet(self.path)
+        t = self.spark.read.schema("docid string, vec array<double>, key long, cell int").parquet(self.path)
         return t if probed is None or len(probed) == len(self.cells.centers) else t.where(F.col("cell").isin(probed))
 
 
@@ -138,9 +140,10 @@ def train_cells(docs: DataFrame, n_cells: int, seed: int = 42, vec: str = "vec")
 
 
 def ivf_index(docs: DataFrame, n_cells: int | None = None, seed: int = 42, vec: str = "vec") -> IvfIndex:
-    """Cells of docs(docid, vec), sqrt(N) unless given, and the documents written by cell under the checkpoint folder."""
+    """Cells of docs(docid, vec), sqrt(N) unless given, and the documents written by cell under the checkpoint folder, with a key in the order of their ids."""
     spark = docs.sparkSession
-    cells = train_cells(docs, n_cells or max(1, round(docs.count() ** 0.5)), seed, vec)
+    n = docs.count()
+    cells = train_cells(docs, n_cells or max(1, round(n ** 0.5)), seed, vec)
     sent = spark.sparkContext.broadcast(cells)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +152,8 @@ def ivf_index(docs: DataFrame, n_cells: int | None = None, seed: int = 42, vec:
                 yield b.assign(cell=sent.value.assign(_stack(b["vec"])))
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/irforge-tables/ivf-{uuid.uuid4().hex}"
-    rows = docs.select(F.col("docid").cast("string").alias("docid"), F.col(vec).cast("array<double>").alias("vec")).mapInPandas(assign, "docid string, vec array<double>, cell int")
+    rows = tk.in_order(docs.select(F.col("docid").cast("string").alias("rid"), F.col(vec).cast("array<double>").alias("vec")), n, cells.centers.shape[1])
+    rows = rows.withColumnRenamed("rid", "docid").mapInPandas(assign, "docid string, vec array<double>, key long, cell int")
     # one writer for a cell, and several for a large one
     rows.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
     sent.destroy()
@@ -174,49 +178,69 @@ def calibrate(queries: DataFrame, docs: DataFrame, index: IvfIndex, k: int, reca
 def ivf_topk(queries: DataFrame, index: IvfIndex, k: int, nprobe: int, qvec: str = "qvec") -> DataFrame:
     """(qid, docid, score, rank): inner-product top-k over the documents of each query's ``nprobe`` nearest cells.
 
-    The query set goes out in slices of at most ``QUERY_BYTES``; documents are scored where they lie, and
-    the k best of each query and partition are shuffled.  Equal scores (to 6 decimals) go by docid.
+    Few queries go out in slices of at most ``QUERY_BYTES``; documents are scored where they lie, and the k best of each query and
+    partition are shuffled.  When that is more than the index holds, a task takes a block of queries instead and the cells pass by
+    (``topk.met``), so nothing is merged.  Equal scores (to 6 decimals) go by docid.
     """
     spark = queries.sparkSession
+    dim = index.cells.centers.shape[1]
     nprobe = min(nprobe, len(index.cells.centers))
-    q = materialize(queries.select(F.col("qid").cast("string").alias("qid"), F.col(qvec).cast("array<double>").alias("qvec")))
-    slices = max(1, -(-q.count() * index.cells.centers.shape[1] * 8 // QUERY_BYTES))
+    q = materialize(queries.select(F.col("qid").cast("string").alias("lid"), F.col(qvec).cast("array<double>").alias("lvec")))
+    n, docs = q.count(), index.table().count()
+    if n * k * sim.RESULT_BYTES * max(spark.sparkContext.defaultParallelism, docs * dim * 8 >> 27) > docs * dim * 8 * nprobe / len(index.cells.centers):
+        blocks = materialize(tk.packed(index.table().select(F.col("docid").alias("rid"), F.col("vec").alias("rvec"), "key", "cell"), tk.rows_of_block(dim)))
+        sent = spark.sparkContext.broadcast(index.cells)
+
+        def meet(block: tk.Left, rows: pa.Table) -> None:
+            if block.asks is None:
+                block.asks = asking(sent.value, block.x, nprobe)
+            search(block.best, block.asks, rows["rid"].combine_chunks(), tk.matrix(rows["rvec"]), rows["key"].to_numpy(), rows["cell"].to_numpy())
+
+        return tk.met(tk.packed(tk.left_blocks(q, n), tk.MOST_ROWS), blocks, k, meet).toDF("qid", "docid", "score", "rank")
+    slices = max(1, -(-n * dim * 8 // QUERY_BYTES))
     out = None
     for i in range(slices):
-        own = q.where(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i).toPandas()
-        x = _stack(own["qvec"]) if len(own) else np.zeros((0, index.cells.centers.shape[1]))
-        probes = np.concatenate([index.cells.ranked(x[j:j + 1024])[:, :nprobe] for j in range(0, len(x), 1024)] or [np.zeros((0, nprobe), dtype=np.int64)])
-        one = _score(index, own["qid"].to_numpy(), x, probes, k)
+        own = q.where(F.pmod(F.xxhash64("lid"), F.lit(slices)) == i).toArrow()
+        x = tk.matrix(own["lvec"]) if own.num_rows else np.zeros((0, dim))
+        one = _score(index, own["lid"].to_numpy(), x, asking(index.cells, x, nprobe), k)
         out = one if out is None else out.unionByName(one)
     return topk_per_group(out, ["qid"], [F.desc("score"), F.asc("docid")], k, split_col="docid")
 
 
-def _score(index: IvfIndex, qids: np.ndarray, x: np.ndarray, probes: np.ndarray, k: int) -> DataFrame:
-    order = np.argsort(probes.ravel(), kind="stable")
-    cell, query = probes.ravel()[order], (order // max(probes.shape[1], 1))
-    sent = index.spark.sparkContext.broadcast((qids, x, cell, query))
+def asking(cells: Cells, x: np.ndarray, nprobe: int) -> np.ndarray:
+    """Whether a cell (row) is among the ``nprobe`` nearest of a query (column)."""
+    out = np.zeros((len(cells.centers), len(x)), dtype=bool)
+    for at in range(0, len(x), 1024):
+        near = cells.ranked(x[at:at + 1024])[:, :nprobe]
+        out[near, np.arange(at, at + len(near))[:, None]] = True
+    return out
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, x, cell, query = sent.value
-        best: dict[int, list[tuple[float, str]]] = {}
+
+def search(best: tk.Best, asks: np.ndarray, ids: pa.Array, y: np.ndarray, key: np.ndarray, cell: np.ndarray) -> None:
+    """Documents of any cells, for the queries that probe these."""
+    order = np.argsort(cell, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+        if len(rows):
+            best.add(y[rows], key[rows], ids.take(pa.array(rows)), np.flatnonzero(asks[cell[rows[0]]]))
+
+
+def _score(index: IvfIndex, qids: np.ndarray, x: np.ndarray, asks: np.ndarray, k: int) -> DataFrame:
+    sent = index.spark.sparkContext.broadcast((qids, x, asks))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, x, asks = sent.value
+        # one after another, so that a block's row numbers fit
+        blocks = [(at, tk.Best(x[at:at + tk.MOST_ROWS], k)) for at in range(0, len(x), tk.MOST_ROWS)]
         for b in batches:
-            for c, rows in b.groupby("cell", sort=False):
-                asking = query[np.searchsorted(cell, c):np.searchsorted(cell, c, side="right")]
-                if not len(asking):
-                    continue
-                ids = rows["docid"].to_numpy()
-                points = np.round(x[asking] @ _stack(rows["vec"]).T, 6)
-                for q, own in zip(asking.tolist(), points):
-                    if len(own) > k:
-                        keep = own >= np.partition(own, -k)[-k]
-                        new = zip((-own[keep]).tolist(), ids[keep].tolist())
-                    else:
-                        new = zip((-own).tolist(), ids.tolist())
-                    best[q] = sorted([*best.get(q, []), *new])[:k]
-        out = [(qids[q], d, -s) for q, top in best.items() for s, d in top]
-        yield pd.DataFrame(out, columns=["qid", "docid", "score"])
-
-    return materialize(index.table(np.unique(cell).tolist()).mapInPandas(score, "qid string, docid string, score double"))
+            if b.num_rows:
+                for at, best in blocks:
+                    search(best, asks[:, at:at + tk.MOST_ROWS], b.column(0), tk.matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy())
+        for at, best in blocks:
+            q, points, ids = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[at + q], pa.string()), ids, pa.array(points)], names=["qid", "docid", "score"])
+
+    probed = np.flatnonzero(asks.any(axis=1)).tolist()
+    return materialize(index.table(probed).select("docid", "vec", "key", "cell").mapInArrow(score, "qid string, docid string, score double"))
 
 
 def packed_tokens(tokens: DataFrame, id_col: str, vec: str, out: str) -> DataFrame:

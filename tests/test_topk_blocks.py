@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from irforge.operators import ann
 from irforge.operators import similarity as sim
 from irforge.operators import topk as tk
 
@@ -70,3 +71,20 @@ def test_candidates_stay_bounded(spark):
         best.settle()
         assert len(best.parts[0][0]) == 250
     assert best.rows()[2].to_pylist() == [f"{i:06d}" for i in range(5)] * 50
+
+
+def test_many_queries_of_an_index_meet_the_cells_without_a_merge(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8)).tolist()
+    docs = spark.createDataFrame([(str(i), v) for i, v in enumerate(x)], "docid string, vec array<double>").repartition(4)
+    left = [(str(i), v) for i, v in enumerate(rng.normal(size=(300, 8)).tolist())]
+    queries = spark.createDataFrame(left, "qid string, qvec array<double>")
+    index = ann.ivf_index(docs, 9)
+    whole = ann.ivf_topk(queries, index, 20, 99)
+    assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert _got(whole.toDF("lid", "rid", "score", "rank")) == _brute(left, [(str(i), v) for i, v in enumerate(x)], 20)
+    cell = {r.docid: r.cell for r in index.table().collect()}
+    near = {q: set(c.tolist()) for (q, _), c in zip(left, index.cells.ranked(np.array([v for _, v in left]))[:, :3])}
+    for q, rows in _got(ann.ivf_topk(queries, index, 20, 3).toDF("lid", "rid", "score", "rank")).items():
+        own = [(str(i), v) for i, v in enumerate(x) if cell[str(i)] in near[q]]
+        assert rows == _brute([left[int(q)]], own, 20)[q]
