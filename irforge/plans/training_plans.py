@@ -30,17 +30,17 @@ def lookup_texts(spark: SparkSession, sf_dir: str, sep: str = " ") -> DataFrame:
     return c.select("docid", F.concat(F.col("title"), F.lit(sep), F.col("text")).alias("text"))
 
 
-def dense_run(spark: SparkSession, sf_dir: str, k: int = DENSE_DEPTH) -> DataFrame:
+def dense_run(spark: SparkSession, sf_dir: str, k: int = DENSE_DEPTH, asked: DataFrame | None = None) -> DataFrame:
     """J10 for the cleaned questions: question embedding of docid d = unit(emb[d] + emb[(7d+1) mod n])."""
-    qs = questions(spark, sf_dir).select("qid")
+    qs = (questions(spark, sf_dir) if asked is None else asked).select("qid")
     qv = T.shifted_unit_embeddings(spark, sf_dir, 7, 1).withColumnRenamed("docid", "qid").join(qs, "qid", "left_semi")
     corpus = T.unit_embeddings(spark, sf_dir).select("docid", "vec")
     t = sim.topk(qv, corpus, k, left_id="qid", left_vec="qvec", right_vec="vec")
     return materialize(t.select(F.col("lid").alias("qid"), F.col("rid").alias("docid"), "score", "rank"))
 
 
-def _negatives(spark, sf_dir):
-    return mn.tail_negatives(dense_run(spark, sf_dir), lookup_texts(spark, sf_dir), compat=True)
+def _negatives(spark, sf_dir, asked: DataFrame | None = None):
+    return mn.tail_negatives(dense_run(spark, sf_dir, asked=asked), lookup_texts(spark, sf_dir), compat=True)
 
 
 def tail_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,15 @@ def tail_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positive then negatives per question."""
-    return mn.rerank_training_rows(questions(spark, sf_dir), _negatives(spark, sf_dir))
+    # either is read more than once: written, so that the texts of all documents are joined once for each
+    asked = materialize(questions(spark, sf_dir))
+    return mn.rerank_training_rows(asked, materialize(_negatives(spark, sf_dir, asked)))
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M21 / K13."""
-    return mn.triples(questions(spark, sf_dir), _negatives(spark, sf_dir))
+    asked = materialize(questions(spark, sf_dir))
+    return mn.triples(asked, _negatives(spark, sf_dir, asked))
 
 
 def reranker_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

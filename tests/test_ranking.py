@@ -117,3 +117,14 @@ def test_bm25_skips_blocks_and_scores_in_place(spark):
     df = spark.createDataFrame([("d1", "apple pear", "")], "docid string, text string, title string")
     plan = lex.bm25(df, spark.createDataFrame([("q", "apple")], "qid string, query string"), {"text": 1.0})._jdf.queryExecution().toString()
     assert "hashpartitioning(qid" in plan and "HashAggregate" not in plan
+
+
+def test_training_rows_join_the_texts_of_all_documents_once_for_each_use(spark):
+    """The questions and the negatives are written: no plan of the training rows mines or cleans a second time."""
+    from irforge.plans import training_plans as tp
+    from tests.conftest import SF_SMALL
+    plan = tp.rerank_train(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and "regexp_replace" not in plan and "Window" not in plan
+    assert "conversations.parquet" not in tp.triples(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    rows = tp.rerank_train(spark, SF_SMALL).groupBy("qid").agg({"neg_no": "max", "label": "sum"}).collect()
+    assert rows and all(1 <= r["max(neg_no)"] <= 4 and r["sum(label)"] == 1.0 for r in rows)
