@@ -6,6 +6,7 @@ centres.  A model leaves the passes once none of its centres moves by more than
 cell keeps its centre.  A model starts from rows of one pool, which is read once and holds ``POOL`` x (largest K) x (starts)
 rows at most, the first in the order of a seeded hash: start i takes the first K rows of its i-th stretch (``spread`` off,
 wrapping round in a small table), or rows drawn in proportion to their squared distance to those drawn before (on).
+Rows that a worker can hold are fitted model by model instead (``best``): a task draws a model's start and runs all its iterations.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from irforge.session import materialize
+
 #: Distances held at once by a task: rows of a step times centres.
 CELLS = 1 << 20
 #: Bytes of centres that are sent out, and come back, at once; more models take several passes an iteration.
@@ -28,6 +31,12 @@ CENTER_BYTES = 128 << 20
 POOL = 4
 #: Rows of the pool that a draw looks at together.
 DRAW_ROWS = 512
+#: A pool of more rows is drawn from in turns of at most ``TURN`` centres; a squared distance of less than this part of the squares is none.
+TURN_POOL, TURN, SAME = 1 << 14, 256, 1e-13
+#: Rows and centres of one product.
+NEAR_STEP = (512, 2048)
+#: Bytes of vectors that a task may hold to fit a model by itself.
+HELD_BYTES = 128 << 20
 
 
 @dataclass
@@ -75,6 +84,135 @@ def drawn(pool: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
     return chosen
 
 
+def drawn_in_turns(pool: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
+    """The same draw over a large pool: rows are proposed by the distances of the last turn and taken with the part of it that is
+    left, which gives each row its own chance; a turn's centres then lower all distances in one product."""
+    square = (pool * pool).sum(axis=1)
+    chosen, least, done = [int(rng.integers(len(pool)))], np.full(len(pool), np.inf), 0
+    while True:
+        new = np.array(chosen[done:])
+        twice, own = 2.0 * pool[new].T, square[new]
+        for at in range(0, len(pool), DRAW_ROWS):
+            near, mine = pool[at:at + DRAW_ROWS] @ twice, square[at:at + DRAW_ROWS]
+            near -= own
+            d = mine - near.max(axis=1)
+            d[d <= SAME * mine] = 0.0
+            np.minimum(least[at:at + DRAW_ROWS], d, out=least[at:at + DRAW_ROWS])
+        done = len(chosen)
+        if done >= k:
+            return chosen
+        up_to = np.cumsum(least)
+        turn = max(1, min(TURN, done // 8, k - done))
+        for _ in range(4 * turn):
+            if not up_to[-1] > 0:
+                chosen.append(int(rng.integers(len(pool))))
+            else:
+                row = min(int(np.searchsorted(up_to, rng.random() * up_to[-1], side="right")), len(pool) - 1)
+                fresh = chosen[done:]
+                left = min(least[row], ((pool[fresh] - pool[row]) ** 2).sum(axis=1).min()) if fresh else least[row]
+                if rng.random() * least[row] < left:
+                    chosen.append(row)
+            if len(chosen) - done == turn:
+                break
+
+
+def closer(x: np.ndarray, low: np.ndarray | None, norm: np.ndarray, rows: np.ndarray, centers: np.ndarray, numbers: np.ndarray, cell: np.ndarray, far: np.ndarray) -> None:
+    """Give ``rows`` a centre of ``centers`` where it is nearer than their own, or as near with a lower number; ``far`` leaves out a row's own square.
+
+    Products are done in single precision if ``low`` is given; what may be nearer by a bound of its error is compared in double precision.
+    """
+    own = (centers * centers).sum(axis=1)
+    mine, other = (x, centers) if low is None else (low, centers.astype(np.float32))
+    half = (own / 2).astype(mine.dtype)
+    reach = np.sqrt(own.max())
+    slack = (norm * reach + own.max()) * (x.shape[1] + 8) * (2.0 ** -53 if low is None else 2.0 ** -24)
+    for j in range(0, len(centers), NEAR_STEP[1]):
+        right, less = other[j:j + NEAR_STEP[1]].T, half[j:j + NEAR_STEP[1]]
+        for i in range(0, len(rows), NEAR_STEP[0]):
+            at = rows[i:i + NEAR_STEP[0]]
+            s = mine[at] @ right
+            s -= less
+            floor = -far[at] / 2 - slack[at]
+            new = np.flatnonzero(np.isneginf(floor))
+            if len(new):
+                floor[new] = s[new].max(axis=1) - 2 * slack[at[new]]
+            p, q = np.divmod(np.flatnonzero(s >= np.nextafter(floor.astype(s.dtype), s.dtype.type(-np.inf))[:, None]), s.shape[1])
+            if not len(p):
+                continue
+            p, q = at[p], j + q
+            d = own[q] - 2.0 * (x[p] * centers[q]).sum(axis=1)
+            order = np.lexsort((numbers[q], d, p))
+            order = order[np.flatnonzero(np.diff(p[order], prepend=-1))]
+            p, d, q = p[order], d[order], numbers[q[order]]
+            better = (d < far[p]) | ((d == far[p]) & (q < cell[p]))
+            cell[p[better]], far[p[better]] = q[better], d[better]
+
+
+def lloyd(x: np.ndarray, low: np.ndarray | None, centers: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, float, int]:
+    """Centres, cost and iterations of one model on rows that a task holds.
+
+    A row whose centre came no farther compares only with the centres that moved: the others are as far as they were, and were no nearer.
+    """
+    square = (x * x).sum(axis=1)
+    norm, every = np.sqrt(square), np.arange(len(x))
+    cell, far = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    closer(x, low, norm, every, centers, np.arange(len(centers)), cell, far)
+    i = 0
+    while True:
+        i += 1
+        cost = float(np.maximum(far + square, 0.0).sum())
+        order = np.argsort(cell, kind="stable")
+        used, first = np.unique(cell[order], return_index=True)
+        new = centers.copy()
+        new[used] = np.add.reduceat(x[order], first, axis=0) / np.diff([*first, len(x)])[:, None]
+        shift = np.sqrt(((new - centers) ** 2).sum(axis=1)).max()
+        if shift <= tol or i >= max_iter:
+            return new, cost, i
+        moved = (new != centers).any(axis=1)
+        centers, before = new, far
+        far = np.where(moved[cell], (centers * centers).sum(axis=1)[cell] - 2.0 * (x * centers[cell]).sum(axis=1), before)
+        away = far > before
+        lost = np.flatnonzero(away)
+        closer(x, low, norm, lost, centers, np.arange(len(centers)), cell, far)
+        closer(x, low, norm, np.flatnonzero(~away), centers[moved], np.flatnonzero(moved), cell, far)
+
+
+def _cheapest(models: list[Fitted]) -> list[Fitted]:
+    """The cheapest model of each K, the first of equal ones."""
+    return [min((m for m in models if m.k == k), key=lambda m: (m.cost, m.start)) for k in dict.fromkeys(m.k for m in models)]
+
+
+def _held_fit(df: DataFrame, specs: list[tuple[int, int]], pool: np.ndarray, seed: int, max_iter: int, tol: float) -> list[Fitted]:
+    """The cheapest model of each K: a task draws and fits one model on the whole pool, the longest first, and only the centres of the cheapest come to the driver."""
+    ks, specs = list(dict.fromkeys(k for k, _ in specs)), sorted(specs, key=lambda s: (-s[0], s[1]))
+    spark = df.sparkSession
+    sent = spark.sparkContext.broadcast((pool, specs))
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, wanted = sent.value
+        low = rows.astype(np.float32) if np.abs(rows).max() < 1e15 else None
+        for m in (m for batch in batches for m in batch["id"].tolist()):
+            k, i = wanted[m]
+            centers, cost, n = lloyd(rows, low, rows[spread_rows(rows, k, np.random.default_rng([seed, i, k]))], max_iter, tol)
+            yield pd.DataFrame({"model": [m], "cost": [cost], "iterations": [n], "centers": [centers.tobytes()]})
+
+    fitted = materialize(spark.range(0, len(specs), 1, len(specs)).mapInPandas(one, "model long, cost double, iterations int, centers binary"))
+    sent.destroy()
+    cost = {r["model"]: r["cost"] for r in fitted.select("model", "cost").collect()}
+    best = [min((m for m in cost if specs[m][0] == k), key=lambda m: (cost[m], specs[m][1])) for k in ks]
+    rows = {r["model"]: r for r in fitted.where(F.col("model").isin(best)).toLocalIterator()}
+    return [Fitted(specs[m][0], specs[m][1], np.frombuffer(rows[m]["centers"]).reshape(-1, pool.shape[1]).copy(), cost[m], rows[m]["iterations"]) for m in best]
+
+
+def spread_rows(pool: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
+    """Spread starts; a small pool is gone through once for each."""
+    return drawn(pool, k, rng) if len(pool) <= TURN_POOL else drawn_in_turns(pool, k, rng)
+
+
+def _pool(df: DataFrame, n: int, seed: int, vec: str, id_col: str) -> np.ndarray:
+    return _rows(df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).select(F.col(vec).cast("array<double>").alias(vec)).limit(n).toPandas()[vec])
+
+
 def _drawn_starts(spark: SparkSession, pool: np.ndarray, specs: list[tuple[int, int]], seed: int) -> list[Fitted]:
     """A task for each model, the longest first; the pool goes to all of them and only row numbers come back."""
     longest = sorted(range(len(specs)), key=lambda m: -specs[m][0])
@@ -85,7 +223,7 @@ def _drawn_starts(spark: SparkSession, pool: np.ndarray, specs: list[tuple[int,
             rows, wanted, order = sent.value
             for m in (order[at] for at in batch["id"].tolist()):
                 k, i = wanted[m]
-                yield pd.DataFrame({"model": [m], "chosen": [drawn(rows, k, np.random.default_rng([seed, i, k]))]})
+                yield pd.DataFrame({"model": [m], "chosen": [spread_rows(rows, k, np.random.default_rng([seed, i, k]))]})
 
     chosen = {r["model"]: r["chosen"] for r in spark.range(0, len(specs), 1, len(specs)).mapInPandas(draw, "model long, chosen array<long>").collect()}
     sent.destroy()
@@ -94,8 +232,7 @@ def _drawn_starts(spark: SparkSession, pool: np.ndarray, specs: list[tuple[int,
 
 def starts(df: DataFrame, specs: list[tuple[int, int]], seed: int, vec: str, id_col: str, spread: bool = False) -> list[Fitted]:
     most, n_starts = max(k for k, _ in specs), 1 + max(i for _, i in specs)
-    rows = df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).select(F.col(vec).cast("array<double>").alias(vec)).limit(POOL * most * n_starts).toPandas()
-    pool = _rows(rows[vec])
+    pool = _pool(df, POOL * most * n_starts, seed, vec, id_col)
     if spread:
         return _drawn_starts(df.sparkSession, pool, specs, seed)
     return [Fitted(k, i, np.take(pool, np.arange(i * most, i * most + min(k, len(pool))), axis=0, mode="wrap")) for k, i in specs]
@@ -160,10 +297,18 @@ def _passes(models: list[Fitted]) -> Iterator[list[Fitted]]:
 
 
 def fit(df: DataFrame, specs: list[tuple[int, int]], seed: int, max_iter: int = 100, tol: float = 1e-4, vec: str = "vec",
-        id_col: str = "docid", spread: bool = False, on_done: Callable[[list[Fitted]], None] | None = None) -> list[Fitted]:
-    """One model for each (k, start) of ``specs``; ``on_done`` is called with the models that an iteration finished."""
+        id_col: str = "docid", spread: bool = False, on_done: Callable[[list[Fitted]], None] | None = None, best: bool = False) -> list[Fitted]:
+    """One model for each (k, start) of ``specs``, or with ``best`` the cheapest of each K; ``on_done`` is called with the models that an iteration finished.
+
+    With ``best`` and spread starts, rows of at most ``HELD_BYTES`` that are all in the pool go to all workers and are fitted model by model.
+    """
     if not specs:
         return []
+    if best:
+        n, room = df.count(), POOL * max(k for k, _ in specs) * (1 + max(i for _, i in specs))
+        if spread and on_done is None and 0 < n <= room and n * max(1, df.select(F.size(vec)).first()[0]) * 8 <= HELD_BYTES:
+            return _held_fit(df, specs, _pool(df, room, seed, vec, id_col), seed, max_iter, tol)
+        return _cheapest(fit(df, specs, seed, max_iter, tol, vec, id_col, spread, on_done))
     models = starts(df, specs, seed, vec, id_col, spread)
     active = models
     for i in range(max_iter):

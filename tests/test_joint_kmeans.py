@@ -66,3 +66,44 @@ def test_auto_select_finds_the_blobs(spark):
     df = spark.createDataFrame([(str(i), v) for i, v in enumerate(x.tolist())], "docid string, vec array<double>")
     best, curve = C.auto_select_k(df, n_init=5)
     assert best == 8 and curve.where(F.col("silhouette") > 0.9).count() >= 1
+
+
+def test_models_of_held_rows_equal_the_joint_passes(spark, monkeypatch):
+    _, df = _blobs(spark)
+    specs = [(k, i) for k in (2, 6, 30) for i in range(3)]
+    all_models = joint.fit(df, specs, 5, spread=True)
+    passes = []
+    monkeypatch.setattr(joint, "_sums", lambda *a: passes.append(1))
+    found = joint.fit(df, specs, 5, spread=True, best=True)
+    assert not passes and [m.k for m in found] == [2, 6, 30]
+    for m in found:
+        want = min((a for a in all_models if a.k == m.k), key=lambda a: (a.cost, a.start))
+        assert m.start == want.start and m.iterations == want.iterations and abs(m.cost - want.cost) < 1e-6 and np.allclose(m.centers, want.centers)
+
+
+def test_comparing_with_moved_centres_is_lloyd():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 6))
+    x[2000:2030] = x[2000]
+    start = x[:400].copy()
+    centers, cost, n = joint.lloyd(x, x.astype(np.float32), start, 100, 1e-4)
+    far = ((x[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert 3 < n < 100 and far * (1 - 1e-9) <= cost <= far * 1.001
+    assert np.allclose(centers, _alone(x, start))
+
+
+def test_draws_in_turns_take_each_row_by_its_chance(monkeypatch):
+    monkeypatch.setattr(joint, "TURN", 4)
+    pool = np.array([[0.0], [1.0], [3.0], [3.0], [10.0]])
+    seen = {}
+    for draw in (joint.drawn, joint.drawn_in_turns):
+        for seed in range(4000):
+            chosen = draw(pool, 4, np.random.default_rng(seed))
+            assert len(chosen) == 4 and len(set(pool[chosen, 0].tolist())) == 4
+            seen.setdefault(draw.__name__, {}).setdefault(tuple(sorted(pool[chosen[:3], 0].tolist())), []).append(seed)
+    share = {name: {c: len(s) / 4000 for c, s in found.items()} for name, found in seen.items()}
+    for c in set(share["drawn"]) | set(share["drawn_in_turns"]):
+        assert abs(share["drawn"].get(c, 0) - share["drawn_in_turns"].get(c, 0)) < 0.04
+    big = np.random.default_rng(1).normal(size=(2000, 3)).repeat(2, axis=0)
+    chosen = joint.drawn_in_turns(big, 2500, np.random.default_rng(2))
+    assert len(chosen) == 2500 and len({i // 2 for i in chosen}) == 2000  # no row twice before all are taken
