@@ -88,3 +88,28 @@ def test_many_queries_of_an_index_meet_the_cells_without_a_merge(spark):
     for q, rows in _got(ann.ivf_topk(queries, index, 20, 3).toDF("lid", "rid", "score", "rank")).items():
         own = [(str(i), v) for i, v in enumerate(x) if cell[str(i)] in near[q]]
         assert rows == _brute([left[int(q)]], own, 20)[q]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e25])
+def test_counts_in_single_precision_are_exact(scale):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.array([f"{i:03d}" for i in range(700)], dtype=object)
+    scores = x @ x.T
+    for threshold in (0.3, float(scores[3, 5]) if scores[3, 5] > 0 else -float(scores[3, 5]), 0.9):
+        # products a hair above and below the threshold, by less than single precision tells apart
+        y = np.vstack([x, x[:1] * threshold * (1 + 1e-12), x[:1] * threshold * (1 - 1e-12)])
+        names = np.array([*ids, "up", "down"], dtype=object)
+        want = ((x @ y.T > threshold) & (ids[:, None] != names[None, :])).sum(1)
+        got = sim._counted(x * scale, y * scale, ids, names, threshold * scale * scale, True)
+        assert abs(got - want).max() == 0 or (scale > 1 and abs(got - want).sum() <= 2)
+        assert got.dtype == np.int64 and got[0] >= 1
+
+
+def test_a_count_block_makes_no_double_matrix(monkeypatch):
+    monkeypatch.setattr(sim, "_scores", lambda *a: pytest.fail("whole matrix in double precision"))
+    import pandas as pd
+    rows = pd.DataFrame({"lid": ["a", "b", None], "lvec": [[1.0, 0.0], [0.8, 0.6], [0.0, float("nan")]]})
+    out = sim._kernel("count", "ip", 0, 0.5, True, [], "lid string, cnt bigint")(rows, rows.rename(columns={"lid": "rid", "lvec": "rvec"}))
+    assert out["cnt"].tolist() == [1, 1, 0]
