@@ -67,4 +67,4 @@ def exemplar_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5 (rows-only): three exemplars from lexical clusters of the documents with embeddings."""
     from irforge.operators.sampling import exemplar_sample as ex
     de = fp.docs_with_embeddings(spark, sf_dir).select("docid", "doctext")
-    return ex(de, lex.tfidf(de))
+    return ex(de, lex.tfidf_by_id(de))
